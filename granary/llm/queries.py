@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, license_scan, pii, piece_encoding, quality, simhash, toxicity, url_model
+from granary.llm import decontamination, html_wrappers, license_scan, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def _digest(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -53,6 +58,15 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of every text: twelve characters go after a quarter, a note comes in at half, seven characters change after three quarters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    place = lambda a, b, text: F.struct(F.floor(n * a).cast("int").alias("start"), (F.floor(n * a) + b).cast("int").alias("end"), F.lit(text).alias("text"))
+    out = token_counts.count_tokens(docs.withColumn("edits", F.array(place(0.25, 12, ""), place(0.5, 0, " [edited]"), place(0.75, 7, "..."))))
+    return out.select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_pretokens", "n_reencoded")
+
+
 def op9_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_model.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
 
@@ -63,12 +77,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_wrappers": op1_html_wrappers,
     "op2_personal_data": op2_personal_data,
     "op3_license_scan": op3_license_scan,
     "op4_piece_encoding": op4_piece_encoding,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
     "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
     "op9_url_model": op9_url_model,
     "op10_quality": op10_quality,
 }
