@@ -23,10 +23,14 @@ def _digest(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _of(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter("pii", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
+    counts = [F.size(F.filter("pii", _of(k))).cast("bigint").alias(f"n_{k}") for k in pii.BASE]
     return out.select("doc_id", *counts, F.sha2(_digest(base), 256).alias("base_sha256"), _digest(F.col("pii")).alias("spans"))
 
 
