@@ -16,8 +16,7 @@ positive if one is; ids without a text are ignored; without any positive label n
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from granary.llm.columns import append_columns, quoted
 
 #: Labelled rows of either kind that a chain is fitted on.
-MOST_POSITIVE, MOST_NEGATIVE = 3000, 6000
+MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
 #: Categories before the last: rows labelled toxic that hold one of these words are its positive rows.
 SEEDS = {
     "insult": ("idiot", "moron", "stupid", "clown", "loser"),
@@ -37,79 +36,93 @@ SEEDS = {
 FOLDS, PREFIXES = 5, (4, 5, 6, 7)
 MOST_FEATURES, LEAST_ROWS, LEAST_Z = 3000, 3, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHE = 300_000
+#: Hashed features, and words whose features a task keeps.
+SPACE, _CACHE = 1 << 22, 100_000
 
 
 class _Features(dict):
-    """The features of a word, kept for words seen before."""
+    """The features of a word as numbers below SPACE, by hash; kept for words seen before. ``known`` renumbers some and drops the rest."""
 
-    def __init__(self, known: dict[str, int] | None = None):
+    def __init__(self, known: dict[int, int] | None = None):
         super().__init__()
         self.known = known
 
-    def __missing__(self, word: str):
+    def __missing__(self, word: str) -> tuple[int, ...]:
         names = [word, *[word[:n] + "*" for n in PREFIXES if len(word) > n]]
-        out = tuple(names) if self.known is None else tuple(self.known[x] for x in names if x in self.known)
+        out = [xxhash.xxh64_intdigest(x) % SPACE for x in names]
+        if self.known is not None:
+            out = [self.known[x] for x in out if x in self.known]
         if len(self) >= _CACHE:
             self.clear()
         if len(word) < 64:
-            self[word] = out
-        return out
+            self[word] = tuple(out)
+        return tuple(out)
 
 
-def features(text: str | None, of: _Features) -> set:
-    found: set = set()
+def features(text: str | None, of: _Features) -> np.ndarray:
+    """The distinct features of a text, sorted."""
+    found: set[int] = set()
     for word in set(_WORD.findall(text.lower())) if text else ():
         found.update(of[word])
-    return found
+    return np.array(sorted(found), dtype=np.int32)
 
 
 @dataclass
 class Linear:
     """A logistic model over present features and a few dense columns."""
 
-    names: dict[str, int] = field(default_factory=dict)
+    chosen: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int32))  # sorted
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     dense: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = 0.0
 
-    def score(self, rows: Sequence[Iterable[str]], columns: np.ndarray) -> np.ndarray:
-        sums = np.array([sum(self.weights[self.names[f]] for f in r if f in self.names) for r in rows], dtype=float)
-        return _sigmoid(sums + columns @ self.dense + self.bias)
+    def score(self, rows: Sequence[np.ndarray], columns: np.ndarray) -> np.ndarray:
+        at, of = _present(rows, self.chosen)
+        return _sigmoid(np.bincount(at, self.weights[of], len(rows)) + columns @ self.dense + self.bias)
+
+
+def _present(rows: Sequence[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, index in chosen) for the chosen features of each row."""
+    if not len(chosen) or not len(rows):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    every = np.concatenate(rows)
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    of = np.minimum(np.searchsorted(chosen, every), len(chosen) - 1)
+    ok = chosen[of] == every
+    return at[ok], of[ok]
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def choose(rows: Sequence[set[str]], y: np.ndarray) -> dict[str, float]:
-    """The features whose share among positive rows stands out most, at least by LEAST_Z standard deviations, with the log of how far."""
-    positive, rest = Counter(), Counter()
-    for r, label in zip(rows, y, strict=True):
-        (positive if label else rest).update(r)
+def choose(rows: Sequence[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features whose share among positive rows stands out most, at least by LEAST_Z standard deviations, and the log of how far."""
     n_pos, n_rest = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
-    scored = []
-    for name, n in positive.items():
-        if n >= LEAST_ROWS:
-            expected = rest[name] / n_rest * n_pos
-            if (z := (n - expected) / (expected + 0.5) ** 0.5) >= LEAST_Z:
-                scored.append((-z, name.rstrip("*"), name))
-    kept: dict[str, float] = {}
-    for _, bare, name in sorted(scored)[:MOST_FEATURES]:
-        # a longer name in just the rows of a shorter one says nothing more
-        if all((positive[bare[:k] + "*"], rest[bare[:k] + "*"]) != (positive[name], rest[name]) or bare[:k] + "*" == name for k in PREFIXES if k < len(bare)):
-            kept[name] = float(np.log((positive[name] + 0.5) / n_pos * n_rest / (rest[name] + 0.5)))
-    return kept
-
-
-def fit_linear(rows: Sequence[set[str]], columns: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 0.1) -> Linear:
-    far = choose(rows, y)  # a feature counts by the log of its ratio, so rare but sure ones are learned as fast as others
-    names = {name: i for i, name in enumerate(far)}
-    scale = np.array(list(far.values()))
-    pairs = [(i, names[f]) for i, r in enumerate(rows) for f in sorted(r) if f in names]
-    at = np.array([p[0] for p in pairs], dtype=np.int64)
-    of = np.array([p[1] for p in pairs], dtype=np.int64)
-    n, k, d = len(rows), len(names), columns.shape[1]
+    if not rows:
+        return np.zeros(0, dtype=np.int32), np.zeros(0)
+    every, size = np.concatenate(rows), np.array([len(r) for r in rows])
+    label = np.repeat(y, size)
+    positive, both = np.bincount(every, label, SPACE), np.bincount(every, minlength=SPACE)
+    rest = both - positive
+    expected = rest / n_rest * n_pos
+    z = (positive - expected) / np.sqrt(expected + 0.5)
+    found = np.flatnonzero((positive >= LEAST_ROWS) & (z >= LEAST_Z))
+    # of features that stand in just the same rows (a word and its beginnings), one is enough
+    mark = np.repeat(np.random.default_rng(1).random(len(rows)), size)
+    marks = np.bincount(every, mark, SPACE)[found]
+    _, first = np.unique(np.round(marks, 9), return_index=True)
+    found = found[first]
+    found = np.sort(found[np.argsort(-z[found], kind="stable")[:MOST_FEATURES]])
+    return found.astype(np.int32), np.log((positive[found] + 0.5) / n_pos * n_rest / (rest[found] + 0.5))
+
+
+def fit_linear(rows: Sequence[np.ndarray], columns: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 0.1) -> Linear:
+    chosen, scale = choose(rows, y)  # a feature counts by the log of its ratio, so rare but sure ones are learned as fast as others
+    at, of = _present(rows, chosen)
+    n, k, d = len(rows), len(chosen), columns.shape[1]
+    if not n:
+        return Linear(dense=np.zeros(d))
     rate0 = (y.sum() + 0.5) / (n + 1)
     w = np.zeros(k + d + 1)
     w[-1] = np.log(rate0 / (1 - rate0))
@@ -121,7 +134,7 @@ def fit_linear(rows: Sequence[set[str]], columns: np.ndarray, y: np.ndarray, rou
         g[:-1] += penalty / n * w[:-1]
         seen += g * g
         w -= rate * g / np.sqrt(seen)
-    return Linear(names, w[:k] * scale, w[k : k + d], float(w[-1]))
+    return Linear(chosen, w[:k] * scale, w[k : k + d], float(w[-1]))
 
 
 @dataclass
@@ -187,31 +200,27 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     # repeated ids of documents may give more rows than ids; the bound holds for rows too
     got = sample(docs, labels, text, id, label, most_positive, most_negative).limit(2 * (most_positive + most_negative)).toPandas().sort_values(["t", "y"])
     texts, y = got["t"].tolist(), got["y"].to_numpy(dtype=float)
-    found = [set(_WORD.findall(t.lower())) for t in texts]
-    chain = {name: y * np.array([float(not w.isdisjoint(words)) for w in found]) for name, words in seeds.items()}
+    chain = {name: y * np.array([float(not set(_WORD.findall(t.lower())).isdisjoint(words)) for t in texts]) for name, words in seeds.items()}
     return fit_chain(texts, chain | {label: y})
 
 
 def classify(df: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_", to: str = "is_toxic") -> DataFrame:
     """``df`` with the probability of each category and whether the last one reaches the chain's threshold."""
-    names: dict[str, int] = {}
-    for m in chain.models:
-        for f in m.names:
-            names.setdefault(f, len(names))
+    known = np.unique(np.concatenate([m.chosen for m in chain.models]))
+    names = {int(f): i for i, f in enumerate(known)}
     tables = [np.zeros(len(names) + 1) for _ in chain.models]
     for t, m in zip(tables, chain.models, strict=True):
-        for f, i in m.names.items():
-            t[names[f]] = m.weights[i]
+        t[np.searchsorted(known, m.chosen)] = m.weights
     dense, bias, limit = [m.dense for m in chain.models], [m.bias for m in chain.models], chain.threshold
 
     def make():
         words = _Features(names)
 
         def run(texts):
-            rows = [sorted(features(t, words)) for t in texts]
+            rows = [features(t, words) for t in texts]
             p = np.zeros((len(rows), 0))
             for t, d, b in zip(tables, dense, bias, strict=True):
-                sums = np.array([t[r].sum() if r else 0.0 for r in rows])
+                sums = np.array([t[r].sum() for r in rows])
                 p = np.c_[p, _sigmoid(sums + p @ d + b)]
             return [*p.T.tolist(), (p[:, -1] >= limit).tolist()]
 

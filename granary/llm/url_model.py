@@ -51,7 +51,7 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def _grams(urls: DataFrame, order: int) -> DataFrame:
     """(…, g): the gram that ends at each character of the lowered URL, filled up at its start."""
     filled = F.concat(F.lit("\x02" * (order - 1)), F.lower("url"), F.lit("\x03"))
-    return urls.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("url") + 1), lambda i: F.substring(filled, i, F.lit(order)))).alias("g"))
+    return urls.select("*", F.explode_outer(F.transform(F.sequence(F.lit(1), F.length("url") + 1), lambda i: F.substring(filled, i, F.lit(order)))).alias("g"))
 
 
 def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:

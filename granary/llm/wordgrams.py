@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from granary.llm.columns import quoted, small
 
-#: A word: no control, punctuation or symbol of ASCII; upper-case A-Z is lowered before.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word after A-Z is lowered: what is no control, punctuation or symbol of ASCII, as ranges (a negated class runs much slower).
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many rows of a few hundred bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
@@ -41,9 +41,20 @@ def rows_with_words(df: DataFrame, text: str, id: str) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row (…, at, h) for each run of words of each of the sizes."""
-    parts = [F.transform(grams(F.col("w"), k), lambda h, i: F.struct(i.alias("at"), h.alias("h"))) for k in sizes]
-    return rows.select("*", F.inline(parts[0] if len(parts) == 1 else F.concat(*parts)))
+    """A row (…, at, h) for each run of words of each of the sizes.
+
+    The hashes are made in a projection of their own, so that exploding and joining them stays in
+    generated code, where a row's words are passed on only for the places that meet something. The
+    outer form is for the optimizer: from the inner one it infers a filter on the array's size, moves
+    it below the projections and so computes words and hashes twice. Rows without words give a null.
+    """
+    hashed = rows.withColumn("__h", grams(F.col("w"), sizes[0]) if len(sizes) == 1 else F.concat(*[grams(F.col("w"), k) for k in sizes]))
+    out = hashed.select(*rows.columns, F.posexplode_outer("__h").alias("at", "h"))
+    before, at = F.lit(0), F.col("at")
+    for k in sizes[:-1]:
+        before = before + F.greatest(F.size("w") - (k - 1), F.lit(0))
+        at = F.when(F.col("at") >= before, F.col("at") - before).otherwise(at)
+    return out.withColumn("at", at) if len(sizes) > 1 else out
 
 
 def joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
