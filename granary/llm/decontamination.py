@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.columns import quoted, written
-from granary.llm.wordgrams import gram, joined, occurrences, rows_with_words, words
+from granary.llm.columns import quoted, small, written
+from granary.llm.wordgrams import BROADCAST_ROWS, gram, joined, keyed, occurrences, with_lists, words
 
 #: Words of a window, and of the shingles by which windows are found.
 WINDOW, SHINGLE = 10, 3
@@ -45,11 +45,11 @@ def _equal_run(tokens: Column, stretch: Column, begin: Column, place: Column) ->
     return (F.when(left == 0, place).otherwise(left - 1).cast("int"), F.when(right == 0, F.size(stretch) - place).otherwise(right - 1).cast("int"))
 
 
-def hits(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """A row (id, text_key, first, after, items) for each stretch of words of a document that windows of those items cover."""
+def candidates(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(id, text_key, met): for each document the places where a stretch of an item may lie, by the hash of the stretch's rarest shingle."""
     places = written(item_windows(items, item_text, item_id, window, shingle))
     sizes = sorted(r[0] for r in places.select("k").distinct().collect()) or [shingle]
-    found = occurrences(rows_with_words(docs, text, id), sizes)
+    found = occurrences(keyed(docs, text, id), sizes)
     wanted = places.select("h").distinct()
     counts = written(joined(found.select("h"), wanted, "h").groupBy("h").agg(F.count("*").alias("n")))
     counted = places.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -60,27 +60,42 @@ def hits(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_i
 
     met = joined(found, prefixes, "h").withColumn("begin", F.col("at") - F.col("place"))
     # what lies on either side of the shingle in the document must leave room for a window
-    room = F.least(F.size("w") - F.col("begin"), F.size("stretch")) - F.greatest(-F.col("begin"), F.lit(0)) >= F.col("size")
-    left, right = _equal_run(F.col("w"), F.col("stretch"), F.col("begin"), F.col("place"))
-    runs = met.where(room).select("id", "text_key", "at", "size", "items", left.alias("left"), right.alias("right"))
-    return runs.where(F.col("left") + F.col("right") >= F.col("size")).select("id", "text_key", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right")).alias("after"), "items")
+    room = F.least(F.col("n") - F.col("begin"), F.size("stretch")) - F.greatest(-F.col("begin"), F.lit(0)) >= F.col("size")
+    return met.where(room).groupBy("id", "text_key").agg(F.collect_set(F.struct("begin", "place", "size", "stretch", "items")).alias("met"))
+
+
+def verified(rows: DataFrame) -> DataFrame:
+    """Keyed rows with ``met`` and the words ``w``: with ``runs``, the stretches of words (first, after, items) that are windows' words."""
+
+    def run(c: Column) -> Column:
+        left, right = _equal_run(F.col("w"), c["stretch"], c["begin"], c["place"])
+        at = c["begin"] + c["place"]
+        return F.struct((at - left).alias("first"), (at + right).alias("after"), c["size"].alias("size"), c["items"].alias("items"))
+
+    runs = F.filter(F.transform("met", run), lambda r: r["after"] - r["first"] >= r["size"])
+    return rows.withColumn("runs", F.when(F.col("met").isNull(), F.lit(None)).otherwise(runs))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """Per row of ``docs``: (id, text_key, n_words, n_hit, items): its words, those within windows, and the sorted ids of their items."""
-    stretches = F.array_sort(F.collect_set(F.struct("first", "after")))
-    each = hits(docs, items, text, id, **options).groupBy("id", "text_key").agg(stretches.alias("stretches"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    lists = written(candidates(docs, items, text, id, **options))
+    kind = lists.schema["met"].dataType.elementType["items"].dataType
+    rows = verified(with_lists(keyed(docs, text, id), lists, "met").select("id", "text_key", "met", words(F.col("t")).alias("w")))
+    ordered = F.array_sort(F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["after"].alias("after"))))
     start = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto"))
-    union = F.aggregate("stretches", start, lambda s, x: F.struct((s["covered"] + F.greatest(F.lit(0), x["after"] - F.greatest(s["upto"], x["first"]))).alias("covered"), F.greatest(s["upto"], x["after"]).alias("upto")))
-    found = each.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), union["covered"].cast("bigint").alias("n_hit"), "items")
-    rows = rows_with_words(docs, text, id).select("id", "text_key", F.size("w").cast("bigint").alias("n_words"))
-    out = rows.join(found, rows.id.eqNullSafe(found._id) & rows.text_key.eqNullSafe(found._key), "left")
-    kind = dict(each.dtypes)["items"]
-    return out.select(F.col("id").alias(id), "text_key", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast(kind)).alias("items"))
+    union = F.aggregate(ordered, start, lambda s, x: F.struct((s["covered"] + F.greatest(F.lit(0), x["after"] - F.greatest(s["upto"], x["first"]))).alias("covered"), F.greatest(s["upto"], x["after"]).alias("upto")))
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["items"]))))
+    return rows.select(F.col("id").alias(id), "text_key", F.size("w").cast("bigint").alias("n_words"), F.coalesce(union["covered"], F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce(found, F.array().cast(kind)).alias("items"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` in which no window of the benchmark occurs."""
-    marked = hits(docs, items, text, id, **options).select(F.col("id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(F.col(quoted(text)))
-    return docs.join(marked, F.col(quoted(id)).eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    """The rows of ``docs`` in which no window of the benchmark occurs.
+
+    Only rows with candidates are split into words again; an anti-join on id and text takes them out.
+    """
+    lists = written(candidates(docs, items, text, id, **options))
+    asked = with_lists(keyed(docs, text, id), lists, "met").where("met is not null").select("id", "text_key", "met", words(F.col("t")).alias("w"))
+    marked = written(verified(asked).where(F.size("runs") > 0).select("id", "text_key").distinct())
+    given = docs.withColumn("__key", F.xxhash64(F.col(quoted(text))))
+    out = given.join(F.broadcast(marked) if small(marked, BROADCAST_ROWS) else marked, F.col(quoted(id)).eqNullSafe(marked.id) & (F.col("__key") == marked.text_key), "left_anti")
+    return out.drop("__key")

@@ -12,6 +12,8 @@ WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A table of at most so many rows of a few hundred bytes is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for entries of lists joined to documents, of a few hundred bytes each.
+BROADCAST_ENTRIES = 150_000
 
 
 def lowered(text: Column) -> Column:
@@ -34,29 +36,38 @@ def grams(tokens: Column, k: int) -> Column:
     return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: gram(tokens, i, k))).otherwise(F.array().cast("array<bigint>"))
 
 
-def rows_with_words(df: DataFrame, text: str, id: str) -> DataFrame:
-    """(id, text_key, w): the words of each row. An id and the hash of the text name a row; rows alike in both give one result."""
+def keyed(df: DataFrame, text: str, id: str) -> DataFrame:
+    """(id, text_key, t): an id and the hash of the text name a row; rows alike in both give one result."""
     body = F.col(quoted(text))
-    return df.select(F.col(quoted(id)).alias("id"), F.xxhash64(body).alias("text_key"), words(body).alias("w"))
+    return df.select(F.col(quoted(id)).alias("id"), F.xxhash64(body).alias("text_key"), body.alias("t"))
 
 
 def occurrences(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """A row (…, at, h) for each run of words of each of the sizes.
+    """(id, text_key, at, h) for each run of words of each of the sizes, from keyed rows.
 
-    The hashes are made in a projection of their own, so that exploding and joining them stays in
-    generated code, where a row's words are passed on only for the places that meet something. The
-    outer form is for the optimizer: from the inner one it infers a filter on the array's size, moves
-    it below the projections and so computes words and hashes twice. Rows without words give a null.
+    Words and hashes are made in projections of their own and only numbers are exploded: a long text's
+    words must not be copied beside each of its places. The outer form is for the optimizer: from the
+    inner one it infers a filter on the array's size, moves it below the projections and so computes
+    words and hashes twice. Rows without words give a null.
     """
-    hashed = rows.withColumn("__h", grams(F.col("w"), sizes[0]) if len(sizes) == 1 else F.concat(*[grams(F.col("w"), k) for k in sizes]))
-    out = hashed.select(*rows.columns, F.posexplode_outer("__h").alias("at", "h"))
+    tokens = rows.select("id", "text_key", words(F.col("t")).alias("w"))
+    hashes = grams(F.col("w"), sizes[0]) if len(sizes) == 1 else F.concat(*[grams(F.col("w"), k) for k in sizes])
+    out = tokens.select("id", "text_key", F.size("w").alias("n"), hashes.alias("hs")).select("id", "text_key", "n", F.posexplode_outer("hs").alias("at", "h"))
     before, at = F.lit(0), F.col("at")
     for k in sizes[:-1]:
-        before = before + F.greatest(F.size("w") - (k - 1), F.lit(0))
+        before = before + F.greatest(F.col("n") - (k - 1), F.lit(0))
         at = F.when(F.col("at") >= before, F.col("at") - before).otherwise(at)
-    return out.withColumn("at", at) if len(sizes) > 1 else out
+    return out.select("id", "text_key", "n", at.alias("at"), "h")
 
 
 def joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """An inner join that broadcasts ``right`` only if it has few rows."""
     return left.join(F.broadcast(right) if small(right, BROADCAST_ROWS) else right, on)
+
+
+def with_lists(rows: DataFrame, lists: DataFrame, name: str) -> DataFrame:
+    """Keyed rows, left-joined with a written table (id, text_key, array ``name``); it is broadcast only if all arrays together are short."""
+    total = lists.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0]
+    few = lists.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), name)
+    few = F.broadcast(few) if total <= BROADCAST_ENTRIES else few
+    return rows.join(few, F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")
