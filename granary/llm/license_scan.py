@@ -4,10 +4,11 @@ Templates are word sequences: short phrases and notices. Every rolling word k-gr
 the places of the same k-gram in the templates; each meeting is a vote for the diagonal (place in the
 document minus place in the template). An exact occurrence puts all its votes on one diagonal; inserted
 or dropped words move the votes to a neighbouring one, so diagonals at most ``SLACK`` apart merge to
-a span. Votes count only where the words themselves are equal. A phrase is found where one diagonal
-has all votes; a notice where the votes of a merged span cover ``COVER`` of the template.
+a span. A phrase is found where one diagonal has all votes, a notice where the votes of a merged span
+cover ``COVER`` of the template; the document's own words then decide: a phrase's must be equal, and
+of a notice's that share must stand in the span.
 
-Built-in functions only; the votes, not the texts, are shuffled. Null and empty texts have no words.
+Built-in functions only; the votes, not the texts, are grouped. Null and empty texts have no words.
 Repeated rows each get their result.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.wordgrams import gram, joined, occurrences, rows_with_words, words
+from granary.llm.columns import written
+from granary.llm.wordgrams import gram, joined, keyed, occurrences, with_lists, words
 
 #: Phrases that count wherever all their words stand consecutively: (label, phrase).
 PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
@@ -39,7 +41,7 @@ GRAM, SLACK, COVER = 3, 2, 0.6
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = GRAM) -> DataFrame:
-    """A row (template, label, exact, k, total, place, h, g) for each k-gram of each template; g are its words."""
+    """A row (template, label, exact, k, total, place, h, wording) for each k-gram of each template."""
     given = [(i, label, text, True) for i, (label, text) in enumerate(phrases)]
     given += [(len(given) + i, label, text, False) for i, (label, text) in enumerate(notices)]
     rows = spark.createDataFrame(given, "template int, label string, text string, exact boolean").withColumn("w", words(F.col("text"))).where(F.size("w") > 0)
@@ -48,48 +50,50 @@ def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = GR
     h = F.lit(None).cast("bigint")
     for n in range(1, k + 1):
         h = F.when(F.col("k") == n, gram(F.col("w"), F.col("place"), n)).otherwise(h)
-    return places.select("template", "label", "exact", "k", "total", "place", h.alias("h"), F.slice("w", F.col("place") + 1, F.col("k")).alias("g"))
+    return places.select("template", "label", "exact", "k", "total", "place", h.alias("h"), F.col("w").alias("wording"))
 
 
-def spans(df: DataFrame, text: str = "text", id: str = "doc_id", phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack: int = SLACK) -> DataFrame:
-    """A row (id, text_key, template, label, exact, first, last, cover) for each merged span of votes: its first and last word and the share of the template that it covers."""
-    places = templates(df.sparkSession, phrases, notices, k)
-    sizes = sorted({min(k, r[0]) for r in places.select("k").distinct().collect()})
-    met = joined(occurrences(rows_with_words(df, text, id), sizes), places, "h").where(F.slice("w", F.col("at") + 1, F.col("k")) == F.col("g"))
-    votes = met.select("id", "text_key", "template", "label", "exact", "total", "k", "at", "place", (F.col("at") - F.col("place")).alias("diagonal"))
+def spans(df: DataFrame, places: DataFrame, text: str = "text", id: str = "doc_id", slack: int = SLACK) -> DataFrame:
+    """A row (id, text_key, template, exact, first, last, cover) for each merged span of votes: its first and last word and the share of the template that it covers."""
+    sizes = sorted(r[0] for r in places.select("k").distinct().collect())
+    met = joined(occurrences(keyed(df, text, id), sizes), places.select("template", "exact", "k", "total", "place", "h"), "h")
     # rows alike in id and text vote the same; a diagonal's votes are the distinct places of the template
-    by_diagonal = votes.groupBy("id", "text_key", "template", "label", "exact", "total", "k", "diagonal").agg(F.collect_set("place").alias("places"))
+    by_diagonal = met.groupBy("id", "text_key", "template", "exact", "total", "k", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.collect_set("place").alias("places"))
     order = Window.partitionBy("id", "text_key", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(order) > slack), F.lit(True))
     merged = by_diagonal.withColumn("span", F.sum(fresh.cast("int")).over(order))
-    one = merged.groupBy("id", "text_key", "template", "label", "exact", "total", "k", "span").agg(
+    one = merged.groupBy("id", "text_key", "template", "exact", "total", "k", "span").agg(
         F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("places") + F.col("k") - 1).alias("last"),
         F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
     )
-    return one.select("id", "text_key", "template", "label", "exact", "first", "last", (F.col("found") / F.col("total")).alias("cover"))
+    return one.select("id", "text_key", "template", "exact", "first", "last", (F.col("found") / F.col("total")).alias("cover"))
 
 
-def scan(df: DataFrame, text: str = "text", id: str = "doc_id", cover: float = COVER, **options) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", id: str = "doc_id", cover: float = COVER, phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack: int = SLACK) -> DataFrame:
     """Per row of ``df``: (id, text_key, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     n_base counts the places of phrases, first_word and last_word are the smallest and largest start;
     labels also hold those of notices covered to ``cover``; score is the best cover of any template.
     """
-    found = spans(df, text, id, **options)
-    base = F.col("exact") & (F.col("cover") == 1.0)
-    sure = base | (~F.col("exact") & (F.col("cover") >= cover))
-    each = found.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.count_if(base).alias("n_base"),
-        F.min(F.when(base, F.col("first"))).cast("bigint").alias("first_word"),
-        F.max(F.when(base, F.col("first"))).cast("bigint").alias("last_word"),
-        F.array_join(F.array_sort(F.collect_set(F.when(base, F.col("label")))), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("label")))), ",").alias("labels"),
-        F.max("cover").alias("score"),
-    )
-    rows = rows_with_words(df, text, id).select("id", "text_key", F.size("w").cast("bigint").alias("n_words"))
-    out = rows.join(each, rows.id.eqNullSafe(each._id) & rows.text_key.eqNullSafe(each._key), "left")
-    return out.select(
-        F.col("id").alias(id), "text_key", "n_words", F.coalesce("n_base", F.lit(0)).cast("bigint").alias("n_base"), "first_word", "last_word",
-        F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+    places = templates(df.sparkSession, phrases, notices, k)
+    wording = places.select("template", "label", "wording").distinct()
+    found = spans(df, places, text, id, slack).where(~F.col("exact") | (F.col("cover") == 1.0)).join(F.broadcast(wording), "template")  # a few hundred rows: the constant templates
+    lists = written(found.groupBy("id", "text_key").agg(F.collect_list(F.struct("label", "exact", "first", "last", "cover", "wording")).alias("spans")))
+    rows = with_lists(keyed(df, text, id), lists, "spans").select("id", "text_key", "spans", words(F.col("t")).alias("w"))
+
+    def holds(s):
+        part = F.slice(F.col("w"), s["first"] + 1, s["last"] - s["first"] + 1)
+        share = F.size(F.array_intersect(s["wording"], part)) / F.size(F.array_distinct(s["wording"]))
+        return F.when(s["exact"], part == s["wording"]).otherwise(share >= F.least(F.lit(cover), s["cover"]))
+
+    rows = rows.withColumn("sure", F.filter("spans", holds))
+    base = F.filter("sure", lambda s: s["exact"])
+    starts = F.transform(base, lambda s: s["first"])
+    named = F.filter("sure", lambda s: s["exact"] | (s["cover"] >= cover))
+    labels = lambda found: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: s["label"]))), ","), F.lit(""))
+    return rows.select(
+        F.col("id").alias(id), "text_key", F.size("w").cast("bigint").alias("n_words"), F.coalesce(F.size(base), F.lit(0)).cast("bigint").alias("n_base"),
+        F.array_min(starts).cast("bigint").alias("first_word"), F.array_max(starts).cast("bigint").alias("last_word"), labels(base).alias("base_labels"),
+        labels(named).alias("labels"), F.coalesce(F.array_max(F.transform("sure", lambda s: s["cover"])), F.lit(0.0)).alias("score"),
     )
