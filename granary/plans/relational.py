@@ -254,7 +254,7 @@ def stream_sessions(spark, sf):
 @query("""SELECT conv_id, turn, CASE WHEN before IS NULL THEN 'full' WHEN before = sha256(text) THEN 'unchanged' ELSE 'changed' END AS state FROM (SELECT *, lag(sha256(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) s""")
 def stream_ledger(spark, sf):
     """The read ledger over conversations, as a stream run to its end."""
-    return ledger.drained(ledger.read_ledger(_stream(spark, sf, "conversations"), "conv_id", "turn", "text"))
+    return ledger.drained(ledger.read_ledger(_stream(spark, sf, "conversations"), "conv_id", "turn", "text", keep_ms=None))
 
 
 @query("SELECT count(*) AS n FROM (SELECT DISTINCT event_id FROM events) s")

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: How long a running stream keeps an idle key's state. A stream drained once must keep it for good:
+#: with processing-time time-outs Spark starts batches without end.
 KEEP_MS = 24 * 3600 * 1000
 
 
-def read_ledger(stream: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """Each reading of a key against the last one: (key, order, state) with full, unchanged or changed; a key's hash is kept a day."""
+def _timeout(keep_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def read_ledger(stream: DataFrame, key: str, order: str, text: str, keep_ms: int | None = KEEP_MS) -> DataFrame:
+    """Each reading of a key against the last one: (key, order, state) with full, unchanged or changed; a key's hash is kept ``keep_ms`` (None: for good)."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -28,14 +34,15 @@ def read_ledger(stream: DataFrame, key: str, order: str, text: str) -> DataFrame
             out.append((k[0], o, "full" if last is None else "unchanged" if h == last else "changed"))
             last = h
         state.update((last,))
-        state.setTimeoutDuration(KEEP_MS)
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=[key, order, "state"])
 
     kinds = dict(stream.dtypes)
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, state string", "h string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, state string", "h string", "append", _timeout(keep_ms))
 
 
-def run_delta(stream: DataFrame, key: str, order: str, messages: str) -> DataFrame:
+def run_delta(stream: DataFrame, key: str, order: str, messages: str, keep_ms: int | None = KEEP_MS) -> DataFrame:
     """Runs of a key against the run before: (key, order, new, resolved, unchanged) as sorted arrays."""
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -50,12 +57,13 @@ def run_delta(stream: DataFrame, key: str, order: str, messages: str) -> DataFra
             out.append((k[0], o, sorted(now - before), sorted(before - now), sorted(now & before)))
             before = now
         state.update((sorted(before),))
-        state.setTimeoutDuration(KEEP_MS)
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=[key, order, "new", "resolved", "unchanged"])
 
     kinds = dict(stream.dtypes)
     lists = "new array<string>, resolved array<string>, unchanged array<string>"
-    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, {lists}", "last array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, {lists}", "last array<string>", "append", _timeout(keep_ms))
 
 
 def timed(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
