@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, html_wrappers, license_scan, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
+from granary.llm import decontamination, html_wrappers, license_scan, oracle, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,4 +92,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_model": op9_url_model,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
