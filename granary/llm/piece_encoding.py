@@ -76,10 +76,13 @@ class Merges:
             self.split = re.compile(f"{MARK}+[^{MARK}{gaps}]*|[^{MARK}{gaps}]+|[{gaps or MARK}]+")
         self.pairs: dict[int, bool] = {}
         self.cache = _Cache(self, cache_words)
+        # the pieces that merging can reach, and for each the longest one that is a beginning of it
+        reached = {p: (len(p), i) for p, i in self.ids.items() if all(c in self.chars for c in p) and self.merged(p) == [p]}
+        self.shorter: list[tuple[int, int] | None] = [None] * self.size
         self.matcher = ahocorasick.Automaton()
-        for piece in self.ids:
-            if all(c in self.chars for c in piece) and self.merged(piece) == [piece]:
-                self.matcher.add_word(piece[::-1], (len(piece), self.ids[piece]))
+        for p, (_, i) in reached.items():
+            self.shorter[i] = next((reached[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in reached), None)
+            self.matcher.add_word(p[::-1], reached[p])
         self.matcher.make_automaton()
 
     def merged(self, text: str) -> list[str]:
@@ -107,37 +110,38 @@ class Merges:
 
     def pieces(self, run: str) -> list[int]:
         """The ids of a run of characters that all are in the vocabulary."""
-        n, size, pairs = len(run), self.size, self.pairs
-        starts: list[list[tuple[int, int]]] = [[] for _ in run]
-        for at, piece in self.matcher.iter(run[::-1]):  # of those that end at a place, the longest comes first
-            starts[n - 1 - at].append(piece)
-        failed = bytearray((n >> 3) + 1)
+        n, size, pairs, shorter = len(run), self.size, self.pairs, self.shorter
+        # of the matches that end at one place of the reversed run the longest comes first, so it is put last
+        longest = dict(list(self.matcher.iter(run[::-1]))[::-1])
+        failed: bytearray | None = None
         out: list[int] = []
-        tried: list[int] = []  # for each token of out, the choices of its start that are used up
-        at = k = 0
+        next_choice: list[tuple[int, int] | None] = []  # for each token of out, what its start tries after it
+        at, choice = 0, longest.get(n - 1)
         while at < n:
-            choices = starts[at]
             last = out[-1] * size if out else -1
-            while k < len(choices):
-                length, piece = choices[k]
-                k += 1
+            while choice is not None:
+                length, piece = choice
+                choice = shorter[piece]
                 to = at + length
-                if failed[to >> 3] >> (to & 7) & 1:
+                if failed is not None and failed[to >> 3] >> (to & 7) & 1:
                     continue
                 if last >= 0:
                     fits = pairs.get(last + piece)
                     if not (self.compatible(out[-1], piece) if fits is None else fits):
                         continue
                 out.append(piece)
-                tried.append(k)
-                at, k = to, 0
+                next_choice.append(choice)
+                at = to
+                choice = longest.get(n - 1 - at)
                 break
             else:
                 if not out:
                     raise ValueError("no sequence of compatible tokens")
+                if failed is None:
+                    failed = bytearray((n >> 3) + 1)
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(self.texts[out.pop()])
-                k = tried.pop()
+                choice = next_choice.pop()
         return out
 
     def word(self, word: str) -> tuple[int, ...]:
