@@ -71,18 +71,24 @@ class CountTree:
 
     def __init__(self, text: str, count: Counter):
         self.count = count
-        self.leaves: list[list[str]] = [[p] for p in count.split(text)] or [[]]
+        self._build(count.split(text))
         self.encoded = len(self.leaves)
-        self._build()
 
-    def _build(self) -> None:
+    def _build(self, pieces: list[str]) -> None:
+        self.leaves: list[list[str]] = [[p] for p in pieces] or [[]]
         self.size = size = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[size + i], self.tokens[size + i] = sum(map(len, leaf)), sum(map(self.count.__getitem__, leaf))
-        for i in range(size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        rest = [0] * (size - len(pieces))
+        self.chars = self._sums([len(p) for p in pieces] + rest)
+        self.tokens = self._sums(list(map(self.count.__getitem__, pieces)) + rest)
+
+    @staticmethod
+    def _sums(level: list[int]) -> list[int]:
+        """The nodes of the tree over these leaves: the root at 1, the children of i at 2i and 2i + 1."""
+        levels = [level]
+        while len(level) > 1:
+            level = [a + b for a, b in zip(level[::2], level[1::2], strict=True)]
+            levels.append(level)
+        return [0, *(x for found in reversed(levels) for x in found)]
 
     @property
     def n_chars(self) -> int:
@@ -157,8 +163,7 @@ class CountTree:
         self._set(first, pieces, sum(map(self.count.__getitem__, pieces)))
         if len(pieces) > 64 and len(pieces) > len(self.leaves) // 2:
             # a leaf that holds most of the text is dealt out again
-            self.leaves = [[p] for leaf in self.leaves for p in leaf] or [[]]
-            self._build()
+            self._build([p for leaf in self.leaves for p in leaf])
 
 
 def count_edited(text: str | None, edits: Iterable | None, count: Counter) -> tuple[int, int, int, int, int]:
