@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -21,3 +23,20 @@ def get_spark(cpus: str | int = "*", partitions: int = 8, memory: str = "8g", **
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str = "granary") -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, else under the warehouse.
+
+    Only a session in one process (tests, benchmark) gets a temporary folder of this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        master = spark.sparkContext.master
+        if master == "local" or master.startswith("local["):
+            import tempfile
+
+            base = tempfile.mkdtemp(prefix="granary-")
+        else:
+            base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from granary.session import shared_folder
+
 #: How long a running stream keeps an idle key's state. A stream drained once must keep it for good:
 #: with processing-time time-outs Spark starts batches without end.
 KEEP_MS = 24 * 3600 * 1000
@@ -91,12 +93,8 @@ def once(stream: DataFrame, id: str = "event_id") -> DataFrame:
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of what is there and give its result as a table in the shared folder (each run has its own)."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granary-")
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
