@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from granary.session import shared_folder
+
 #: Rows, and bytes, of an Arrow batch that Python holds as objects at once.
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
 
@@ -63,19 +64,9 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def table_folder(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint directory; in tests, where none is set, under a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="granary-")
-    return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives the loss of executors."""
-    path = table_folder(df.sparkSession)
+    path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
