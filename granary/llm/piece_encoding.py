@@ -29,9 +29,9 @@ from granary.llm.columns import append_columns
 
 MARK = "▁"
 #: Words kept by a task's cache; a full cache is emptied. It bounds memory, not results.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: The same for pairs of tokens whose compatibility is known.
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 250_000
 #: Words over this many characters are encoded but not kept.
 CACHE_CHARS = 64
 

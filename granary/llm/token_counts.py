@@ -25,7 +25,7 @@ from granary.llm.columns import append_columns
 
 #: Characters after a pre-token's end that can decide where it ends.
 MARGIN = 4
-_CACHE, _CACHE_CHARS = 400_000, 64
+_CACHE, _CACHE_CHARS = 200_000, 64
 
 
 def default_ranks() -> str:
