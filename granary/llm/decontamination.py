@@ -50,15 +50,15 @@ def candidates(docs: DataFrame, items: DataFrame, text: str = "text", id: str =
     places = written(item_windows(items, item_text, item_id, window, shingle))
     sizes = sorted(r[0] for r in places.select("k").distinct().collect()) or [shingle]
     found = occurrences(keyed(docs, text, id), sizes)
-    wanted = places.select("h").distinct()
-    counts = written(joined(found.select("h"), wanted, "h").groupBy("h").agg(F.count("*").alias("n")))
+    seen = written(joined(found, places.select("h").distinct(), "h"))
+    counts = seen.groupBy("h").agg(F.count("*").alias("n"))
     counted = places.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rarest = counted.groupBy("item_id", "item", "size", "k", "start").agg(F.min(F.struct("n", "h", "at")).alias("rare")).where("rare.n > 0")
     shared = rarest.groupBy("item_id", "item", "size", F.col("rare.h").alias("h"), F.col("rare.at").alias("at")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
     stretches = shared.select("item_id", "size", "h", (F.col("at") - F.col("lo")).alias("place"), F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("size")).alias("stretch"))
     prefixes = written(stretches.groupBy("h", "place", "stretch", "size").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
 
-    met = joined(found, prefixes, "h").withColumn("begin", F.col("at") - F.col("place"))
+    met = joined(seen, prefixes, "h").withColumn("begin", F.col("at") - F.col("place"))
     # what lies on either side of the shingle in the document must leave room for a window
     room = F.least(F.col("n") - F.col("begin"), F.size("stretch")) - F.greatest(-F.col("begin"), F.lit(0)) >= F.col("size")
     return met.where(room).groupBy("id", "text_key").agg(F.collect_set(F.struct("begin", "place", "size", "stretch", "items")).alias("met"))

@@ -31,11 +31,6 @@ def gram(tokens: Column, at: Column, k: int) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(tokens, at + j) for j in range(k)])
 
 
-def grams(tokens: Column, k: int) -> Column:
-    """The hashes of all runs of ``k`` words, by place."""
-    return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(0), F.size(tokens) - k), lambda i: gram(tokens, i, k))).otherwise(F.array().cast("array<bigint>"))
-
-
 def keyed(df: DataFrame, text: str, id: str) -> DataFrame:
     """(id, text_key, t): an id and the hash of the text name a row; rows alike in both give one result."""
     body = F.col(quoted(text))
@@ -43,21 +38,25 @@ def keyed(df: DataFrame, text: str, id: str) -> DataFrame:
 
 
 def occurrences(rows: DataFrame, sizes: list[int]) -> DataFrame:
-    """(id, text_key, at, h) for each run of words of each of the sizes, from keyed rows.
+    """(id, text_key, n, at, h) for each run of words of each of the sizes, from keyed rows; n are the row's words.
 
-    Words and hashes are made in projections of their own and only numbers are exploded: a long text's
-    words must not be copied beside each of its places. The outer form is for the optimizer: from the
-    inner one it infers a filter on the array's size, moves it below the projections and so computes
-    words and hashes twice. Rows without words give a null.
+    Only places are exploded, and hashed from the row's words within the same generated code: no
+    lambda runs for each word, and what leaves the stage are numbers, so a long text's words are never
+    copied beside its places. The outer form is for the optimizer: from the inner one it infers a
+    filter on the array's size, moves it below the projections and so splits the words twice. Rows
+    without words give a null.
     """
     tokens = rows.select("id", "text_key", words(F.col("t")).alias("w"))
-    hashes = grams(F.col("w"), sizes[0]) if len(sizes) == 1 else F.concat(*[grams(F.col("w"), k) for k in sizes])
-    out = tokens.select("id", "text_key", F.size("w").alias("n"), hashes.alias("hs")).select("id", "text_key", "n", F.posexplode_outer("hs").alias("at", "h"))
-    before, at = F.lit(0), F.col("at")
-    for k in sizes[:-1]:
-        before = before + F.greatest(F.col("n") - (k - 1), F.lit(0))
-        at = F.when(F.col("at") >= before, F.col("at") - before).otherwise(at)
-    return out.select("id", "text_key", "n", at.alias("at"), "h")
+    ends, total = [], F.lit(0)
+    for k in sizes:
+        total = total + F.greatest(F.size("w") - (k - 1), F.lit(0))
+        ends.append(total)
+    places = tokens.select("id", "text_key", "w", F.explode_outer(F.when(total > 0, F.sequence(F.lit(0), total - 1))).alias("i"))
+    at, h = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+    for k, end, start in reversed(list(zip(sizes, ends, [F.lit(0), *ends], strict=False))):
+        here = F.col("i") - start
+        at, h = F.when(F.col("i") < end, here).otherwise(at), F.when(F.col("i") < end, gram(F.col("w"), here, k)).otherwise(h)
+    return places.select("id", "text_key", F.size("w").alias("n"), at.alias("at"), h.alias("h")).where("h is not null")
 
 
 def joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
