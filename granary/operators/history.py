@@ -81,3 +81,11 @@ def parse_stash(lines: DataFrame) -> DataFrame:
     p = F.split("line", "\x1f")
     branch = F.coalesce(F.nullif(F.regexp_extract(p[2], r"^(?:WIP on|On) ([^:]+):", 1), F.lit("")), F.lit("unknown"))
     return lines.select(F.regexp_extract(p[0], r"\{(\d+)\}", 1).cast("bigint").alias("index"), p[1].alias("date"), p[2].alias("message"), branch.alias("branch"))
+
+
+def pr_context(numstat: DataFrame, status: DataFrame, files: DataFrame, commits: DataFrame, most_files: int = 10, most_commits: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a change is about: its largest files with their status, the tests related to them, and its newest commits."""
+    from granary.sources.files import related_tests
+
+    changed = changed_files(numstat, status).orderBy((F.col("added") + F.col("deleted")).desc(), "path").limit(most_files)
+    return changed, related_tests(changed, files), commits.orderBy(F.col("date").desc(), "sha").limit(most_commits)

@@ -668,3 +668,75 @@ def coverage(kind: str) -> Callable[[str], list[tuple]]:
         return [(c.get("filename"), int(x.get("number")), int(x.get("hits")) > 0) for c in ET.fromstring(text).iter("class") for x in c.iter("line")]
 
     return {"lcov": lcov, "coverage.py": coveragepy, "cobertura": cobertura}[kind]
+
+
+# --- types
+
+FIELDS = "type string, kind string, name string, detail string, line int"
+
+
+def type_skeleton(ext: str) -> Callable[[str], list[tuple]]:
+    """Types and their members at the first level: TypeScript interfaces, types and enums, Go and Rust structs, enums, traits."""
+    family = _FAMILY.get(ext, ext)
+    kinds = {"js": ("interface", "enum", "type"), "go": ("struct", "interface"), "rs": ("struct", "enum", "trait")}.get(family, ("class", "interface"))
+    member = {
+        "js": re.compile(r"^(?:readonly\s+)?([\w$]+\??)\s*(?:\(.*\))?\s*[:=]?\s*(.*?)[;,]?$"), "go": re.compile(r"^(\w+)(?:\s+(.+?))?(?:\s+`.*`)?$"),
+        "rs": re.compile(r"^(?:pub(?:\([^)]*\))?\s+)?(?:fn\s+)?(\w+)\s*(?::\s*(.+?)|(\(.*))?[,;]?$"),
+    }.get(family, re.compile(r"^(?:public |private |protected |static |final )*([\w<>\[\]]+)\s+(\w+)\s*[;=(]"))
+
+    def parse(text: str) -> list[tuple]:
+        lines = text.split("\n")
+        out = []
+        for kind, name, _, first, last in code_symbols(ext)(text):
+            if kind not in kinds:
+                continue
+            depth = 0
+            for i in range(first - 1, last):
+                s = _BARE.sub("", lines[i]).strip()
+                if i >= first and depth == 1 and s and not s.startswith(("}", "//", "#", "*")) and (m := member.match(s.rstrip("{").strip())):
+                    out.append((name, kind, m[1], (m[2] or (m[3] if m.re.groups > 2 else "") or "").strip(), i + 1))
+                depth += s.count("{") - s.count("}")
+        return out
+
+    return parse
+
+
+CONFORMS = "type string, kind string, line int"
+
+
+def conforms_to(name: str, ext: str) -> Callable[[str], list[tuple]]:
+    """Types that implement or extend a named interface, by the language's own wording."""
+    n = re.escape(name)
+    family = _FAMILY.get(ext, ext)
+    patterns = {
+        "js": [rf"class\s+(\w+)[^{{]*\b(?:implements|extends)\b[^{{]*\b{n}\b", rf"interface\s+(\w+)[^{{]*\bextends\b[^{{]*\b{n}\b"], "rs": [rf"impl(?:<[^>]*>)?\s+(?:\w+::)*{n}(?:<[^>]*>)?\s+for\s+(\w+)"],
+        "java": [rf"(?:class|record|enum|interface)\s+(\w+)[^{{]*(?:implements|extends|:)[^{{]*\b{n}\b"], "go": [rf"var\s+_\s+(?:\w+\.)?{n}\s*=\s*(?:\(\*|&)?(\w+)"],
+        "php": [rf"class\s+(\w+)[^{{]*\bimplements\b[^{{]*\b{n}\b"], "py": [rf"class\s+(\w+)\s*\([^)]*\b{n}\b"],
+    }.get(family, [])
+    kind = "interface" if name[:1].isupper() else "trait"
+
+    def parse(text: str) -> list[tuple]:
+        found = {}
+        for p in patterns:
+            for m in re.finditer(p, text):
+                found.setdefault(m[1], text.count("\n", 0, m.start()) + 1)
+        return sorted(((t, kind, line) for t, line in found.items()), key=lambda r: (r[2], r[0]))
+
+    return parse
+
+
+OUTLINE = "kind string, name string, line int"
+
+
+def outline(path: str) -> Callable[[str], list[tuple]]:
+    """The outline of a file by its name: headings, keys, cells, members or symbols."""
+    ext = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if ext in ("md", "markdown", "mdx"):
+        return lambda t: [(f"h{level}", title, first) for level, title, _, first, _ in markdown_headings(t)]
+    if ext in ("json", "yaml", "yml", "toml"):
+        return lambda t: [(kind, key, 0) for key, _, kind in tree_keys(2, "yaml" if ext == "yml" else ext)(t)]
+    if ext == "ipynb":
+        return lambda t: [(kind, preview, i) for i, (kind, preview, _, _) in enumerate(notebook(t))]
+    if ext in ("proto", "graphql", "gql"):
+        return lambda t: [(kind, f"{owner}.{name}", 0) for owner, kind, name, _ in (proto if ext == "proto" else graphql)(t)]
+    return lambda t: [(kind, name, first) for kind, name, _, first, _ in code_symbols(ext)(t)]

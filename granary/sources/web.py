@@ -127,3 +127,40 @@ def heading_rule(line: Column) -> Column:
     """A line of under sixty bytes without lower-case letters is a heading of a converted document."""
     bare = F.trim(line)
     return (F.octet_length(bare) < 60) & bare.rlike(r"^[\p{Lu}\s]+$") & bare.rlike(r"\p{Lu}")
+
+
+_DOCX = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_markdown(content: bytes | None) -> str | None:
+    """A DOCX document as Markdown: three levels of headings, paragraphs; None where it cannot be read."""
+    import io
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    if not content:
+        return None
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            body = ET.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ET.ParseError):
+        return None
+    out = []
+    for p in body.iter(f"{_DOCX}p"):
+        text = "".join(t.text or "" for t in p.iter(f"{_DOCX}t")).strip()
+        style = p.find(f"{_DOCX}pPr/{_DOCX}pStyle")
+        m = re.fullmatch(r"Heading([1-3])", style.get(f"{_DOCX}val") or "") if style is not None else None
+        if text:
+            out.append("#" * int(m[1]) + " " + text if m else text)
+    return "\n\n".join(out)
+
+
+def convert_documents(files: DataFrame, content: str = "content", to: str = "markdown") -> DataFrame:
+    """Binary files with their Markdown; null where a file is no readable document."""
+
+    @F.pandas_udf("string")
+    def convert(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield p.map(lambda b: docx_markdown(bytes(b)) if b is not None else None)
+
+    return files.withColumn(to, convert(content))

@@ -115,3 +115,41 @@ def test_coverage_reports():
     assert X.coverage("lcov")("SF:a\nDA:1,2\nDA:2,0\nend_of_record") == [("a", 1, True), ("a", 2, False)]
     assert X.coverage("coverage.py")(json.dumps({"files": {"a": {"executed_lines": [2], "missing_lines": [1]}}})) == [("a", 1, False), ("a", 2, True)]
     assert X.coverage("cobertura")('<c><class filename="a"><lines><line number="1" hits="0"/></lines></class></c>') == [("a", 1, False)]
+
+
+def test_types_and_conformance():
+    assert X.type_skeleton("ts")("interface I {\n  a: string;\n  f(x: number): void\n}\nenum E {\n  ONE,\n}") == [("I", "interface", "a", "string", 2), ("I", "interface", "f", "void", 3), ("E", "enum", "ONE", "", 6)]
+    assert X.type_skeleton("go")("type T struct {\n\tA int `json:\"a\"`\n}") == [("T", "struct", "A", "int", 2)]
+    assert X.type_skeleton("rs")("pub struct S {\n    pub a: Vec<u8>,\n    b: u8,\n}") == [("S", "struct", "a", "Vec<u8>", 2), ("S", "struct", "b", "u8", 3)]
+    assert X.conforms_to("Shape", "ts")("class A implements Shape, B {\n}\nclass C extends D {}\ninterface E extends Shape {}") == [("A", "interface", 1), ("E", "interface", 4)]
+    assert X.conforms_to("Draw", "rs")("impl Draw for Circle {}\nimpl<T> x::Draw<T> for Box {}") == [("Circle", "interface", 1), ("Box", "interface", 2)]
+    assert X.conforms_to("Base", "py")("class A(Base, X):\n    pass") == [("A", "interface", 1)]
+
+
+def test_outlines():
+    assert X.outline("a/README.md")("# A\n## B") == [("h1", "A", 1), ("h2", "B", 2)]
+    assert X.outline("x.json")('{"a": {"b": 1}}') == [("object", "a", 0), ("number", "a.b", 0)]
+    assert X.outline("m.py")("def f():\n    pass") == [("function", "f", 1)]
+    assert X.outline("Makefile")("all:") == []
+
+
+def test_docx():
+    import io
+    import zipfile
+
+    from granary.sources import web
+
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    body = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Title</w:t></w:r></w:p><w:p><w:r><w:t>a </w:t></w:r><w:r><w:t>b</w:t></w:r></w:p></w:body></w:document>'
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("word/document.xml", body)
+    assert web.docx_markdown(buffer.getvalue()) == "## Title\n\na b"
+    assert web.docx_markdown(b"no zip") is None and web.docx_markdown(None) is None
+
+
+def test_compact_text():
+    from granary.functions import render
+
+    tree = {"a": 1, "none": None, "rows": [{"x": 1, "y": "p"}, {"x": 2, "z": True}], "tags": ["u", "v"], "deep": {"k": [], "v": "t"}}
+    assert render.compact(tree) == "a: 1\nrows:\n  x | y | z\n  1 | p | \n  2 |  | true\ntags: u, v\ndeep:\n  v: t"
