@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import analyses, delta, lines, relations, rewrite, stats
-from granary.plans.registry import query, table
+from granary.plans.registry import ORACLE_SQL, query, table
 from granary.sources import web
 
 # SQL of the cost unit and of lines, for the queries below.
@@ -92,6 +92,19 @@ def summarize_conversation(spark, sf):
     return _talks(spark, sf).select("conv_id", T.summarize("text", 50).alias("summary"))
 
 
+REDUCED = f"""SELECT 'compress_text' AS operator, sum(before_tokens)::BIGINT AS before_tokens, sum(after_tokens)::BIGINT AS after_tokens FROM ({ORACLE_SQL['compress_text']}) c
+UNION ALL SELECT 'summarize_conversation', sum({est('s.text')})::BIGINT, sum({est('t.summary')})::BIGINT FROM {TALK} s JOIN ({ORACLE_SQL['summarize_conversation']}) t USING (conv_id)"""
+
+
+@query(f"SELECT operator, before_tokens, after_tokens, floor((before_tokens - after_tokens)::DOUBLE / before_tokens::DOUBLE * 1000.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS saved_pct FROM ({REDUCED}) r")
+def token_reduction(spark, sf):
+    """Tokens that compressing pages and summarizing conversations save."""
+    pages = compress_text(spark, sf).select(F.lit("compress_text").alias("operator"), "before_tokens", "after_tokens")
+    talks = _talks(spark, sf).select(F.lit("summarize_conversation").alias("operator"), T.est_tokens("text").alias("before_tokens"), T.est_tokens(T.summarize("text", 50)).alias("after_tokens"))
+    by = pages.unionByName(talks).groupBy("operator").agg(F.sum("before_tokens").alias("before_tokens"), F.sum("after_tokens").alias("after_tokens"))
+    return by.withColumn("saved_pct", T.pct1(F.col("before_tokens") - F.col("after_tokens"), F.col("before_tokens")))
+
+
 BUDGET = f"(SELECT conv_id, turn, used, CASE WHEN share < 50 THEN 'normal' WHEN share < 75 THEN 'conservative' WHEN share < 90 THEN 'aggressive' ELSE 'critical' END AS strategy FROM (SELECT conv_id, turn, used, used::DOUBLE / 400.0::DOUBLE * 100.0::DOUBLE AS share FROM (SELECT conv_id, turn, (sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS used FROM (SELECT conv_id, turn, {est('text')} AS tokens FROM conversations) a) b) c)"
 
 
