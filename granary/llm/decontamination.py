@@ -95,7 +95,8 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
     """
     lists = written(candidates(docs, items, text, id, **options))
     asked = with_lists(keyed(docs, text, id), lists, "met").where("met is not null").select("id", "text_key", "met", words(F.col("t")).alias("w"))
-    marked = written(verified(asked).where(F.size("runs") > 0).select("id", "text_key").distinct())
+    # written before it is filtered: a filter on the runs would be moved below the projection of the words and split them for every candidate
+    marked = written(verified(asked).select("id", "text_key", (F.size("runs") > 0).alias("hit"))).where("hit").select("id", "text_key").distinct()
     given = docs.withColumn("__key", F.xxhash64(F.col(quoted(text))))
     out = given.join(F.broadcast(marked) if small(marked, BROADCAST_ROWS) else marked, F.col(quoted(id)).eqNullSafe(marked.id) & (F.col("__key") == marked.text_key), "left_anti")
     return out.drop("__key")
