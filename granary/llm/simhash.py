@@ -281,7 +281,8 @@ def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", **options) -
 
     key, body = F.col(quoted(id)), F.col(quoted(text))
     kept = near_duplicates(df, text, id, **options).where(key == F.col("component_id")).select(key.alias("__kept")).distinct()
-    repeats = Window.partitionBy(key, F.xxhash64(body)).orderBy(F.length(body))
+    rest = [F.col(quoted(c)) for c, kind in df.dtypes if c not in (id, text) and "map<" not in kind and kind != "variant"]
+    repeats = Window.partitionBy(key, F.xxhash64(body)).orderBy(F.xxhash64(F.lit(0), *rest))
     once = df.join(kept, key == F.col("__kept"), "left_semi").withColumn("__n", F.row_number().over(repeats)).where("__n = 1").drop("__n")
     return once.unionByName(df.where(key.isNull()))
 
