@@ -13,6 +13,10 @@ from granary.session import shared_folder
 
 #: Rows, and bytes, of an Arrow batch that Python holds as objects at once.
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+#: Rows of an Arrow batch between Spark and Python, unless the session has a setting of its own: with the
+#: usual 10,000, both sides hold tens of MB of text for each task, twice.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, USUAL_ROWS = 2000, "10000"
 
 
 def others(df: DataFrame, taken: Sequence[str]) -> list[str]:
@@ -32,6 +36,9 @@ def append_columns(df: DataFrame, reads: Sequence[str], make: Callable[[], Calla
     one list a column of ``reads``, to lists of results, one a field. Columns of ``df`` that bear a
     field's name are replaced. Rows go through in slices, so a task holds a few MB of text.
     """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH, USUAL_ROWS) == USUAL_ROWS:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     added = StructType.fromDDL(fields)
     keep = others(df, added.fieldNames())
     given = df.select(*[F.col(quoted(c)) for c in keep], *[F.col(quoted(c)).alias(f"__in{i}") for i, c in enumerate(reads)])
