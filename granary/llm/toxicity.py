@@ -87,11 +87,15 @@ def _present(rows: Sequence[np.ndarray], chosen: np.ndarray) -> tuple[np.ndarray
     """Pairs (row, index in chosen) for the chosen features of each row."""
     if not len(chosen) or not len(rows):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    every = np.concatenate(rows)
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    of = np.minimum(np.searchsorted(chosen, every), len(chosen) - 1)
-    ok = chosen[of] == every
-    return at[ok], of[ok]
+    found = []
+    for start in range(0, len(rows), 500):  # a few hundred texts at once: their features are many
+        part = rows[start : start + 500]
+        every = np.concatenate(part)
+        at = np.repeat(np.arange(start, start + len(part)), [len(r) for r in part])
+        of = np.minimum(np.searchsorted(chosen, every), len(chosen) - 1)
+        ok = chosen[of] == every
+        found.append((at[ok], of[ok]))
+    return np.concatenate([a for a, _ in found]), np.concatenate([o for _, o in found])
 
 
 def _sigmoid(x):
@@ -103,16 +107,18 @@ def choose(rows: Sequence[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
     n_pos, n_rest = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     if not rows:
         return np.zeros(0, dtype=np.int32), np.zeros(0)
-    every, size = np.concatenate(rows), np.array([len(r) for r in rows])
-    label = np.repeat(y, size)
-    positive, both = np.bincount(every, label, SPACE), np.bincount(every, minlength=SPACE)
+    positive, both = np.zeros(SPACE, dtype=np.int32), np.zeros(SPACE, dtype=np.int32)
+    for r, label in zip(rows, y, strict=True):  # a row's features are distinct
+        both[r] += 1
+        if label:
+            positive[r] += 1
     rest = both - positive
     expected = rest / n_rest * n_pos
     z = (positive - expected) / np.sqrt(expected + 0.5)
     found = np.flatnonzero((positive >= LEAST_ROWS) & (z >= LEAST_Z))
     # of features that stand in just the same rows (a word and its beginnings), one is enough
-    mark = np.repeat(np.random.default_rng(1).random(len(rows)), size)
-    marks = np.bincount(every, mark, SPACE)[found]
+    at, of = _present(rows, found.astype(np.int32))
+    marks = np.bincount(of, np.random.default_rng(1).random(len(rows))[at], len(found))
     _, first = np.unique(np.round(marks, 9), return_index=True)
     found = found[first]
     found = np.sort(found[np.argsort(-z[found], kind="stable")[:MOST_FEATURES]])
