@@ -36,8 +36,9 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, sf, name):
-    assert registry.QUERIES[name](spark, sf).count() > 0
+def test_runs(spark, name):
+    """On tables large enough to hold something for each query (the smallest ones have no security finding)."""
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
 def test_entry(spark):
