@@ -21,8 +21,12 @@ from __future__ import annotations
 import difflib
 import html
 import json
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 
 from granary.llm.columns import append_columns, quoted, small, written
 
-#: Groups in which a host's distinct streams are aligned first; tokens of the longest repeated group; tokens of a stream that are aligned.
-SALTS, LONGEST_GROUP, MOST_TOKENS = 64, 12, 400
+#: Groups in which a host's distinct streams are aligned first; tokens of the longest repeated group; pairs of tokens that are aligned as one segment.
+SALTS, LONGEST_GROUP, SEGMENT = 64, 12, 640_000
+#: Tokens of a merged expression.
+LONGEST = 1600
 BROADCAST_ROWS = 50_000
 #: The content element holds this share of the varying text.
 SHARE = 0.8
@@ -149,8 +155,6 @@ class Wrapper:
             elif text := what.strip():
                 h = xxhash.xxh64_intdigest(text) >> 1
                 w._add("#", [1, 0 if aside else len(text), h, h])
-            if len(w.tokens) >= MOST_TOKENS:
-                break
         return w
 
     def _add(self, token: str, figure: list | None, optional: bool = False, repeat: int = 0) -> None:
@@ -186,7 +190,7 @@ class Wrapper:
     def align(self, other: Wrapper) -> Wrapper:
         """The expression that both fit: agreed tokens, and optional groups of what only one of them has."""
         out = Wrapper([], [], [], [])
-        for op, a, b, c, d in difflib.SequenceMatcher(None, self.tokens, other.tokens, autojunk=False).get_opcodes():
+        for op, a, b, c, d in _opcodes(self.tokens, other.tokens):
             if op == "equal":
                 for i, j in zip(range(a, b), range(c, d), strict=True):
                     x, y = self.figures[i], other.figures[j]
@@ -197,7 +201,7 @@ class Wrapper:
                     for i in range(at, to):
                         out._add(w.tokens[i], w.figures[i], True, w.repeat[i])
         for x in (out.tokens, out.optional, out.repeat, out.figures):
-            del x[4 * MOST_TOKENS :]
+            del x[LONGEST:]
         return out
 
     def content(self) -> str | None:
@@ -242,6 +246,38 @@ class Wrapper:
         return cls(*json.loads(s))
 
 
+def _opcodes(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """What makes ``b`` of ``a``, as difflib gives it, segment by segment."""
+    for a0, a1, b0, b1 in _segments(a, b):
+        for op, i, j, k, m in difflib.SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_opcodes():
+            yield op, a0 + i, a0 + j, b0 + k, b0 + m
+
+
+def _segments(a: list[str], b: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches that cover both streams whole, of at most SEGMENT pairs of tokens: long streams are cut before tokens that either has once, in the longest order they share, then evenly."""
+    cuts = [(0, 0)]
+    if len(a) * len(b) > SEGMENT:
+        in_a, in_b = Counter(a), Counter(b)
+        place = {t: j for j, t in enumerate(b) if in_b[t] == 1}
+        pairs = [(i, place[t]) for i, t in enumerate(a) if in_a[t] == 1 and t in place]
+        least: list[int] = []  # the least place in b that ends an order of each length, its pair, and the pair before each pair
+        last: list[int] = []
+        before: list[int] = []
+        for k, (_, j) in enumerate(pairs):
+            n = bisect_left(least, j)
+            before.append(last[n - 1] if n else -1)
+            least[n : n + 1], last[n : n + 1] = [j], [k]
+        chain, k = [], last[-1] if last else -1
+        while k >= 0:
+            chain.append(pairs[k])
+            k = before[k]
+        cuts += reversed(chain)
+    for (a0, b0), (a1, b1) in pairwise([*cuts, (len(a), len(b))]):
+        n = max(1, math.ceil(math.sqrt((a1 - a0) * (b1 - b0) / SEGMENT)))
+        for k in range(n):
+            yield a0 + (a1 - a0) * k // n, a0 + (a1 - a0) * (k + 1) // n, b0 + (b1 - b0) * k // n, b0 + (b1 - b0) * (k + 1) // n
+
+
 def _balanced(tokens: list[str]) -> bool:
     depth = 0
     for t in tokens:

@@ -342,6 +342,23 @@ def test_wrapper_alignment_finds_optional_and_repeated_groups():
 # --- token counts
 
 
+def test_wrappers_read_whole_pages(spark):
+    # 1500 tokens that do not fold come before the story
+    menu = "".join(f'<div class="m{i}"><b>Part {i}</b></div>' for i in range(500))
+    data = [(i, f"http://long.org/{i}", f'<html><body>{menu}<div class="story"><p>Story {i} is told here.</p></div></body></html>') for i in range(6)]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} is told here." for i in range(6)}
+    assert html_wrappers.Wrapper.of_page(data[0][2]).tokens[-2:] == [">body", ">html"]
+
+
+def test_long_streams_are_aligned_in_segments():
+    a = [f"<x{i % 7}" for i in range(3000)] + ["<one"] + ["#"] * 500
+    b = [f"<y{i % 5}" for i in range(100)] + ["<one"] + [f"<x{i % 7}" for i in range(1500)]
+    parts = list(html_wrappers._segments(a, b))
+    assert all((a1 - a0) * (b1 - b0) <= 1.05 * html_wrappers.SEGMENT for a0, a1, b0, b1 in parts)
+    assert [x for a0, a1, _, _ in parts for x in a[a0:a1]] == a and [x for _, _, b0, b1 in parts for x in b[b0:b1]] == b
+
+
 def test_edit_aware_counts_equal_a_full_count():
     import random
 
