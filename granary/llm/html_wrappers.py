@@ -10,7 +10,9 @@ the blocks within that element.
 
 All pages count. Equal streams of a host are pooled before anything is grouped (sums, least and
 greatest hash for each slot), streams are then aligned in salted groups and the resulting wrappers
-again, so a host with a third of all pages neither meets in one task nor is sampled.
+again, so a host with a third of all pages neither meets in one task nor is sampled. Where layouts
+differ so much that the expression would grow beyond ``LONGEST`` tokens, a host has several; the
+figures of their elements are added up by label.
 
 Null and empty html gives the empty string; a null url or one without a host shares the wrapper of
 the empty host. A page without its wrapper's element is read by its own stream.
@@ -25,7 +27,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ from granary.llm.columns import append_columns, quoted, small, written
 
 #: Groups in which a host's distinct streams are aligned first; tokens of the longest repeated group; pairs of tokens that are aligned as one segment.
 SALTS, LONGEST_GROUP, SEGMENT = 64, 12, 640_000
-#: Tokens of a merged expression.
+#: Tokens of an expression, beyond which a host gets another one beside it.
 LONGEST = 1600
 BROADCAST_ROWS = 50_000
 #: The content element holds this share of the varying text.
@@ -200,15 +202,17 @@ class Wrapper:
                 for w, at, to in ((self, a, b), (other, c, d)):
                     for i in range(at, to):
                         out._add(w.tokens[i], w.figures[i], True, w.repeat[i])
-        for x in (out.tokens, out.optional, out.repeat, out.figures):
-            del x[LONGEST:]
         return out
 
     def content(self) -> str | None:
         """The label of the element that holds nearly all varying text, or None if there is no text."""
+        return content_of([self])
+
+    def elements(self, fixed: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, int, int]]:
+        """(label, depth, characters of varying text) of each element. Where no slot varies all text counts, but for the texts ``fixed``."""
         varying = any(f and f[1] and f[2] != f[3] for f in self.figures)
         stack: list[list] = []
-        done: list[tuple[str, int, int]] = []  # label, depth, characters
+        done: list[tuple[str, int, int]] = []
         for token, f in zip(self.tokens, self.figures, strict=True):
             if token[0] == "<":
                 stack.append([token[1:], 0])
@@ -221,22 +225,14 @@ class Wrapper:
                             stack[-1][1] += chars
                         if label == token[1:]:
                             break
-            elif stack and f and (f[2] != f[3] or not varying):
+            elif stack and f and (f[2] != f[3] or not varying and f[2] not in fixed):
                 stack[-1][1] += f[1]
         while stack:
             label, chars = stack.pop()
             done.append((label, len(stack), chars))
             if stack:
                 stack[-1][1] += chars
-        sums: dict[str, int] = {}
-        for label, _, chars in done:
-            sums[label] = sums.get(label, 0) + chars
-        for wanted in ("article", "main"):
-            if found := [x for x in sums if x.split(".")[0] == wanted and sums[x]]:
-                return max(found, key=lambda x: (sums[x], x))
-        whole = max((chars for _, depth, chars in done if depth == 0), default=0)
-        good = [(depth, chars, label) for label, depth, chars in done if chars and chars >= SHARE * whole and label.split(".")[0] not in ("p", "li", "td", "tr", "table", "tbody", *_HEADINGS)]
-        return max(good)[2] if good else None
+        return done
 
     def dumps(self) -> str:
         return json.dumps([self.tokens, self.optional, self.repeat, self.figures])
@@ -246,6 +242,46 @@ class Wrapper:
         return cls(*json.loads(s))
 
 
+def content_of(wrappers: list[Wrapper]) -> str | None:
+    """The label of the element that holds nearly all varying text of a host's expressions: the characters of each label are added up over them."""
+    seen = Counter(h for w in wrappers for h in {f[2] for f in w.figures if f and f[1] and f[2] == f[3]})
+    fixed = {h for h, n in seen.items() if n > 1}
+    sums: Counter[str] = Counter()
+    held: Counter[str] = Counter()  # characters of each label's deepest element that holds an expression's varying text, or else its largest
+    depths: Counter[str] = Counter()  # their depths, times the characters
+    whole = 0
+    for w in wrappers:
+        done = w.elements(fixed)
+        top = max((chars for _, depth, chars in done if depth == 0), default=0)
+        best: dict[str, tuple[bool, int, int]] = {}
+        for label, depth, chars in done:
+            sums[label] += chars
+            full = chars >= SHARE * top
+            best[label] = max(best.get(label, (False, 0, 0)), (full, depth, chars) if full else (full, chars, depth))
+        for label, (full, x, y) in best.items():
+            depth, chars = (x, y) if full else (y, x)
+            held[label] += chars
+            depths[label] += depth * chars
+        whole += top
+    for wanted in ("article", "main"):
+        if found := [x for x in sums if x.split(".")[0] == wanted and sums[x]]:
+            return max(found, key=lambda x: (sums[x], x))
+    good = [(depths[label] / chars, chars, label) for label, chars in held.items() if chars and chars >= SHARE * whole and label.split(".")[0] not in ("p", "li", "td", "tr", "table", "tbody", *_HEADINGS)]
+    return max(good)[2] if good else None
+
+
+def joined(parts: Iterable[Wrapper]) -> list[Wrapper]:
+    """Expressions that fit all parts: each part is aligned with the expression before it, but begins one of its own where the two would be longer than LONGEST and four times the part."""
+    out: list[Wrapper] = []
+    for w in parts:
+        both = out[-1].align(w) if out else w
+        if out and len(both.tokens) > max(LONGEST, 4 * len(w.tokens)):
+            out.append(w)
+        else:
+            out[-1:] = [both]
+    return out
+
+
 def _opcodes(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
     """What makes ``b`` of ``a``, as difflib gives it, segment by segment."""
     for a0, a1, b0, b1 in _segments(a, b):
@@ -314,7 +350,7 @@ def host(url):
 
 
 def wrappers(df: DataFrame, html_column: str = "html", url: str = "url", salts: int = SALTS) -> DataFrame:
-    """(host, wrapper): the expression inferred from all pages of each host."""
+    """(host, wrapper, content): the expressions inferred from all pages of each host, and the label of its content element."""
 
     def make():
         def run(pages):
@@ -329,23 +365,20 @@ def wrappers(df: DataFrame, html_column: str = "html", url: str = "url", salts:
     pooled = slots.groupBy("host", "stream").agg(F.collect_list(F.struct("slot", "n", "chars", "least", "most")).alias("slots")).withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
 
     def first(table: pa.Table) -> pa.Table:
-        rows = sorted(table.select(["stream", "slots"]).to_pylist(), key=lambda r: r["stream"])
-        out = None
-        for r in rows:
-            tokens, repeat = json.loads(r["stream"])
-            figures: list = [None] * len(tokens)
-            for s in r["slots"]:
-                figures[s["slot"]] = [s["n"], s["chars"], s["least"], s["most"]]
-            w = Wrapper(tokens, [False] * len(tokens), repeat, figures)
-            out = w if out is None else out.align(w)
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [out.dumps()]})
+        def streams() -> Iterator[Wrapper]:
+            for r in sorted(table.select(["stream", "slots"]).to_pylist(), key=lambda r: r["stream"]):
+                tokens, repeat = json.loads(r["stream"])
+                figures: list = [None] * len(tokens)
+                for s in r["slots"]:
+                    figures[s["slot"]] = [s["n"], s["chars"], s["least"], s["most"]]
+                yield Wrapper(tokens, [False] * len(tokens), repeat, figures)
+
+        found = [w.dumps() for w in joined(streams())]
+        return pa.table({"host": [table.column("host")[0].as_py()] * len(found), "wrapper": found})
 
     def second(table: pa.Table) -> pa.Table:
-        out = None
-        for s in sorted(table.column("wrapper").to_pylist()):
-            w = Wrapper.loads(s)
-            out = w if out is None else out.align(w)
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [out.dumps()], "content": pa.array([out.content()], pa.string())})
+        found = joined(map(Wrapper.loads, sorted(table.column("wrapper").to_pylist())))
+        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps([w.dumps() for w in found])], "content": pa.array([content_of(found)], pa.string())})
 
     salted = pooled.groupBy("host", "salt").applyInArrow(first, "host string, wrapper string")
     return salted.groupBy("host").applyInArrow(second, "host string, wrapper string, content string")

@@ -359,6 +359,18 @@ def test_long_streams_are_aligned_in_segments():
     assert [x for a0, a1, _, _ in parts for x in a[a0:a1]] == a and [x for _, _, b0, b1 in parts for x in b[b0:b1]] == b
 
 
+def test_wrappers_of_many_layouts_lose_no_figures():
+    pages = ["<html><body>" + "".join(f'<div class="c{k}-{i}"><b>Part {i}</b></div>' for i in range(100)) + f'<div class="story"><p>{"Told here. " * 40}{k}</p></div></body></html>' for k in range(30)]
+    streams = [html_wrappers.Wrapper.of_page(p) for p in pages]
+    found = html_wrappers.joined(streams)
+    assert sum(f[1] for w in found for f in w.figures if f) == sum(f[1] for w in streams for f in w.figures if f)
+    assert sum(t == ">div.story" for w in found for t in w.tokens) >= len(found) > 1
+    assert html_wrappers.content_of(found) == "div.story"
+    one, two = (html_wrappers.Wrapper.of_page("".join(f"<div class={c}{i}>{c}</div>" for i in range(500))) for c in "ab")
+    both = one.align(two)
+    assert {*one.tokens, *two.tokens} == {*both.tokens} and sum(f[1] for f in both.figures if f) == 1000
+
+
 def test_edit_aware_counts_equal_a_full_count():
     import random
 
