@@ -8,7 +8,9 @@ chosen within each fit by how far their share among positive rows stands out; a
 nothing by its length. The threshold of the last category is the one with the best F1 out of fold at a precision of ``PRECISION``.
 
 The chain is fitted on a bounded sample of labelled rows: the ``most_positive`` and
-``most_negative`` rows with the smallest hash of their id. Everything else runs over all rows.
+``most_negative`` rows with the smallest hash of their id. Everything else runs over all rows: each
+labelled row is scored by the models of its fold, which have not seen its text, and the threshold is
+taken from the counts of both labels in narrow ranges of that score.
 Null and empty texts have no features and get the base rates. Labels repeated for an id count as
 positive if one is; ids without a text are ignored; without any positive label nothing is toxic.
 """
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.columns import append_columns, quoted
+from granary.llm.columns import append_columns, quoted, small
 
 #: Labelled rows of either kind that a chain is fitted on.
 MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
@@ -38,6 +40,8 @@ PRECISION = 0.98
 FOLDS, PREFIXES = 5, (4, 5, 6, 7)
 MOST_FEATURES, LEAST_ROWS, LEAST_Z = 1500, 3, 4.0
 _WORD = re.compile(r"[^\W\d_]+")
+#: Width of a range of log odds in which labelled rows are counted; labels that are joined to documents before these are scored.
+WIDTH, BROADCAST_ROWS = 0.01, 200_000
 #: Hashed features, and words whose features a task keeps.
 SPACE, _CACHE = 1 << 22, 100_000
 
@@ -151,6 +155,7 @@ class Chain:
     models: list[Linear]
     threshold: float
     held_out_f1: float = 0.0
+    held: list[list[Linear]] = field(default_factory=list)  # for each fold, the models fitted on the others
 
     def probabilities(self, texts: Sequence[str | None]) -> np.ndarray:
         words = _Features()
@@ -161,45 +166,55 @@ class Chain:
         return out
 
 
+def _fold(text: str | None, folds: int) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode(), 7) % folds
+
+
 def fit_chain(texts: Sequence[str | None], labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
     """A chain over ``labels`` (category: 0/1 a text, in order); the last category's threshold is set out of fold."""
     words = _Features()
     rows = [features(t, words) for t in texts]
-    fold = np.array([xxhash.xxh64_intdigest((t or "").encode(), 7) % folds for t in texts], dtype=np.int64)
+    fold = np.array([_fold(t, folds) for t in texts], dtype=np.int64)
     unseen = np.zeros((len(rows), 0))
-    models = []
+    models, outside = [], [[] for _ in range(folds)]
     for y in labels.values():
         models.append(fit_linear(rows, unseen, y))
         held = np.zeros(len(rows))
         for f in range(folds):
             inside, out = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+            m = fit_linear([rows[i] for i in inside], unseen[inside], y[inside])
+            outside[f].append(m)
             if len(out):
-                m = fit_linear([rows[i] for i in inside], unseen[inside], y[inside])
                 held[out] = m.score([rows[i] for i in out], unseen[out])
         unseen = np.c_[unseen, held]
     truth = list(labels.values())[-1]
     threshold, best = calibrate(unseen[:, -1], truth)
-    return Chain(list(labels), models, threshold, best)
+    return Chain(list(labels), models, threshold, best, outside)
 
 
-def calibrate(p: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The threshold with the best F1 among those of precision PRECISION, or else of all, midway to the next lower score; over all scores if there is no positive row."""
+def calibrate(p: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, least: float = 0.0) -> tuple[float, float]:
+    """The threshold with the best F1 among those of precision PRECISION, or else of all, midway to the next lower score (``least`` below all); over all scores if there is no positive row. ``rows`` are the rows of each score and ``y`` the positive ones, one row a score if not given."""
     if not y.sum():
         return 2.0, 0.0
     order = np.argsort(-p, kind="stable")
     hit = np.cumsum(y[order])
-    n = np.arange(1, len(p) + 1)
+    n = np.arange(1, len(p) + 1) if rows is None else np.cumsum(rows[order])
     f1 = 2 * hit / (n + y.sum())
     ends = np.r_[np.diff(p[order]) != 0, True]
     sure = ends & (hit >= PRECISION * n)
     at = int(np.argmax(np.where(sure if sure.any() else ends, f1, -1)))
-    below = p[order][at + 1] if at + 1 < len(p) else 0.0
+    below = p[order][at + 1] if at + 1 < len(p) else least
     return float((p[order][at] + below) / 2), float(f1[at])
 
 
+def _labels(labels: DataFrame, id: str, label: str) -> DataFrame:
+    """(_id, y): one row a labelled id."""
+    return labels.where(F.col(quoted(label)).isNotNull() & F.col(quoted(id)).isNotNull()).groupBy(F.col(quoted(id)).alias("_id")).agg(F.max(label).cast("int").alias("y"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, most_positive: int, most_negative: int) -> DataFrame:
     """(t, y): the texts of the bounded sample of labelled rows."""
-    each = labels.where(F.col(quoted(label)).isNotNull() & F.col(quoted(id)).isNotNull()).groupBy(F.col(quoted(id)).alias("_id")).agg(F.max(label).cast("int").alias("y"))
+    each = _labels(labels, id, label)
     order = [F.xxhash64("_id"), "_id"]
     ids = each.where("y = 1").orderBy(*order).limit(most_positive).unionByName(each.where("y = 0").orderBy(*order).limit(most_negative))
     return docs.select(F.col(quoted(id)).alias("_id"), F.col(quoted(text)).alias("t")).where("t is not null").join(F.broadcast(ids), "_id").select("t", "y")
@@ -210,27 +225,76 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     got = sample(docs, labels, text, id, label, most_positive, most_negative).limit(2 * (most_positive + most_negative)).toPandas().sort_values(["t", "y"])
     texts, y = got["t"].tolist(), got["y"].to_numpy(dtype=float)
     chain = {name: y * np.array([float(not set(_WORD.findall(t.lower())).isdisjoint(words)) for t in texts]) for name, words in seeds.items()}
-    return fit_chain(texts, chain | {label: y})
+    out = fit_chain(texts, chain | {label: y})
+    out.threshold, out.held_out_f1 = threshold(docs, labels, out, text, id, label)
+    return out
+
+
+def threshold(docs: DataFrame, labels: DataFrame, chain: Chain, text: str, id: str, label: str) -> tuple[float, float]:
+    """The threshold of the last category and its F1, by the out-of-fold scores of all labelled rows."""
+    each = _labels(labels, id, label).where("y in (0, 1)")
+    rows = docs.select(F.col(quoted(id)).alias("_id"), F.col(quoted(text)).alias("t")).where("t is not null and _id is not null")
+    if small(each, BROADCAST_ROWS):
+        scored = _ranges(rows.join(F.broadcast(each), "_id"), chain)
+    else:  # texts are not shuffled: all are scored, and their ranges joined
+        scored = _ranges(rows, chain).join(each, "_id")
+    counts = scored.groupBy("range").agg(F.sum("y").alias("hits"), F.count("*").alias("n")).toPandas()
+    if not counts["hits"].sum():
+        return 2.0, 0.0
+    at = counts["range"].to_numpy(dtype=float)
+    odds, f1 = calibrate(at + 0.5, counts["hits"].to_numpy(dtype=float), counts["n"].to_numpy(dtype=float), at.min() - 0.5)
+    return float(_sigmoid(odds * WIDTH)), f1
+
+
+def _ranges(rows: DataFrame, chain: Chain) -> DataFrame:
+    """``rows`` with the range of the log odds that the models of the other folds give to ``t``, in place of ``t``."""
+    names, tables = _tables([m for models in chain.held for m in models])
+    folds, depth = len(chain.held), len(chain.models)
+    steps = [[(tables[f * depth + k], m.dense, m.bias) for k, m in enumerate(models)] for f, models in enumerate(chain.held)]
+
+    def make():
+        words = _Features(names)
+
+        def run(texts):
+            fold, out = np.array([_fold(t, folds) for t in texts]), np.zeros(len(texts), dtype=np.int64)
+            for f in set(fold.tolist()):
+                of = np.flatnonzero(fold == f)
+                p = _scores([features(texts[i], words) for i in of], steps[f])[:, -1]
+                out[of] = np.floor(np.log(p / (1 - p)) / WIDTH)
+            return [out.tolist()]
+
+        return run
+
+    return append_columns(rows, ["t"], make, "range bigint").drop("t")
+
+
+def _tables(models: Sequence[Linear]) -> tuple[dict[int, int], list[np.ndarray]]:
+    """Numbers for the features of all models, and the weights of each model by number."""
+    known = np.unique(np.concatenate([m.chosen for m in models]))
+    tables = [np.zeros(len(known) + 1) for _ in models]
+    for t, m in zip(tables, models, strict=True):
+        t[np.searchsorted(known, m.chosen)] = m.weights
+    return {int(f): i for i, f in enumerate(known)}, tables
+
+
+def _scores(rows: Sequence[np.ndarray], steps: Sequence[tuple[np.ndarray, np.ndarray, float]]) -> np.ndarray:
+    """The probabilities of a chain's categories, by the (weights, dense weights, bias) of each."""
+    p = np.zeros((len(rows), 0))
+    for t, d, b in steps:
+        p = np.c_[p, _sigmoid(np.array([t[r].sum() for r in rows]) + p @ d + b)]
+    return p
 
 
 def classify(df: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_", to: str = "is_toxic") -> DataFrame:
     """``df`` with the probability of each category and whether the last one reaches the chain's threshold."""
-    known = np.unique(np.concatenate([m.chosen for m in chain.models]))
-    names = {int(f): i for i, f in enumerate(known)}
-    tables = [np.zeros(len(names) + 1) for _ in chain.models]
-    for t, m in zip(tables, chain.models, strict=True):
-        t[np.searchsorted(known, m.chosen)] = m.weights
-    dense, bias, limit = [m.dense for m in chain.models], [m.bias for m in chain.models], chain.threshold
+    names, tables = _tables(chain.models)
+    steps, limit = [(t, m.dense, m.bias) for t, m in zip(tables, chain.models, strict=True)], chain.threshold
 
     def make():
         words = _Features(names)
 
         def run(texts):
-            rows = [features(t, words) for t in texts]
-            p = np.zeros((len(rows), 0))
-            for t, d, b in zip(tables, dense, bias, strict=True):
-                sums = np.array([t[r].sum() for r in rows])
-                p = np.c_[p, _sigmoid(sums + p @ d + b)]
+            p = _scores([features(t, words) for t in texts], steps)
             return [*p.T.tolist(), (p[:, -1] >= limit).tolist()]
 
         return run

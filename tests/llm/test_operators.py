@@ -297,6 +297,18 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.classify(odd(spark).limit(0), chain).count() == 0
 
 
+def test_toxicity_threshold_of_all_labelled_rows(spark, monkeypatch):
+    # in a sample of 1:2 the few clean texts with "vile" leave it precise; among all rows, 1:30, they do not
+    data = [(i, f"text {i} about " + ("vile" if i % 3 == 0 else "vile awful") + f" n{i}", 1) for i in range(300)]
+    data += [(i, f"text {i} about " + ("vile" if i % 100 == 0 else "nothing") + f" n{i}", 0) for i in range(300, 9300)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    for rows in (200_000, 10):
+        monkeypatch.setattr(toxicity, "BROADCAST_ROWS", rows, raising=False)
+        chain = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), most_positive=100, most_negative=200)
+        p = chain.probabilities(["text about vile n", "text about vile awful n", "text about nothing n"])[:, -1]
+        assert (p >= chain.threshold).tolist() == [False, True, False]
+
+
 # --- html
 
 
