@@ -297,6 +297,16 @@ def test_toxicity_of_odd_rows(spark):
     assert toxicity.classify(odd(spark).limit(0), chain).count() == 0
 
 
+def test_toxicity_keeps_thousands_of_features():
+    rnd = np.random.default_rng(5)
+    rows = [[] for _ in range(800)]
+    for f in range(2000):
+        for i in rnd.choice(400, 8, replace=False):
+            rows[i].append(f)
+    chosen, _ = toxicity.choose([np.array(r, dtype=np.int32) for r in rows], np.repeat([1.0, 0.0], 400))
+    assert chosen.tolist() == list(range(2000))
+
+
 def test_toxicity_threshold_of_all_labelled_rows(spark, monkeypatch):
     # in a sample of 1:2 the few clean texts with "vile" leave it precise; among all rows, 1:30, they do not
     data = [(i, f"text {i} about " + ("vile" if i % 3 == 0 else "vile awful") + f" n{i}", 1) for i in range(300)]
