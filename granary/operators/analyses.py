@@ -130,7 +130,8 @@ def file_scores(files: DataFrame, path: Column, text: Column, words: list[str],
 def budget_fill(pieces: DataFrame, query: list[str], order: list[str], cost: str, budget: int) -> DataFrame:
     """Pieces in order while they fit: one that does not is left out and the next is tried; (query…, taken, used, omitted).
 
-    ``pieces`` are the few candidates of a query, chosen by a limit before; the fold runs over their sorted array.
+    ``pieces`` are all candidates of a query, such as the matching lines of a few documents; the fold runs over the
+    sorted array of their ``order`` and ``cost``, without their text.
     """
     sort = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("bigint").alias("cost"))))
     start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(0).cast("bigint").alias("omitted"), F.array().cast(pieces.select(F.collect_list(F.struct(*order))).schema[0].dataType).alias("taken"))

@@ -300,8 +300,8 @@ def context_pack(spark, sf):
     """Paragraphs of the best documents, filled into 2000 tokens."""
     docs = table(spark, sf, "documents").select("doc_id", "text", T.score_text(F.lower("text"), KW, 20).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").limit(8)
     part = lines.explode_lines(docs, ["doc_id"]).withColumn("rank", -T.score_text(F.lower("line"), KW, 3)).where("rank < 0")
-    best = part.orderBy("rank", "doc_id", "line_no").limit(200).withColumn("cost", T.est_tokens("line"))
-    return analyses.budget_fill(best.withColumn("query", F.lit("license")), ["query"], ["rank", "doc_id", "line_no"], "cost", 2000).select("query", F.size("taken").alias("taken"), "used", "omitted")
+    costs = part.withColumn("cost", T.est_tokens("line"))
+    return analyses.budget_fill(costs.withColumn("query", F.lit("license")), ["query"], ["rank", "doc_id", "line_no"], "cost", 2000).select("query", F.size("taken").alias("taken"), "used", "omitted")
 
 
 @query(f"SELECT lang, source, count(*) AS files, sum(tokens)::BIGINT AS tokens, max(tokens) AS most FROM {MEASURED} m GROUP BY ROLLUP (lang, source)")

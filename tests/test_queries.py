@@ -41,6 +41,13 @@ def test_runs(spark, name):
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
 
 
+def test_context_pack_tries_every_matching_line(spark, tmp_path):
+    text = "\n".join([*["license " * 99] * 250, "license"])  # 198 tokens a line, and 1
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = registry.QUERIES["context_pack"](spark, str(tmp_path)).first()
+    assert (r.taken, r.used, r.omitted) == (11, 1981, 240)
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() == 4
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
