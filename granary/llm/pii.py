@@ -1,6 +1,6 @@
 """Personal data: candidate spans judged by boosted trees, beside exact base patterns.
 
-High-recall generators propose spans, which may overlap: the base patterns without their checks, local
+High-recall generators propose spans, which may overlap: look-alikes by the base patterns without their checks (judged by trees of their own), local
 telephone numbers, account and identity numbers, secrets after a keyword, spelled-out addresses, long
 mixed runs. Each gets features of its format (lengths, digit share, check sums, separators, entropy) and
 of its context (keywords and characters around it). Gradient-boosted trees, fitted on a seeded
@@ -28,7 +28,9 @@ from granary.llm.columns import append_columns
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("account", "address", "identity", "local_phone", "secret")
-KINDS = BASE + EXTRA
+#: Look-alikes of the base kinds: spans of their patterns that fail the checks.
+LIKE = ("email_like", "ip_like", "card_like", "phone_like")
+KINDS = BASE + EXTRA + LIKE
 PRECISION = 0.98
 #: Examples of either label in the generated training and held-out sets, and the trees.
 EXAMPLES, TREES, DEPTH, RATE, BINS = 3000, 40, 3, 0.3, 24
@@ -89,6 +91,12 @@ _WIDE = [
     ("local_phone", re.compile(r"(?<![0-9+.-])(\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4})(?![0-9-])"), 1),
     ("address", re.compile(r"(?i)(?<![a-z0-9])([a-z0-9._-]{2,40}\s?[\[(]?\s?(?:at|@)\s?[\])]?\s?[a-z0-9-]{2,40}\s?[\[(]\s?dot\s?[\])]\s?[a-z]{2,10})(?![a-z0-9])"), 1),
 ]
+_LOOKALIKES = [
+    ("email_like", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?@\x20?[A-Za-z0-9-]{2,63}(?:\x20?[.,]\x20?[A-Za-z0-9-]{2,24}){0,3}(?![A-Za-z0-9@-])")),
+    ("ip_like", re.compile(r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){3}(?!\.?[0-9])")),
+    ("card_like", re.compile(r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])")),
+    ("phone_like", re.compile(r"(?<![A-Za-z0-9+])\+[0-9][\x20().0-9-]{4,24}[0-9](?![0-9])")),
+]
 _HINT = re.compile(r"(?i)[0-9]|token|secret|passw|key|auth|dot|[A-Z0-9_]{24}")
 _CUES = {
     "secret": ("token", "secret", "passw", "key", "auth"),
@@ -96,6 +104,10 @@ _CUES = {
     "identity": ("ssn", "social", "passport", "id no", "identity", "licence no", "ausweis"),
     "local_phone": ("tel", "phone", "call", "fax", "mobile", "ruf"),
     "address": ("mail", "contact", "write", "reach"),
+    "email_like": ("mail", "contact", "write", "reach"),
+    "ip_like": ("ip", "host", "server", "addr"),
+    "card_like": ("card", "visa", "credit", "karte", "tarjeta"),
+    "phone_like": ("tel", "phone", "call", "fax", "mobile", "ruf"),
 }
 _AGAINST = ("version", "isbn", "sha", "md5", "commit", "page", "order", "date", "total", "price", "build", "rev")
 
@@ -106,6 +118,15 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return sorted({(kind, *m.span(g)) for kind, p, g in _WIDE for m in p.finditer(text)}, key=lambda s: (s[1], s[2], s[0]))
 
 
+def lookalikes(text: str) -> list[tuple[str, int, int]]:
+    """Spans of the base patterns whether they pass their checks or not; telephone numbers of seven digits at least."""
+    out = []
+    for kind, p in _LOOKALIKES:
+        if ("+" if kind == "phone_like" else "@" if kind == "email_like" else "") in text:
+            out += [(kind, *m.span()) for m in p.finditer(text) if kind != "phone_like" or len(_DIGIT.findall(m[0])) >= 7]
+    return out
+
+
 def _mod97(s: str) -> bool:
     s = s[4:] + s[:4]
     return s.isalnum() and s.isascii() and int("".join(str(int(c, 36)) for c in s)) % 97 == 1
@@ -120,7 +141,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     before, after = text[max(0, start - 24) : start].lower(), text[end : end + 12].lower()
     return [
-        float(EXTRA.index(kind)), float(n), digits / n, sum(c.isupper() for c in bare) / n, entropy,
+        float((LIKE if kind in LIKE else EXTRA).index(kind)), float(n), digits / n, sum(c.isupper() for c in bare) / n, entropy,
         float(sum(not c.isalnum() for c in s)), float(len(set(re.findall(r"[\W_]", s)))),
         float(kind == "account" and len(bare) >= 15 and _mod97(bare)), float(digits == n and luhn(bare)),
         float(any(c in before for c in _CUES[kind])), float(any(c in before for c in _AGAINST)),
@@ -129,6 +150,18 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+def describe_like(text: str, kind: str, start: int, end: int) -> list[float]:
+    """The features of a look-alike: those of other spans, and its groups of digits and last label."""
+    s = text[start:end]
+    groups = re.findall("[0-9]+", s) or [""]
+    sizes = [len(g) for g in groups]
+    last = re.findall("[A-Za-z]+", s)[-1:] or [""]
+    return [
+        *describe(text, kind, start, end), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[0]), float(max(int(g or 0) for g in groups)),
+        float(last[0].lower() in ("com", "org", "net", "edu", "de", "fr", "es", "uk", "io")), float(" " in s), float("." in s), float("," in s),
+    ]
+
+
 class Boosted:
     """Gradient-boosted trees of one depth for a probability: thresholds by quantile, Newton leaves."""
 
@@ -227,19 +260,63 @@ def _examples(rnd: random.Random, n: int) -> Iterator[tuple[str, str, int, int,
         yield text + value + rnd.choice(["", '"', " ", ".", ", "]) + words(2), kind, len(text), len(text) + len(value), label
 
 
+def _like_examples(rnd: random.Random, n: int) -> Iterator[tuple[str, str, int, int, int]]:
+    """Generated look-alikes as in _examples: personal data with a slip or an unusual length, and numbers and handles that are none."""
+    d = lambda k: rnd.choice("123456789") + "".join(rnd.choice("0123456789") for _ in range(k - 1))
+    word = lambda a, b: "".join(rnd.choice("abcdefghilmnoprstu") for _ in range(rnd.randint(a, b)))
+    octet = lambda: str(rnd.randint(0, 255))
+    for _ in range(n):
+        kind, label = rnd.choice(LIKE), rnd.randint(0, 1)
+        cue = rnd.choice(_CUES[kind]) + rnd.choice([": ", " ", " = "])
+        none = rnd.choice(["version ", "order ", "build ", "total ", "", "", f"{word(3, 8)} "])
+        bare = rnd.random() < 0.3  # a telling format needs no cue
+        if kind == "email_like":
+            a, b, c = word(3, 9), word(3, 9), rnd.choice(["com", "org", "net", "de", "fr"])
+            value = rnd.choice([f"{a} @ {b}.{c}", f"{a}@{b} . {c}", f"{a}@{b},{c}", f"{a}.{word(3, 6)} @{b}.{c}"]) if label else rnd.choice([f"{a}@{b}", f"{a} @ {b}", f"{a}@{d(2)}", f"{a}@{b}, {word(3, 8)}"])
+        elif kind == "ip_like":
+            four = [octet(), octet(), octet(), octet()]
+            four[rnd.randint(0, 3)] = str(rnd.randint(256, 999))
+            bare = False
+            value = ".".join(four) if label or rnd.random() < 0.3 else ".".join([d(1), d(rnd.randint(1, 2)), d(rnd.randint(1, 4)), d(rnd.randint(3, 5))])
+        elif kind == "card_like":
+            value = d(16)
+            if label and rnd.random() < 0.6:
+                value = rnd.choice(" -").join(value[i : i + 4] for i in range(0, 16, 4))
+            else:
+                bare = False
+                value = d(rnd.choice([12, 13, 15, 16])) if label else rnd.choice([d(rnd.randint(12, 19)), f"20{d(2)}-0{d(1)}-1{d(1)} {d(4)}", f"{d(3)} {d(3)} {d(3)} {d(3)}"])
+        else:
+            s = rnd.choice(" -")
+            if label and rnd.random() < 0.75:
+                value = rnd.choice([f"+{d(3)}{s}{d(6)}", f"+{d(3)}{s}{d(5)}", f"+{d(2)}{s}{d(3)}{s}{d(4)}", f"+{d(3)}{s}{d(2)}{s}{d(2)}{s}{d(2)}"])
+            else:
+                bare = False
+                value = f"+{d(rnd.randint(7, 9))}" if label else rnd.choice([f"+{d(rnd.randint(7, 9))}", f"+{d(1)}.{d(rnd.randint(6, 9))}", f"+{d(2)}.{d(3)}.{d(3)}", f"+{d(2)}.{d(5)}"])
+        text = f"{word(2, 9)} {(none if bare else cue) if label else none}"
+        yield text + value + rnd.choice(["", " ", ". ", "; "]) + rnd.choice(["", f"({word(2, 6)})"]), kind, len(text), len(text) + len(value), label
+
+
+@lru_cache(maxsize=2)
+def like_model(examples: int = EXAMPLES, seed: int = 21) -> tuple[Boosted, dict[str, float]]:
+    """As model(), for look-alikes."""
+    rnd = random.Random(seed)
+    return _fitted([list(_like_examples(rnd, 2 * examples)) for _ in range(2)], LIKE, describe_like)
+
+
 @lru_cache(maxsize=2)
 def model(examples: int = EXAMPLES, seed: int = 20) -> tuple[Boosted, dict[str, float]]:
     """The trees and the threshold of each kind; the same on every call, wherever it runs."""
     rnd = random.Random(seed)
-    sets = []
-    for _ in range(2):
-        rows = list(_examples(rnd, 2 * examples))
-        sets.append((np.array([describe(*r[:4]) for r in rows]), np.array([r[4] for r in rows], dtype=float)))
-    (x, y), (hx, hy) = sets
+    return _fitted([list(_examples(rnd, 2 * examples)) for _ in range(2)], EXTRA, describe)
+
+
+def _fitted(examples: list[list], kinds: tuple[str, ...], described) -> tuple[Boosted, dict[str, float]]:
+    """Trees fitted on the first examples, and the threshold of each kind by the others."""
+    (x, y), (hx, hy) = [(np.array([described(*r[:4]) for r in rows]), np.array([r[4] for r in rows], dtype=float)) for rows in examples]
     trees = Boosted().fit(x, y)
     p = trees.predict(hx)
     limits = {}
-    for i, kind in enumerate(EXTRA):
+    for i, kind in enumerate(kinds):
         of = hx[:, 0] == i
         order = np.argsort(-p[of], kind="stable")
         precise = np.cumsum(hy[of][order]) / np.arange(1, of.sum() + 1) >= PRECISION
@@ -249,16 +326,17 @@ def model(examples: int = EXAMPLES, seed: int = 20) -> tuple[Boosted, dict[str,
 
 def find(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
     """All spans of each text: the base ones, and those that the model selects beside them."""
-    trees, limits = model()
     base = [base_spans(t) for t in texts]
-    asked = [(i, *c) for i, t in enumerate(texts) if t for c in candidates(t)]
+    passed = [{s[1:] for s in spans} for spans in base]
     more: dict[int, list[tuple[float, str, int, int]]] = {}
-    for at in range(0, len(asked), 4096):
-        part = asked[at : at + 4096]
-        p = trees.predict(np.array([describe(texts[i], *c) for i, *c in part]))
-        for (i, kind, a, b), q in zip(part, p, strict=True):
-            if q >= limits[kind]:
-                more.setdefault(i, []).append((-float(q), kind, a, b))
+    for (trees, limits), proposed, described in ((model(), candidates, describe), (like_model(), lookalikes, describe_like)):
+        asked = [(i, *c) for i, t in enumerate(texts) if t for c in proposed(t) if proposed is candidates or c[1:] not in passed[i]]
+        for at in range(0, len(asked), 4096):
+            part = asked[at : at + 4096]
+            p = trees.predict(np.array([described(texts[i], *c) for i, *c in part]))
+            for (i, kind, a, b), q in zip(part, p, strict=True):
+                if q >= limits[kind]:
+                    more.setdefault(i, []).append((-float(q), kind, a, b))
     for i, found in more.items():
         taken = sorted((a, b) for _, a, b in base[i])
         for _, kind, a, b in sorted(found):

@@ -267,6 +267,21 @@ def test_boosted_candidates():
     assert pii.redacted(text, pii.find([text])[0]) == 'see token = "[SECRET]" and mail [EMAIL]'
 
 
+def test_lookalikes_of_base_patterns():
+    import random
+
+    trees, limits = pii.like_model()
+    held = list(pii._like_examples(random.Random(98), 1500))
+    assert all((k, a, b) in pii.lookalikes(t) for t, k, a, b, y in held if y)
+    p = trees.predict(np.array([pii.describe_like(*r[:4]) for r in held]))
+    y = np.array([r[4] for r in held])
+    chosen = p >= np.array([limits[r[1]] for r in held])
+    assert y[chosen].mean() > 0.95 and chosen[y == 1].mean() > 0.85
+    for text, kind in (("call +298 123456 today", "phone_like"), ("my card: 4111 1111 1111 1112.", "card_like"), ("host: 192.168.1.300 is up", "ip_like"), ("mail: jane.roe @ example.com", "email_like")):
+        assert kind in [k for k, _, _ in pii.find([text])[0]]
+    assert pii.find(["version 3.12.1024.4567, build 20240105123456, user@host, x = y +1000000"]) == [[]]
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     out = pii.redact(odd(spark))
     assert out.columns == odd(spark).columns and out.count() == len(ODD)
