@@ -5,18 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructField, StructType
 
 from granary.session import shared_folder
 
 #: Rows, and bytes, of an Arrow batch that Python holds as objects at once.
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
-#: Rows of an Arrow batch between Spark and Python, unless the session has a setting of its own: with the
-#: usual 10,000, both sides hold tens of MB of text for each task, twice.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch between Spark and Python, unless the session has settings of its own: with
+#: the usual 10,000 rows, both sides hold tens of MB of text for each task, twice.
+BATCH, BATCH_SIZE = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_ROWS, USUAL_ROWS = 2000, "10000"
+BATCH_BYTES, USUAL_BYTES = 16 << 20, "268435456"
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def others(df: DataFrame, taken: Sequence[str]) -> list[str]:
@@ -34,16 +37,23 @@ def append_columns(df: DataFrame, reads: Sequence[str], make: Callable[[], Calla
 
     ``make()`` runs once in each Python worker's task and returns a function from lists of values,
     one list a column of ``reads``, to lists of results, one a field. Columns of ``df`` that bear a
-    field's name are replaced. Rows go through in slices, so a task holds a few MB of text.
+    field's name are replaced; all others are carried under places of their own, so any name will do.
+    Rows go through in slices, so a task holds a few MB of text.
+
+    A session that has Spark's own bounds of an Arrow batch gets smaller ones (rows and bytes); bounds
+    that the session has set stay.
     """
-    spark = df.sparkSession
-    if spark.conf.get(BATCH, USUAL_ROWS) == USUAL_ROWS:
-        spark.conf.set(BATCH, str(BATCH_ROWS))
+    conf = df.sparkSession.conf
+    for name, usual, ours in ((BATCH, USUAL_ROWS, BATCH_ROWS), (BATCH_SIZE, USUAL_BYTES, BATCH_BYTES)):
+        if conf.get(name, usual) == usual:
+            conf.set(name, str(ours))
     added = StructType.fromDDL(fields)
     keep = others(df, added.fieldNames())
-    given = df.select(*[F.col(quoted(c)) for c in keep], *[F.col(quoted(c)).alias(f"__in{i}") for i, c in enumerate(reads)])
+    carried = [f"k{i}" for i in range(len(keep))]
+    given = df.select(*[F.col(quoted(c)).alias(k) for c, k in zip(keep, carried, strict=True)], *[F.col(quoted(c)).alias(f"in{i}") for i, c in enumerate(reads)])
     n_keep, n_in = len(keep), len(reads)
-    schema = StructType(given.schema.fields[:n_keep] + added.fields)
+    made = [StructField(f"out{i}", f.dataType, f.nullable) for i, f in enumerate(added.fields)]
+    schema = StructType(given.schema.fields[:n_keep] + made)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -59,7 +69,7 @@ def append_columns(df: DataFrame, reads: Sequence[str], make: Callable[[], Calla
                 arrays = [part.column(i) for i in range(n_keep)] + [pa.array(o, type=k) for o, k in zip(outs, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*keep, *added.fieldNames())
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -78,6 +88,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int) -> bool:
-    """Whether ``df`` has at most ``most_rows`` rows; reads no more than that many and one."""
-    return df.limit(most_rows + 1).count() <= most_rows
+def bytes_of(df: DataFrame) -> Column:
+    """What a row of ``df`` holds in memory, about: its texts and arrays, and 16 bytes a column."""
+
+    def held(value: Column, kind: DataType) -> Column:
+        if isinstance(kind, (StringType, BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint") + 16
+        if isinstance(kind, ArrayType):
+            if isinstance(kind.elementType, (StringType, BinaryType, ArrayType, StructType)):
+                return F.coalesce(F.aggregate(value, F.lit(16).cast("bigint"), lambda s, x: s + held(x, kind.elementType)), F.lit(16).cast("bigint"))
+            return F.coalesce(F.size(value) * 8, F.lit(0)).cast("bigint") + 16
+        if isinstance(kind, StructType):
+            return sum((held(value[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("bigint"))
+        return F.lit(16).cast("bigint")
+
+    return sum((held(F.col(quoted(f.name)), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+
+
+def small(df: DataFrame, most_rows: int, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df``, a written table, has at most ``most_rows`` rows of at most ``most_bytes`` bytes together; the bytes are read only if the rows are few."""
+    few = df.limit(most_rows + 1).agg(F.count("*")).first()[0] <= most_rows
+    return few and (df.agg(F.sum(bytes_of(df))).first()[0] or 0) <= most_bytes

@@ -38,26 +38,28 @@ r AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (doc_id)"""
 
 
-_RATIOS = {"symbol_ratio": "n_symbols / n_words", "upper_share": "n_upper / n_words", "dup_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n_words"}
-_RATIO_SQL = ", ".join(f"CASE WHEN {r.split(' / ')[1]} > 0 THEN {r.split(' / ')[0]}::DOUBLE / {r.split(' / ')[1]} ELSE 0 END AS {m}" for m, r in _RATIOS.items())
-_GAMMA = f"{quality.GAMMA!r}::DOUBLE"
-
-
-def _quarters(by: str, suffix: str) -> str:
-    return f"SELECT {by}, metric, max(rows) AS rows{suffix}, min(v) FILTER (WHERE upto >= 0.25::DOUBLE * rows) AS a{suffix}, min(v) FILTER (WHERE upto >= 0.75::DOUBLE * rows) AS z{suffix} FROM (SELECT {by}, metric, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY {by}, metric) AS rows, CASE WHEN bucket IS NULL THEN 0 ELSE 2 * pow({_GAMMA}, bucket) / ({_GAMMA} + 1) END AS v FROM (SELECT {by}, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL) q) u GROUP BY {by}, metric"
-
+_RATIO_SQL = ", ".join(f"({a} + 0.5::DOUBLE) / ({b} + {quality.PRIOR}) AS {m}" for m, (a, b) in quality.RATIOS.items())
+_BUCKET = f"ceil(ln(v) / ln({quality.GAMMA!r}::DOUBLE))::INTEGER"
+_FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
+_ODD = " OR ".join(f"coalesce({count} > 0 AND {_BUCKET.replace('(v)', '(' + m + ')')} > last_{m}, false)" for m, (count, _) in quality.RATIOS.items())
 
 QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT doc_id, s, array_to_string(w[s:s + 4], ' ') AS g FROM w, unnest(generate_series(1, len(w) - 4)) u(s)),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) x, unnest(generate_series(s, s + 4)) u(p) WHERE n > 1 GROUP BY doc_id),
 m AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines,
- len(list_filter(w, lambda x: length(x) > 1 AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) AS n_upper, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
+ len(list_filter(w, lambda x: length(x) > 1 AND regexp_matches(x, '\p{{Lu}}') AND NOT regexp_matches(x, '\p{{Ll}}'))) AS n_upper_words, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
 x AS (SELECT *, {_RATIO_SQL} FROM m),
-sk AS (SELECT lang, source, metric, CASE WHEN v < {quality.TINY}::DOUBLE THEN NULL ELSE ceil(ln(v) / ln({_GAMMA}))::INTEGER END AS bucket, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"'{k}'" for k in _RATIOS)}]) AS metric, unnest([{", ".join(_RATIOS)}]) AS v FROM x) e GROUP BY ALL),
-own AS ({_quarters("lang, source", "1")}), wide AS ({_quarters("lang", "2")}),
-lim AS (SELECT lang, source, metric, greatest(z + {quality.SPREAD}::DOUBLE * (z - a), CASE metric {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in quality.FLOORS.items())} END) AS most FROM (SELECT o.lang, o.source, o.metric, CASE WHEN rows1 >= {quality.LEAST_ROWS} THEN a1 ELSE a2 END AS a, CASE WHEN rows1 >= {quality.LEAST_ROWS} THEN z1 ELSE z2 END AS z FROM own o JOIN wide y ON o.lang = y.lang AND o.metric = y.metric) k),
-pl AS (SELECT lang, source, {", ".join(f"max(most) FILTER (WHERE metric = '{k}') AS max_{k}" for k in _RATIOS)} FROM lim GROUP BY lang, source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND {" AND ".join(f"{k} <= max_{k}" for k in _RATIOS)} AS kept FROM x JOIN pl USING (lang, source)"""
+sk AS (SELECT lang, source, metric, {_BUCKET} AS bucket, count(*) AS n FROM (SELECT lang, source, unnest([{", ".join(f"'{k}'" for k in quality.RATIOS)}]) AS metric, unnest([{", ".join(quality.RATIOS)}]) AS v FROM x WHERE NOT ({_FAILED})) e GROUP BY ALL),
+wide AS (SELECT lang, metric, bucket, sum(n) AS n FROM sk GROUP BY ALL), whole AS (SELECT metric, bucket, sum(n) AS n FROM sk GROUP BY ALL),
+rl AS (SELECT lang, metric, sum(n)::DOUBLE AS r_lang FROM sk GROUP BY ALL), ra AS (SELECT metric, sum(n)::DOUBLE AS r_all FROM sk GROUP BY ALL), g AS (SELECT DISTINCT lang, source, metric FROM sk),
+parts AS (SELECT lang, source, metric, bucket, n * r_lang * r_all AS n FROM sk JOIN rl USING (lang, metric) JOIN ra USING (metric)
+ UNION ALL SELECT lang, source, metric, bucket, {quality.WEIGHT} * n * r_all FROM g JOIN wide USING (lang, metric) JOIN ra USING (metric)
+ UNION ALL SELECT lang, source, metric, bucket, {quality.WEIGHT} * n * r_lang FROM g JOIN whole USING (metric) JOIN rl USING (lang, metric)),
+b AS (SELECT lang, source, metric, bucket, sum(n) AS n FROM parts GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, coalesce(sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket RANGE BETWEEN 1 FOLLOWING AND {quality.WIDTH} FOLLOWING), 0) AS after, sum(n) OVER (PARTITION BY lang, source, metric) AS rows FROM b),
+lim AS (SELECT lang, source, metric, min(bucket) + {quality.WIDTH // 2} AS last FROM r WHERE 2 * upto >= rows AND {quality.TAIL} * after < rows GROUP BY ALL),
+pl AS (SELECT lang, source, {", ".join(f"max(last) FILTER (WHERE metric = '{k}') AS last_{k}" for k in quality.RATIOS)} FROM lim GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_FAILED} AS base_failed, NOT ({_FAILED}) AND NOT ({_ODD}) AS kept FROM x LEFT JOIN pl USING (lang, source)"""
 
 SQL = {"op3_license_scan": LICENSE_SCAN, "op7_decontamination": DECONTAMINATION, "op10_quality": QUALITY}

@@ -1,15 +1,22 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
 Each text gives counts (words, symbols, repeated lines, repeated word windows, upper-case words) and
-from them ratios. For each language and source a sketch of every ratio is gathered: counts in
-logarithmic buckets, of relative error ``ERROR``, which merge by addition and so combine before the
-shuffle, whatever share of the rows one source holds. A ratio's threshold is its upper quartile plus
-``SPREAD`` times the distance between the quartiles, at least ``FLOORS``; groups of under
-``LEAST_ROWS`` rows take their language's sketch (the sum of its sources' sketches). Thresholds are
-then joined to the rows.
+from them ratios, smoothed by a prior of ``PRIOR`` words or lines, so that one symbol in a short text is
+no outlier. For each language and source a sketch of every ratio is gathered: counts in logarithmic
+buckets, of relative error ``ERROR``, which merge by addition and so combine before the shuffle, whatever
+share of the rows one source holds. To a group's sketch come those of its language and of all rows, each
+scaled to ``WEIGHT`` rows: a small group leans on them, a large one goes its own way, and nothing
+switches at a size.
+
+A threshold lies where the group's own distribution ends: it is the middle of the first range above the
+median, ``GAP`` wide as a factor, that holds under ``TAIL`` of the rows. So there is no fixed cutoff: a
+source full of symbols keeps its texts, one where symbols are unknown loses the few that are full of
+them. A text without a trait is never odd in it. Thresholds are then joined to the rows.
 
 Null texts have no words; a null language or source counts as the empty string. A text with under ten
-words or with over a fifth of its words in repeated windows fails outright.
+words or with over a fifth of its words in repeated windows fails outright and is in no sketch. Equal
+values share a bucket and so a verdict; repeated rows each get theirs; an empty table gives no rows; other
+columns are not carried, so none can clash. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -18,17 +25,18 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.columns import append_columns, quoted, small, written
 
-ERROR, SPREAD, LEAST_ROWS = 0.01, 3.0, 200
+ERROR, WEIGHT = 0.05, 200
 GAMMA = (1 + ERROR) / (1 - ERROR)
-#: Ratios under this count as zero.
-TINY = 1e-4
-#: The least thresholds: below them no text is odd, however alike its group.
-FLOORS = {"symbol_ratio": 0.15, "upper_share": 0.25, "dup_share": 0.3, "repeat_share": 0.2}
+#: Words or lines by which a text's ratios are smoothed, the width of an empty range as a factor, and 1/TAIL: the share of rows under which it counts as empty.
+PRIOR, GAP, TAIL = 10, 8.0, 200
+WIDTH = math.ceil(math.log(GAP) / math.log(GAMMA))
+#: Each ratio's count and what it is of.
+RATIOS = {"symbol_ratio": ("n_symbols", "n_words"), "upper_share": ("n_upper_words", "n_words"), "dup_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
 BROADCAST_ROWS = 200_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _SYMBOLS = "#*$%&|<>"
@@ -71,13 +79,16 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         return run
 
     out = append_columns(df, [text], make, ", ".join(f"{c} bigint" for c in COUNTS))
-    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
-    return out.withColumns({"symbol_ratio": share("n_symbols", "n_words"), "upper_share": share("n_upper_words", "n_words"), "dup_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")})
+    return out.withColumns({m: (F.col(a) + 0.5) / (F.col(b) + PRIOR) for m, (a, b) in RATIOS.items()})
+
+
+def bucket(value: Column) -> Column:
+    """The logarithmic bucket of a positive value."""
+    return F.ceil(F.log(value) / math.log(GAMMA)).cast("int")
 
 
 def sketches(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """A row (by…, metric, bucket, n) for each bucket that has rows."""
-    bucket = lambda v: F.when(v < TINY, F.lit(None).cast("int")).otherwise(F.ceil(F.log(v) / math.log(GAMMA)).cast("int"))
+    """A row (by…, metric, bucket, n) for each bucket that has rows; values are positive."""
     each = F.array(*[F.struct(F.lit(v).alias("metric"), bucket(F.col(v)).alias("bucket")) for v in values])
     return df.select(*by, F.inline(each)).groupBy(*by, "metric", "bucket").agg(F.count("*").alias("n"))
 
@@ -90,36 +101,58 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
 def quantiles(sketch: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
     """A row (by…, metric, rows, one column a share): the values below which those shares of a group lie."""
     group = Window.partitionBy(*by, "metric")
-    upto = F.sum("n").over(group.orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    value = F.when(F.col("bucket").isNull(), 0.0).otherwise(2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1))
+    upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    value = 2 * F.pow(F.lit(GAMMA), F.col("bucket")) / (GAMMA + 1)
     run = sketch.select(*by, "metric", upto.alias("upto"), F.sum("n").over(group).alias("rows"), value.alias("value"))
     return run.groupBy(*by, "metric").agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") >= q * F.col("rows"), F.col("value"))).alias(name) for name, q in shares.items()])
 
 
-def thresholds(df: DataFrame, lang: str = "lang", source: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """A row (lang, source, max_<ratio>…) for each group of measured rows."""
-    names = list(FLOORS)
-    rows = df.select(F.coalesce(quoted(lang), F.lit("")).alias("lang"), F.coalesce(quoted(source), F.lit("")).alias("source"), *names)
-    sketch = written(sketches(rows, ["lang", "source"], names))
-    quarters = {"q1": 0.25, "q3": 0.75}
-    own = quantiles(sketch, ["lang", "source"], quarters)
-    wide = quantiles(merged(sketch, ["lang"]), ["lang"], quarters).select("lang", "metric", F.col("q1").alias("w1"), F.col("q3").alias("w3"))
-    enough = F.col("rows") >= least_rows
-    q1, q3 = (F.when(enough, F.col(q)).otherwise(F.col(w)) for q, w in (("q1", "w1"), ("q3", "w3")))
-    floor = F.create_map(*[F.lit(x) for kv in FLOORS.items() for x in kv])[F.col("metric")]
-    limit = F.greatest(q3 + SPREAD * (q3 - q1), floor)
-    each = own.join(wide, ["lang", "metric"]).select("lang", "source", "metric", limit.alias("limit"))
-    return each.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(f"max_{m}") for m in names])
+def blended(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
+    """Sketches of (lang, source), each with its language's and the whole table's added as ``weight`` rows: (lang, source, metric, bucket, n).
+
+    All are multiplied by the rows of the language and of the table, so ``n`` is a whole number (as a
+    double: exact up to 2^53, and beyond that rounded alike for any partitioning).
+    """
+    wide, whole = merged(sketch, ["lang"]), merged(sketch, [])
+    of_lang = wide.groupBy("lang", "metric").agg(F.sum("n").cast("double").alias("r_lang"))
+    of_all = whole.groupBy("metric").agg(F.sum("n").cast("double").alias("r_all"))
+    scales = of_lang.join(F.broadcast(of_all), "metric")  # a row for each language and ratio, and one for each ratio
+    groups = sketch.select("lang", "source", "metric").distinct()
+    own = sketch.join(scales, ["lang", "metric"]).withColumn("n", F.col("n") * F.col("r_lang") * F.col("r_all"))
+    near = groups.join(wide, ["lang", "metric"]).join(scales, ["lang", "metric"]).withColumn("n", weight * F.col("n") * F.col("r_all"))
+    far = groups.join(F.broadcast(whole), "metric").join(scales, ["lang", "metric"]).withColumn("n", weight * F.col("n") * F.col("r_lang"))  # some hundred buckets
+    names = ["lang", "source", "metric", "bucket", "n"]
+    return own.select(*names).unionByName(near.select(*names)).unionByName(far.select(*names)).groupBy(*names[:-1]).agg(F.sum("n").alias("n"))
+
+
+def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, metric, last): the last bucket that is not odd: half a gap above the first bucket, from the median on, after which a range of GAP is as good as empty."""
+    order = Window.partitionBy(*by, "metric").orderBy("bucket")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.coalesce(F.sum("n").over(order.rangeBetween(1, WIDTH)), F.lit(0.0))
+    run = sketch.select(*by, "metric", "bucket", upto.alias("upto"), after.alias("after"), F.sum("n").over(Window.partitionBy(*by, "metric")).alias("rows"))
+    return run.where((2 * F.col("upto") >= F.col("rows")) & (TAIL * F.col("after") < F.col("rows"))).groupBy(*by, "metric").agg((F.min("bucket") + WIDTH // 2).alias("last"))
+
+
+def thresholds(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """A row (lang, source, last_<ratio>…) for each group of measured rows that has one that passes the outright rules."""
+    rows = df.where(~failed()).select(F.coalesce(quoted(lang), F.lit("")).alias("lang"), F.coalesce(quoted(source), F.lit("")).alias("source"), *RATIOS)
+    sketch = written(sketches(rows, ["lang", "source"], list(RATIOS)))
+    each = limits(blended(sketch), ["lang", "source"])
+    return each.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("last"))).alias(f"last_{m}") for m in RATIOS])
+
+
+def failed() -> Column:
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
 def judge(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per row of ``df``: its id, counts, ratios, the thresholds of its group, base_failed and kept."""
-    narrow = df.select(F.col(quoted(id)).alias(id), F.col(quoted(text)).alias("__text"), F.coalesce(quoted(lang), F.lit("")).alias("lang"), F.coalesce(quoted(source), F.lit("")).alias("source"))
-    rows = written(measured(narrow, "__text").drop("__text"))
-    limits = written(thresholds(rows, "lang", "source"))
-    out = rows.join(F.broadcast(limits) if small(limits, BROADCAST_ROWS) else limits, ["lang", "source"])
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    """Per row of ``df``: its id, counts, ratios, the last buckets that are not odd in its group, base_failed and kept."""
+    narrow = df.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("t"), F.coalesce(quoted(lang), F.lit("")).alias("lang"), F.coalesce(quoted(source), F.lit("")).alias("source"))
+    rows = written(measured(narrow, "t").drop("t"))
+    table = written(thresholds(rows, "lang", "source"))
+    out = rows.join(F.broadcast(table) if small(table, BROADCAST_ROWS) else table, ["lang", "source"], "left")
     odd = F.lit(False)
-    for m in FLOORS:
-        odd = odd | (F.col(m) > F.col(f"max_{m}"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~odd)
+    for m, (count, _) in RATIOS.items():
+        odd = odd | F.coalesce((F.col(count) > 0) & (bucket(F.col(m)) > F.col(f"last_{m}")), F.lit(False))
+    return out.withColumn("base_failed", failed()).withColumn("kept", ~failed() & ~odd).withColumnRenamed("id", id)
