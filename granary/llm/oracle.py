@@ -58,7 +58,7 @@ parts AS (SELECT lang, source, metric, bucket, n * r_lang * r_all AS n FROM sk J
  UNION ALL SELECT lang, source, metric, bucket, {quality.WEIGHT} * n * r_lang FROM g JOIN whole USING (metric) JOIN rl USING (lang, metric)),
 b AS (SELECT lang, source, metric, bucket, sum(n) AS n FROM parts GROUP BY ALL),
 r AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, coalesce(sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket RANGE BETWEEN 1 FOLLOWING AND {quality.WIDTH} FOLLOWING), 0) AS after, sum(n) OVER (PARTITION BY lang, source, metric) AS rows FROM b),
-lim AS (SELECT lang, source, metric, min(bucket) + {quality.WIDTH // 2} AS last FROM r WHERE 2 * upto >= rows AND {quality.TAIL} * after < rows GROUP BY ALL),
+lim AS (SELECT lang, source, metric, min(bucket) + {quality.WIDTH} AS last FROM r WHERE 2 * upto >= rows AND {quality.TAIL} * after < rows GROUP BY ALL),
 pl AS (SELECT lang, source, {", ".join(f"max(last) FILTER (WHERE metric = '{k}') AS last_{k}" for k in quality.RATIOS)} FROM lim GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_FAILED} AS base_failed, NOT ({_FAILED}) AND NOT ({_ODD}) AS kept FROM x LEFT JOIN pl USING (lang, source)"""
 

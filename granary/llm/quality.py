@@ -8,7 +8,7 @@ share of the rows one source holds. To a group's sketch come those of its langua
 scaled to ``WEIGHT`` rows: a small group leans on them, a large one goes its own way, and nothing
 switches at a size.
 
-A threshold lies where the group's own distribution ends: it is the middle of the first range above the
+A threshold lies where the group's own distribution ends: it is the upper end of the first range above the
 median, ``GAP`` wide as a factor, that holds under ``TAIL`` of the rows. So there is no fixed cutoff: a
 source full of symbols keeps its texts, one where symbols are unknown loses the few that are full of
 them. A text without a trait is never odd in it. Thresholds are then joined to the rows.
@@ -33,7 +33,7 @@ from granary.llm.columns import append_columns, quoted, small, written
 ERROR, WEIGHT = 0.05, 200
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: Words or lines by which a text's ratios are smoothed, the width of an empty range as a factor, and 1/TAIL: the share of rows under which it counts as empty.
-PRIOR, GAP, TAIL = 10, 8.0, 200
+PRIOR, GAP, TAIL = 30, 4.0, 200
 WIDTH = math.ceil(math.log(GAP) / math.log(GAMMA))
 #: Each ratio's count and what it is of.
 RATIOS = {"symbol_ratio": ("n_symbols", "n_words"), "upper_share": ("n_upper_words", "n_words"), "dup_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
@@ -126,12 +126,12 @@ def blended(sketch: DataFrame, weight: int = WEIGHT) -> DataFrame:
 
 
 def limits(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """(by…, metric, last): the last bucket that is not odd: half a gap above the first bucket, from the median on, after which a range of GAP is as good as empty."""
+    """(by…, metric, last): the last bucket that is not odd: the end of the first range of GAP, from the median on, that is as good as empty."""
     order = Window.partitionBy(*by, "metric").orderBy("bucket")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     after = F.coalesce(F.sum("n").over(order.rangeBetween(1, WIDTH)), F.lit(0.0))
     run = sketch.select(*by, "metric", "bucket", upto.alias("upto"), after.alias("after"), F.sum("n").over(Window.partitionBy(*by, "metric")).alias("rows"))
-    return run.where((2 * F.col("upto") >= F.col("rows")) & (TAIL * F.col("after") < F.col("rows"))).groupBy(*by, "metric").agg((F.min("bucket") + WIDTH // 2).alias("last"))
+    return run.where((2 * F.col("upto") >= F.col("rows")) & (TAIL * F.col("after") < F.col("rows"))).groupBy(*by, "metric").agg((F.min("bucket") + WIDTH).alias("last"))
 
 
 def thresholds(df: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:

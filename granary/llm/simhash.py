@@ -8,19 +8,27 @@ segments of a chain must be equal, and of the next ones, among which one bit may
 are equal. Every distinct fingerprint goes out under one key a start and segment left out; those that
 meet under a key are compared chain by chain, most fall out early, the rest get the full check.
 
-Exact copies are one fingerprint before anything is compared. A key's group is compared in one task
-up to ``GROUP`` members; a larger one is cut into blocks, and pairs of blocks are compared in tasks of
-their own. A group gives a spanning forest of its links, never all pairs. Components come from
-large-star and small-star rounds over written tables; nothing of it passes through the driver.
-
-Null and empty texts have fingerprint zero and link like any other. Rows with a null id get the
-component of their fingerprint, whose id is the smallest that is not null (null if there is none).
+Exact copies are one fingerprint before anything is compared. A key's group is compared in one task up
+to ``GROUP`` members, and gives a spanning forest of its links, never all pairs. Keys of more members
+are found by a count that combines before the shuffle, and never meet in a task: their members go out
+under every value within half the distance of theirs, and those that meet under a value are linked to
+its least. Any two fingerprints within the distance share such a value, and a value has a bounded number
+of them, so this is exact, and linear in the members where blocks of pairs would be quadratic.
+Components come from large-star and small-star rounds over written tables; nothing of it passes through
+the driver. Fingerprints with very many copies get their component by broadcast, so no copies meet in
+one task either.
+
+Null and empty texts have fingerprint zero and link like any other; equal texts tie and share all. Rows
+with a null id get the component of their fingerprint, whose id is the smallest that is not null (null if
+there is none). Repeated rows each get their result; an empty table gives no rows; other columns are not
+carried by ``near_duplicates``, and any name will do for ``keep_one``. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.columns import append_columns, quoted, written
+from granary.llm.columns import small as is_small
 
-BITS = 64
-#: Members of a key's group that one task compares with each other; larger groups are cut into blocks of half as many.
+BITS, BROADCAST_KEYS = 64, 500_000
+#: Members of a key's group that one task compares with each other.
 GROUP = 4096
+#: A fingerprint is handed to its rows by broadcast if it has over HOT_ROWS of them and over 1/HOT_SHARE of all; so at most HOT_SHARE are.
+HOT_ROWS, HOT_SHARE = 1000, 200_000
 #: Up to so many members, the pairs of all groups are compared at once, by their offset.
 SMALL = 32
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -102,11 +113,10 @@ class Ring:
         return at[np.bitwise_count(differ) <= self.distance]
 
 
-def _forest(ring: Ring, members: np.ndarray, start: int, other: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links of a group that keep its linked members together; with ``other``, links between the two, likewise."""
+def _forest(ring: Ring, members: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a group that keep its linked members together."""
     edges = []
-    both = members if other is None else np.unique(np.concatenate([members, other]))
-    waiting = both.copy()
+    waiting = members.copy()
     while len(waiting) > 1:
         queue, waiting = [waiting[0]], waiting[1:]
         while queue and len(waiting):
@@ -124,12 +134,11 @@ def _as_links(edges: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordB
     if edges:
         a, b = (np.concatenate(x).astype(np.uint64).view(np.int64) for x in zip(*edges, strict=True))
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-        n = pair.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["a", "b", "key", "members"])
+        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["a", "b"])
 
 
-def _group_runs(ring: Ring, most: int, few: int):
-    """For batches sorted by key: the links within each key's group, and the keys of groups that are too large."""
+def _group_runs(ring: Ring, few: int):
+    """For batches sorted by key: the links within each key's group."""
     starts = np.array([i for i, _ in ring.keys])
 
     def of(keys: np.ndarray) -> np.ndarray:
@@ -149,51 +158,24 @@ def _group_runs(ring: Ring, most: int, few: int):
             near = ring.passes(prints[one] ^ prints[one + gap], of(keys[one]))
             if len(near):
                 edges.append((prints[one[near]], prints[one[near] + gap]))
-        for i in np.flatnonzero((length > few) & (length <= most)):
+        for i in np.flatnonzero(length > few):
             edges += _forest(ring, prints[first[i] : first[i] + length[i]], int(of(keys[first[i]])))
         yield from _as_links(edges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, prints = np.empty(0, np.int64), np.empty(0, np.uint64)
-        large, count = None, 0  # a group of which over most members are read already
         for batch in batches:
-            k, p = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            if large is not None:
-                n = int(np.searchsorted(k, large, side="right"))
-                count, k, p = count + n, k[n:], p[n:]
-                if len(k):
-                    yield _large(large, count)
-                    large = None
-            keys, prints = np.r_[keys, k], np.r_[prints, p]
-            if not len(keys):
-                continue
-            last = int(np.searchsorted(keys, keys[-1]))  # the last group may go on
+            keys, prints = np.r_[keys, batch.column(0).to_numpy()], np.r_[prints, batch.column(1).to_numpy().view(np.uint64)]
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last group may go on
             if last:
                 yield from groups(keys[:last], prints[:last])
-                yield from _larger(keys[:last], most)
                 keys, prints = keys[last:], prints[last:]
-            if len(keys) > most:
-                large, count = int(keys[0]), len(keys)
-                keys, prints = keys[:0], prints[:0]
-        if large is not None:
-            yield _large(large, count)
         if len(keys):
             yield from groups(keys, prints)
-            yield from _larger(keys, most)
 
     return run
 
 
-def _larger(keys: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
-    found, n = np.unique(keys, return_counts=True)
-    for k, c in zip(found[n > most], n[n > most], strict=True):
-        yield _large(int(k), int(c))
-
-
-def _large(key: int, members: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([key], pa.int64()), pa.array([members], pa.int64())], names=["a", "b", "key", "members"])
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -211,25 +193,32 @@ def links(prints: DataFrame, segments: int = 16, distance: int = 4, group: int =
     """Links (a, b) between distinct fingerprints (column ``simhash``) that join all that are linked."""
     ring = Ring(segments, distance)
     rows = keyed(prints, ring)
-    schema = "a bigint, b bigint, key bigint, members bigint"
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    first = written(dealt.mapInArrow(_group_runs(ring, group, small), schema))
-    out = first.where("key is null").select("a", "b")
-    large = first.where("key is not null").select("key", F.ceil(F.col("members") / (group // 2)).cast("int").alias("blocks"))
+    large = written(rows.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > group).select("key"))
     if large.isEmpty():
-        return out
-    block = F.pmod(F.xxhash64("simhash", F.lit(1)), F.col("blocks")).cast("int")
-    inside = rows.join(large, "key").withColumn("block", block)
-    each = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    pairs = inside.select("key", "simhash", F.explode(each).alias("at")).select("key", "at.i", "at.j", "simhash")
+        hot = None
+    else:
+        table = F.broadcast(large) if is_small(large, BROADCAST_KEYS) else large
+        hot = written(rows.join(table, "key", "left_semi").select("simhash").distinct())
+        rows = rows.join(table, "key", "left_anti")
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    out = dealt.mapInArrow(_group_runs(ring, small), "a bigint, b bigint")
+    return out if hot is None else out.unionByName(near_links(hot, distance))
 
-    def compare(table: pa.Table) -> pa.Table:
-        start = ring.keys[table.column("key")[0].as_py() >> 56][0]
-        members = np.unique(table.column("simhash").to_numpy().view(np.uint64))
-        found = list(_as_links(_forest(ring, members, start)))
-        return pa.Table.from_batches(found).select(["a", "b"]) if found else pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
-    return out.unionByName(pairs.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
+def near_links(prints: DataFrame, distance: int) -> DataFrame:
+    """Links (a, b) that join all of ``prints`` within the distance, by the values that they share.
+
+    Of two fingerprints within the distance, one has a value in the middle within half of it, rounded
+    down, the other within half of it, rounded up. So all who meet at a value are linked to the least of
+    those within the smaller half: no further than the distance from any of them.
+    """
+    least, most = distance // 2, (distance + 1) // 2
+    flips = [(_signed(sum(1 << b for b in bits)), n <= least) for n in range(most + 1) for bits in combinations(range(BITS), n)]
+    masks = lambda near: F.lit([m for m, x in flips if x == near]).cast("array<bigint>")
+    at = lambda near: F.transform(masks(near), lambda m: F.struct(F.col("simhash").bitwiseXOR(m).alias("value"), F.lit(near).alias("near")))
+    every = at(True) if least == most else F.concat(at(True), at(False))
+    met = prints.select("simhash", F.inline(every)).groupBy("value").agg(F.min(F.when(F.col("near"), F.col("simhash"))).alias("a"), F.collect_set("simhash").alias("members"))  # no more of them than flips
+    return met.where(F.col("a").isNotNull() & (F.size("members") > 1)).select("a", F.explode("members").alias("b")).where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -259,30 +248,47 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, seed: int = 42, segments: int = 16, distance: int = 4, **limits: int) -> DataFrame:
-    """Per row of ``df``: its id, ``simhash`` (a signed 64-bit integer) and ``component_id``, the smallest id among all rows that links reach."""
-    prints = written(add_fingerprints(df.select(F.col(quoted(id)).alias("id"), F.col(quoted(text)).alias("t")), "t", shingle, seed).select("id", "simhash"))
-    classes = written(prints.groupBy("simhash").agg(F.min("id").alias("least")))
+def _classes(df: DataFrame, text: str, id: str, shingle: int, seed: int, segments: int, distance: int, limits: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, simhash) of each row, and (simhash, component_id, n) of each fingerprint, n being its rows."""
+    body = F.col(quoted(text))
+    given = df.select(F.col(quoted(id)).alias("id"), F.xxhash64(body).alias("text_key"), body.alias("t"))
+    prints = written(add_fingerprints(given, "t", shingle, seed).select("id", "text_key", "simhash"))
+    classes = written(prints.groupBy("simhash").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     found = written(components(links(classes.select("simhash"), segments, distance, **limits)))
     member = classes.join(found, classes.simhash == found.node)
     root = member.groupBy("root").agg(F.min("least").alias("least"))
     wider = found.join(root, "root").select(F.col("node").alias("simhash"), F.col("least").alias("component"))
-    least = classes.join(wider, "simhash", "left").select("simhash", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(least, "simhash").select(F.col("id").alias(id), "simhash", "component_id")
+    return prints, written(classes.join(wider, "simhash", "left").select("simhash", F.coalesce("component", "least").alias("component_id"), "n"))
 
 
-def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df`` whose id is their component's: one document of each group of near-duplicates.
+def _labelled(prints: DataFrame, classes: DataFrame) -> DataFrame:
+    """``prints`` with component_id. Fingerprints with very many rows are broadcast (HOT_SHARE of them at most), the others joined by shuffle."""
+    rows = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.col("n") > max(HOT_ROWS, rows // HOT_SHARE)
+    hot, cold = classes.where(many).select("simhash", "component_id"), classes.where(~many).select("simhash", "component_id")
+    return prints.join(F.broadcast(hot), "simhash").unionByName(prints.join(F.broadcast(hot.select("simhash")), "simhash", "left_anti").join(cold, "simhash"))
 
-    Rows that repeat both id and text count once; rows that share an id but not the text are kept
-    apart unless they link to a smaller id. Rows with a null id cannot stand for a group: all stay.
-    """
-    from pyspark.sql import Window
 
-    key, body = F.col(quoted(id)), F.col(quoted(text))
-    kept = near_duplicates(df, text, id, **options).where(key == F.col("component_id")).select(key.alias("__kept")).distinct()
-    rest = [F.col(quoted(c)) for c, kind in df.dtypes if c not in (id, text) and "map<" not in kind and kind != "variant"]
-    repeats = Window.partitionBy(key, F.xxhash64(body)).orderBy(F.xxhash64(F.lit(0), *rest))
-    once = df.join(kept, key == F.col("__kept"), "left_semi").withColumn("__n", F.row_number().over(repeats)).where("__n = 1").drop("__n")
-    return once.unionByName(df.where(key.isNull()))
+def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, seed: int = 42, segments: int = 16, distance: int = 4, **limits: int) -> DataFrame:
+    """Per row of ``df``: its id, ``simhash`` (a signed 64-bit integer) and ``component_id``, the smallest id among all rows that links reach."""
+    prints, classes = _classes(df, text, id, shingle, seed, segments, distance, limits)
+    return _labelled(prints, classes).select(F.col("id").alias(id), "simhash", "component_id")
+
 
+def keep_one(df: DataFrame, text: str = "text", id: str = "doc_id", shingle: int = 4, seed: int = 42, segments: int = 16, distance: int = 4, **limits: int) -> DataFrame:
+    """The rows of ``df`` whose id is their component's: one document of each group of near-duplicates.
+
+    Rows that repeat both id and text count once, by their other columns; rows that share an id but not
+    the text are kept apart unless they link to a smaller id. Rows with a null id cannot stand for a
+    group: all stay.
+    """
+    prints, classes = _classes(df, text, id, shingle, seed, segments, distance, limits)
+    kept = written(_labelled(prints, classes).where("id = component_id").groupBy("id", "text_key").agg(F.count("*").alias("n")))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    given = df.toDF(*names).withColumn("k0", F.col(names[df.columns.index(id)])).withColumn("k1", F.xxhash64(F.col(names[df.columns.index(text)])))
+    mine = lambda n: kept.where(n).select(F.col("id").alias("k0"), F.col("text_key").alias("k1"))
+    once = given.join(mine("n = 1"), ["k0", "k1"], "left_semi").select(*names)
+    rest = [F.col(c) for c, (old, kind) in zip(names, df.dtypes, strict=True) if old not in (id, text) and "map<" not in kind and kind != "variant"]
+    # rows alike are combined before the shuffle, however many there are
+    several = given.join(mine("n > 1"), ["k0", "k1"], "left_semi").groupBy("k0", "k1").agg(F.min_by(F.struct(*names), F.xxhash64(F.lit(0), *rest)).alias("row")).select(*[F.col(f"row.{c}").alias(c) for c in names])
+    return once.unionByName(several).toDF(*df.columns).unionByName(df.where(F.col(quoted(id)).isNull()))

@@ -7,12 +7,18 @@ text, so copies never sit on both sides. Features are whole words and word begin
 chosen within each fit by how far their share among positive rows stands out; a long text thus gains
 nothing by its length. The threshold of the last category is the one with the best F1 out of fold at a precision of ``PRECISION``.
 
-The chain is fitted on a bounded sample of labelled rows: the ``most_positive`` and
-``most_negative`` rows with the smallest hash of their id. Everything else runs over all rows: each
+Labels are one flag. The categories before it are kinds of toxic rows found in the labelled texts
+themselves: those rows are parted by the features in which they stand out, each going with the rows that
+share most of them (spherical k-means from the two rows least alike).
+
+The chain is fitted on a bounded sample of labelled rows that have a text: the ``most_positive`` and
+``most_negative`` rows with the smallest hashes of their id, then of their text. Everything else runs over all rows: each
 labelled row is scored by the models of its fold, which have not seen its text, and the threshold is
 taken from the counts of both labels in narrow ranges of that score.
 Null and empty texts have no features and get the base rates. Labels repeated for an id count as
-positive if one is; ids without a text are ignored; without any positive label nothing is toxic.
+positive if one is; ids without a text are ignored; without any positive label nothing is toxic. Equal
+texts, so repeated rows too, get equal scores; a score on the threshold is toxic; an empty table gives no
+rows; columns that bear a result's name are replaced, all others stay; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,11 +36,8 @@ from granary.llm.columns import append_columns, quoted, small
 
 #: Labelled rows of either kind that a chain is fitted on.
 MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
-#: Categories before the last: rows labelled toxic that hold one of these words are its positive rows.
-SEEDS = {
-    "insult": ("idiot", "moron", "stupid", "clown", "loser"),
-    "contempt": ("trash", "scum", "worthless", "disgusting", "pathetic"),
-}
+#: Kinds of toxic rows, the categories before the last, and the rounds that part them.
+KINDS, ROUNDS = 2, 20
 #: Out-of-fold precision that the threshold keeps where it can: clean texts are left alone.
 PRECISION = 0.98
 FOLDS, PREFIXES = 5, (4, 5, 6, 7)
@@ -213,18 +216,49 @@ def _labels(labels: DataFrame, id: str, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, most_positive: int, most_negative: int) -> DataFrame:
-    """(t, y): the texts of the bounded sample of labelled rows."""
-    each = _labels(labels, id, label)
-    order = [F.xxhash64("_id"), "_id"]
-    ids = each.where("y = 1").orderBy(*order).limit(most_positive).unionByName(each.where("y = 0").orderBy(*order).limit(most_negative))
-    return docs.select(F.col(quoted(id)).alias("_id"), F.col(quoted(text)).alias("t")).where("t is not null").join(F.broadcast(ids), "_id").select("t", "y")
+    """(t, y): the texts of the bounded sample of labelled rows. Ids are sampled among those that have a text; where ids repeat, the bound holds for rows too."""
+    texts = docs.select(F.col(quoted(id)).alias("_id"), F.col(quoted(text)).alias("t")).where("t is not null")
+    each = _labels(labels, id, label).join(texts.select("_id").distinct(), "_id")
+    first = [F.xxhash64("_id"), "_id"]
+    ids = each.where("y = 1").orderBy(*first).limit(most_positive).unionByName(each.where("y = 0").orderBy(*first).limit(most_negative))
+    rows = texts.join(F.broadcast(ids), "_id")  # bounded by the sample
+    order = [*first, F.xxhash64("t"), "t"]
+    return rows.where("y = 1").orderBy(*order).limit(most_positive).unionByName(rows.where("y = 0").orderBy(*order).limit(most_negative)).select("t", "y")
+
+
+def kinds(texts: Sequence[str | None], y: np.ndarray, n: int = KINDS, rounds: int = ROUNDS) -> np.ndarray:
+    """One row of 0/1 a kind: the positive texts parted by the features in which positive rows stand out. Every positive text is of one kind; ties go to the first."""
+    out = np.zeros((n, len(texts)))
+    words = _Features()
+    rows = [features(t, words) for t in texts]
+    chosen, weight = choose(rows, y)
+    positive = np.flatnonzero(y)
+    if not len(positive):
+        return out
+    x = np.zeros((len(positive), len(chosen)), dtype=np.float32)  # as many rows as the sample has positive ones, at most
+    at, of = _present([rows[i] for i in positive], chosen)
+    x[at, of] = weight[of]
+    # a feature that nearly all of them share does not part them
+    share = (x > 0).mean(axis=0)
+    x *= np.where(share > 0, np.log(1 / np.maximum(share, 1e-9)), 0)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    middle = x.sum(axis=0)
+    centres = [x[int(np.argmin(x @ middle))]]
+    while len(centres) < n:
+        centres.append(x[int(np.argmin(np.max(x @ np.array(centres).T, axis=1)))])
+    c = np.array(centres)
+    for _ in range(rounds):
+        of = np.argmax(x @ c.T, axis=1)
+        c = np.array([x[of == k].sum(axis=0) if (of == k).any() else c[k] for k in range(n)])
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    out[np.argmax(x @ c.T, axis=1), positive] = 1.0
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", seeds: dict[str, Sequence[str]] = SEEDS, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> Chain:
-    # repeated ids of documents may give more rows than ids; the bound holds for rows too
-    got = sample(docs, labels, text, id, label, most_positive, most_negative).limit(2 * (most_positive + most_negative)).toPandas().sort_values(["t", "y"])
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", n_kinds: int = KINDS, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> Chain:
+    got = sample(docs, labels, text, id, label, most_positive, most_negative).toPandas().sort_values(["t", "y"])
     texts, y = got["t"].tolist(), got["y"].to_numpy(dtype=float)
-    chain = {name: y * np.array([float(not set(_WORD.findall(t.lower())).isdisjoint(words)) for t in texts]) for name, words in seeds.items()}
+    chain = {f"kind{i + 1}": of for i, of in enumerate(kinds(texts, y, n_kinds))}
     out = fit_chain(texts, chain | {label: y})
     out.threshold, out.held_out_f1 = threshold(docs, labels, out, text, id, label)
     return out

@@ -124,12 +124,34 @@ def test_links_keep_dense_groups_together(spark, segments, limits):
                 assert (got[a] == got[b]) == (roots[a] == roots[b])
 
 
+@pytest.mark.parametrize("distance", [3, 4])
+def test_links_of_hot_keys_equal_all_pairs(spark, distance):
+    rnd = np.random.default_rng(2)
+    values = {int(c) ^ sum(1 << int(b) for b in rnd.choice(64, n, replace=False)) for c in rnd.integers(0, 1 << 62, 4) for n in rnd.integers(0, 6, 40)}
+    prints = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "simhash long")
+    got = {r.node % (1 << 64): r.root for r in simhash.components(simhash.near_links(prints, distance)).collect()}
+    roots = linked({v: v for v in values}, distance)
+    size = Counter(roots.values())
+    assert {v for v in values if size[roots[v]] > 1} == set(got)
+    assert len({(roots[v], got[v]) for v in got}) == len({roots[v] for v in got}) == len(set(got.values()))
+
+
+def test_keep_one_of_rows_that_share_an_id(spark):
+    text = "a long enough text of its own with several words to be told apart from all of the others number {}"
+    rows = [(0, text.format("one"), "x"), (1, text.format("two two two three four five six seven"), "x"), (1, text.format("one"), "x"), (1, text.format("two two two three four five six seven"), "x"), (2, text.format("one"), "y")]
+    df = spark.createDataFrame(rows, "`doc_id` long, text string, `a.b` string").withColumn("k0", F.lit("clash"))
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted((r[0], r[1]) for r in got.collect()) == sorted({rows[0][:2], rows[1][:2]})
+
+
 def test_simhash_of_odd_rows(spark):
     got = simhash.near_duplicates(odd(spark)).collect()
     assert len(got) == len(ODD)
     by = {r.doc_id: r for r in got}
     assert by[0].simhash == by[1].simhash == by[2].simhash == 0 and by[1].component_id == 0
     assert by[9].component_id == by[10].component_id == 9
+    assert simhash.keep_one(odd(spark).limit(0)).count() == 0
     kept = simhash.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns
     ids = sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None)
@@ -296,7 +318,7 @@ def test_toxicity_held_out(spark):
     test = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
     marked = docs.join(labels, "doc_id")
     chain = toxicity.fit(docs.where(~test), labels)
-    assert chain.categories == ["insult", "contempt", "toxic"]
+    assert chain.categories == ["kind1", "kind2", "toxic"]
     assert len(chain.models[2].dense) == 2
     got = toxicity.classify(marked.where(test), chain).select("toxic", "is_toxic").collect()
     right = sum(bool(r.toxic) == r.is_toxic for r in got) / len(got)
@@ -304,6 +326,45 @@ def test_toxicity_held_out(spark):
     assert sum(r.is_toxic and not r.toxic for r in got) <= 0.03 * len(got)
 
 
+def test_toxic_kinds_come_from_the_data():
+    """Two sorts of toxic rows with words of their own are told apart, whatever the words are; copies get the same kind."""
+    rnd = np.random.default_rng(8)
+    one, two, rest = ([f"{p}{i}" for i in range(30)] for p in ("qua", "zet", "mild"))
+    word = lambda xs, n: " ".join(rnd.choice(xs, n))
+    texts = [word(rest, 20) + " " + word(one if i % 3 else two, 6) for i in range(90)] + [word(rest, 26) for _ in range(300)]
+    y = np.r_[np.ones(90), np.zeros(300)]
+    kinds = toxicity.kinds(texts, y, 2)
+    assert (kinds.sum(axis=0) == y).all() and sorted(kinds.sum(axis=1)) == [30, 60]
+    for i in range(90):
+        assert (kinds[:, i] == kinds[:, 1 if i % 3 else 0]).all()
+    assert (toxicity.kinds(texts, np.zeros(390), 2) == 0).all()
+
+
+def test_toxicity_sample_is_of_rows_that_have_texts(spark):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.range(40_000).select(F.col("id").alias("doc_id"), (F.col("id") % 4 == 0).cast("int").alias("toxic"))
+    assert toxicity.sample(docs, labels, "text", "doc_id", "toxic", 2500, 5000).count() == 400
+    got = toxicity.sample(docs.unionByName(docs), labels, "text", "doc_id", "toxic", 30, 50)
+    assert {r.y: r["count"] for r in got.groupBy("y").count().collect()} == {1: 30, 0: 50}
+
+
+def test_toxicity_equals_a_chain_written_out(spark):
+    """The query's scores and verdicts against the models applied one by one to each text."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, sf).collect()}
+    for r in docs.limit(300).collect():
+        names = {n for w in set(toxicity._WORD.findall(r.text.lower())) for n in [w, *[w[:k] + "*" for k in toxicity.PREFIXES if len(w) > k]]}
+        present = {xxhash.xxh64_intdigest(n) % toxicity.SPACE for n in names}
+        p = []
+        for m in chain.models:
+            score = m.bias + sum(w for f, w in zip(m.chosen, m.weights, strict=True) if int(f) in present) + sum(a * b for a, b in zip(p, m.dense, strict=True))
+            p.append(1 / (1 + np.exp(-score)))
+        assert np.allclose([got[r.doc_id][f"p_{c}"] for c in chain.categories], p, atol=2e-6)
+        assert got[r.doc_id].toxic == (p[-1] >= chain.threshold)
+
+
 def test_toxicity_of_odd_rows(spark):
     labels = spark.createDataFrame([(1, 0), (None, 1), (5, None), (4, 0)], "doc_id long, toxic int")
     chain = toxicity.fit(odd(spark), labels)
@@ -542,6 +603,29 @@ def test_quantile_sketch_error(spark):
         assert abs(got - exact) <= 1.05 * quality.ERROR * exact
 
 
+def test_quality_thresholds_follow_the_group(spark):
+    """The same symbols are odd where hardly any text has them, and usual in a source that is full of them; the table's size changes nothing."""
+    plain = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    full = lambda i: " ".join(f"w{i}x{j} #" for j in range(30))
+    prose = [(i, plain(i), "en", "prose") for i in range(400)]
+    code = [(1000 + i, full(i), "en", "code") for i in range(400)]
+    few = [(2000, full(2000), "en", "prose"), (2001, plain(2001) + " #", "en", "prose")]
+    schema = "doc_id long, text string, lang string, source string"
+    for most in (400, 40):
+        got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(prose[:most] + code[:most] + few, schema)).collect()}
+        assert not got[2000] and got[2001] and sum(got.values()) == len(got) - 1
+    limits = quality.thresholds(quality.measured(spark.createDataFrame(prose + code + few, schema))).collect()
+    assert len({r.last_symbol_ratio for r in limits}) == 2
+
+
+def test_quality_limits_are_not_one_cutoff(spark):
+    rows = quality.measured(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text", "lang", "source"))
+    got = quality.thresholds(rows)
+    for m in quality.RATIOS:
+        assert got.select(f"last_{m}").distinct().count() > 1
+    assert got.select(*[f"last_{m}" for m in quality.RATIOS]).distinct().count() > 10
+
+
 def test_quality_of_odd_rows(spark):
     got = quality.judge(odd(spark)).collect()
     assert len(got) == len(ODD)
