@@ -1,60 +1,57 @@
 """License scans by diagonal voting.
 
-Templates are word sequences: short phrases and notices. Every rolling word k-gram of a document joins
-the places of the same k-gram in the templates; each meeting is a vote for the diagonal (place in the
-document minus place in the template). An exact occurrence puts all its votes on one diagonal; inserted
-or dropped words move the votes to a neighbouring one, so diagonals at most ``SLACK`` apart merge to
-a span. A phrase is found where one diagonal has all votes, a notice where the votes of a merged span
-cover ``COVER`` of the template; the document's own words then decide: a phrase's must be equal, and
-of a notice's that share must stand in the span.
-
-Built-in functions only; the votes, not the texts, are grouped. Null and empty texts have no words.
-Repeated rows each get their result.
+Templates are word sequences: short phrases, notices, whole license texts and identifiers. Every rolling
+word k-gram of a document joins the places of the same k-gram in the templates; each meeting is a vote for
+the diagonal (place in the document minus place in the template). An exact occurrence puts all its votes
+on one diagonal; inserted or dropped words move the votes to a neighbouring one, so diagonals at most
+``SLACK`` apart merge to a span. The document's own words then decide: a vote counts if the gram's words
+stand in order where its diagonal puts them. A phrase is found where one diagonal has all votes, another
+template where those of a merged span cover the share that it needs.
+
+Built-in functions only; the votes, not the texts, are grouped. Null and empty texts have no words. Equal
+labels count once; overlapping spans all count; repeated rows each get their result; an empty table gives
+no rows; other columns are not carried, so none can clash. Very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.columns import written
+from granary.llm.license_texts import NOTICES, PHRASES
 from granary.llm.wordgrams import gram, joined, keyed, occurrences, with_lists, words
 
-#: Phrases that count wherever all their words stand consecutively: (label, phrase).
-PHRASES = [("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved")]
-#: Notices that may differ by a few words: (label, notice). Public wording of well-known licenses.
-NOTICES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-]
-#: Words of a rolling gram (shorter phrases use grams of their own length), diagonals that merge, and the cover that a notice needs.
-GRAM, SLACK, COVER = 3, 2, 0.6
+#: Words of a rolling gram (shorter templates use grams of their own length), and diagonals that merge.
+GRAM, SLACK = 3, 2
+
+
+def wordings(phrases=PHRASES, notices=NOTICES) -> list[list[str]]:
+    """The words of each template, by its number: phrases first."""
+    return [re.findall("[0-9a-z]+", text.lower()) for *_, text in [*phrases, *notices]]
 
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES, k: int = GRAM) -> DataFrame:
-    """A row (template, label, exact, k, total, place, h, wording) for each k-gram of each template."""
-    given = [(i, label, text, True) for i, (label, text) in enumerate(phrases)]
-    given += [(len(given) + i, label, text, False) for i, (label, text) in enumerate(notices)]
-    rows = spark.createDataFrame(given, "template int, label string, text string, exact boolean").withColumn("w", words(F.col("text"))).where(F.size("w") > 0)
+    """A row (template, label, exact, need, k, total, place, h) for each k-gram of each template; ``need`` is the share that a span must cover."""
+    given = [(label, True, 1.0) for label, _ in phrases] + [(label, False, need) for label, need, _ in notices]
+    of = [(i, *g, w) for i, (g, w) in enumerate(zip(given, wordings(phrases, notices), strict=True)) if w]
+    rows = spark.createDataFrame(of, "template int, label string, exact boolean, need double, w array<string>")
     rows = rows.withColumn("k", F.least(F.lit(k), F.size("w"))).withColumn("total", F.size("w") - F.col("k") + 1)
     places = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("total") - 1)))
     h = F.lit(None).cast("bigint")
     for n in range(1, k + 1):
         h = F.when(F.col("k") == n, gram(F.col("w"), F.col("place"), n)).otherwise(h)
-    return places.select("template", "label", "exact", "k", "total", "place", h.alias("h"), F.col("w").alias("wording"))
+    return places.select("template", "label", "exact", "need", "k", "total", "place", h.alias("h"))
 
 
 def spans(df: DataFrame, places: DataFrame, text: str = "text", id: str = "doc_id", slack: int = SLACK) -> DataFrame:
-    """A row (id, text_key, template, exact, first, last, cover) for each merged span of votes: its first and last word and the share of the template that it covers."""
+    """A row (id, text_key, template, exact, k, total, first, last, cover, votes) for each merged span of votes.
+
+    first and last are its first and last word, cover is the share of the template's places that have a
+    vote, votes are its diagonals with the places of each.
+    """
     sizes = sorted(r[0] for r in places.select("k").distinct().collect())
     met = joined(occurrences(keyed(df, text, id), sizes), places.select("template", "exact", "k", "total", "place", "h"), "h")
     # rows alike in id and text vote the same; a diagonal's votes are the distinct places of the template
@@ -65,32 +62,37 @@ def spans(df: DataFrame, places: DataFrame, text: str = "text", id: str = "doc_i
     one = merged.groupBy("id", "text_key", "template", "exact", "total", "k", "span").agg(
         F.min(F.col("diagonal") + F.array_min("places")).alias("first"),
         F.max(F.col("diagonal") + F.array_max("places") + F.col("k") - 1).alias("last"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("found"),
+        F.collect_list(F.struct("diagonal", "places")).alias("votes"),
     )
-    return one.select("id", "text_key", "template", "exact", "first", "last", (F.col("found") / F.col("total")).alias("cover"))
+    found = F.size(F.array_distinct(F.flatten(F.transform("votes", lambda v: v["places"]))))
+    return one.select("id", "text_key", "template", "exact", "k", "total", "first", "last", (found / F.col("total")).alias("cover"), "votes")
 
 
-def scan(df: DataFrame, text: str = "text", id: str = "doc_id", cover: float = COVER, phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack: int = SLACK) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", id: str = "doc_id", phrases=PHRASES, notices=NOTICES, k: int = GRAM, slack: int = SLACK) -> DataFrame:
     """Per row of ``df``: (id, text_key, n_words, n_base, first_word, last_word, base_labels, labels, score).
 
     n_base counts the places of phrases, first_word and last_word are the smallest and largest start;
-    labels also hold those of notices covered to ``cover``; score is the best cover of any template.
+    labels also hold those of notices whose need is covered; score is the best cover of any template.
     """
     places = templates(df.sparkSession, phrases, notices, k)
-    wording = places.select("template", "label", "wording").distinct()
-    found = spans(df, places, text, id, slack).where(~F.col("exact") | (F.col("cover") == 1.0)).join(F.broadcast(wording), "template")  # a few hundred rows: the constant templates
-    lists = written(found.groupBy("id", "text_key").agg(F.collect_list(F.struct("label", "exact", "first", "last", "cover", "wording")).alias("spans")))
+    facts = places.select("template", "label", "need").distinct()
+    # a span that cannot reach a half of its need tells nothing; the facts are a few hundred rows, the constant templates
+    found = spans(df, places, text, id, slack).join(F.broadcast(facts), "template").where(F.when(F.col("exact"), F.col("cover") == 1.0).otherwise(2 * F.col("cover") >= F.col("need")))
+    lists = written(found.groupBy("id", "text_key").agg(F.collect_list(F.struct("template", "label", "exact", "need", "k", "total", "first", "last", "votes")).alias("spans")))
     rows = with_lists(keyed(df, text, id), lists, "spans").select("id", "text_key", "spans", words(F.col("t")).alias("w"))
+    known = F.lit(wordings(phrases, notices)) if phrases or notices else F.array(F.array().cast("array<string>"))
 
-    def holds(s):
-        part = F.slice(F.col("w"), s["first"] + 1, s["last"] - s["first"] + 1)
-        share = F.size(F.array_intersect(s["wording"], part)) / F.size(F.array_distinct(s["wording"]))
-        return F.when(s["exact"], part == s["wording"]).otherwise(share >= F.least(F.lit(cover), s["cover"]))
+    def sure(s):
+        """The share of the template's grams whose words, in their order, stand where a diagonal puts them."""
+        of = F.get(known, s["template"])
+        same = F.transform(s["votes"], lambda v: F.filter(v["places"], lambda p: F.slice(of, p + 1, s["k"]) == F.slice(F.col("w"), v["diagonal"] + p + 1, s["k"])))
+        cover = F.size(F.array_distinct(F.flatten(same))) / s["total"]
+        return F.struct(s["label"].alias("label"), s["exact"].alias("exact"), s["first"].alias("first"), s["need"].alias("need"), cover.alias("cover"))
 
-    rows = rows.withColumn("sure", F.filter("spans", holds))
+    rows = rows.withColumn("sure", F.filter(F.transform("spans", sure), lambda s: ~s["exact"] | (s["cover"] == 1.0)))
     base = F.filter("sure", lambda s: s["exact"])
     starts = F.transform(base, lambda s: s["first"])
-    named = F.filter("sure", lambda s: s["exact"] | (s["cover"] >= cover))
+    named = F.filter("sure", lambda s: s["cover"] >= s["need"])
     labels = lambda found: F.coalesce(F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda s: s["label"]))), ","), F.lit(""))
     return rows.select(
         F.col("id").alias(id), "text_key", F.size("w").cast("bigint").alias("n_words"), F.coalesce(F.size(base), F.lit(0)).cast("bigint").alias("n_base"),

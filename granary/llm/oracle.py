@@ -19,22 +19,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 
 
 def _templates() -> str:
-    rows = [(label, text, True) for label, text in license_scan.PHRASES] + [(label, text, False) for label, text in license_scan.NOTICES]
-    words = lambda t: ", ".join(f"'{w}'" for w in re.findall(r"[0-9a-z]+", t.lower()))
-    return ", ".join(f"({i}, '{label}', {str(exact).lower()}, [{words(text)}])" for i, (label, text, exact) in enumerate(rows))
+    rows = [(label, True, 1.0) for label, _ in license_scan.PHRASES] + [(label, False, need) for label, need, _ in license_scan.NOTICES]
+    listed = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    return ", ".join(f"({i}, '{label}', {str(exact).lower()}, {need}::DOUBLE, [{listed(w)}])" for i, ((label, exact, need), w) in enumerate(zip(rows, license_scan.wordings(), strict=True)))
 
 
-LICENSE_SCAN = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT *, least({license_scan.GRAM}, len(wording)) AS k FROM (VALUES {_templates()}) v(template, label, exact, wording)),
-p AS (SELECT template, label, exact, k, wording, len(wording) - k + 1 AS total, place, array_to_string(wording[place + 1:place + k], ' ') AS g FROM t, unnest(range(0, len(wording) - k + 1)) u(place)),
+LICENSE_SCAN = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), t AS (SELECT *, least({license_scan.GRAM}, len(wording)) AS k FROM (VALUES {_templates()}) v(template, label, exact, need, wording)),
+p AS (SELECT template, label, exact, need, k, len(wording) - k + 1 AS total, place, array_to_string(wording[place + 1:place + k], ' ') AS g FROM t, unnest(range(0, len(wording) - k + 1)) u(place)),
 g AS (SELECT doc_id, "at", k, array_to_string(w["at" + 1:"at" + k], ' ') AS g FROM d, (SELECT DISTINCT k FROM t) z, unnest(range(0, len(w) - k + 1)) u("at")),
-v AS (SELECT doc_id, template, label, exact, g.k, wording, total, "at" - place AS diagonal, list(DISTINCT place) AS places FROM g JOIN p ON g.k = p.k AND g.g = p.g GROUP BY ALL),
+v AS (SELECT doc_id, template, label, exact, need, g.k, total, "at" - place AS diagonal, list(DISTINCT place) AS places FROM g JOIN p ON g.k = p.k AND g.g = p.g GROUP BY ALL),
 f AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER o <= {license_scan.SLACK} IS NOT TRUE THEN 1 ELSE 0 END AS fresh FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM f),
-s AS (SELECT doc_id, template, label, exact, wording, span, min(diagonal + list_min(places)) AS first, max(diagonal + list_max(places) + k - 1) AS last, len(list_distinct(flatten(list(places)))) / max(total)::DOUBLE AS cover FROM n GROUP BY ALL),
-c AS (SELECT s.*, w[first + 1:last + 1] AS part FROM s JOIN d USING (doc_id) WHERE NOT exact OR cover = 1),
-ok AS (SELECT * FROM c WHERE CASE WHEN exact THEN part = wording ELSE len(list_intersect(wording, part))::DOUBLE / len(list_distinct(wording)) >= least({license_scan.COVER}::DOUBLE, cover) END),
+s AS (SELECT doc_id, template, label, exact, need, span, min(diagonal + list_min(places)) AS first, len(list_distinct(flatten(list(places)))) / max(total)::DOUBLE AS cover FROM n GROUP BY ALL),
+ok AS (SELECT * FROM s WHERE CASE WHEN exact THEN cover = 1 ELSE 2 * cover >= need END),
 r AS (SELECT doc_id, count(*) FILTER (WHERE exact) AS n_base, min(first) FILTER (WHERE exact) AS first_word, max(first) FILTER (WHERE exact) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels,
- string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact OR cover >= {license_scan.COVER}::DOUBLE) AS labels, max(cover) AS score FROM ok GROUP BY doc_id)
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE cover >= need) AS labels, max(cover) AS score FROM ok GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN r USING (doc_id)"""
 
 

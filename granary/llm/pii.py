@@ -8,7 +8,10 @@ generator of positive and negative examples, give a probability; a threshold for
 lowest at which held-out precision is ``PRECISION``, selects spans; where selected spans overlap, the
 likelier stays. Base spans (matches that pass their check) always stay, and a span that overlaps one goes.
 
-Null and empty texts have no spans. Offsets are code points, end exclusive.
+Null and empty texts have no spans. Offsets are code points, end exclusive. Of selected spans that meet
+and are equally likely, the one first by kind, then place, stays; repeated rows each get their result; an
+empty table gives no rows; a column that bears the result's name is replaced, all others stay. Very long
+texts and very long runs are read whole.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +37,7 @@ LIKE = ("email_like", "ip_like", "card_like", "phone_like")
 KINDS = BASE + EXTRA + LIKE
 PRECISION = 0.98
 #: Examples of either label in the generated training and held-out sets, and the trees.
-EXAMPLES, TREES, DEPTH, RATE, BINS = 3000, 40, 3, 0.3, 24
+EXAMPLES, TREES, DEPTH, RATE, BINS = 3000, 60, 4, 0.3, 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -81,19 +85,19 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-#: Generators: wide patterns, each linear in the text. A span may come from several.
+#: Generators: wide patterns, each linear in the text and without a bound on a run's length. A span may come from several.
 _WIDE = [
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=.-]{8,200})"), 1),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+=.-])([A-Za-z0-9_]{24,200})(?![A-Za-z0-9_/+=.-])"), 1),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+=.-]{8,}+)"), 1),
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+=.-])([A-Za-z0-9_]{24,}+)(?![A-Za-z0-9_/+=.-])"), 1),
     ("account", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), 1),
     ("identity", re.compile(r"(?<![0-9.-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])"), 1),
     ("identity", re.compile(r"(?<![A-Za-z0-9.-])([A-Z]{1,2}[0-9]{6,9}[A-Z]?)(?![A-Za-z0-9-])"), 1),
     ("local_phone", re.compile(r"(?<![0-9+.-])(\(?[0-9]{2,5}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20.-][0-9]{3,4})(?![0-9-])"), 1),
-    ("address", re.compile(r"(?i)(?<![a-z0-9])([a-z0-9._-]{2,40}\s?[\[(]?\s?(?:at|@)\s?[\])]?\s?[a-z0-9-]{2,40}\s?[\[(]\s?dot\s?[\])]\s?[a-z]{2,10})(?![a-z0-9])"), 1),
+    ("address", re.compile(r"(?i)(?<![a-z0-9._-])([a-z0-9._-]{2,}+\s?[\[(]?\s?(?:at|@)\s?[\])]?\s?[a-z0-9-]{2,}+\s?[\[(]\s?dot\s?[\])]\s?[a-z]{2,}+)(?![a-z0-9])"), 1),
 ]
 _LOOKALIKES = [
-    ("email_like", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?@\x20?[A-Za-z0-9-]{2,63}(?:\x20?[.,]\x20?[A-Za-z0-9-]{2,24}){0,3}(?![A-Za-z0-9@-])")),
-    ("ip_like", re.compile(r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){3}(?!\.?[0-9])")),
+    ("email_like", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+\x20?@\x20?[A-Za-z0-9-]{2,}+(?:\x20?[.,]\x20?[A-Za-z0-9-]{2,}+)*+(?![A-Za-z0-9@-])")),
+    ("ip_like", re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){3}(?!\.?[0-9])")),
     ("card_like", re.compile(r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])")),
     ("phone_like", re.compile(r"(?<![A-Za-z0-9+])\+[0-9][\x20().0-9-]{4,24}[0-9](?![0-9])")),
 ]
@@ -109,6 +113,7 @@ _CUES = {
     "card_like": ("card", "visa", "credit", "karte", "tarjeta"),
     "phone_like": ("tel", "phone", "call", "fax", "mobile", "ruf"),
 }
+_TOP = [[x] for x in ("com", "org", "net", "edu", "de", "fr", "es", "uk", "io")]
 _AGAINST = ("version", "isbn", "sha", "md5", "commit", "page", "order", "date", "total", "price", "build", "rev")
 
 
@@ -147,18 +152,18 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(c in before for c in _CUES[kind])), float(any(c in before for c in _AGAINST)),
         float(before[-1:] in ("=", ":", '"', "'")), float(after[:1] in ('"', "'")), float(before[-1:].isalnum()),
         float(all(c in "0123456789abcdefABCDEF" for c in bare)), float(0 < digits < n), float(len(counts) / n),
+        float(re.findall("[A-Za-z]+", s[-24:])[-1:] in _TOP),
     ]
 
 
 def describe_like(text: str, kind: str, start: int, end: int) -> list[float]:
-    """The features of a look-alike: those of other spans, and its groups of digits and last label."""
+    """The features of a look-alike: those of other spans, and its groups of digits."""
     s = text[start:end]
     groups = re.findall("[0-9]+", s) or [""]
     sizes = [len(g) for g in groups]
-    last = re.findall("[A-Za-z]+", s)[-1:] or [""]
     return [
         *describe(text, kind, start, end), float(len(groups)), float(max(sizes)), float(min(sizes)), float(sizes[0]), float(max(int(g or 0) for g in groups)),
-        float(last[0].lower() in ("com", "org", "net", "edu", "de", "fr", "es", "uk", "io")), float(" " in s), float("." in s), float("," in s),
+        float(" " in s), float("." in s), float("," in s),
     ]
 
 
@@ -241,9 +246,11 @@ def _examples(rnd: random.Random, n: int) -> Iterator[tuple[str, str, int, int,
         kind, label = rnd.choice(EXTRA), rnd.randint(0, 1)
         cue = rnd.choice(_CUES[kind]) + rnd.choice([": ", " ", " = "]) if rnd.random() < (0.75 if label else 0.1) else ""
         if kind == "secret":
-            value = rnd.choice([mixed(rnd.randint(16, 44)), mixed(rnd.choice([32, 40, 64]), "0123456789abcdef")]) if label else rnd.choice([mixed(rnd.randint(24, 40), "abcdefghilmnoprstu"), "_".join(mixed(rnd.randint(3, 7), "abcdefghilmnoprstu") for _ in range(5)), mixed(rnd.randint(24, 30), "AENRST")])
+            value = rnd.choice([mixed(rnd.randint(16, 44)), mixed(rnd.choice([32, 40, 64]), "0123456789abcdef"), mixed(rnd.choice([64, 128, 256, 512]))]) if label else rnd.choice([mixed(rnd.randint(24, 40), "abcdefghilmnoprstu"), "_".join(mixed(rnd.randint(3, 7), "abcdefghilmnoprstu") for _ in range(5)), mixed(rnd.randint(24, 30), "AENRST")])
             cue = rnd.choice(["token", "secret", "api_key", "password"]) + rnd.choice([' = "', ": ", "="]) if label or rnd.random() < 0.05 else rnd.choice(["commit ", "sha256 ", "", "", ""])
             value = mixed(40, "0123456789abcdef") if cue in ("commit ", "sha256 ") else value
+            if label and rnd.random() < 0.2:  # a long mixed run needs no keyword
+                cue, value = "", mixed(rnd.choice([28, 36, 48, 64, 128, 256]))
         elif kind == "account":
             value = iban() if label else rnd.choice(["AB", "NO", "ID", "PO"]) + d(2) + rnd.choice(["", " "]).join(["", *[mixed(4, "0123456789ABCDEFGH") for _ in range(rnd.randint(2, 6))]]).strip()
         elif kind == "identity":
@@ -255,7 +262,8 @@ def _examples(rnd: random.Random, n: int) -> Iterator[tuple[str, str, int, int,
             value = f"({d(3)}) {d(3)}-{d(4)}" if label and rnd.random() < 0.5 else f"{d(rnd.randint(3, 4))}{s}{d(3)}{s}{d(4)}" if label else rnd.choice([f"{d(4)}.{d(3)}.{d(3)}", f"{d(2)}.{d(4)} {d(4)}", f"{d(5)}/{d(3)}-{d(3)}"])
             cue = cue if label else rnd.choice(["version ", "price ", "total ", "build ", "", "rev "])
         else:
-            value = f"{mixed(6, 'abcdeimnorst')} {rnd.choice(['at', '[at]', '(at)'])} {mixed(6, 'abcdeimnorst')} {rnd.choice(['[dot]', '(dot)'])} {rnd.choice(['com', 'org', 'net'])}" if label else f"{mixed(3, 'abcdeimnorst')} at {mixed(4, 'abcdeimnorst')} (dot) {mixed(9, 'abcdeimnorst')}"
+            local = rnd.choice([".", "_", ""]).join(mixed(rnd.randint(3, 8), "abcdeimnorst") for _ in range(rnd.choice([1, 1, 2, 3, 12, 25])))
+            value = f"{local} {rnd.choice(['at', '[at]', '(at)'])} {mixed(rnd.randint(3, 12), 'abcdeimnorst')} {rnd.choice(['[dot]', '(dot)'])} {rnd.choice(['com', 'org', 'net'])}" if label else f"{mixed(3, 'abcdeimnorst')} at {mixed(4, 'abcdeimnorst')} (dot) {mixed(9, 'abcdeimnorst')}"
         text = f"{words(rnd.randint(0, 4))} {cue}"
         yield text + value + rnd.choice(["", '"', " ", ".", ", "]) + words(2), kind, len(text), len(text) + len(value), label
 
@@ -338,7 +346,7 @@ def find(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
                 if q >= limits[kind]:
                     more.setdefault(i, []).append((-float(q), kind, a, b))
     for i, found in more.items():
-        taken = sorted((a, b) for _, a, b in base[i])
+        taken = _union((a, b) for _, a, b in base[i])
         for _, kind, a, b in sorted(found):
             if _free(taken, a, b):
                 base[i].append((kind, a, b))
@@ -346,16 +354,23 @@ def find(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
     return base
 
 
-def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether (a, b) meets none of the spans taken; if so it is taken. Spans of different base kinds may overlap, so neighbours are looked at by their furthest end."""
-    from bisect import bisect_left, insort
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The places that spans cover, as spans that do not meet."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
+
+def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether (a, b) meets none of the spans taken, which do not meet each other; if so it is taken."""
     at = bisect_left(taken, (a, b))
-    if at < len(taken) and taken[at][0] < b:
-        return False
-    if any(e > a for _, e in taken[max(0, at - len(BASE)) : at]):
+    if at < len(taken) and taken[at][0] < b or at and taken[at - 1][1] > a:
         return False
-    insort(taken, (a, b))
+    taken.insert(at, (a, b))
     return True
 
 

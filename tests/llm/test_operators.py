@@ -24,7 +24,7 @@ def texts(spark, sf):
 
 def odd(spark, clash=("ids", "simhash", "n_words", "pii", "w", "h", "at", "id", "kept", "p_toxic")):
     rows = [(i if i != 3 else None, t, "en" if i % 2 else None, "s" if i % 3 else None, len(t or "")) + tuple("extra" for _ in clash) for i, t in enumerate(ODD)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash))
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash))
 
 
 def sha(b):
@@ -238,6 +238,27 @@ def test_license_notices_with_changed_words(spark):
     assert license_scan.scan(odd(spark).limit(0)).count() == 0
 
 
+def test_license_templates_get_their_labels(spark):
+    lines = [
+        ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS"),
+        ("apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("mit", "SPDX-License-Identifier: MIT"), ("bsd-3-clause", "spdx-license-identifier: BSD-3-Clause"),
+        ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."), ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."), ("mpl-2.0", "Mozilla Public License Version 2.0"),
+        ("unlicense", "This is free and unencumbered software released into the public domain."), ("gpl-3.0", "under the GNU General Public License, version 3."),
+        ("gpl-2.0", "GNU General Public License v2"), ("lgpl-2.1", "GNU Lesser General Public License, version 2.1"), ("cc-by-4.0", "https://creativecommons.org/licenses/by/4.0/"),
+    ]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.scan(spark.createDataFrame([(i, x) for i, (_, x) in enumerate(lines)], "doc_id long, text string")).collect()}
+    for i, (label, line) in enumerate(lines):
+        assert label in got[i], line
+        assert not {x for x in got[i] if x[-1].isdigit()} - {label}, line
+
+
+def test_license_words_must_stand_in_order(spark):
+    notice = dict((label, text) for label, need, text in license_scan.NOTICES)["unlicense"].split()
+    docs = [(1, " ".join(notice)), (2, " ".join(sorted(notice))), (3, " ".join(notice[:9] + ["really"] + notice[9:]))]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1].labels == got[3].labels == "unlicense" and got[1].score == 1.0 > got[3].score and got[2].labels == ""
+
+
 # --- personal data
 
 EMAIL, IP, CARD, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -304,6 +325,56 @@ def test_lookalikes_of_base_patterns():
     assert pii.find(["version 3.12.1024.4567, build 20240105123456, user@host, x = y +1000000"]) == [[]]
 
 
+def test_personal_data_of_any_length():
+    import random
+
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(1000))
+    assert pii.redacted(f'token = "{long[:300]}" end', pii.find([f'token = "{long[:300]}" end'])[0]) == 'token = "[SECRET]" end'
+    assert pii.find([f"see {long[:240]} end"]) == [[("secret", 4, 244)]]
+    local = "jane." * 20 + "roe"
+    assert pii.find([f"mail: {local} at example (dot) com"]) == [[("address", 6, 27 + len(local))]]
+
+
+def test_no_selected_span_meets_another(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for spans in pii.find(texts):
+        extra = sorted((a, b) for k, a, b in spans if k not in pii.BASE)
+        assert all(b <= c for (_, b), (c, _) in zip(extra, extra[1:], strict=False))
+        assert not any(a < d and c < b for a, b in extra for k, c, d in spans if k in pii.BASE)
+    taken = pii._union([(0, 50), (5, 6), (7, 8), (9, 10), (11, 12), (13, 14)])
+    assert not pii._free(taken, 20, 30) and pii._free(taken, 50, 60) and not pii._free(taken, 55, 56)
+
+
+def test_selected_spans_equal_candidates_over_the_limit():
+    """The spans beside the base ones against every candidate judged alone, the likeliest first."""
+    import random
+
+    rnd = random.Random(6)
+    texts = [" ".join(e[0] for e in pii._examples(rnd, 4)) + " me@example.com " + " ".join(e[0] for e in pii._like_examples(rnd, 3)) for _ in range(60)]
+    for text, got in zip(texts, pii.find(texts), strict=True):
+        base = pii.base_spans(text)
+        asked = []
+        for (trees, limits), proposed, described in ((pii.model(), pii.candidates, pii.describe), (pii.like_model(), pii.lookalikes, pii.describe_like)):
+            for k, a, b in proposed(text):
+                p = float(trees.predict(np.array([described(text, k, a, b)]))[0])
+                if p >= limits[k] and not (k in pii.LIKE and (a, b) in {s[1:] for s in base}):
+                    asked.append((-p, k, a, b))
+        want = list(base)
+        for _, k, a, b in sorted(asked):
+            if not any(a < d and c < b for _, c, d in want):
+                want.append((k, a, b))
+        assert sorted(got) == sorted(want)
+
+
+def test_find_spans_of_odd_rows(spark):
+    df = odd(spark, clash=("pii", "a.b", "in0", "k0", "out0"))
+    out = pii.find_spans(df)
+    assert sorted(out.columns) == sorted(df.columns) and out.count() == len(ODD)
+    assert out.where("size(pii) > 0").count() == 0 and out.select("`a.b`").distinct().count() == 1
+    assert pii.find_spans(df.limit(0)).count() == 0
+
+
 def test_redaction_keeps_columns_and_rows(spark):
     out = pii.redact(odd(spark))
     assert out.columns == odd(spark).columns and out.count() == len(ODD)
