@@ -10,7 +10,9 @@ the run of equal words about the shingle is a hit if it is as long as a window.
 shingle that no document has are dropped before the join.
 
 Built-in functions only. Null and empty texts have no words; items without words have no windows;
-items with a null id mark words but are not listed. Repeated rows each get their result.
+items with a null id mark words but are not listed. Items that tie (equal texts) are all listed;
+repeated rows each get their result; empty tables give no rows, or no hits; other columns of any name
+are kept by ``without_contaminated`` and not carried by ``contamination``. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def _equal_run(tokens: Column, stretch: Column, begin: Column, place: Column) ->
 
 
 def candidates(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(id, text_key, met): for each document the places where a stretch of an item may lie, by the hash of the stretch's rarest shingle."""
+    """(id, text_key, met): for each document the stretches of items that it may hold and the places where they would begin, by the hash of the stretch's rarest shingle."""
     places = written(item_windows(items, item_text, item_id, window, shingle))
     sizes = sorted(r[0] for r in places.select("k").distinct().collect()) or [shingle]
     found = occurrences(keyed(docs, text, id), sizes)
@@ -56,24 +58,30 @@ def candidates(docs: DataFrame, items: DataFrame, text: str = "text", id: str =
     rarest = counted.groupBy("item_id", "item", "size", "k", "start").agg(F.min(F.struct("n", "h", "at")).alias("rare")).where("rare.n > 0")
     shared = rarest.groupBy("item_id", "item", "size", F.col("rare.h").alias("h"), F.col("rare.at").alias("at")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
     stretches = shared.select("item_id", "size", "h", (F.col("at") - F.col("lo")).alias("place"), F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("size")).alias("stretch"))
-    prefixes = written(stretches.groupBy("h", "place", "stretch", "size").agg(F.array_sort(F.collect_set("item_id")).alias("items")))
+    prefixes = written(stretches.groupBy("h", "place", "stretch", "size").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("prefix", F.monotonically_increasing_id()))
 
-    met = joined(seen, prefixes, "h").withColumn("begin", F.col("at") - F.col("place"))
+    met = joined(seen, prefixes.select("h", "prefix", "place", "size", F.size("stretch").alias("length")), "h").withColumn("begin", F.col("at") - F.col("place"))
     # what lies on either side of the shingle in the document must leave room for a window
-    room = F.least(F.col("n") - F.col("begin"), F.size("stretch")) - F.greatest(-F.col("begin"), F.lit(0)) >= F.col("size")
-    return met.where(room).groupBy("id", "text_key").agg(F.collect_set(F.struct("begin", "place", "size", "stretch", "items")).alias("met"))
+    room = F.least(F.col("n") - F.col("begin"), F.col("length")) - F.greatest(-F.col("begin"), F.lit(0)) >= F.col("size")
+    # the places of a prefix in a document are one entry of four bytes a place; its words and items stand beside them once
+    begins = met.where(room).groupBy("id", "text_key", "prefix").agg(F.collect_set("begin").alias("begins"))
+    facts = prefixes.select("prefix", "place", "size", "stretch", "items")
+    whole = begins.join(F.broadcast(facts) if small(facts, BROADCAST_ROWS) else facts, "prefix")
+    return whole.groupBy("id", "text_key").agg(F.collect_list(F.struct("begins", "place", "size", "stretch", "items")).alias("met"))
 
 
 def verified(rows: DataFrame) -> DataFrame:
     """Keyed rows with ``met`` and the words ``w``: with ``runs``, the stretches of words (first, after, items) that are windows' words."""
 
-    def run(c: Column) -> Column:
-        left, right = _equal_run(F.col("w"), c["stretch"], c["begin"], c["place"])
-        at = c["begin"] + c["place"]
+    def run(c: Column, begin: Column) -> Column:
+        left, right = _equal_run(F.col("w"), c["stretch"], begin, c["place"])
+        at = begin + c["place"]
         return F.struct((at - left).alias("first"), (at + right).alias("after"), c["size"].alias("size"), c["items"].alias("items"))
 
-    runs = F.filter(F.transform("met", run), lambda r: r["after"] - r["first"] >= r["size"])
-    return rows.withColumn("runs", F.when(F.col("met").isNull(), F.lit(None)).otherwise(runs))
+    def of_prefix(c: Column) -> Column:
+        return F.filter(F.transform(c["begins"], lambda begin: run(c, begin)), lambda r: r["after"] - r["first"] >= r["size"])
+
+    return rows.withColumn("runs", F.when(F.col("met").isNull(), F.lit(None)).otherwise(F.flatten(F.transform("met", of_prefix))))
 
 
 def contamination(docs: DataFrame, items: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
@@ -97,6 +105,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text",
     asked = with_lists(keyed(docs, text, id), lists, "met").where("met is not null").select("id", "text_key", "met", words(F.col("t")).alias("w"))
     # written before it is filtered: a filter on the runs would be moved below the projection of the words and split them for every candidate
     marked = written(verified(asked).select("id", "text_key", (F.size("runs") > 0).alias("hit"))).where("hit").select("id", "text_key").distinct()
-    given = docs.withColumn("__key", F.xxhash64(F.col(quoted(text))))
-    out = given.join(F.broadcast(marked) if small(marked, BROADCAST_ROWS) else marked, F.col(quoted(id)).eqNullSafe(marked.id) & (F.col("__key") == marked.text_key), "left_anti")
-    return out.drop("__key")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    given = docs.toDF(*names).withColumn("k", F.xxhash64(names[docs.columns.index(text)]))
+    table = F.broadcast(marked) if small(marked, BROADCAST_ROWS) else marked
+    return given.join(table, F.col(names[docs.columns.index(id)]).eqNullSafe(marked.id) & (F.col("k") == marked.text_key), "left_anti").drop("k").toDF(*docs.columns)

@@ -11,7 +11,10 @@ Built-in functions only. Equal URLs are one row with a count. One pass counts th
 order, with map-side combination; all shorter contexts are sums over that table, and the table of grams
 holds every gram of every URL, so scoring is one join. Log ratios are summed as whole millionths, so
 the order of summing does not matter. Null URLs and URLs without ``://`` have empty host and path; the
-models judge them by their characters, a null or empty URL by none: it is allowed.
+models judge them by their characters, a null or empty URL by none: it is allowed. A score on the
+threshold is allowed; of rules of equal length the last by name wins; equal URLs get equal verdicts, so
+repeated rows too; an empty table gives no rows; columns that bear a result's name are replaced, all others
+stay. Very long URLs are read whole.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Characters of the longest gram (context and character), the alphabet of the uniform start, held-out share 1/FOLDS, score buckets.
 ORDER, ALPHABET, FOLDS, BUCKETS = 5, 256, 5, 400
 BROADCAST_ROWS = 300_000
+#: A URL's score is handed to its rows by broadcast if it has over HOT_ROWS of them and over 1/HOT_SHARE of all.
+HOT_ROWS, HOT_SHARE = 1000, 100_000
 UNIT = 1_000_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,8 +55,9 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 def _grams(urls: DataFrame, order: int) -> DataFrame:
     """(…, g): the gram that ends at each character of the lowered URL, filled up at its start."""
-    filled = F.concat(F.lit("\x02" * (order - 1)), F.lower("url"), F.lit("\x03"))
-    return urls.select("*", F.explode_outer(F.transform(F.sequence(F.lit(1), F.length("url") + 1), lambda i: F.substring(filled, i, F.lit(order)))).alias("g"))
+    low = F.lower("url")  # can be longer than the URL
+    filled = F.concat(F.lit("\x02" * (order - 1)), low, F.lit("\x03"))
+    return urls.select("*", F.explode_outer(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.substring(filled, i, F.lit(order)))).alias("g"))
 
 
 def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -91,13 +97,31 @@ def judged(df: DataFrame, url: str = "url", rules=RULES, order: int = ORDER) ->
     limit = threshold(scored)
     wanted = ("host", "path", "rule", "verdict", "score")
     rest = [c for c in df.columns if c.lower() not in wanted]
-    h, p = host(given), path(given)
-    rows = df.select(*[F.col(quoted(c)) for c in rest], h.alias("host"), p.alias("path"))
-    name, verdict = rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", name).withColumn("__sure", verdict)
-    out = rows.join(scored.select(F.col("url").alias("__url"), "score"), F.col(quoted(url)) == F.col("__url"), "left").drop("__url")
-    own = F.when(F.col("score") > limit, F.lit("block")).otherwise(F.lit("allow"))
-    return out.withColumn("verdict", F.coalesce("__sure", own)).drop("__sure")
+    # carried columns and the URL get names of their own, so any names will do
+    carried = [f"c{i}" for i in range(len(rest))]
+    rows = df.select(*[F.col(quoted(c)).alias(x) for c, x in zip(rest, carried, strict=True)], given.alias("u"))
+    out = None
+    for part, score in _parts(rows, scored):
+        h, p = host(F.col("u")), path(F.col("u"))
+        parts = part.select(*carried, h.alias("host"), p.alias("path"), score.alias("score"))
+        name, verdict = rule(F.col("host"), F.col("path"), rules)
+        own = F.when(F.col("score") > limit, F.lit("block")).otherwise(F.lit("allow"))
+        one = parts.select(*carried, "host", "path", name.alias("rule"), "score", F.coalesce(verdict, own).alias("verdict"))
+        out = one if out is None else out.unionByName(one)
+    return out.toDF(*rest, "host", "path", "rule", "score", "verdict")
+
+
+def _parts(rows: DataFrame, scored: DataFrame) -> list[tuple[DataFrame, Column]]:
+    """``rows`` in three parts, each with its score: those without a URL, those of URLs with very many rows (by broadcast: HOT_SHARE URLs at most), and the others, by shuffle."""
+    bare = F.col("u").isNull() | (F.length("u") == 0)
+    total = scored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    table = scored.select(F.col("url").alias("u"), "score", (F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).alias("many"))
+    hot, cold = table.where("many").drop("many"), table.where(~F.col("many")).drop("many")
+    named = rows.where(~bare)
+    out = [(rows.where(bare), F.lit(None).cast("double"))]
+    if small(hot, HOT_SHARE):
+        return [*out, (named.join(F.broadcast(hot), "u"), F.col("score")), (named.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold, "u"), F.col("score"))]
+    return [*out, (named.join(table, "u"), F.col("score"))]  # very long URLs: as one join, whose large partitions Spark can split
 
 
 def threshold(scored: DataFrame) -> float:

@@ -10,10 +10,10 @@ from granary.llm.columns import quoted, small
 #: A word after A-Z is lowered: what is no control, punctuation or symbol of ASCII, as ranges (a negated class runs much slower).
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A table of at most so many rows of a few hundred bytes is broadcast; a larger one is joined by shuffle.
+#: A table of at most so many rows (and columns.BROADCAST_BYTES) is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: The same for entries of lists joined to documents, of a few hundred bytes each.
-BROADCAST_ENTRIES = 150_000
+#: Power of two of the bits in a bitmap of keys: 16 MB.
+MOST_BITS = 27
 
 
 def lowered(text: Column) -> Column:
@@ -60,13 +60,26 @@ def occurrences(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """An inner join that broadcasts ``right`` only if it has few rows."""
-    return left.join(F.broadcast(right) if small(right, BROADCAST_ROWS) else right, on)
+    """An inner join that broadcasts ``right`` only if it is small; else only those rows of ``left`` are shuffled that a bitmap of ``right``'s keys lets through."""
+    if small(right, BROADCAST_ROWS):
+        return left.join(F.broadcast(right), on)
+    return left.where(_marked(right, on)).join(right, on)
+
+
+def _marked(right: DataFrame, on: str) -> Column:
+    """Whether ``on`` may be a key of ``right``: a lookup in a bitmap of MOST_BITS at most, 16 a key where that is enough."""
+    keys = right.select(on).distinct()
+    bits = 1 << min(MOST_BITS, max(12, (16 * keys.count()).bit_length()))
+    slot = F.pmod(F.xxhash64(on), F.lit(bits))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    set_bits = keys.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    whole = right.sparkSession.range(bits >> 6).join(set_bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("one"))
+    bitmap = whole.agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["bits"]).alias("bitmap")).scalar()
+    return F.call_function("shiftright", F.get(bitmap, word.cast("int")), bit).bitwiseAND(F.lit(1)) == 1
 
 
 def with_lists(rows: DataFrame, lists: DataFrame, name: str) -> DataFrame:
-    """Keyed rows, left-joined with a written table (id, text_key, array ``name``); it is broadcast only if all arrays together are short."""
-    total = lists.agg(F.coalesce(F.sum(F.size(name)), F.lit(0))).first()[0]
+    """Keyed rows, left-joined with a written table (id, text_key, array ``name``); it is broadcast only if it is small."""
     few = lists.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), name)
-    few = F.broadcast(few) if total <= BROADCAST_ENTRIES else few
+    few = F.broadcast(few) if small(few, BROADCAST_ROWS) else few
     return rows.join(few, F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")

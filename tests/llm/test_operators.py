@@ -209,6 +209,35 @@ def test_decontamination_of_short_items_and_odd_rows(spark):
     assert decontamination.contamination(d, b.limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_decontamination_by_shuffle(spark, sf, texts, monkeypatch):
+    """Beyond the bound of a broadcast: a bitmap lets through what may meet, and the result is the same."""
+    from granary.llm import wordgrams
+
+    for module in (wordgrams, decontamination):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 3)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    got = rows(queries.op7_decontamination(spark, sf))
+    for i, t in texts:
+        n, hit, found = contaminated(t, items)
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items) == (n, hit, len(found))
+
+
+def test_decontamination_with_clashing_columns(spark):
+    names = ("id", "k", "c0", "__key", "met", "a.b", "w", "text_key")
+    df = odd(spark, clash=names)
+    items = spark.createDataFrame([(1, "same text of five words here")], "item_id long, text string")
+    left = decontamination.without_contaminated(df, items)
+    assert left.columns == df.columns and left.count() == len(ODD) - 2
+    assert left.select("`a.b`", "`__key`").distinct().collect() == [("extra", "extra")]
+    assert decontamination.contamination(df, items).where("n_hit > 0").count() == 2
+
+
+def test_decontamination_of_one_repeated_word(spark):
+    docs = spark.createDataFrame([(1, "a " * 20000), (2, "b a a a a a a a a a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a " * 30)], "item_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_hit) for r in decontamination.contamination(docs, items).collect()} == {1: (20000, 20000), 2: (11, 0)}
+
+
 # --- license scans
 
 
@@ -640,6 +669,65 @@ def test_url_model_probabilities(spark):
         assert abs(got[g] / url_model.UNIT - math.log(p("block", g) / p("allow", g))) < 1e-5
 
 
+def test_url_verdicts_equal_the_models_written_out(spark):
+    """Scores, threshold and verdicts of every URL against models counted in dictionaries."""
+    import math
+
+    sf = "/root/testdata/sf0.01"
+    urls = Counter(r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect() if r.url)
+    got = {r.url: r for r in url_model.judged(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")).collect()}
+    held = {r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").where(F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(url_model.FOLDS)) == 0).collect()}
+    sure = {}
+    for u in urls:
+        h, p = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u).groups()
+        fits = [(len(a + b), v) for v, a, b in url_model.RULES if (h.lower() == a or h.lower().endswith("." + a)) and p.startswith(b)]
+        sure[u] = max(fits)[1] if fits else None
+    order = url_model.ORDER
+    grams = lambda u: [("\x02" * (order - 1) + u.lower() + "\x03")[i : i + order] for i in range(len(u.lower()) + 1)]
+    level = {v: [Counter() for _ in range(order + 1)] for v in ("allow", "block")}
+    for u, n in urls.items():
+        if sure[u] and u not in held:
+            for g in grams(u):
+                for k in range(1, order + 1):
+                    level[sure[u]][k][g[order - k :]] += n
+    after = {v: [Counter() for _ in range(order + 1)] for v in level}
+    kinds = {v: [Counter() for _ in range(order + 1)] for v in level}
+    for v, counts in level.items():
+        for k, c in enumerate(counts):
+            for s, n in c.items():
+                after[v][k][s[:-1]] += n
+                kinds[v][k][s[:-1]] += 1
+
+    def p(v, s):
+        k = len(s)
+        if not k:
+            return 1 / url_model.ALPHABET
+        a, b = after[v][k][s[:-1]], kinds[v][k][s[:-1]]
+        return (level[v][k][s] + b * p(v, s[1:])) / (a + b) if a else p(v, s[1:])
+
+    score = {u: sum(math.log(p("block", g) / p("allow", g)) for g in grams(u)) / len(grams(u)) for u in urls}
+    for u in urls:
+        assert abs(got[u].score - score[u]) < 1e-5
+    marked = [(got[u].score, sure[u], urls[u]) for u in urls if u in held and sure[u]]
+    sums = {v: sum(n for _, x, n in marked if x == v) for v in ("allow", "block")}
+    limits = [b * 8 / url_model.BUCKETS - 4 for b in range(url_model.BUCKETS)]
+    right = [sum(n / sums[v] for s, v, n in marked if (s >= x) == (v == "block")) for x in limits]
+    own = {u: got[u].verdict for u in urls if not sure[u]}
+    assert set(own.values()) == {"allow", "block"}
+    least = min(got[u].score for u, v in own.items() if v == "block")
+    most = max(got[u].score for u, v in own.items() if v == "allow")
+    assert most < least and any(most <= x <= least for x, r in zip(limits, right, strict=True) if r > max(right) - 1e-9)
+
+
+def test_url_odd_columns_and_hot_urls(spark):
+    data = [(i, None if i < 700 else "http://a.example.org/x" if i < 2500 else f"http://b.example.com/{i}/\u0130", "x") for i in range(3000)] + [(9999, "http://z.net/" + "q" * 20000, "x")]
+    df = spark.createDataFrame(data, "page_id long, url string, `__url` string").withColumn("a.b", F.lit(1)).withColumn("u", F.lit(2)).withColumn("__sure", F.lit(3)).withColumn("c0", F.lit(4))
+    got = url_model.judged(df)
+    assert got.columns == [*df.columns, "host", "path", "rule", "score", "verdict"]
+    r = got.collect()
+    assert len(r) == 3001 and sum(x.score is None for x in r) == 700 and len({x.score for x in r if x.url == "http://a.example.org/x"}) == 1
+
+
 # --- quality
 
 
