@@ -1,21 +1,28 @@
 """Main text of web pages by wrappers inferred for each host.
 
-A page is a stream of tags and text slots. The streams of a host's pages are aligned one after the
-other to a union-free regular expression, its wrapper: where both agree, the token stays and the slot's
-figures are pooled; where they do not, the tokens of either side become optional groups; a run of
-tokens that repeats the run before it becomes a repeated group. Slots with more than one text vary,
-others belong to the template. The wrapper's content is the element that holds nearly all varying
-text outside menus, notices and the like (an ``article`` or ``main`` comes first); a page's text are
-the blocks within that element.
+A page is a stream of tags and text slots, a slot being the text of one block. The streams of a host's
+pages are aligned one after the other to a union-free regular expression, its wrapper: where both agree,
+the token stays and the slot's figures are pooled; where they do not, the tokens of either side become
+optional groups; an element, or a run of tokens, that repeats the one before it becomes a repeated group.
+
+The wrapper then decides, by its slots: those whose text differs between pages vary, the others belong to
+the template. The content is the deepest element that holds nearly all varying text outside menus,
+notices and the like; an ``article`` or ``main`` that holds as much is taken in place of one inside it, for
+its heading. A page's text are the blocks within that element, without those of template slots: slots that
+every page of the host has, with the same text (headings and paragraphs excepted, which near copies
+share). Names say only what is set aside from the start: elements such as ``nav`` and ``footer``, and those
+whose class, id or role consists of such words alone; of ``related-work`` the wrapper decides.
 
 All pages count. Equal streams of a host are pooled before anything is grouped (sums, least and
-greatest hash for each slot), streams are then aligned in salted groups and the resulting wrappers
-again, so a host with a third of all pages neither meets in one task nor is sampled. Where layouts
-differ so much that the expression would grow beyond ``LONGEST`` tokens, a host has several; the
-figures of their elements are added up by label.
+greatest digest for each slot); streams are then aligned in groups, as many as the host's number and size
+of streams ask for, and the figures of elements and template slots are added up over the groups by Spark. So a
+host with a third of all pages neither meets in one task nor is sampled. Where layouts differ so much
+that an expression would grow beyond ``LONGEST`` tokens, a group has several.
 
 Null and empty html gives the empty string; a null url or one without a host shares the wrapper of
-the empty host. A page without its wrapper's element is read by its own stream.
+the empty host. A page without its wrapper's element is read by its own stream. Of elements that tie, the
+last by name is the content; repeated rows each get their result; an empty table gives no rows; a column
+that bears the result's name is replaced, all others stay. Very long pages are read whole.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ import json
 import math
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
@@ -37,19 +44,23 @@ from pyspark.sql import functions as F
 
 from granary.llm.columns import append_columns, quoted, small, written
 
-#: Groups in which a host's distinct streams are aligned first; tokens of the longest repeated group; pairs of tokens that are aligned as one segment.
-SALTS, LONGEST_GROUP, SEGMENT = 64, 12, 640_000
-#: Tokens of an expression, beyond which a host gets another one beside it.
+#: Distinct streams, and their bytes, that are aligned as one group; tokens of the longest repeated run of several elements; pairs of tokens that are aligned as one segment.
+STREAMS, STREAM_BYTES, LONGEST_GROUP, SEGMENT = 256, 8 << 20, 12, 640_000
+#: Tokens of an expression, beyond which a group gets another one beside it.
 LONGEST = 1600
 BROADCAST_ROWS = 50_000
 #: The content element holds this share of the varying text.
 SHARE = 0.8
+#: Pages that a host must have before a text that they share counts as template.
+LEAST_PAGES = 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes template".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _ASIDE = frozenset("nav footer aside form head script style noscript iframe svg button select textarea dialog menu object canvas template title input math audio video".split())
 _HINTS = frozenset("ad ads adv advert advertisement advertising banner promo sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead cookie cookies notice consent popup modal newsletter subscribe share sharing social related comment comments disqus reply replies pagination pager toolbar".split())
+#: Words that go with those above in a name without changing what it says.
+_PARTS = frozenset("list box wrap wrapper container block section area widget inner outer item items link links bar button buttons slot unit top bottom left right main page site global primary secondary header title text posts post article articles form icon icons row col column group panel module thread count holder frame zone label content text js mobile desktop sticky fixed".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _MARKUP = re.compile(r"<(?:!--(?:[^-]|-(?!->))*+(?:-->|\Z)|!\[CDATA\[|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z))")
 _NAMED = re.compile(r"""(?i)(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
@@ -81,15 +92,25 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
+def hinted(value: str) -> bool:
+    """Whether one of the names in a class, id or role says by all its words that the element is set aside."""
+    for name in value.lower().split():
+        words = [w for w in _PIECES.split(name) if w and not w.isdigit()]
+        if not _HINTS.isdisjoint(words) and all(w in _HINTS or w in _PARTS for w in words):
+            return True
+    return False
+
+
 def labelled(name: str, attributes: str) -> tuple[str, bool]:
     """The label of an element (name and first class or id), and whether it is set aside by name or by class, id or role."""
     aside, label = name in _ASIDE, name
     if attributes and "=" in attributes:
         for kind, a, b, c in _NAMED.findall(attributes):
-            words = (a or b or c).lower().split()
+            value = a or b or c
+            words = value.lower().split()
             if words and label == name and kind.lower() != "role":
                 label = f"{name}.{words[0]}"
-            if name not in ("body", "html", "main", "article") and any(p in _HINTS for w in words for p in _PIECES.split(w)):
+            if name not in ("body", "html", "main", "article") and hinted(value):
                 aside = True
     return label, aside
 
@@ -98,100 +119,163 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
     """("open" | "close", label, set aside) of block elements and ("text", text, set aside), properly nested.
 
     An end tag closes what is open inside its element; one that has no open element is passed over; a
-    block ends an open paragraph; inline elements give white space at ``br`` and otherwise nothing.
+    block ends an open paragraph; inline elements give white space at ``br`` and otherwise nothing, but
+    the text of one that is set aside by class, id or role is set aside.
     """
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, str]] = []  # name, label, set aside, and the nearest element around that is an article, a header or the like
+    names: Counter[str] = Counter()
+    muted, within, since = "", 0, 0  # the inline element that is set aside, how many of its name are open, and the blocks around it
+
+    def closed() -> tuple[str, str, bool]:
+        name, label, aside, _ = stack.pop()
+        names[name] -= 1
+        return "close", label, aside
+
     for kind, name, rest in events(page):
         if kind == "text":
-            yield "text", rest, bool(stack) and stack[-1][2]
+            yield "text", rest, bool(muted) or bool(stack) and stack[-1][2]
         elif name in _INLINE:
             if name == "br":
-                yield "text", " ", bool(stack) and stack[-1][2]
+                yield "text", " ", bool(muted) or bool(stack) and stack[-1][2]
+            elif name not in _VOID:
+                if muted:
+                    if name == muted:
+                        within += 1 if kind == "open" else -1
+                        muted = muted if within else ""
+                elif kind == "open" and "=" in rest and any(hinted(a or b or c) for _, a, b, c in _NAMED.findall(rest)):
+                    muted, within, since = name, 1, len(stack)
         elif kind == "open":
             while stack and stack[-1][0] == "p" or stack and name == stack[-1][0] and name in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                yield "close", stack[-1][1], stack[-1][2]
-                stack.pop()
+                yield closed()
             label, aside = labelled(name, rest)
-            outer = bool(stack) and stack[-1][2]
-            if name == "header":
-                aside = True
-            if name in _VOID:
-                aside = True
-            inside = outer or aside
-            if outer and name in _HEADINGS and any(s[0] in ("article", "main") for s in stack) and next(s[0] for s in reversed(stack) if s[0] in _ASIDE or s[0] in ("header", "article", "main")) == "header":
+            outer, nearest = (stack[-1][2], stack[-1][3]) if stack else (False, "")
+            inside = outer or aside or name == "header" or name in _VOID
+            if outer and name in _HEADINGS and nearest == "header" and (names["article"] or names["main"]):
                 inside = False  # an article's own heading stands in its header
             yield "open", label, inside
             if name in _VOID:
                 yield "close", label, inside
             else:
-                stack.append((name, label, inside))
-        elif any(s[0] == name for s in stack):
+                stack.append((name, label, inside, name if name in _ASIDE or name in ("header", "article", "main") else nearest))
+                names[name] += 1
+        elif names[name]:
             while True:
-                closed, label, aside = stack.pop()
-                yield "close", label, aside
-                if closed == name:
+                last = stack[-1][0]
+                yield closed()
+                if last == name:
                     break
+        if muted and len(stack) < since:
+            muted = ""
     while stack:
-        _, label, aside = stack.pop()
-        yield "close", label, aside
+        yield closed()
+
+
+def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
+    """As ``walk``, but the text between two tags of blocks is one, with references decoded and white space made single; what is set aside in it counts only where there is nothing else."""
+    now: list[str] = []
+    aside: list[str] = []
+
+    def text(parts: list[str]) -> str:
+        return " ".join(html.unescape("".join(parts)).split())
+
+    for kind, what, skip in walk(page):
+        if kind == "text":
+            (aside if skip else now).append(what)
+            continue
+        if now and (found := text(now)):
+            yield "text", found, False
+        elif aside and (found := text(aside)):
+            yield "text", found, True
+        now, aside = [], []
+        yield kind, what, skip
+    if found := text(now):
+        yield "text", found, False
+
+
+def _digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def _mixed(a: int, b: int) -> int:
+    return (a * 0x9E3779B97F4A7C15 + b) & 0x7FFFFFFFFFFFFFFF
 
 
 class Wrapper:
     """A union-free expression: tokens, which of them are optional, the ends of repeated groups, and a slot's figures.
 
-    A token is "<label", ">label" or "#" (a slot); a slot has [pages, characters, least hash, greatest
-    hash] of its texts outside elements set aside (zero characters inside them).
+    A token is "<label", ">label" or "#" (a slot); a slot has [pages, characters, least digest, greatest
+    digest] of its texts outside elements set aside (zero characters inside them). The digest of a page's
+    repeated group goes over all its texts, in order. ``pages`` says how many pages the expression is of.
+    A single page's wrapper also knows the numbers of the texts in each slot.
     """
 
-    __slots__ = ("figures", "optional", "repeat", "tokens")
+    __slots__ = ("figures", "optional", "pages", "repeat", "starts", "texts", "tokens")
 
-    def __init__(self, tokens, optional, repeat, figures):
-        self.tokens, self.optional, self.repeat, self.figures = tokens, optional, repeat, figures
+    def __init__(self, tokens, optional, repeat, figures, pages=1):
+        self.tokens, self.optional, self.repeat, self.figures, self.pages = tokens, optional, repeat, figures, pages
+        self.texts: list[list[int]] = [[] for _ in tokens]
+        self.starts: list[int] = []
 
     @classmethod
     def of_page(cls, page: str) -> Wrapper:
-        w = cls([], [], [], [])
-        for kind, what, aside in walk(page):
+        w, n = cls([], [], [], []), 0
+        for kind, what, aside in blocks(page):
             if kind != "text":
                 w._add(("<" if kind == "open" else ">") + what, None)
-            elif text := what.strip():
-                h = xxhash.xxh64_intdigest(text) >> 1
-                w._add("#", [1, 0 if aside else len(text), h, h])
+            else:
+                h = _digest(what)
+                w._add("#", [1, 0 if aside else len(what), h, h], texts=[n])
+                n += 1
         return w
 
-    def _add(self, token: str, figure: list | None, optional: bool = False, repeat: int = 0) -> None:
+    def _add(self, token: str, figure: list | None, optional: bool = False, repeat: int = 0, texts: Iterable[int] = ()) -> None:
         tokens = self.tokens
         if token == "#" and tokens and tokens[-1] == "#":
-            self._pool(len(tokens) - 1, figure, one_page=True)
+            self._pool(len(tokens) - 1, figure)
+            self.texts[-1].extend(texts)
             return
         tokens.append(token)
         self.optional.append(optional)
         self.repeat.append(repeat)
         self.figures.append(figure)
+        self.texts.append(list(texts))
         n = len(tokens)
+        if token[0] == "<":
+            self.starts.append(n - 1)
+        elif token[0] == ">":
+            start = self.starts.pop() if self.starts else 0
+            k = n - start  # an element that repeats the one before it, however long
+            if start >= k > LONGEST_GROUP and tokens[start - 1] == token and tokens[start][1:] == token[1:] and tokens[start - k : start] == tokens[start:]:
+                return self._fold(k)
         for k in range(1, min(LONGEST_GROUP, n // 2) + 1):  # a run that repeats the run before it becomes one group
             if tokens[-1] == tokens[-1 - k] and tokens[n - k :] == tokens[n - 2 * k : n - k] and _balanced(tokens[n - k :]):
-                for i in range(n - k, n):
-                    self.optional[i - k] = self.optional[i - k] and self.optional[i]
-                    self._pool(i - k, self.figures[i], one_page=True)
-                for x in (tokens, self.optional, self.repeat, self.figures):
-                    del x[n - k :]
-                self.repeat[-1] = max(self.repeat[-1], k)
-                break
-
-    def _pool(self, at: int, figure: list | None, one_page: bool) -> None:
+                return self._fold(k)
+
+    def _fold(self, k: int) -> None:
+        """The last ``k`` tokens go into the ``k`` before them."""
+        n = len(self.tokens)
+        for i in range(n - k, n):
+            self.optional[i - k] = self.optional[i - k] and self.optional[i]
+            self._pool(i - k, self.figures[i])
+            self.texts[i - k].extend(self.texts[i])
+        for x in (self.tokens, self.optional, self.repeat, self.figures, self.texts):
+            del x[n - k :]
+        self.repeat[-1] = max(self.repeat[-1], k)
+
+    def _pool(self, at: int, figure: list | None) -> None:
+        """Add the figures of a text of the same pages."""
         mine = self.figures[at]
         if mine is None or figure is None:
             self.figures[at] = mine or figure
         else:
-            self.figures[at] = [max(mine[0], figure[0]) if one_page else mine[0] + figure[0], mine[1] + figure[1], min(mine[2], figure[2]), max(mine[3], figure[3])]
+            self.figures[at] = [max(mine[0], figure[0]), mine[1] + figure[1], _mixed(mine[2], figure[2]), _mixed(mine[3], figure[3])]
 
     def key(self) -> str:
         return " ".join(f"{t}{'+' * (r > 0)}{r or ''}" for t, r in zip(self.tokens, self.repeat, strict=True))
 
     def align(self, other: Wrapper) -> Wrapper:
         """The expression that both fit: agreed tokens, and optional groups of what only one of them has."""
-        out = Wrapper([], [], [], [])
+        out = Wrapper([], [], [], [], self.pages + other.pages)
         for op, a, b, c, d in _opcodes(self.tokens, other.tokens):
             if op == "equal":
                 for i, j in zip(range(a, b), range(c, d), strict=True):
@@ -208,66 +292,91 @@ class Wrapper:
         """The label of the element that holds nearly all varying text, or None if there is no text."""
         return content_of([self])
 
+    def slots(self) -> Iterator[tuple[int, str]]:
+        """(place, label of the element around it) of each slot."""
+        stack: list[str] = []
+        for i, token in enumerate(self.tokens):
+            if token[0] == "<":
+                stack.append(token[1:])
+            elif token[0] == ">":
+                if token[1:] in stack:
+                    while stack.pop() != token[1:]:
+                        pass
+            else:
+                yield i, stack[-1] if stack else ""
+
+    def same(self) -> Iterator[tuple[str, int]]:
+        """(label, digest) of each slot outside headings and paragraphs whose text is the same on all pages of the expression."""
+        for i, label in self.slots():
+            f = self.figures[i]
+            if f and f[1] and f[0] == self.pages and f[2] == f[3] and label.split(".")[0] not in _STORY:
+                yield label, f[2]
+
     def elements(self, fixed: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, int, int]]:
         """(label, depth, characters of varying text) of each element. Where no slot varies all text counts, but for the texts ``fixed``."""
         varying = any(f and f[1] and f[2] != f[3] for f in self.figures)
         stack: list[list] = []
+        names: Counter[str] = Counter()
         done: list[tuple[str, int, int]] = []
+
+        def closed() -> str:
+            label, chars = stack.pop()
+            names[label] -= 1
+            done.append((label, len(stack), chars))
+            if stack:
+                stack[-1][1] += chars
+            return label
+
         for token, f in zip(self.tokens, self.figures, strict=True):
             if token[0] == "<":
                 stack.append([token[1:], 0])
+                names[token[1:]] += 1
             elif token[0] == ">":
-                if any(s[0] == token[1:] for s in stack):
-                    while True:
-                        label, chars = stack.pop()
-                        done.append((label, len(stack), chars))
-                        if stack:
-                            stack[-1][1] += chars
-                        if label == token[1:]:
-                            break
+                while names[token[1:]] and closed() != token[1:]:
+                    pass
             elif stack and f and (f[2] != f[3] or not varying and f[2] not in fixed):
                 stack[-1][1] += f[1]
         while stack:
-            label, chars = stack.pop()
-            done.append((label, len(stack), chars))
-            if stack:
-                stack[-1][1] += chars
+            closed()
         return done
 
-    def dumps(self) -> str:
-        return json.dumps([self.tokens, self.optional, self.repeat, self.figures])
 
-    @classmethod
-    def loads(cls, s: str) -> Wrapper:
-        return cls(*json.loads(s))
+#: Elements whose texts are never template: near copies of an article share them.
+_STORY = frozenset(("p", *_HEADINGS))
+#: Elements that hold pieces of a story, never the whole.
+_PIECE = frozenset(("p", "li", "td", "tr", "table", "tbody", *_HEADINGS))
 
 
-def content_of(wrappers: list[Wrapper]) -> str | None:
-    """The label of the element that holds nearly all varying text of a host's expressions: the characters of each label are added up over them."""
+def shares(wrappers: list[Wrapper]) -> tuple[int, dict[str, list]]:
+    """The varying text of a host's expressions, and for each label [characters of all its elements, those of its deepest element that holds an expression's varying text (or else its largest), their depths times these characters]."""
     seen = Counter(h for w in wrappers for h in {f[2] for f in w.figures if f and f[1] and f[2] == f[3]})
     fixed = {h for h, n in seen.items() if n > 1}
-    sums: Counter[str] = Counter()
-    held: Counter[str] = Counter()  # characters of each label's deepest element that holds an expression's varying text, or else its largest
-    depths: Counter[str] = Counter()  # their depths, times the characters
+    sums: dict[str, list] = defaultdict(lambda: [0, 0, 0])
     whole = 0
     for w in wrappers:
         done = w.elements(fixed)
         top = max((chars for _, depth, chars in done if depth == 0), default=0)
         best: dict[str, tuple[bool, int, int]] = {}
         for label, depth, chars in done:
-            sums[label] += chars
+            sums[label][0] += chars
             full = chars >= SHARE * top
             best[label] = max(best.get(label, (False, 0, 0)), (full, depth, chars) if full else (full, chars, depth))
         for label, (full, x, y) in best.items():
             depth, chars = (x, y) if full else (y, x)
-            held[label] += chars
-            depths[label] += depth * chars
+            sums[label][1] += chars
+            sums[label][2] += depth * chars
         whole += top
+    return whole, sums
+
+
+def content_of(wrappers: list[Wrapper]) -> str | None:
+    """The label of the element that holds nearly all varying text of a host's expressions: the deepest, or an article or main that holds as much."""
+    whole, sums = shares(wrappers)
+    good = {x: v for x, v in sums.items() if v[1] and v[1] >= SHARE * whole and x.split(".")[0] not in _PIECE}
     for wanted in ("article", "main"):
-        if found := [x for x in sums if x.split(".")[0] == wanted and sums[x]]:
-            return max(found, key=lambda x: (sums[x], x))
-    good = [(depths[label] / chars, chars, label) for label, chars in held.items() if chars and chars >= SHARE * whole and label.split(".")[0] not in ("p", "li", "td", "tr", "table", "tbody", *_HEADINGS)]
-    return max(good)[2] if good else None
+        if found := [x for x in good if x.split(".")[0] == wanted]:
+            return max(found, key=lambda x: (good[x][0], x))
+    return max(good, key=lambda x: (good[x][2] / good[x][1], good[x][1], x)) if good else None
 
 
 def joined(parts: Iterable[Wrapper]) -> list[Wrapper]:
@@ -323,78 +432,120 @@ def _balanced(tokens: list[str]) -> bool:
     return depth == 0
 
 
-def main_text(page: str | None, content: str | None) -> str:
-    """The blocks within the element ``content`` of a page, white space made single, joined by line ends."""
+def main_text(page: str | None, content: str | None, template: Iterable[tuple[str, int]] = ()) -> str:
+    """The blocks within the element ``content`` of a page, without those of the slots ``template`` (label, digest), joined by line ends."""
     if not page:
         return ""
-    tokens = list(walk(page))
+    tokens = list(blocks(page))
+    own = None
     if content is None or not any(k == "open" and t == content for k, t, _ in tokens):
-        content = Wrapper.of_page(page).content()
-    depth, blocks, now = (0 if content else 1), [], []
+        own = Wrapper.of_page(page)
+        content = own.content()
+    dropped: set[int] = set()
+    if template := set(template):
+        own = own or Wrapper.of_page(page)
+        dropped = {n for i, label in own.slots() if own.figures[i] and (label, own.figures[i][2]) in template for n in own.texts[i]}
+    depth, out, n = (0 if content else 1), [], 0
     for kind, what, aside in tokens:
         if kind == "text":
-            if depth and not aside:
-                now.append(what)
-            continue
-        if now:
-            blocks.append("".join(now))
-            now = []
-        if what == content:
+            if depth and not aside and n not in dropped:
+                out.append(what)
+            n += 1
+        elif what == content:
             depth += 1 if kind == "open" else -1
-    blocks.append("".join(now))
-    return "\n".join(t for t in (" ".join(html.unescape(b).split()) for b in blocks) if t)
+    return "\n".join(out)
 
 
 def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[^:]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(df: DataFrame, html_column: str = "html", url: str = "url", salts: int = SALTS) -> DataFrame:
-    """(host, wrapper, content): the expressions inferred from all pages of each host, and the label of its content element."""
+def streams(df: DataFrame, html_column: str = "html", url: str = "url") -> DataFrame:
+    """(host, k, pages, stream, slots): the distinct streams of each host, with the figures of their slots over all pages."""
 
     def make():
         def run(pages):
             found = [Wrapper.of_page(p) if p else None for p in pages]
-            return [[w and w.key() for w in found], [w and json.dumps([w.tokens, w.repeat]) for w in found], [[{"slot": i, "chars": f[1], "least": f[2], "most": f[3]} for i, f in enumerate(w.figures) if f] if w else [] for w in found]]
+            rows = [[{"slot": -1, "chars": 0, "digest": 0, "stream": json.dumps([w.tokens, w.repeat])}, *({"slot": i, "chars": f[1], "digest": f[2], "stream": None} for i, f in enumerate(w.figures) if f)] if w else [] for w in found]
+            return [[w and xxhash.xxh3_128_hexdigest(w.key()) for w in found], rows]
 
         return run
 
     pages = df.select(host(F.col(quoted(url))).alias("host"), F.col(quoted(html_column)).alias("page"))
-    streams = append_columns(pages, ["page"], make, "k string, stream string, slots array<struct<slot:int,chars:bigint,least:bigint,most:bigint>>").drop("page").where("k is not null")
-    slots = streams.select("host", "stream", F.inline("slots")).groupBy("host", "stream", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("least").alias("least"), F.max("most").alias("most"))
-    pooled = slots.groupBy("host", "stream").agg(F.collect_list(F.struct("slot", "n", "chars", "least", "most")).alias("slots")).withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(salts)))
+    each = append_columns(pages, ["page"], make, "k string, slots array<struct<slot:int,chars:bigint,digest:bigint,stream:string>>").drop("page").where("k is not null")
+    # the stream itself stands beside the slot -1 only, so it is not copied for every slot
+    slots = each.select("host", "k", F.inline("slots")).groupBy("host", "k", "slot").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("digest").alias("least"), F.max("digest").alias("most"), F.max("stream").alias("stream"))
+    shape = F.struct("slot", "n", "chars", "least", "most")
+    return slots.groupBy("host", "k").agg(F.max(F.when(F.col("slot") < 0, F.col("n"))).alias("pages"), F.max("stream").alias("stream"), F.collect_list(F.when(F.col("slot") >= 0, shape)).alias("slots"))
+
+
+def wrappers(df: DataFrame, html_column: str = "html", url: str = "url", most: int = STREAMS) -> DataFrame:
+    """(host, kind, label, pages, chars, held, depths, digest): what the wrappers of each group of a host's streams say.
 
-    def first(table: pa.Table) -> pa.Table:
-        def streams() -> Iterator[Wrapper]:
-            for r in sorted(table.select(["stream", "slots"]).to_pylist(), key=lambda r: r["stream"]):
+    Of kind "group" with its pages, its varying text and (held) whether any slot varies, of kind "element" with the figures of ``shares``,
+    of kind "same" with a slot whose text is the same on all the group's pages.
+    """
+    pooled = written(streams(df, html_column, url))
+    sizes = written(pooled.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("stream")).alias("bytes")).select("host", F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / STREAM_BYTES)).cast("int").alias("groups")))
+    salted = pooled.join(F.broadcast(sizes) if small(sizes, BROADCAST_ROWS) else sizes, "host").withColumn("salt", F.pmod(F.xxhash64("k"), F.col("groups"))).drop("groups")
+
+    def group(table: pa.Table) -> pa.Table:
+        def each() -> Iterator[Wrapper]:
+            for r in sorted(table.select(["stream", "slots", "pages"]).to_pylist(), key=lambda r: r["stream"]):
                 tokens, repeat = json.loads(r["stream"])
                 figures: list = [None] * len(tokens)
                 for s in r["slots"]:
                     figures[s["slot"]] = [s["n"], s["chars"], s["least"], s["most"]]
-                yield Wrapper(tokens, [False] * len(tokens), repeat, figures)
-
-        found = [w.dumps() for w in joined(streams())]
-        return pa.table({"host": [table.column("host")[0].as_py()] * len(found), "wrapper": found})
-
-    def second(table: pa.Table) -> pa.Table:
-        found = joined(map(Wrapper.loads, sorted(table.column("wrapper").to_pylist())))
-        return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps([w.dumps() for w in found])], "content": pa.array([content_of(found)], pa.string())})
-
-    salted = pooled.groupBy("host", "salt").applyInArrow(first, "host string, wrapper string")
-    return salted.groupBy("host").applyInArrow(second, "host string, wrapper string, content string")
+                yield Wrapper(tokens, [False] * len(tokens), repeat, figures, r["pages"])
+
+        found = joined(each())
+        pages = sum(w.pages for w in found)
+        whole, sums = shares(found)
+        varies = any(f and f[1] and f[2] != f[3] for w in found for f in w.figures)
+        rows = [("group", "", pages, whole, int(varies), 0, 0)] + [("element", x, 0, *v, 0) for x, v in sums.items()]
+        same = Counter()
+        for w in found:
+            for slot in set(w.same()):
+                same[slot] += w.pages
+        rows += [("same", label, n, 0, 0, 0, digest) for (label, digest), n in same.items()]
+        columns = list(zip(*rows, strict=True))
+        names = ["kind", "label", "pages", "chars", "held", "depths", "digest"]
+        return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(rows), pa.string())} | {x: pa.array(c, pa.string() if x in ("kind", "label") else pa.int64()) for x, c in zip(names, columns, strict=True)})
+
+    return salted.groupBy("host", "salt").applyInArrow(group, "host string, kind string, label string, pages bigint, chars bigint, held bigint, depths bigint, digest bigint")
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """(host, content, template) of each host, from what its groups say: the label of its content element, and its template slots (no more than a page has)."""
+    hosts = found.where("kind = 'group'").groupBy("host").agg(F.sum("pages").alias("pages"), F.sum("chars").alias("whole"), F.max("held").alias("varies"))
+    name = F.substring_index("label", ".", 1)
+    sums = found.where("kind = 'element'").groupBy("host", "label").agg(F.sum("chars").alias("chars"), F.sum("held").alias("held"), F.sum("depths").alias("depths"))
+    good = sums.join(hosts, "host").where((F.col("held") > 0) & (F.col("held") >= SHARE * F.col("whole")) & ~name.isin(*sorted(_PIECE)))
+    holder = F.when(name == "article", 2).when(name == "main", 1)
+    best = good.groupBy("host").agg(
+        F.max_by("label", F.when(holder > 0, F.struct(holder.alias("a"), F.col("chars").alias("b"), F.col("label").alias("c")))).alias("holder"),
+        F.max_by("label", F.struct((F.col("depths") / F.col("held")).alias("a"), F.col("held").alias("b"), F.col("label").alias("c"))).alias("deepest"),
+    )
+    same = found.where("kind = 'same'").groupBy("host", "label", "digest").agg(F.sum("pages").alias("n"))
+    # where nothing varies, all pages are copies, and there is no telling a template
+    shared = same.join(hosts.where("varies > 0"), "host").where((F.col("n") == F.col("pages")) & (F.col("pages") >= LEAST_PAGES))
+    template = shared.groupBy("host").agg(F.collect_list(F.struct("label", "digest")).alias("template"))
+    return hosts.select("host").join(best.select("host", F.coalesce("holder", "deepest").alias("content")), "host", "left").join(template, "host", "left")
 
 
 def extract(df: DataFrame, html_column: str = "html", url: str = "url", to: str = "text") -> DataFrame:
     """``df`` with the main text of each page; the html column stays."""
-    found = written(wrappers(df, html_column, url))
-    content = found.select(F.col("host").alias("__host"), F.col("content").alias("__content"))
-    table = F.broadcast(content) if small(content, BROADCAST_ROWS) else content
-    rows = df.withColumn("__at", host(F.col(quoted(url)))).join(table, F.col("__at") == F.col("__host"), "left")
+    found = written(decided(written(wrappers(df, html_column, url))))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    given = df.toDF(*names).withColumn("at", host(F.col(names[df.columns.index(url)])))
+    rows = given.join(F.broadcast(found) if small(found, BROADCAST_ROWS) else found, F.col("at") == found.host, "left").drop("at", "host")
 
     def make():
-        def run(pages, contents):
-            return [[main_text(p, c) for p, c in zip(pages, contents, strict=True)]]
+        def run(pages, contents, templates):
+            return [[main_text(p, c, [(x["label"], x["digest"]) for x in t or ()]) for p, c, t in zip(pages, contents, templates, strict=True)]]
 
         return run
 
-    return append_columns(rows, [html_column, "__content"], make, f"`{to}` string").drop("__at", "__host", "__content")
+    out = append_columns(rows, [names[df.columns.index(html_column)], "content", "template"], make, "result string").drop("content", "template")
+    kept = [(x, c) for x, c in zip(names, df.columns, strict=True) if c.lower() != to.lower()]
+    return out.select(*[x for x, _ in kept], "result").toDF(*[c for _, c in kept], to)

@@ -528,6 +528,74 @@ def test_html_of_other_shapes(spark):
     assert html_wrappers.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages, host="h.org"):
+    data = [(i, f"http://{host}/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_wrappers.extract(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+STORY = '<html><body><div class="x1"><div>Welcome to the pages of our town, a place of long and quiet streets</div><p>Open all week</p></div><div class="x2"><p>Story {i} of the day.</p><p>It goes on with {i} and {i}.</p>{more}</div><div class="x3"><p>Call our office for any question that you may have about this place</p></div></body></html>'
+
+
+def test_wrapper_decides_where_no_name_does(spark):
+    """No article, no telling class: only what varies between pages tells the story from the rest. A single page's own stream cannot."""
+    pages = [STORY.replace("{i}", f"number {i}").replace("{more}", "") for i in range(5)]
+    want = [f"Story number {i} of the day.\nIt goes on with number {i} and number {i}." for i in range(5)]
+    assert extracted(spark, pages) == want
+    assert all(html_wrappers.main_text(p, None) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_template_slots_within_the_content_go(spark):
+    tools = '<ul class="x9"><li>Print</li><li>Save</li></ul><div class="x8"><i>Rate this page</i></div><h2>Notes</h2>'
+    pages = [STORY.replace("{i}", f"number {i}").replace("{more}", tools) for i in range(5)]
+    assert extracted(spark, pages) == [f"Story number {i} of the day.\nIt goes on with number {i} and number {i}.\nNotes" for i in range(5)]
+    # on one page alone, or where all pages are copies, nothing tells them apart
+    assert "Print" in extracted(spark, pages[:1])[0] and "Rate this page" in extracted(spark, pages[:1] * 5)[0]
+
+
+def test_compound_names_are_left_to_the_wrapper(spark):
+    page = '<html><body><article><h1>On number {i}</h1><div class="related-work"><p>Others wrote on {i}.</p></div><div class="ad-hoc"><p>Made for {i}.</p></div><p>The end <span class="advert">Buy {i} now</span>of {i}.</p><div class="related-posts"><p>More {i}</p></div></article></body></html>'
+    got = extracted(spark, [page.replace("{i}", str(i)) for i in range(4)])
+    assert got == [f"On number {i}\nOthers wrote on {i}.\nMade for {i}.\nThe end of {i}." for i in range(4)]
+
+
+def test_long_menus_before_an_article(spark):
+    menu = "".join(f'<div class="e{i}"><a>Entry {i}</a></div>' for i in range(300))
+    page = f"<html><body>{menu}<article><h1>Head {{i}}</h1><p>Text of {{i}}.</p></article></body></html>"
+    assert extracted(spark, [page.replace("{i}", str(i)) for i in range(4)]) == [f"Head {i}\nText of {i}." for i in range(4)]
+
+
+def test_long_repeated_rows_fold():
+    row = "<tr>" + "".join(f"<td class=c{i}>x</td>" for i in range(20)) + "</tr>"
+    assert html_wrappers.Wrapper.of_page("<table>" + row * 50 + "</table>").tokens == html_wrappers.Wrapper.of_page("<table>" + row + "</table>").tokens
+
+
+def test_wrappers_in_many_groups_agree_with_one(spark):
+    """A host's streams dealt over groups give the content that they give together."""
+    pages = [(i, "http://g.org/", STORY.replace("{i}", f"number {i}").replace("{more}", f'<div class="v{i}"><p>Part {i}</p></div>')) for i in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    one, many = (html_wrappers.decided(html_wrappers.wrappers(df, most=n)).first() for n in (256, 8))
+    assert one.content == many.content == "div.x2"
+
+
+def test_unclosed_and_stray_tags_cost_little():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>" * 20000 + "</span></p>" * 20000 + "x", "<header>" + "<h1>" * 5000 + "x" + "<div class=a><h2>y" * 10000, "<p>" + "</b></i>" * 50000):
+        html_wrappers.main_text(page, None)
+    assert time.perf_counter() - began < 8
+
+
+def test_html_extra_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, f"http://k.org/{i}", f"<article><p>Text {i}</p></article>") for i in range(4)], "page_id long, url string, html string")
+    for c in ("__host", "__at", "__content", "a.b", "host", "content", "template", "k", "c0", "at"):
+        df = df.withColumn(c, F.lit("x"))
+    out = html_wrappers.extract(df)
+    assert out.columns == [*df.columns, "text"] and {r.text for r in out.collect()} == {f"Text {i}" for i in range(4)}
+    assert out.where("`a.b` = 'x' and __at = 'x'").count() == 4
+
+
 def test_wrapper_alignment_finds_optional_and_repeated_groups():
     a = html_wrappers.Wrapper.of_page("<div><p>a</p><p>b</p></div>")
     b = html_wrappers.Wrapper.of_page("<div><ul><li>x</li></ul><p>c</p></div>")
