@@ -2,14 +2,17 @@
 
 A document's pre-tokens are the leaves of a segment tree whose nodes hold the sums of characters and
 tokens below. An edit descends by characters to the leaves that it touches, takes ``MARGIN``
-characters of context before it (as far as the pre-token pattern looks ahead), splits that region
-anew and goes on to the right until a new boundary meets an old one with context behind it: from
-there on the pattern, which never looks back, splits as before. Only the region's pre-tokens are
-encoded again; their sums go up the tree.
+characters of context before it and what white space stands before these (as far as a pre-token pattern
+looks ahead: over a run of white space to its end, else a few characters), splits that region anew and
+goes on to the right until a new boundary meets an old one with such context behind it: from there on
+the pattern, which never looks back, splits as before. Only the region's pre-tokens are encoded again;
+their sums go up the tree.
 
 Positions are code points; an edit (start, end, text) replaces [start, end) of the text as it is
 when its turn comes, and is cut to the text's length. Null texts count as empty, null edits as none,
-an edit's null text as empty.
+an edit's null text as empty. Edits that tie in place are applied in their order; repeated rows each get
+their result; an empty table gives no rows; columns that bear a result's name are replaced, all others
+stay. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -114,6 +117,16 @@ class CountTree:
                 node += 1
         return node - self.size, start
 
+    def _before(self, leaf: int, start: int) -> tuple[int, int]:
+        """The last leaf up to this one that follows no white space, and where it starts: how a run of white space splits depends on all of it."""
+        while True:
+            prior = leaf - 1
+            while prior >= 0 and not self.leaves[prior]:
+                prior -= 1
+            if prior < 0 or not self.leaves[prior][-1][-1].isspace():
+                return leaf, start
+            leaf, start = prior, start - self.chars[prior + self.size]
+
     def _set(self, leaf: int, pieces: list[str], tokens: int) -> None:
         self.leaves[leaf] = pieces
         i = leaf + self.size
@@ -127,7 +140,7 @@ class CountTree:
         new = new or ""
         start = max(0, min(start, self.n_chars))
         end = max(start, min(end, self.n_chars))
-        first, origin = self.find(start - MARGIN)
+        first, origin = self._before(*self.find(start - MARGIN))
         last, at = self.find(end)
         body = "".join(p for leaf in self.leaves[first : last + 1] for p in leaf)
         body = body[: start - origin] + new + body[end - origin :]
@@ -145,11 +158,12 @@ class CountTree:
                     ends[n] = i
             body, last = "".join(parts), upto
             whole = upto == len(self.leaves) - 1
+            settled = len(body.rstrip())  # what ends the body may be a run of white space that goes on
             pieces, n = [], 0
             for p in self.count.split(body):
                 pieces.append(p)
                 n += len(p)
-                if n in ends and n >= changed and n + MARGIN <= len(body):
+                if n in ends and n >= changed and n + MARGIN <= settled:
                     return self._replace(first, ends[n], pieces)
             if whole:
                 return self._replace(first, last, pieces)

@@ -637,10 +637,14 @@ def test_wrappers_of_many_layouts_lose_no_figures():
     assert {*one.tokens, *two.tokens} == {*both.tokens} and sum(f[1] for f in both.figures if f) == 1000
 
 
-def test_edit_aware_counts_equal_a_full_count():
+NEWLINES = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]+|\s+(?!\S)|\s+"
+
+
+@pytest.mark.parametrize("pattern", [None, NEWLINES])
+def test_edit_aware_counts_equal_a_full_count(pattern):
     import random
 
-    c = token_counts.counter(token_counts.default_ranks(), token_counts.default_pattern())
+    c = token_counts.counter(token_counts.default_ranks(), pattern or token_counts.default_pattern())
     rnd = random.Random(5)
     alphabet = ["a", "b", "'", "l", "l", " ", "  ", "\n", "\n\n", "\t", "1", "2", ".", ",", "é", "漢", "😀", "the", "'re", "!?"]
     for _ in range(600):
@@ -654,6 +658,7 @@ def test_edit_aware_counts_equal_a_full_count():
             a, b = min(a, len(s)), min(b, len(s))
             s = s[:a] + new + s[b:]
             assert tree.text() == s and tree.n_tokens == len(c.encoding.encode_ordinary(s))
+            assert [p for leaf in tree.leaves for p in leaf] == c.split(s)
 
 
 def test_token_counts(spark, sf, texts):
@@ -674,6 +679,9 @@ def test_token_counts_of_odd_rows(spark):
     df = odd(spark).withColumn("edits", F.lit(None).cast("array<struct<start:int,end:int,text:string>>"))
     got = token_counts.count_tokens(df).collect()
     assert len(got) == len(ODD) and all(r.n_tokens == r.n_tokens_edited for r in got)
+    assert token_counts.count_tokens(df.limit(0)).count() == 0
+    clash = token_counts.count_tokens(df.withColumn("n_tokens", F.lit("x")).withColumn("a.b", F.lit("y")))
+    assert clash.count() == len(ODD) and clash.select("`a.b`").distinct().count() == 1 and dict(clash.dtypes)["n_tokens"] == "bigint"
 
 
 # --- urls
