@@ -210,6 +210,23 @@ def language(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, ext), ext)
 
 
+# The extensions that each operator takes for code; they differ.
+CODE_EXTENSIONS = {
+    "usages": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "cpp", "cc", "cxx", "hpp", "hh", "h", "java", "rb", "c", "cs", "php"),
+    "complexity": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "cpp", "cc", "cxx", "c", "java", "rb", "cs", "php", "kt", "swift", "lua"),
+    "dead_code": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "cpp", "cc", "cxx", "c", "java", "rb", "cs", "php", "kt", "swift"),
+    "context_pack": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "cpp", "cc", "cxx", "hpp", "hh", "h", "c", "java", "kt", "rb", "cs", "php", "swift", "lua"),
+    "security": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "java", "rb", "cs", "php", "kt", "swift", "c", "cpp"),
+    "outline": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "c", "cpp", "h", "hpp", "java", "cs", "rb", "php", "swift", "kt", "scala"),
+    "digest": ("rs", "py", "js", "jsx", "ts", "tsx", "go", "java", "kt", "rb", "cs", "php", "swift", "cpp", "cc", "c"),
+}
+
+
+def is_code(path: Column, operator: str) -> Column:
+    """Whether a path's extension is code to an operator."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).isin(*CODE_EXTENSIONS[operator])
+
+
 # Extensions of files that hold no text.
 BINARY = "png jpg jpeg gif ico svg woff woff2 ttf eot mp4 webm mp3 zip tar gz exe dll so dylib bin db sqlite lock".split()
 

@@ -149,8 +149,61 @@ def top_cosine(vectors: DataFrame, id: str, vector: str, query: list[float], k:
     return vectors.select(id, (dot(v, q) / F.sqrt(dot(v, v) * dot(q, q))).alias("cosine")).orderBy(F.col("cosine").desc(), id).limit(k)
 
 
-def audit_rank(findings: DataFrame, limit: int = 100) -> DataFrame:
-    return findings.orderBy(T.rank("audit", F.col("severity")).desc(), "package", "id").limit(limit)
+def audit_rank(findings: DataFrame, limit: int = 100, min_severity: str | None = None) -> DataFrame:
+    """Findings from a severity on, each once, the worst first."""
+    kept = findings if min_severity is None else findings.where(T.rank("audit", F.col("severity")) >= T.RANKS["audit"][min_severity])
+    return kept.distinct().orderBy(T.rank("audit", F.col("severity")).desc(), "package", "id").limit(limit)
+
+
+def diagnostics_rank(found: DataFrame, limit: int = 100, min_severity: str = "hint") -> DataFrame:
+    """Diagnostics (file, line, col, severity, code, message) from a severity on, each once: the worst first, then by file, line, column and message."""
+    kept = found.where(T.rank("diagnostics", F.col("severity")) >= T.RANKS["diagnostics"][min_severity]).distinct()
+    return kept.orderBy(T.rank("diagnostics", F.col("severity")).desc(), "file", "line", "col", "message", "code").limit(limit)
+
+
+def diagnostics_summary(found: DataFrame, limit: int = 100, min_severity: str = "hint") -> DataFrame:
+    """(errors, warnings, hints, total, shown): counted over all, and how many a report of ``limit`` shows."""
+    kept = found.where(T.rank("diagnostics", F.col("severity")) >= T.RANKS["diagnostics"][min_severity]).distinct()
+    each = [F.count_if(F.col("severity") == x).alias(f"{x}s") for x in ("error", "warning", "hint")]
+    return kept.agg(*each, F.count("*").alias("total")).withColumn("shown", F.least("total", F.lit(limit)))
+
+
+def suite_summary(results: DataFrame, key: list[str], failed: int = 50) -> DataFrame:
+    """Test results (key…, suite, name, outcome) by suite: passed, failed, skipped, and the first names of those that failed."""
+    by = results.groupBy(*key, "suite").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("passed", "failed", "skipped")], F.array_sort(F.collect_set(F.when(F.col("outcome") == "failed", F.col("name")))).alias("names"))
+    return by.withColumn("failures", F.slice("names", 1, failed)).drop("names")
+
+
+def frames_with_source(frames: DataFrame, lines: DataFrame, key: list[str], context: int = 5) -> DataFrame:
+    """Frames (key…, n, file, line) with the source around them: (key…, n, file, line, source), a > before the frame's own line.
+
+    Each frame asks for its lines by number, so it meets only those.
+    """
+    around = F.sequence(F.col("line") - context, F.col("line") + context)
+    asked = frames.select(*key, "n", "file", "line", F.explode(around).alias("line_no")).where("line_no > 0")
+    got = asked.join(lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").alias("body")), ["file", "line_no"])
+    shown = F.concat(F.when(F.col("line_no") == F.col("line"), "> ").otherwise("  "), F.col("line_no").cast("string"), F.lit(": "), F.col("body"))
+    by = got.groupBy(*key, "n", "file", "line").agg(F.array_sort(F.collect_list(F.struct("line_no", shown.alias("shown")))).alias("s"))
+    by = by.select(*key, "n", F.array_join(F.transform("s", lambda x: x["shown"]), "\n").alias("source"))
+    return frames.select(*key, "n", "file", "line").join(by, [*key, "n"], "left")
+
+
+def batch_read(reads: dict[str, DataFrame]) -> DataFrame:
+    """(item, n, content, error) of several reads at once: each a table with a column ``content`` (and ``error`` where it can fail); one that cannot be planned is its error."""
+    out = None
+    for name, df in reads.items():
+        if isinstance(df, Exception):
+            continue
+        error = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
+        n = F.col("n").cast("bigint") if "n" in df.columns else F.lit(0).cast("bigint")
+        one = df.select(F.lit(name).alias("item"), n.alias("n"), F.col("content").cast("string").alias("content"), error.alias("error"))
+        out = one if out is None else out.unionByName(one)
+    failed = [(name, 0, None, f"{type(e).__name__}: {e}") for name, e in reads.items() if isinstance(e, Exception)]
+    if failed:
+        spark = SparkSession.getActiveSession()
+        rows = spark.createDataFrame(failed, "item string, n bigint, content string, error string")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def symbols_catalogue(spark: SparkSession, queries: dict) -> DataFrame:

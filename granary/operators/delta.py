@@ -10,16 +10,53 @@ from pyspark.sql import functions as F
 
 
 def content_dedup(df: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, first_id, state): the first row of each content is fresh, later ones refer to it. Only hashes are shuffled."""
-    hashed = df.select(F.col(id).alias("id"), F.sha2(F.col(text).cast("binary"), 256).alias("h"))
+    """(id, first_id, state): the first row of each content is fresh, later ones refer to it; null texts are one content. Only hashes are shuffled."""
+    hashed = df.select(F.col(id).alias("id"), F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")).alias("h"))
     first = hashed.groupBy("h").agg(F.min("id").alias("first_id"))
     return hashed.join(first, "h").select("id", "first_id", F.when(F.col("id") == F.col("first_id"), "fresh").otherwise("already_sent").alias("state"))
 
 
+def content_ledger(df: DataFrame, key: list[str], order: str, text: str, mtime: str, run: str) -> DataFrame:
+    """Each sending of a key against what was sent before: (key…, order, state).
+
+    "already_sent" where the last one had the same content and mtime within this run, "cold" where it
+    comes from an earlier run (a cold entry is never promoted), else "fresh".
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    h = F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(""))
+    rows = df.withColumn("now", F.struct(h.alias("h"), F.col(mtime).alias("m"))).withColumn("change", ~F.coalesce(F.col("now") == F.lag("now").over(w), F.lit(False)))
+    # the run in which this stretch of equal content was recorded
+    recorded = F.last(F.when(F.col("change"), F.col(run)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    state = F.when(F.col("change"), "fresh").when(F.col(run) == recorded, "already_sent").otherwise("cold")
+    return rows.select(*key, order, state.alias("state"))
+
+
+def delta_reset(ledger: DataFrame, key: str, pattern: str | None = None) -> DataFrame:
+    """A ledger without the keys that hold the pattern; without a pattern nothing is left."""
+    return ledger.where(~F.coalesce(F.contains(F.col(key), F.lit(pattern)), F.lit(False))) if pattern else ledger.where(F.lit(False))
+
+
 def read_ledger(df: DataFrame, key: list[str], order: list[str], text: str) -> DataFrame:
-    """Each reading against the one before of the same key: full, unchanged or changed."""
-    before = F.lag(F.col("h")).over(Window.partitionBy(*key).orderBy(*order))
-    return df.withColumn("h", F.sha2(F.col(text).cast("binary"), 256)).withColumn("state", F.when(before.isNull(), "full").when(before == F.col("h"), "unchanged").otherwise("changed")).drop("h", text)
+    """Each reading against the one before of the same key: full, unchanged or changed. A null text is a content like any other."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    rows = df.withColumn("h", F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit("")))
+    before = F.lag("h").over(w)
+    return rows.withColumn("state", F.when(F.row_number().over(w) == 1, "full").when(before == F.col("h"), "unchanged").otherwise("changed")).drop("h", text)
+
+
+def cmd_report(runs: DataFrame, key: list[str], order: str, errors: str = "errors", warnings: str = "warnings") -> DataFrame:
+    """Runs (key…, order, success, summary, errors, warnings) against the run before of the key; a first run gives no row.
+
+    new_…, resolved and unchanged of both kinds; the summary only where success flipped, or where the
+    run succeeded and its summary changed.
+    """
+    w = Window.partitionBy(*key).orderBy(order)
+    was = lambda c: F.lag(c).over(w)
+    rows = runs.withColumns({"_first": F.row_number().over(w) == 1, "_ok": was("success"), "_s": was("summary"), "_e": F.coalesce(was(errors), F.array().cast("array<string>")), "_w": F.coalesce(was(warnings), F.array().cast("array<string>"))}).where("not _first")
+    flipped = F.col("success") != F.col("_ok")
+    summary = F.when(flipped | (F.col("success") & ~F.col("summary").eqNullSafe(F.col("_s"))), F.col("summary"))
+    parts = lambda now, before, name: [F.array_sort(F.array_except(now, before)).alias(f"new_{name}"), F.size(F.array_except(before, now)).cast("bigint").alias(f"resolved_{name}"), F.size(F.array_intersect(now, before)).cast("bigint").alias(f"unchanged_{name}")]
+    return rows.select(*key, order, flipped.alias("success_changed"), summary.alias("summary"), *parts(errors, "_e", "errors"), *parts(warnings, "_w", "warnings"))
 
 
 def run_delta(runs: DataFrame, key: list[str], order: str, messages: str = "messages") -> DataFrame:
@@ -30,24 +67,46 @@ def run_delta(runs: DataFrame, key: list[str], order: str, messages: str = "mess
 
 
 def line_ratio(a: list[str], b: list[str]) -> float:
-    """Twice the longest common subsequence of lines over the lines of both."""
+    """Twice the longest common subsequence of lines over the lines of both; a row of it is one whole number, whose bits are its steps."""
     if not a and not b:
         return 1.0
-    row = [0] * (len(b) + 1)
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    row = 0
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return 2 * row[-1] / (len(a) + len(b))
+        y = row | places.get(x, 0)
+        row = y & ~(y - (row << 1 | 1))
+    return 2 * row.bit_count() / (len(a) + len(b))
+
+
+def factorable_text(value: str | None) -> str | None:
+    """The text by which a JSON result is factored: its content, section or value, of an array all of them joined; None where any element has no text."""
+    import json
+
+    try:
+        tree = json.loads(value or "")
+    except ValueError:
+        return None
+    parts = []
+    for x in tree if isinstance(tree, list) else [tree]:
+        text = x if isinstance(x, str) else next((x[k] for k in ("content", "section", "value") if isinstance(x.get(k), str)), None) if isinstance(x, dict) else None
+        if text is None:
+            return None
+        parts.append(text)
+    return "\n".join(parts) if parts else None
 
 
 def factor(df: DataFrame, batch: list[str], id: str, text: str, least: float = 0.5) -> DataFrame:
-    """Results of one batch factored to templates: (batch…, id, template_ref, ratio).
+    """Results of one batch factored to templates: (batch…, id, template_ref, ratio, diff).
 
-    In order of id, a result whose lines agree to ``least`` with an earlier template refers to it; the
-    others are templates. A batch is one request's handful of results, so a group is one task's.
+    In order of id, a result whose lines agree to ``least`` with an earlier template, and whose diff to it
+    is shorter than itself, refers to it; the others are templates. A batch is one request's handful of
+    results, so a group is one task's. Templates that cannot reach the ratio by their number of lines or by the lines
+    that they share at all are passed over before any alignment.
     """
     import re
+    from collections import Counter
 
     names = [f.name for f in df.select(*batch).schema]
 
@@ -55,20 +114,25 @@ def factor(df: DataFrame, batch: list[str], id: str, text: str, least: float = 0
         templates: list[tuple] = []
         out = []
         for row in pdf.sort_values(id).itertuples(index=False):
-            parts = re.split(r"\r?\n", getattr(row, text) or "")
-            ref, ratio = None, None
-            for tid, tparts in templates:
+            now = getattr(row, text) or ""
+            parts = re.split(r"\r?\n", now)
+            bag = Counter(parts)
+            ref, ratio, shown = None, None, None
+            for tid, whole, tparts, tbag in templates:
+                both = len(tparts) + len(parts)
+                if 2 * min(len(tparts), len(parts)) < least * both or 2 * (bag & tbag).total() < least * both:
+                    continue
                 r = line_ratio(tparts, parts)
-                if r >= least:
-                    ref, ratio = tid, r
+                if r >= least and len(d := unified(whole, now)) < len(now):
+                    ref, ratio, shown = tid, r, d
                     break
             if ref is None:
-                templates.append((getattr(row, id), parts))
-            out.append((*[getattr(row, n) for n in names], getattr(row, id), ref, ratio))
-        return pd.DataFrame(out, columns=[*names, id, "template_ref", "ratio"]).astype({"template_ref": "Int64"})
+                templates.append((getattr(row, id), now, parts, bag))
+            out.append((*[getattr(row, n) for n in names], getattr(row, id), ref, ratio, shown))
+        return pd.DataFrame(out, columns=[*names, id, "template_ref", "ratio", "diff"]).astype({"template_ref": "Int64"})
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*batch).applyInPandas(one, ", ".join(f"{n} {kinds[n]}" for n in [*names, id]) + ", template_ref bigint, ratio double")
+    return df.groupBy(*batch).applyInPandas(one, ", ".join(f"{n} {kinds[n]}" for n in [*names, id]) + ", template_ref bigint, ratio double, diff string")
 
 
 def unified(a: str, b: str, context: int = 2) -> str:

@@ -32,6 +32,35 @@ def commit_log(commits: DataFrame, files: DataFrame, limit: int = 20) -> DataFra
     return newest.join(files, "sha", "left").groupBy("sha", "author", "date", "subject").agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
 
 
+def parse_log(lines: DataFrame) -> DataFrame:
+    """Log lines (log, line_no, line) with "COMMIT:sha|email|date|subject" headers and file names to (log, n, sha7, email, date, subject, files): one row a commit, in order."""
+    p = F.split(F.substring("line", 8, 1 << 30), "\\|", 4)
+    head = F.when(F.col("line").startswith("COMMIT:"), F.struct(F.substring(p[0], 1, 7).alias("sha7"), p[1].alias("email"), p[2].alias("date"), p[3].alias("subject"), F.col("line_no").alias("at")))
+    w = Window.partitionBy("log").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("head", F.last(head, ignorenulls=True).over(w)).where("head is not null")
+    name = F.when(~F.col("line").startswith("COMMIT:") & (F.trim("line") != ""), F.struct("line_no", "line"))
+    by = rows.groupBy("log", "head").agg(F.array_sort(F.collect_list(name)).alias("f"))
+    return by.select("log", F.col("head.at").alias("n"), "head.sha7", "head.email", "head.date", "head.subject", F.transform("f", lambda x: x["line"]).alias("files"))
+
+
+def diff_zoom(parsed: DataFrame, zoom: str) -> DataFrame:
+    """Parsed diff lines at a zoom: body (all), sketch (headers only) or skeleton (counts by file and symbol)."""
+    if zoom == "skeleton":
+        return structural_diff(parsed)
+    heads = F.col("kind").isin("hunk", "status") | F.col("line").startswith("diff --git ")
+    return parsed.where(heads).select("diff", "line_no", "line") if zoom == "sketch" else parsed.select("diff", "line_no", "line")
+
+
+def changed_report(changed: DataFrame) -> DataFrame:
+    """Changed files, deleted ones last, then by path."""
+    return changed.orderBy(F.col("status") == "deleted", "path")
+
+
+def changed_totals(changed: DataFrame) -> DataFrame:
+    """(files, added, deleted) over all changed files."""
+    return changed.agg(F.count("*").alias("files"), F.coalesce(F.sum("added"), F.lit(0)).alias("added"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted"))
+
+
 def parse_numstat(lines: DataFrame, order: str = "line_no") -> DataFrame:
     """Log text with "\\x1eauthor\\x1fdate" headers and numstat rows to (path, author, date, added, deleted); a binary count is zero.
 

@@ -8,16 +8,34 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 
 
+#: Lines of a block by which instrumented lines and symbols meet.
+BLOCK = 64
+
+
 def coverage(hit_lines: DataFrame, symbols: DataFrame, file: str = "file") -> DataFrame:
     """Lines (file, line_no, hit) within symbols (file, name, start, end), both ends included: covered, total and percent.
 
-    The range condition is the second part of an equi-join on the file, so both sides meet by file;
-    a line counts in every symbol around it. A symbol without instrumented lines is fully covered.
+    Lines are counted by file and block of BLOCK lines first, and a symbol meets the counts of the blocks
+    that lie within it and the lines of those at its ends: an equi-join on file and block, so neither a
+    long file nor a long symbol meets line by line. A line counts in every symbol around it. A symbol
+    without instrumented lines is fully covered.
     """
-    l, s = hit_lines.alias("l"), symbols.alias("s")
-    on = (F.col(f"l.{file}") == F.col(f"s.{file}")) & F.col("l.line_no").between(F.col("s.start"), F.col("s.end"))
-    by = s.join(l, on, "left").groupBy(F.col(f"s.{file}").alias(file), F.col("s.name").alias("name"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    out = by.agg(F.count_if(F.col("l.hit")).alias("covered"), F.count("l.line_no").alias("total"))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    lines = hit_lines.select(F.col(file).alias("file"), "line_no", F.col("hit").cast("boolean").alias("hit")).withColumn("block", block("line_no"))
+    sums = lines.groupBy("file", "block").agg(F.count_if("hit").alias("covered"), F.count("*").alias("total"))
+    asked = symbols.select(F.col(file).alias("file"), "name", "start", "end").distinct()
+    whole = asked.select("*", F.explode(F.when(block("end") - block("start") > 1, F.sequence(block("start") + 1, block("end") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("block"))
+    inner = whole.join(sums, ["file", "block"]).select("file", "name", "start", "end", "covered", "total")
+    edges = asked.select("*", F.explode(F.array_distinct(F.array(block("start"), block("end")))).alias("block")).join(lines, ["file", "block"]).where("line_no between start and end")
+    parts = inner.unionByName(edges.select("file", "name", "start", "end", F.col("hit").cast("bigint").alias("covered"), F.lit(1).cast("bigint").alias("total")))
+    none = asked.select("*", F.lit(0).cast("bigint").alias("covered"), F.lit(0).cast("bigint").alias("total"))
+    out = parts.unionByName(none).groupBy("file", "name", "start", "end").agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"), F.sum("total").alias("total"))
+    return out.withColumn("pct", T.pct1(F.col("covered"), F.col("total"), empty=100.0)).withColumnRenamed("file", file)
+
+
+def overall_coverage(hit_lines: DataFrame) -> DataFrame:
+    """(covered, total, pct) of all instrumented lines in scope, whatever symbols are shown."""
+    out = hit_lines.agg(F.count_if(F.col("hit")).alias("covered"), F.count("*").alias("total"))
     return out.withColumn("pct", T.pct1(F.col("covered"), F.col("total"), empty=100.0))
 
 
@@ -47,8 +65,62 @@ def mentions(lines: DataFrame) -> DataFrame:
 
 
 def once_only(terms: DataFrame, doc: str, term: str) -> DataFrame:
-    """Terms that occur in exactly one document."""
-    return terms.groupBy(term).agg(F.count_distinct(doc).alias("n"), F.min(doc).alias(doc)).where("n = 1").select(term, doc)
+    """Terms that occur in exactly one document: the least and the greatest are the same, in one pass that combines before the shuffle."""
+    return terms.groupBy(term).agg(F.min(doc).alias(doc), F.max(doc).alias("__most")).where(F.col(doc) == F.col("__most")).select(term, doc)
+
+
+# Words before a parenthesis that are no calls.
+NO_CALLS = "if for while match switch return catch loop fn def func function class struct enum trait impl let const var new in and or not as elif else assert yield await async Some None Ok Err Vec String Box".split()
+
+
+def calls(lines: DataFrame) -> DataFrame:
+    """(file, line_no, callee): each name called in a line once; keywords, constructors and names in capitals are passed over."""
+    found = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b([a-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)))
+    return lines.select("file", "line_no", F.explode_outer(found).alias("callee")).where(F.col("callee").isNotNull() & ~F.col("callee").isin(NO_CALLS))
+
+
+def call_graph(symbols: DataFrame, called: DataFrame) -> DataFrame:
+    """(file, caller, callee, callee_file, first_line, calls): calls within each function's lines, with the files that define the name.
+
+    ``symbols`` (file, name, start, end) are functions; a call belongs to the innermost one around it: the
+    last that starts at or before its line. A name's own calls of itself are left out. One hop; see
+    ``reachable`` for more. Callees are the rows of a caller, callers those of a callee.
+    """
+    start = symbols.select("file", F.col("start").alias("line_no"), F.struct("name", F.col("end").alias("end")).alias("at"), F.lit(None).cast("string").alias("callee"), F.lit(0).alias("o"))
+    rows = start.unionByName(called.select("file", "line_no", F.lit(None).cast(start.schema["at"].dataType).alias("at"), "callee", F.lit(1).alias("o")))
+    w = Window.partitionBy("file").orderBy("line_no", "o").rowsBetween(Window.unboundedPreceding, 0)
+    inside = rows.withColumn("at", F.last("at", ignorenulls=True).over(w)).where("callee is not null and at is not null and line_no <= at.end and callee <> at.name")
+    by = inside.groupBy("file", F.col("at.name").alias("caller"), "callee").agg(F.min("line_no").alias("first_line"), F.count("*").alias("calls"))
+    defined = symbols.select(F.col("name").alias("callee"), F.col("file").alias("callee_file")).distinct()
+    return by.join(defined, "callee", "left").select("file", "caller", "callee", "callee_file", "first_line", "calls")
+
+
+def refactor_impact(symbols: DataFrame, lines: DataFrame, names: list[str]) -> DataFrame:
+    """Per name: where it is defined (the first file and line), the functions around its uses, files and test files that use it, and how far a change reaches.
+
+    Only lines that hold one of the names leave the scan.
+    """
+    from granary.sources.files import is_test_file
+
+    asked = F.array(*[F.lit(n) for n in names])
+    held = F.array_intersect(F.regexp_extract_all("line", F.lit(r"[\p{L}_][\p{L}\p{N}_]*"), F.lit(0)), asked)
+    used = lines.select("file", "line_no", F.explode(held).alias("name"))
+    first = symbols.where(F.col("name").isin(names)).groupBy("name").agg(F.min(F.struct("file", F.col("start").alias("line"))).alias("at"))
+    own = symbols.where(F.col("name").isin(names)).select("name", "file", F.col("start").alias("line_no"), F.lit(True).alias("own"))
+    uses = used.join(own, ["name", "file", "line_no"], "left").where("own is null").drop("own")
+    by = uses.groupBy("name").agg(F.count("*").alias("usages"), F.count_distinct("file").alias("files"), F.count_distinct(F.when(is_test_file(F.col("file")), F.col("file"))).alias("test_files"))
+    around = call_graph(symbols, uses.select("file", "line_no", F.col("name").alias("callee"))).groupBy(F.col("callee").alias("name")).agg(F.count_distinct(F.struct("file", "caller")).alias("callers"))
+    every = lines.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    out = every.join(first, "name", "left").join(by, "name", "left").join(around, "name", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("name", F.col("at.file").alias("file"), F.col("at.line").alias("line"), zero("usages"), zero("callers"), zero("files"), zero("test_files"), F.coalesce("files", F.lit(0)).alias("blast_radius"))
+
+
+def imported_by(lines: DataFrame, stems: DataFrame) -> DataFrame:
+    """(stem, file): files with an import line that holds the stem of a target as a word; ``stems`` (stem) may be many, they meet by word."""
+    imports = lines.where(F.trim("line").rlike(r"^(import|from|use|pub use|export|#include|require|const .*require\()\b") | F.col("line").contains("require("))
+    words = F.array_distinct(F.regexp_extract_all("line", F.lit(r"[A-Za-z0-9_-]+"), F.lit(0)))
+    return imports.select("file", F.explode(words).alias("stem")).join(stems.select("stem").distinct(), "stem").select("stem", "file").distinct()
 
 
 def call_edges(calls: DataFrame, definitions: DataFrame) -> DataFrame:

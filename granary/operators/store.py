@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The newest row of each key by updated_at; its created_at is the oldest one's."""
-    every = stored.unionByName(new)
+    """The newest row of each key by updated_at, of equal ones the new table's, then the greatest by its other columns; its created_at is the oldest one's."""
+    every = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
     w = Window.partitionBy(key)
-    return every.withColumn("__n", F.row_number().over(w.orderBy(F.col("updated_at").desc()))).withColumn("created_at", F.min("created_at").over(w)).where("__n = 1").drop("__n")
+    rest = [F.col(c).desc() for c in stored.columns if c not in (key, "updated_at")]
+    newest = w.orderBy(F.col("updated_at").desc(), F.col("__new").desc(), *rest)
+    return every.withColumn("__n", F.row_number().over(newest)).withColumn("created_at", F.min("created_at").over(w)).where("__n = 1").drop("__n", "__new")
 
 
 def memory_list(memories: DataFrame, tag: str | None = None, search: str | None = None) -> DataFrame:
@@ -49,6 +51,13 @@ def task_list(tasks: DataFrame, status: str | None = None, tag: str | None = Non
     return out.orderBy(F.col("priority").desc(), F.col("created_at").desc(), "id")
 
 
+def session_snapshot(sessions: DataFrame, name: str, data: str, created_at) -> DataFrame:
+    """``sessions`` and one more, of any JSON, with the next id."""
+    last = sessions.agg(F.coalesce(F.max("id"), F.lit(0)).cast("bigint").alias("id"))
+    row = last.select((F.col("id") + 1).cast(sessions.schema["id"].dataType).alias("id"), F.lit(name).alias("name"), F.lit(data).alias("snapshot"), F.lit(created_at).cast(sessions.schema["created_at"].dataType).alias("created_at"))
+    return sessions.unionByName(row)
+
+
 def session_list(sessions: DataFrame, limit: int = 20) -> DataFrame:
     return sessions.orderBy(F.col("created_at").desc(), "id").limit(limit)
 

@@ -2,7 +2,7 @@
 
 A parser is a function from a text to a list of tuples; ``rows_of`` runs it over a column in Arrow
 batches and explodes the result, so every parser is a generator operator. A text that a parser cannot
-read gives no rows (``rows_of(..., errors=True)`` gives the error instead).
+read gives its error as a row.
 """
 
 from __future__ import annotations
@@ -18,30 +18,42 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def rows_of(df: DataFrame, keys: list[str], text: str, parse: Callable[[str], list[tuple]], fields: str, errors: bool = False) -> DataFrame:
-    """(keys…, fields…): the rows that ``parse`` gives for each text, in order as column ``n``; with ``errors`` also column ``error``."""
+def rows_of(df: DataFrame, keys: list[str], text: str, parse: Callable[[str], list[tuple]], fields: str, empty: bool = False) -> DataFrame:
+    """(keys…, n, fields…, error): the rows that ``parse`` gives for each text, in order as column ``n``.
+
+    A text that ``parse`` cannot read gives one row with its error and nulls; one that holds nothing
+    gives none, or with ``empty`` one of nulls. ``parse`` may take (path, text): see ``rows_by_path``.
+    """
+    return _rows(df.select(*keys, F.col(text).alias("_a")), keys, lambda a: parse(a[0]), fields, empty)
+
+
+def rows_by_path(df: DataFrame, keys: list[str], path: str, text: str, parse: Callable[[str], Callable[[str], list[tuple]]], fields: str, empty: bool = False) -> DataFrame:
+    """As ``rows_of`` where the parser depends on the path."""
+    return _rows(df.select(*keys, F.col(text).alias("_a"), F.col(path).alias("_b")), keys, lambda a: parse(a[1] or "")(a[0]), fields, empty)
+
+
+def _rows(given: DataFrame, keys: list[str], parse: Callable[[tuple], list[tuple]], fields: str, empty: bool) -> DataFrame:
     schema = StructType.fromDDL(fields)
     names = schema.fieldNames()
     inner = f"array<struct<n:bigint,{','.join(f'`{f.name}`:{f.dataType.simpleString()}' for f in schema)}>>"
+    asked = given.columns[len(keys) :]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             found, failed = [], []
-            for t in p["__text"]:
+            for a in zip(*[p[x] for x in asked], strict=True):
                 try:
-                    got, error = (parse(t) if isinstance(t, str) else []), None
+                    got, error = (parse(a) if isinstance(a[0], str) else []), None
                 except Exception as e:  # a broken text is a row's error, not the job's
                     got, error = [], f"{type(e).__name__}: {e}"
                 found.append([dict(zip(["n", *names], (i, *r), strict=True)) for i, r in enumerate(got)])
                 failed.append(error)
-            yield p.drop(columns="__text").assign(found=found, error=failed)
+            yield p.drop(columns=asked).assign(found=found, error=failed)
 
-    given = df.select(*keys, F.col(text).alias("__text"))
     kinds = dict(given.dtypes)
     out = given.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", found {inner}, error string")
-    if errors:
-        return out.select(*keys, "error", F.inline_outer("found"))
-    return out.select(*keys, F.inline("found"))
+    out = out if empty else out.where("size(found) > 0 or error is not null")
+    return out.select(*keys, F.inline_outer("found"), "error")
 
 
 # --- markdown
@@ -49,37 +61,60 @@ def rows_of(df: DataFrame, keys: list[str], text: str, parse: Callable[[str], li
 HEADINGS = "level int, title string, anchor string, first int, last int"
 
 
-def markdown_headings(text: str) -> list[tuple]:
-    """ATX headings outside fences: (level, title, anchor, first line, last line of the section)."""
+def markdown_headings(text: str, setext: bool = True) -> list[tuple]:
+    """Headings outside fences: (level, title, anchor, first line, last line of the section); underlined ones too unless told not to.
+
+    A fence is closed by at least as many of its own marks, alone on a line.
+    """
     lines = text.split("\n")
-    found, fence = [], None
+    found, fence = [], ""
     for i, line in enumerate(lines, 1):
         s = line.strip()
-        mark = s[:3] if s.startswith(("```", "~~~")) else None
+        mark = m[0] if (m := re.match(r"`{3,}|~{3,}", s)) else ""
         if fence:
-            fence = None if mark == fence else fence
+            fence = "" if mark.startswith(fence) and mark == s else fence
         elif mark:
             fence = mark
         elif m := re.match(r"(#{1,6})[ \t]+(.*)$", line):
-            title = re.sub(r"\s+#+\s*$", "", m[2]).replace("`", "").replace("**", "").strip()
-            found.append((len(m[1]), title, anchor_of(title), i))
-    out = []
-    for k, (level, title, anchor, first) in enumerate(found):
-        after = next((f[3] for f in found[k + 1 :] if f[0] <= level), len(lines) + 1)
-        out.append((level, title, anchor, first, after - 1))
-    return out
+            found.append((len(m[1]), re.sub(r"\s+#+\s*$", "", m[2]), i))
+        elif setext and re.fullmatch(r" {0,3}(=+|-+)[ \t]*", line) and i > 1 and _paragraph(lines[i - 2]) and not (found and found[-1][2] == i - 1):
+            found.append((1 if s[0] == "=" else 2, lines[i - 2].strip(), i - 1))
+    ends, open_ = [len(lines)] * len(found), []
+    for k, (level, _, first) in enumerate(found):
+        while open_ and found[open_[-1]][0] >= level:
+            ends[open_.pop()] = first - 1
+        open_.append(k)
+    plain = [(level, t.replace("`", "").replace("**", "").strip(), first, end) for (level, t, first), end in zip(found, ends, strict=True)]
+    return [(level, t, anchor_of(t), first, end) for level, t, first, end in plain]
+
+
+def _paragraph(line: str) -> bool:
+    return bool(line.strip()) and not re.match(r"\s*(?:[#>|]|[-*+] |\d+[.)] |`{3}|~{3}|(?:=+|-+)\s*$)", line) and not line.startswith(("    ", "\t"))
 
 
 def anchor_of(title: str) -> str:
     return "".join(c if c.isalnum() or c == "-" else "-" if c == " " else "" for c in title.lower())
 
 
+SECTIONS = "anchor string, title string, content string"
+
+
+def sections(anchors: list[str]) -> Callable[[str], list[tuple]]:
+    """The sections of the anchors, in their order: the first heading of each, up to the next of its level or above; missing ones are passed over."""
+
+    def parse(text: str) -> list[tuple]:
+        lines, first_of = text.split("\n"), {}
+        for _, title, a, first, last in markdown_headings(text, setext=False):
+            first_of.setdefault(a, (title, first, last))
+        return [(a, first_of[a][0], "\n".join(lines[first_of[a][1] - 1 : first_of[a][2]])) for a in anchors if a in first_of]
+
+    return parse
+
+
 def section(text: str, anchor: str) -> str | None:
     """The first section with that anchor, up to the next heading of its level or above."""
-    for _, _, a, first, last in markdown_headings(text):
-        if a == anchor:
-            return "\n".join(text.split("\n")[first - 1 : last])
-    return None
+    found = sections([anchor])(text)
+    return found[0][2] if found else None
 
 
 # --- trees
@@ -124,41 +159,110 @@ def value_at(tree, path: str):
     return tree
 
 
+VALUE = "kind string, value string"
+
+
+def values(path: str, kind: str = "json") -> Callable[[str], list[tuple]]:
+    """The value at a path as (kind, JSON text); a missing key or index is an error."""
+
+    def parse(text: str) -> list[tuple]:
+        v = value_at(load(text, kind), path)
+        name = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string"
+        return [(name, json.dumps(v, ensure_ascii=False, default=str))]
+
+    return parse
+
+
 # --- code
 
 SYMBOLS = "kind string, name string, signature string, start int, end int"
+_RUST_PUB = r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
 _DEFINITIONS = {
     "py": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)")],
-    "rs": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("impl", r"^\s*impl(?:<[^>]*>)?\s+([\w:<>, ]+?)\s*\{")],
+    "rs": [("function", _RUST_PUB + r"(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("struct", _RUST_PUB + r"struct\s+(\w+)"), ("enum", _RUST_PUB + r"enum\s+(\w+)"), ("trait", _RUST_PUB + r"trait\s+(\w+)"), ("impl", r"^\s*impl(?:<[^>]*>)?\s+([\w:<>, ]+?)\s*\{")],
     "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
-    "js": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)")],
-    "java": [("class", r"^\s*(?:public |private |protected |abstract |final |static )*class\s+(\w+)"), ("interface", r"^\s*(?:public |private |protected )*interface\s+(\w+)"), ("method", r"^\s+(?:public |private |protected |static |final |abstract |synchronized )+[\w<>\[\], ]+\s+(\w+)\s*\([^;]*$")],
+    "js": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)")],
+    "java": [("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|record)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected)\s+)*@?interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+(?:<[^>]+>\s+)?[\w<>\[\], ?]+\s+(\w+)\s*\(")],
+    "cs": [("class", r"^\s*(?:(?:public|private|protected|internal|abstract|sealed|static|partial)\s+)*(?:class|record)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(\w+)"), ("struct", r"^\s*(?:(?:public|private|protected|internal|readonly)\s+)*struct\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*(?:<[^>]*>)?\(")],
+    "kt": [("class", r"^\s*(?:(?:public|private|internal|open|abstract|data|sealed|inner)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|internal|sealed|fun)\s+)*interface\s+(\w+)"), ("object", r"^\s*(?:(?:companion|data|private)\s+)*object\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|internal|open|override|suspend|inline|operator)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>.?]+\.)?(\w+)\s*\(")],
+    "swift": [("class", r"^\s*(?:(?:public|private|internal|open|final|fileprivate)\s+)*class\s+(?!func\b|var\b)(\w+)"), ("struct", r"^\s*(?:(?:public|private|internal|fileprivate)\s+)*struct\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|internal|indirect)\s+)*enum\s+(\w+)"), ("protocol", r"^\s*(?:(?:public|private|internal)\s+)*protocol\s+(\w+)"), ("function", r"^\s*(?:(?:@\w+|public|private|internal|open|static|class|override|mutating|final)\s+)*func\s+(\w+)")],
+    "php": [("class", r"^\s*(?:(?:abstract|final|readonly)\s+)*class\s+(\w+)"), ("interface", r"^\s*interface\s+(\w+)"), ("trait", r"^\s*trait\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)")],
+    "c": [("struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{?$"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?(\w+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"), ("namespace", r"^\s*namespace\s+(\w+)"), ("function", r"^(?!\s*(?:if|for|while|switch|return|else|do|case|typedef|struct|enum|class|namespace|using)\b)\s*(?:[\w:<>,*&~]+\s+)+[*&]*((?:\w+::)*~?\w+)\s*\([^;]*$")],
+    "rb": [("class", r"^\s*class\s+([\w:]+)"), ("module", r"^\s*module\s+([\w:]+)"), ("function", r"^\s*def\s+(?:self\.)?([\w?!=]+)")],
+    "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)"), ("function", r"^\s*(?:local\s+)?([\w.]+)\s*=\s*function\b")],
 }
-_FAMILY = {"ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "kt": "java", "cs": "java"}
+_FAMILY = {"ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "cjs": "js", "kts": "kt", "pyw": "py", "cpp": "c", "cc": "c", "cxx": "c", "h": "c", "hpp": "c", "hh": "c"}
+#: Families whose bodies end with the word ``end``.
+_WORD_END = ("rb", "lua")
 
 
 def code_symbols(ext: str) -> Callable[[str], list[tuple]]:
-    """Definitions by pattern: (kind, name, signature, first line, last line); ends by braces outside strings and comments, in Python by indentation."""
+    """Definitions by pattern: (kind, name, signature, first line, last line).
+
+    Bodies end by braces outside strings and comments, in Python by indentation, in Ruby and Lua by
+    ``end``. A signature goes on to the body, over several lines if need be; what stands in a Python
+    docstring is no definition.
+    """
     family = _FAMILY.get(ext, ext)
     patterns = [(k, re.compile(p)) for k, p in _DEFINITIONS.get(family, [])]
 
     def parse(text: str) -> list[tuple]:
         lines = text.split("\n")
+        quoted = _docstring_lines(lines) if family == "py" else frozenset()
         out = []
         for i, line in enumerate(lines):
+            if i in quoted:
+                continue
             for kind, p in patterns:
                 if m := p.match(line):
-                    end = _indent_end(lines, i) if family == "py" else _brace_end(lines, i)
-                    if family == "py" and kind == "function" and line[:1].isspace():
+                    end = _indent_end(lines, i) if family == "py" else _word_end(lines, i) if family in _WORD_END else _brace_end(lines, i)
+                    if family in ("py", "rb") and kind == "function" and line[:1].isspace():
                         kind = "method"
-                    cut = line.rstrip()[:-1] if family == "py" and line.rstrip().endswith(":") else line.split("{")[0]
-                    out.append((kind, m[1].strip(), " ".join(cut.split()), i + 1, end + 1))
+                    out.append((kind, m[1].strip(), signature(lines, i, end, family), i + 1, end + 1))
                     break
         return out
 
     return parse
 
 
+def signature(lines: list[str], at: int, end: int, family: str) -> str:
+    """A definition's text up to its body, white space made single."""
+    if family in _WORD_END:
+        return " ".join(lines[at].split())
+    parts, depth = [], 0
+    for line in lines[at : end + 1]:
+        for i, c in enumerate(line):
+            depth += (c in "([") - (c in ")]")
+            if depth <= 0 and (c == "{" or family == "py" and c == ":"):
+                return " ".join(" ".join([*parts, line[:i]]).split())
+        parts.append(line)
+        if depth <= 0:
+            break
+    return " ".join(" ".join(parts).split())
+
+
+def _docstring_lines(lines: list[str]) -> frozenset[int]:
+    """The lines that begin within a triple-quoted string."""
+    inside, out = "", set()
+    for i, line in enumerate(lines):
+        if inside:
+            out.add(i)
+        for m in re.finditer(r'"""|\'\'\'', line):
+            inside = ("" if m[0] == inside else inside) if inside else m[0]
+    return frozenset(out)
+
+
+def _word_end(lines: list[str], at: int) -> int:
+    """The line of the ``end`` that stands no deeper than the definition."""
+    own = len(lines[at]) - len(lines[at].lstrip())
+    if re.search(r"\bend\s*$", lines[at]):
+        return at
+    for i in range(at + 1, len(lines)):
+        if lines[i].strip() and len(lines[i]) - len(lines[i].lstrip()) <= own and re.match(r"\s*end\b", lines[i]):
+            return i
+    return at
+
+
 def _indent_end(lines: list[str], at: int) -> int:
     own, end = len(lines[at]) - len(lines[at].lstrip()), at
     for i in range(at + 1, len(lines)):
@@ -173,13 +277,19 @@ _BARE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|`[
 
 
 def _brace_end(lines: list[str], at: int) -> int:
-    depth, seen = 0, False
+    """The line of the brace that closes a definition; its own last line where it has no body."""
+    depth, seen, round_ = 0, False, 0
     for i in range(at, len(lines)):
         bare = _BARE.sub("", lines[i])
         depth += bare.count("{") - bare.count("}")
+        round_ += bare.count("(") - bare.count(")")
         seen |= "{" in bare
         if seen and depth <= 0 or not seen and bare.rstrip().endswith(";"):
             return i
+        if not seen and round_ <= 0 and not bare.rstrip().endswith((",", "(", "=", ":", "->", "=>", "&", "|")):
+            after = next((x.strip() for x in lines[i + 1 : i + 3] if x.strip()), "")
+            if not after.startswith(("{", "where", ":", "implements", "extends", "throws", "=>", "->", "=", "const", "noexcept", "override")):
+                return i
     return at if not seen else len(lines) - 1
 
 
@@ -208,11 +318,47 @@ def imports(text: str) -> list[tuple]:
     return out
 
 
-API = "name string, kind string, line int"
+DEPS = "raw string, target string, resolved string, symbols string"
+
+
+def code_deps(path: str) -> Callable[[str], list[tuple]]:
+    """Imports of a file with the path that a relative or package import points to, and the names it brings in."""
+    ext = path.rsplit(".", 1)[-1] if "." in path else ""
+    here = path.rsplit("/", 1)[0] + "/" if "/" in path else ""
+
+    def resolved(target: str) -> str | None:
+        if ext in ("js", "ts", "tsx", "jsx", "mjs") and target.startswith("."):
+            parts = (here + target).split("/")
+        elif ext == "py" and target.startswith("."):
+            up = len(target) - len(target.lstrip("."))
+            parts = here.split("/")[:-1]
+            parts = [*parts[: len(parts) - up + 1], *[x for x in target.lstrip(".").split(".") if x]]
+        elif ext == "py":
+            return target.replace(".", "/") + ".py"
+        elif ext == "rs" and target.startswith("crate::"):
+            return "src/" + "/".join(target.split("::")[1:2]) + ".rs"
+        else:
+            return None
+        out: list[str] = []
+        for x in parts:
+            if x == "..":
+                out = out[:-1]
+            elif x not in ("", "."):
+                out.append(x)
+        return "/".join(out) + ("" if out and "." in out[-1] else f".{ext}")
+
+    def symbols(raw: str) -> str:
+        names = m[1] if (m := re.search(r"import\s+(?:type\s+)?\{([^}]*)\}", raw) or re.search(r"\bimport\s+(?!.*\bfrom\b)\(?([\w, *]+?)\)?\s*$", raw) if raw.startswith(("from", "import")) else re.search(r"::\{([^}]*)\}", raw)) else ""
+        return ",".join(x.strip().split(" as ")[0] for x in names.split(",") if x.strip())
+
+    return lambda text: [(raw, target, resolved(target), symbols(raw)) for raw, target in imports(text)]
+
 
+API = "name string, kind string, line int, visibility string"
 
-def api_surface(ext: str) -> Callable[[str], list[tuple]]:
-    """Public names: Rust pub, exported JavaScript, Python names at the margin without underscore or in __all__, Go names in capitals."""
+
+def api_surface(ext: str, crate_visible: bool = False) -> Callable[[str], list[tuple]]:
+    """Public names: Rust pub (and pub(crate) if asked), exported JavaScript, Python names at the margin without underscore or in __all__, Go names in capitals."""
 
     def parse(text: str) -> list[tuple]:
         listed = set()
@@ -220,10 +366,11 @@ def api_surface(ext: str) -> Callable[[str], list[tuple]]:
             listed = set(re.findall(r"[\"'](\w+)[\"']", m[1]))
         out, lines = [], text.split("\n")
         for kind, name, _, start, _ in code_symbols(ext)(text):
-            line = lines[start - 1]
-            public = {"py": not line[:1].isspace() and (name in listed if listed else not name.startswith("_")), "rs": line.lstrip().startswith("pub "), "go": name[:1].isupper()}.get(ext, line.lstrip().startswith(("export ", "public ")))
-            if public:
-                out.append((name, kind, start))
+            line = lines[start - 1].lstrip()
+            inner = ext == "rs" and bool(re.match(r"pub\((?:crate|super)\)", line))
+            public = {"py": not lines[start - 1][:1].isspace() and (name in listed if listed else not name.startswith("_")), "rs": line.startswith("pub "), "go": name[:1].isupper()}.get(ext, line.startswith(("export ", "public ")))
+            if public or crate_visible and inner:
+                out.append((name, kind, start, "crate" if inner else "public"))
         return out
 
     return parse
@@ -372,15 +519,21 @@ def env(text: str) -> list[tuple]:
     return out
 
 
-CELLS = "kind string, preview string, lines int, outputs int"
+CELLS = "kind string, preview string, lines int, outputs int, output string"
 
 
 def notebook(text: str) -> list[tuple]:
+    """Cells with their first line, lines and outputs: an output's text, or else its traceback."""
+
+    def joined(x, sep: str = "") -> str:
+        return sep.join(x) if isinstance(x, list) else x or ""
+
     out = []
     for c in json.loads(text).get("cells", []):
-        src = c.get("source", "")
-        src = "".join(src) if isinstance(src, list) else src
-        out.append((c.get("cell_type", ""), src.split("\n")[0][:100], len(src.splitlines()), len(c.get("outputs") or [])))
+        src = joined(c.get("source", ""))
+        outputs = c.get("outputs") or []
+        shown = [joined(o.get("text")) or joined((o.get("data") or {}).get("text/plain")) or joined(o.get("traceback"), "\n") for o in outputs]
+        out.append((c.get("cell_type", ""), src.split("\n")[0][:100], len(src.splitlines()), len(outputs), "\n".join(x for x in shown if x) or None))
     return out
 
 
@@ -536,7 +689,8 @@ def diagnostics(kind: str) -> Callable[[str], list[tuple]]:
             j = json.loads(line) if line.startswith("{") else {}
             m = j.get("message") or {}
             spans = m.get("spans") if j.get("reason") == "compiler-message" else None
-            if spans:
+            # the trailers that sum up a run have no place and say nothing of their own
+            if spans and not re.search(r"^(aborting due to|could not compile|\d+ warnings? emitted)", m.get("message") or ""):
                 s = next((x for x in spans if x.get("is_primary")), spans[0])
                 out.append((s["file_name"], s["line_start"], s["column_start"], {"error": "error", "warning": "warning"}.get(m.get("level"), "hint"), (m.get("code") or {}).get("code"), m.get("message")))
         return out
@@ -597,7 +751,19 @@ def test_results(kind: str) -> Callable[[str], list[tuple]]:
                 waiting = []
         return out + [("", n, o) for n, o in waiting]
 
-    return {"cargo": cargo, "pytest": pytest, "jest": jest, "go": go}[kind]
+    def generic(text: str) -> list[tuple]:
+        words = {"pass": "passed", "passed": "passed", "ok": "passed", "fail": "failed", "failed": "failed", "error": "failed", "skip": "skipped", "skipped": "skipped"}
+        return [("", m[2].strip(), words[m[1].lower()]) for m in re.finditer(r"(?im)^\s*(pass|passed|ok|fail|failed|error|skip|skipped)\s*[:\-]\s*(\S.*)$", text)]
+
+    every = {"jest": jest, "pytest": pytest, "cargo": cargo, "go": go, "generic": generic}
+    if kind != "auto":
+        return every[kind]
+
+    def detected(text: str) -> list[tuple]:
+        """The first dialect that finds a test."""
+        return next((got for parse in every.values() if (got := parse(text))), [])
+
+    return detected
 
 
 TESTS = "level int, kind string, name string, line int"
@@ -621,12 +787,19 @@ def test_skeleton(kind: str) -> Callable[[str], list[tuple]]:
 
         return parse
 
-    def marked(mark: str, fn: str) -> Callable[[str], list[tuple]]:
+    def marked(mark: str, fn: str, suite: str) -> Callable[[str], list[tuple]]:
+        """Tests whose mark stands on the line just before; their level is how many suites are open around them."""
+
         def parse(text: str) -> list[tuple]:
-            before, out = False, []
-            for i, line in enumerate(text.split("\n"), 1):
-                if before and (m := re.match(fn, line)):
-                    out.append((0, "test", m[1], i))
+            before, out, lines, open_ = False, [], text.split("\n"), []
+            for i, line in enumerate(lines, 1):
+                while open_ and i > open_[-1]:
+                    open_.pop()
+                if m := re.match(suite, line):
+                    out.append((len(open_), "suite", m[1], i))
+                    open_.append(_brace_end(lines, i - 1) + 1)
+                elif before and (m := re.match(fn, line)):
+                    out.append((len(open_), "test", m[1], i))
                 before = bool(re.match(mark, line))
             return out
 
@@ -635,8 +808,8 @@ def test_skeleton(kind: str) -> Callable[[str], list[tuple]]:
     quote = r"[\"'`](.*?)[\"'`]"
     return {
         "jest": nested(rf"\s*describe(?:\.\w+)?\(\s*{quote}", rf"\s*(?:it|test)(?:\.\w+)?\(\s*{quote}"), "rspec": nested(rf"\s*(?:RSpec\.)?(?:describe|context)\s+(?:{quote}|.+ do)", rf"\s*it\s+{quote}"),
-        "pytest": nested(r"\s*class\s+(Test\w*)", r"\s*(?:async\s+)?def\s+(test_\w+)"), "rust": marked(r"\s*#\[(?:\w+::)?test\b", r"\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)"),
-        "junit": marked(r"\s*@(?:Parameterized|Repeated)?Test\b", r".*?\b(?:void|fun)\s+(\w+)\s*\("), "go": lambda t: [(0, "test", m[1], t.count("\n", 0, m.start()) + 1) for m in re.finditer(r"(?m)^func\s+((?:Test|Benchmark|Example)\w*)\(", t)],
+        "pytest": nested(r"\s*class\s+(Test\w*)", r"\s*(?:async\s+)?def\s+(test_\w+)"), "rust": marked(r"\s*#\[(?:\w+::)?test\b", r"\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", r"\s*(?:pub\s+)?mod\s+(\w+)\s*\{"),
+        "junit": marked(r"\s*@(?:Parameterized|Repeated)?Test\b", r".*?\b(?:void|fun)\s+(\w+)\s*\(", r"\s*(?:(?:public|private|protected|static|final|abstract|inner)\s+)*class\s+(\w+)"), "go": lambda t: [(0, "test", m[1], t.count("\n", 0, m.start()) + 1) for m in re.finditer(r"(?m)^func\s+((?:Test|Benchmark|Example)\w*)\(", t)],
     }[kind]
 
 
@@ -736,7 +909,9 @@ def outline(path: str) -> Callable[[str], list[tuple]]:
     if ext in ("json", "yaml", "yml", "toml"):
         return lambda t: [(kind, key, 0) for key, _, kind in tree_keys(2, "yaml" if ext == "yml" else ext)(t)]
     if ext == "ipynb":
-        return lambda t: [(kind, preview, i) for i, (kind, preview, _, _) in enumerate(notebook(t))]
+        return lambda t: [(kind, preview, i) for i, (kind, preview, *_) in enumerate(notebook(t))]
     if ext in ("proto", "graphql", "gql"):
         return lambda t: [(kind, f"{owner}.{name}", 0) for owner, kind, name, _ in (proto if ext == "proto" else graphql)(t)]
+    if _FAMILY.get(ext, ext) not in _DEFINITIONS:
+        return lambda t: [("unknown", None, None)]
     return lambda t: [(kind, name, first) for kind, name, _, first, _ in code_symbols(ext)(t)]

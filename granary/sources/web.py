@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 
-_SKIP = {"script", "style", "head", "noscript", "template"}
+_SKIP = {"script", "style", "noscript", "template"}
+_HEAD = {"head", "title", "meta", "link", "base", *_SKIP}
 _BLOCK = {"p", "div", "section", "article", "main", "header", "footer", "nav", "aside", "table", "tr", "form", "blockquote", "ul", "ol", "dl", "figure"}
 
 
@@ -21,12 +22,17 @@ class _Markdown(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.skip = 0
+        self.head = False
         self.lists: list[list] = []
         self.hrefs: list[str | None] = []
         self.pre = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
+        if self.head and tag not in _HEAD:
+            self.head = False  # the end tag of the head may be left out
+        if tag == "head":
+            self.head = True
+        elif tag in _SKIP:
             self.skip += 1
         elif re.fullmatch("h[1-6]", tag):
             self.out.append("\n\n" + "#" * int(tag[1]) + " ")
@@ -62,7 +68,9 @@ class _Markdown(HTMLParser):
             self.out.append("\n\n")
 
     def handle_endtag(self, tag):
-        if tag in _SKIP:
+        if tag == "head":
+            self.head = False
+        elif tag in _SKIP:
             self.skip = max(0, self.skip - 1)
         elif tag in ("ul", "ol"):
             if self.lists:
@@ -84,7 +92,7 @@ class _Markdown(HTMLParser):
             self.out.append("\n\n")
 
     def handle_data(self, data):
-        if not self.skip:
+        if not self.skip and not self.head:
             self.out.append(data if self.pre else re.sub(r"\s+", " ", data))
 
 

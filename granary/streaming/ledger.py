@@ -91,6 +91,11 @@ def once(stream: DataFrame, id: str = "event_id") -> DataFrame:
     return stream.dropDuplicatesWithinWatermark([id])
 
 
+def with_dimension(stream: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """A stream joined with a static table, which is read anew for each batch; rows without a match stay."""
+    return stream.join(table, on, "left")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream to the end of what is there and give its result as a table in the shared folder (each run has its own)."""
     spark = stream.sparkSession

@@ -10,9 +10,9 @@ from granary.sources import extract as X
 def test_rows_of(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [{"c": 1}]}, "d": null}'), (2, "{broken"), (3, None)], "id long, text string")
     got = X.rows_of(df, ["id"], "text", X.tree_keys(4), X.KEYS).orderBy("id", "n").collect()
-    assert [(r.id, r.key, r.depth, r.kind) for r in got] == [(1, "a", 1, "object"), (1, "a.b", 2, "array"), (1, "a.b[0].c", 4, "number"), (1, "d", 1, "null")]
-    errors = X.rows_of(df, ["id"], "text", X.tree_keys(), X.KEYS, errors=True)
-    assert [r.id for r in errors.where("error is not null").collect()] == [2] and errors.where("id = 3").count() == 1
+    assert [(r.id, r.key, r.depth, r.kind) for r in got if r.error is None] == [(1, "a", 1, "object"), (1, "a.b", 2, "array"), (1, "a.b[0].c", 4, "number"), (1, "d", 1, "null")]
+    assert [(r.id, r.error[:15]) for r in got if r.error] == [(2, "JSONDecodeError")]
+    assert X.rows_of(df, ["id"], "text", X.tree_keys(), X.KEYS, empty=True).where("id = 3").count() == 1
     assert X.value_at({"a": {"b": [{"c": 5}]}}, "a.b[0].c") == 5 and X.value_at([1], "") == [1]
     with pytest.raises((KeyError, IndexError)):
         X.value_at({"a": []}, "a[0]")
@@ -31,13 +31,57 @@ def test_code():
     assert X.code_symbols("rs")(rs) == [("function", "a", "pub fn a(x: u8) -> u8", 1, 4), ("struct", "B", "struct B;", 5, 5), ("impl", "B", "impl B", 6, 7)]
     ts = "export const f = async (x) => {\n}\nexport interface I {\n a: string\n}\ntype T = string;"
     assert [(k, n, a, b) for k, n, _, a, b in X.code_symbols("ts")(ts)] == [("function", "f", 1, 2), ("interface", "I", 3, 5), ("type", "T", 6, 6)]
-    assert X.api_surface("py")("def _a(): pass\ndef b(): pass\nclass C: pass") == [("b", "function", 2), ("C", "class", 3)]
-    assert X.api_surface("go")("func A() {}\nfunc b() {}\n") == [("A", "function", 1)]
+    assert X.api_surface("py")("def _a(): pass\ndef b(): pass\nclass C: pass") == [("b", "function", 2, "public"), ("C", "class", 3, "public")]
+    assert X.api_surface("go")("func A() {}\nfunc b() {}\n") == [("A", "function", 1, "public")]
+    assert X.api_surface("rs", True)("pub(crate) fn a() {}\nfn b() {}\npub struct C;") == [("a", "function", 1, "crate"), ("C", "struct", 3, "public")]
     assert X.imports('from a.b import c\nimport d\nuse x::y;\nimport { z } from "./z"\nconst q = require("q")\nimport (\n  "fmt"\n)') == [
         ("from a.b import c", "a.b"), ("import d", "d"), ("use x::y;", "x::y"), ('import { z } from "./z"', "./z"), ('const q = require("q")', "q"), ('"fmt"', "fmt"),
     ]
 
 
+@pytest.mark.parametrize(
+    ("ext", "text", "want"),
+    [
+        ("cs", "namespace N {\n  public sealed class A {\n    public int Get(int x) => x;\n    public static void Run(\n        string a,\n        string b)\n    {\n    }\n  }\n}", [("class", "A", 2, 9), ("method", "Get", 3, 3), ("method", "Run", 4, 8)]),
+        ("kt", "data class P(val a: Int)\nfun main() {\n}\nobject O {\n}", [("class", "P", 1, 1), ("function", "main", 2, 3), ("object", "O", 4, 5)]),
+        ("rb", "module M\n  class C\n    def go?(x)\n      if x\n      end\n    end\n  end\nend", [("module", "M", 1, 8), ("class", "C", 2, 7), ("method", "go?", 3, 6)]),
+        ("php", "<?php\nclass A {\n  public function run() {\n  }\n}\nfunction f() {}", [("class", "A", 2, 5), ("function", "run", 3, 4), ("function", "f", 6, 6)]),
+        ("swift", "protocol P {\n}\npublic struct S {\n  func go() -> Int {\n  }\n}", [("protocol", "P", 1, 2), ("struct", "S", 3, 6), ("function", "go", 4, 5)]),
+        ("cpp", "namespace n {\nclass A {\n};\n}\nint main(int argc, char** argv) {\n  return f(1);\n}\nvoid A::go() {\n}", [("namespace", "n", 1, 4), ("class", "A", 2, 3), ("function", "main", 5, 7), ("function", "A::go", 8, 9)]),
+        ("lua", "local function a()\n  if x then\n  end\nend\nM.b = function(y)\nend", [("function", "a", 1, 4), ("function", "M.b", 5, 6)]),
+        ("java", "public class A {\n    @Override\n    public String name(int a,\n        int b) {\n    }\n}", [("class", "A", 1, 6), ("method", "name", 3, 5)]),
+    ],
+)
+def test_grammars(ext, text, want):
+    assert [(k, n, a, b) for k, n, _, a, b in X.code_symbols(ext)(text)] == want
+
+
+def test_signatures_and_docstrings():
+    py = 'def f(a,\n      b: int = 3) -> int:\n    """\n    def no():\n    """\n    return a\n'
+    assert X.code_symbols("py")(py) == [("function", "f", "def f(a, b: int = 3) -> int", 1, 6)]
+    rs = "pub fn a(\n    x: u8,\n) -> u8 {\n    x\n}"
+    assert X.code_symbols("rs")(rs) == [("function", "a", "pub fn a( x: u8, ) -> u8", 1, 5)]
+
+
+def test_fences_setext_and_sections():
+    text = "````\n```\n# not\n````\n# Yes\nTitle\n=====\nbody\nTwo\n---\n\n---\n- item\n---\nend"
+    assert X.markdown_headings(text) == [(1, "Yes", "yes", 5, 5), (1, "Title", "title", 6, 15), (2, "Two", "two", 9, 15)]
+    md = "# A\none\n## B\ntwo\n# C"
+    assert X.sections(["c", "none", "b"])(md) == [("c", "C", "# C"), ("b", "B", "## B\ntwo")]
+
+
+def test_deps_resolve():
+    assert X.code_deps("src/a/b.ts")('import { x, y as z } from "../c"\nimport "lib"') == [('import { x, y as z } from "../c"', "../c", "src/c.ts", "x,y"), ('import "lib"', "lib", None, "")]
+    assert X.code_deps("p/q/m.py")("from ..r import s, t\nimport os.path") == [("from ..r import s, t", "..r", "p/r.py", "s,t"), ("import os.path", "os.path", "os/path.py", "")]
+
+
+def test_nested_marked_tests():
+    rs = "mod a {\n    #[test]\n    fn x() {\n    }\n}\n#[test]\n\nfn no() {}\n#[test]\nfn y() {}"
+    assert X.test_skeleton("rust")(rs) == [(0, "suite", "a", 1), (1, "test", "x", 3), (0, "test", "y", 10)]
+    assert X.test_results("auto")("PASS: one\nFAIL - two") == [("", "one", "passed"), ("", "two", "failed")]
+    assert X.test_results("auto")("a.py::t PASSED") == [("a.py", "t", "passed")]
+
+
 def test_stack_frames():
     text = 'Traceback\n  File "a.py", line 3, in f\n  File "a.py", line 3, in f\n    at go (/x/b.js:10:5)\n    at com.x.Y.z(Y.java:7)\n  at src/m.rs:5:1\n\tmain.go:12 +0x1'
     assert X.stack_frames(text) == [("a.py", 3, "f"), ("/x/b.js", 10, "go"), ("Y.java", 7, "com.x.Y.z"), ("src/m.rs", 5, None), ("main.go", 12, None)]
@@ -50,7 +94,8 @@ def test_definitions():
     assert X.openapi("paths:\n  /u:\n    post:\n      summary: s\n      parameters:\n        - {name: id, in: query, required: true}\n      responses:\n        200: {description: ok}\n") == [("/u", "post", "summary", "s"), ("/u", "post", "id", "id (query, required)"), ("/u", "post", "200", "200 ok")]
     assert X.db_schema("CREATE TABLE IF NOT EXISTS t (id INT PRIMARY KEY, n DECIMAL(1,2), -- c\n PRIMARY KEY (id));\nmodel U {\n  id Int @id\n  @@index([id])\n}") == [("U", "column", "id", "Int"), ("t", "column", "id", "INT"), ("t", "column", "n", "DECIMAL(1,2)")]
     assert X.env("# the port\nPORT=80\n\n# lost\n\nKEY=\nexport PORT=9") == [("PORT", "80", False, "the port"), ("KEY", None, True, None)]
-    assert X.notebook(json.dumps({"cells": [{"cell_type": "code", "source": ["a\n", "b"], "outputs": [{}]}, {"cell_type": "markdown", "source": "# x"}]})) == [("code", "a", 2, 1), ("markdown", "# x", 1, 0)]
+    assert X.notebook(json.dumps({"cells": [{"cell_type": "code", "source": ["a\n", "b"], "outputs": [{}]}, {"cell_type": "markdown", "source": "# x"}]})) == [("code", "a", 2, 1, None), ("markdown", "# x", 1, 0, None)]
+    assert X.notebook(json.dumps({"cells": [{"cell_type": "code", "source": "", "outputs": [{"text": ["x\n", "y"]}, {"traceback": ["E", "F"]}]}]}))[0][4] == "x\ny\nE\nF"
 
 
 @pytest.mark.parametrize(
@@ -130,7 +175,7 @@ def test_outlines():
     assert X.outline("a/README.md")("# A\n## B") == [("h1", "A", 1), ("h2", "B", 2)]
     assert X.outline("x.json")('{"a": {"b": 1}}') == [("object", "a", 0), ("number", "a.b", 0)]
     assert X.outline("m.py")("def f():\n    pass") == [("function", "f", 1)]
-    assert X.outline("Makefile")("all:") == []
+    assert X.outline("Makefile")("all:") == [("unknown", None, None)]
 
 
 def test_docx():

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import analyses, delta, history, lines, relations, rewrite, stats, store
+from granary.operators import analyses, delta, history, lines, relations, rewrite, stats, store, symbols
 from granary.sources import files, web
 
 
@@ -101,10 +101,105 @@ def test_ledgers(spark):
 
 
 def test_factor(spark):
-    df = spark.createDataFrame([("b", 1, "a\nb\nc\nd"), ("b", 2, "a\nb\nc\nx"), ("b", 3, "q"), ("b", 4, "a\nb\ny\nx")], "b string, id long, text string")
-    got = {r.id: (r.template_ref, r.ratio) for r in delta.factor(df, ["b"], "id", "text").collect()}
-    assert got == {1: (None, None), 2: (1, 0.75), 3: (None, None), 4: (1, 0.5)}
+    body = [f"line {i} of a rather long body of text" for i in range(33)]
+    one, two, three = "\n".join(body), "\n".join([*body[:20], "another", *body[21:]]), "\n".join([*body[:10], "x", "y"])
+    df = spark.createDataFrame([("b", 1, one), ("b", 2, two), ("b", 3, "q"), ("b", 4, three), ("b", 5, None)], "b string, id long, text string")
+    got = {r.id: (r.template_ref, r.ratio and round(r.ratio, 3)) for r in delta.factor(df, ["b"], "id", "text").collect()}
+    assert got == {1: (None, None), 2: (1, 0.97), 3: (None, None), 4: (None, None), 5: (None, None)}
+    assert "+another" in delta.factor(df, ["b"], "id", "text").where("id = 2").first().diff
     assert delta.line_ratio([], []) == 1.0 and delta.line_ratio(["a"], []) == 0.0
+    assert delta.factorable_text('[{"content": "a"}, {"value": "b"}]') == "a\nb" and delta.factorable_text('[{"n": 1}]') is None and delta.factorable_text("{") is None
+
+
+def test_line_ratio_equals_the_plain_table():
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 70))] for _ in range(2))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert delta.line_ratio(a, b) == (2 * t[-1][-1] / (len(a) + len(b)) if a or b else 1.0)
+
+
+def test_ledgers(spark):
+    df = spark.createDataFrame([(1, "t"), (2, None), (3, None), (4, "t")], "id long, text string")
+    assert rows(delta.content_dedup(df, "id", "text"), "id") == [(1, 1, "fresh"), (2, 2, "fresh"), (3, 2, "already_sent"), (4, 1, "already_sent")]
+    sent = spark.createDataFrame([("p", 1, "a", 1, "r1"), ("p", 2, "a", 1, "r1"), ("p", 3, "a", 2, "r1"), ("p", 4, "a", 2, "r2"), ("p", 5, "b", 2, "r2"), ("p", 6, "b", 2, "r2"), ("q", 1, None, 1, "r1"), ("q", 2, None, 1, "r2")], "p string, n long, t string, m long, run string")
+    got = rows(delta.content_ledger(sent, ["p"], "n", "t", "m", "run"), "p", "n")
+    assert [r[2] for r in got] == ["fresh", "already_sent", "fresh", "cold", "fresh", "already_sent", "fresh", "cold"]
+    assert delta.delta_reset(sent, "p", "q").count() == 6 and delta.delta_reset(sent, "p").count() == 0
+    runs = spark.createDataFrame([("c", 1, False, "s1", ["E1", "E2"], []), ("c", 2, False, "s2", ["E2", "E3"], ["w"]), ("c", 3, True, "s3", [], []), ("c", 4, True, "s3", [], []), ("d", 1, True, "x", [], [])], "c string, n long, success boolean, summary string, errors array<string>, warnings array<string>")
+    got = rows(delta.cmd_report(runs, ["c"], "n").select("n", "success_changed", "summary", "new_errors", "resolved_errors", "unchanged_errors", "new_warnings"), "n")
+    assert got == [(2, False, None, ["E3"], 1, 1, ["w"]), (3, True, "s3", [], 2, 0, []), (4, False, None, [], 0, 0, [])]
+
+
+def test_symbols(spark):
+    py = "class A:\n    def f(self):\n        return g(1)\n\ndef g(x):\n    return x\n"
+    df = spark.createDataFrame([("m.py", py), ("tests/test_m.py", "def test_g():\n    assert g(2) == h(2)\n"), ("notes.txt", "g")], "path string, text string")
+    syms = symbols.symbols_of(df)
+    assert rows(syms.select("path", "id", "name"), "path", "start") == [("m.py", "class:1-3", "A"), ("m.py", "method:2-3", "f"), ("m.py", "function:5-6", "g"), ("tests/test_m.py", "function:1-2", "test_g")]
+    asked = spark.createDataFrame([("m.py", "function:5-6"), ("m.py", "function:5-60"), ("m.py", "nonsense")], "path string, id string")
+    assert {r.id: r.body for r in symbols.bodies(df, asked).collect()} == {"function:5-6": "def g(x):\n    return x", "function:5-60": "Error: out of range function:5-60", "nonsense": "Error: invalid id nonsense"}
+    assert symbols.zoomed(df, syms, "skeleton").count() == symbols.zoomed(df, syms, "sketch").count() == symbols.zoomed(df, syms, "body").count() == 4
+    patch = spark.createDataFrame([("m.py", "function:5-6", "g", "def g(y):\n    return y"), ("tests/test_m.py", "function:1-2", "other", "x")], "path string, id string, expected_name string, new_body string")
+    got = {r.path: r for r in symbols.patch_symbol(df, patch).collect()}
+    assert got["m.py"].state == "patched" and got["m.py"].text.endswith("\n\ndef g(y):\n    return y\n") and got["tests/test_m.py"].state == "stale"
+    cut = symbols.delete_symbol(df, spark.createDataFrame([("m.py", "method:2-3")], "path string, id string")).first()
+    assert cut.text == "class A:\ndef g(x):\n    return x\n" and cut.removed.startswith("    def f")
+    put = symbols.insert_symbol(df, spark.createDataFrame([("m.py", "before", "function:5-6", "# note")], "path string, mode string, id string, body string")).first()
+    assert put.text.split("\n")[4] == "# note"
+    move = spark.createDataFrame([("m.py", "function:5-6", "g", "notes.txt")], "source string, id string, name string, target string")
+    got = {r.path: r for r in symbols.move_symbol(df, move).collect()}
+    assert got["notes.txt"].text == "g\n\ndef g(x):\n    return x\n" and got["m.py"].referencing == ["tests/test_m.py"] and "def g" not in got["m.py"].text
+    lines_ = lines_of(spark, {r.path: r.text for r in df.collect()})
+    functions = syms.where("kind in ('function', 'method')").select(F.col("path").alias("file"), "name", "start", "end")
+    graph = rows(relations.call_graph(functions, relations.calls(lines_)).select("caller", "callee", "callee_file", "first_line"), "caller", "callee")
+    assert graph == [("f", "g", "m.py", 3), ("test_g", "g", "m.py", 2), ("test_g", "h", None, 2)]
+    hit = relations.refactor_impact(functions, lines_, ["g", "none"]).orderBy("name").collect()
+    assert tuple(hit[0]) == ("g", "m.py", 5, 3, 2, 3, 1, 3) and tuple(hit[1]) == ("none", None, None, 0, 0, 0, 0, 0)
+    digest = symbols.project_digest(spark.createDataFrame([("src/main.py", py), ("b/c/util.rs", "fn x() {}")], "path string, text string"), symbols.symbols_of(spark.createDataFrame([("src/main.py", py)], "path string, text string")))
+    assert [r.line for r in digest.where("part = 'entry points'").collect()] == ["src/main.py | class A | def f(self) | def g(x)"]
+    one = spark.createDataFrame([("3-9",), ("9-3",), ("x",)], "r string").select(symbols.parse_range(F.col("r")).alias("p")).collect()
+    assert [r.p and tuple(r.p) for r in one] == [(3, 9), None, None]
+
+
+def test_reports(spark):
+    found = spark.createDataFrame([("a", 2, 1, "warning", None, "w"), ("a", 2, 1, "warning", None, "w"), ("b", 1, 1, "error", "E1", "e"), ("c", 1, 1, "hint", None, "h")], "file string, line int, col int, severity string, code string, message string")
+    assert [r.file for r in analyses.diagnostics_rank(found, 2).collect()] == ["b", "a"]
+    assert tuple(analyses.diagnostics_summary(found, 2).first()) == (1, 1, 1, 3, 2) and analyses.diagnostics_summary(found, 9, "warning").first().total == 2
+    tests = spark.createDataFrame([("r", "s", "a", "passed"), ("r", "s", "b", "failed"), ("r", "t", "c", "skipped")], "run string, suite string, name string, outcome string")
+    assert rows(analyses.suite_summary(tests, ["run"]), "suite") == [("r", "s", 1, 1, 0, ["b"]), ("r", "t", 0, 0, 1, [])]
+    frames = spark.createDataFrame([("t", 0, "a.py", 2), ("t", 1, "none.py", 1)], "trace string, n long, file string, line long")
+    src = lines_of(spark, {"a.py": "one\ntwo\nthree"})
+    assert {r.file: r.source for r in analyses.frames_with_source(frames, src, ["trace"], 1).collect()} == {"a.py": "  1: one\n> 2: two\n  3: three", "none.py": None}
+    batch = analyses.batch_read({"good": spark.createDataFrame([("x",)], "content string"), "bad": ValueError("no such file")})
+    assert rows(batch, "item") == [("bad", 0, None, "ValueError: no such file"), ("good", 0, "x", None)]
+    log = lines_of(spark, {"l": "COMMIT:abcdef0123|a@b.c|2024-01-01|one | two\n\nx.py\ny.py\nCOMMIT:1234567890|d@e.f|2023-01-01|three"}).withColumnRenamed("file", "log")
+    assert rows(history.parse_log(log).drop("log", "n"), "sha7") == [("1234567", "d@e.f", "2023-01-01", "three", []), ("abcdef0", "a@b.c", "2024-01-01", "one | two", ["x.py", "y.py"])]
+    paths = spark.createDataFrame([(p,) for p in ("src/main.rs", "README.md", "a/b/c/main.py", "x/lib.txt", "tests/test_main.rs", "src/main_test.go", "spec/x_main_y.rb", "contest.py")], "path string")
+    assert [r.path for r in files.resources(paths).collect()] == ["README.md", "src/main.rs"]
+    got = files.related_tests(paths.where("path = 'src/main.rs'"), paths)
+    assert sorted(r.test for r in got.collect()) == ["spec/x_main_y.rb", "src/main_test.go", "tests/test_main.rs"]
+    assert sorted(r.path for r in paths.where(files.is_test_file(F.col("path"))).collect()) == ["src/main_test.go", "tests/test_main.rs"]
+    stems = spark.createDataFrame([("util",)], "stem string")
+    src = lines_of(spark, {"a.py": "from pkg.util import x\nutil = 1", "b.py": "x = util"})
+    assert [tuple(r) for r in relations.imported_by(src, stems).collect()] == [("util", "a.py")]
+
+
+def test_pages_without_the_end_of_the_head():
+    assert web.markdown_of("<html><head><title>No</title><body><h1>T</h1><p>x") == "# T\n\nx"
+    assert web.markdown_of("<head><meta charset=a><style>p{}</style><p>x</p>") == "x"
+
+
+def test_coverage_over_blocks(spark):
+    hits = spark.createDataFrame([("f", n, n % 3 == 0) for n in range(1, 1001)], "file string, line_no long, hit boolean")
+    spans = [("a", 1, 1000), ("b", 64, 64), ("c", 63, 129), ("d", 2000, 3000), ("e", 200, 500)]
+    got = relations.coverage(hits, spark.createDataFrame([("f", *s) for s in spans], "file string, name string, start long, end long")).collect()
+    assert {r.name: (r.covered, r.total) for r in got} == {n: (sum(i % 3 == 0 for i in range(a, min(b, 1000) + 1)), max(0, min(b, 1000) - a + 1)) for n, a, b in spans}
+    assert tuple(relations.overall_coverage(hits).first()) == (333, 1000, 33.3)
 
 
 def test_store(spark):
