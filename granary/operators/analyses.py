@@ -79,29 +79,38 @@ def _bounded(literal: str, pattern: str) -> str:
     return (r"(?<![A-Za-z0-9_])" if literal[0].isalnum() or literal[0] == "_" else "") + pattern
 
 
-def security_surface(lines: DataFrame, key: list[str], categories: list[str] | None = None, min_confidence: str = "low", ignore_line: str = "ignore-security", ignore_file: str = "ignore-security-scan") -> DataFrame:
-    """(key…, line_no, category, severity, confidence, pattern, snippet): lines that hold a rule's literal.
+def security_surface(df: DataFrame, key: list[str], categories: list[str] | None = None, min_confidence: str = "low", ignore_line: str = "ignore-security", ignore_file: str = "ignore-security-scan", text: str = "text") -> DataFrame:
+    """(key…, line_no, category, severity, confidence, pattern, description, snippet): lines of each text that hold a rule's literal.
 
-    The rules are unrolled to one array expression over each line, behind one cheap filter on all
-    literals; comment lines, lines and files with a marker, and what follows a test module's mark are
-    left out.
+    The rules are unrolled to one array expression over the lines that pass one cheap filter on all
+    literals; comment lines, lines and texts with a marker, and what follows a test module's mark are
+    left out. All happens within the row: only lines that may be findings are exploded, nothing is shuffled.
     """
     import re
 
+    from granary.operators.lines import numbered
+
     asked = [r for r in rules() if (not categories or r[0] in categories) and T.RANKS["confidence"][r[2]] >= T.RANKS["confidence"][min_confidence]]
-    whole = Window.partitionBy(*key)
-    upto = whole.orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    flagged = lines.withColumn("__file", F.max(F.col("line").contains(ignore_file) & (F.col("line_no") <= 20)).over(whole)).withColumn("__test", F.max(F.col("line").contains("#[cfg(test)]")).over(upto))
-    open_lines = flagged.where(~F.col("__file") & ~F.col("__test") & ~F.col("line").contains(ignore_line) & ~F.trim("line").rlike(r"^(//|#|\*|/\*)"))
-    some = open_lines.where(F.col("line").rlike("|".join(re.escape(r[3]) for r in asked)))
+    literals = "|".join(re.escape(r[3]) for r in asked)
+    some = df.where(F.col(text).rlike(literals)).withColumn("__lines", numbered(text))
+    some = some.where(~F.exists(F.slice("__lines", 1, 20), lambda x: F.contains(x["line"], F.lit(ignore_file))))
+    tests = F.array_min(F.transform(F.filter("__lines", lambda x: F.contains(x["line"], F.lit("#[cfg(test)]"))), lambda x: x["line_no"]))
+    some = some.withColumn("__test", F.coalesce(tests, F.lit(1 << 60)))
+
+    def open_line(x: Column) -> Column:
+        line = x["line"]
+        return (x["line_no"] < F.col("__test")) & line.rlike(literals) & ~F.contains(line, F.lit(ignore_line)) & ~F.trim(line).rlike(r"^(//|#|\*|/\*)")
+
+    hits = some.select(*key, F.explode(F.filter("__lines", open_line)).alias("hit")).select(*key, "hit.line_no", "hit.line")
 
     def found(rule):
         category, severity, confidence, literal = rule
         hit = F.col("line").rlike(_bounded(literal, re.escape(literal))) if literal in CONTENT_RULES else outside_quotes(F.col("line"), literal)
         hit = F.col("line").contains(literal) & hit
-        return F.when(hit, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(literal).alias("pattern")))
+        about = f"{category.replace('_', ' ')}: {literal.strip()}"
+        return F.when(hit, F.struct(F.lit(category).alias("category"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), F.lit(literal).alias("pattern"), F.lit(about).alias("description")))
 
-    rows = some.select(*key, "line_no", F.substring(F.trim("line"), 1, 120).alias("snippet"), F.explode_outer(F.array(*[found(r) for r in asked])).alias("r")).where("r is not null")
+    rows = hits.select(*key, "line_no", F.substring(F.trim("line"), 1, 120).alias("snippet"), F.explode_outer(F.array(*[found(r) for r in asked])).alias("r")).where("r is not null")
     return rows.select(*key, "line_no", "r.*", "snippet")
 
 

@@ -13,15 +13,22 @@ def explode_lines(df: DataFrame, key: list[str], text: str = "text") -> DataFram
     return df.select(*key, F.posexplode(T.lines(text)).alias("at", "line")).select(*key, (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
 
 
-def matches_in_context(lines: DataFrame, key: list[str], pattern: str, context: int = 2) -> DataFrame:
-    """Lines that match, each with up to ``context`` lines on either side as "n: text", itself left out.
+def numbered(text: str) -> Column:
+    """The lines of a text as an array of (line_no from 1, line)."""
+    return F.transform(T.lines(text), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("line")))
 
-    Documents are cut to their neighbourhoods by windows; a pattern that few lines match costs no more.
+
+def matches_in_context(df: DataFrame, key: list[str], pattern: str, context: int = 2, text: str = "text") -> DataFrame:
+    """(key…, line_no, line, context): lines of each text that match, with up to ``context`` lines on either side as "n: text", itself left out.
+
+    All happens within the row: texts without a match are passed over, only matches are exploded, nothing is shuffled.
     """
-    order = Window.partitionBy(*key).orderBy("line_no")
-    shown = F.concat(F.col("line_no").cast("string"), F.lit(": "), F.col("line"))
-    around = lines.withColumn("before", F.collect_list(shown).over(order.rowsBetween(-context, -1))).withColumn("after", F.collect_list(shown).over(order.rowsBetween(1, context)))
-    return around.where(F.col("line").rlike(pattern)).select(*key, "line_no", "line", F.concat("before", "after").alias("context"))
+    some = df.where(F.col(text).rlike(r"(?m)" + pattern)).withColumn("__lines", numbered(text))
+    hits = some.select(*key, "__lines", F.explode(F.filter("__lines", lambda x: x["line"].rlike(pattern))).alias("hit"))
+    n = F.col("hit.line_no").cast("int")
+    around = F.filter(F.slice("__lines", F.greatest(n - context, F.lit(1)), F.lit(context) + F.least(n, F.lit(context + 1))), lambda x: x["line_no"] != F.col("hit.line_no"))
+    shown = F.transform(around, lambda x: F.concat(x["line_no"].cast("string"), F.lit(": "), x["line"]))
+    return hits.select(*key, F.col("hit.line_no").alias("line_no"), F.col("hit.line").alias("line"), shown.alias("context"))
 
 
 def carry_forward(df: DataFrame, key: list[str], order: list[str], value: Column, to: str) -> DataFrame:

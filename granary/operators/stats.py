@@ -30,6 +30,16 @@ def token_map(rows: DataFrame, key: str, keep: Column, n: int = 50) -> DataFrame
     return largest(kept.select(key, "tokens", "size_bytes"), "tokens", key, n).crossJoin(F.broadcast(total))  # one row of totals
 
 
+# Fixed value: tokens saved for a token used, in hundredths.
+SAVED = 669
+
+
+def dashboard(calls: DataFrame) -> DataFrame:
+    """Calls (tool, success, duration_ms, token_count) by tool: calls, errors, mean duration (whole), tokens used and saved; the busiest first."""
+    by = calls.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if(~F.col("success")).alias("errors"), F.floor(F.sum("duration_ms") / F.count("*")).cast("bigint").alias("avg_ms"), F.sum("token_count").cast("bigint").alias("tokens"))
+    return by.withColumn("tokens_saved", F.expr(f"tokens * {SAVED} div 100")).orderBy(F.col("calls").desc(), "tool")
+
+
 def directory_tree(paths: DataFrame, path: str = "path", depth: int = 3) -> DataFrame:
     """(entry, depth, is_dir, files): every prefix of the paths up to a depth."""
     parts = paths.select(F.filter(F.split(path, "/"), lambda x: x != "").alias("parts")).where(F.size("parts") > 0)

@@ -131,18 +131,10 @@ def zoom_level(spark, sf):
 SELECT doc_id, line_no, line, context FROM w WHERE regexp_matches(line, '[0-9]{{3}}-[0-9]{{4}}')""")
 def search_context(spark, sf):
     """Lines with a telephone number and two lines on either side."""
-    found = lines.matches_in_context(doc_lines(spark, sf), ["doc_id"], "[0-9]{3}-[0-9]{4}", 2)
+    found = lines.matches_in_context(table(spark, sf, "documents"), ["doc_id"], "[0-9]{3}-[0-9]{4}", 2)
     return found.withColumn("context", F.array_join("context", "\n"))
 
 
-@query(rf"""WITH l AS {LINES}, w AS (SELECT doc_id, line_no, line, lag(line) OVER o AS before, lead(line) OVER o AS after FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY line_no))
-SELECT doc_id, line_no, line, coalesce(before, '') AS before, coalesce(after, '') AS after FROM w WHERE regexp_matches(line, '\bidiot\b')""")
-def symbol_usages(spark, sf):
-    """Whole-word uses of a name with a line on either side."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    around = doc_lines(spark, sf).select("doc_id", "line_no", "line", F.coalesce(F.lag("line").over(order), F.lit("")).alias("before"), F.coalesce(F.lead("line").over(order), F.lit("")).alias("after"))
-    return around.where(F.col("line").rlike(r"\bidiot\b"))
-
 
 @query(rf"""WITH l AS {LINES} SELECT doc_id, line_no, line AS before, regexp_replace(line, '\btoken\b', 'credential', 'g') AS after, len(regexp_extract_all(line, '\btoken\b'))::BIGINT AS n FROM l WHERE regexp_matches(line, '\btoken\b')""")
 def rename_preview(spark, sf):
@@ -176,25 +168,8 @@ def dead_terms(spark, sf):
     return relations.once_only(_terms(spark, sf), "doc_id", "term")
 
 
-@query(f"SELECT term, count(DISTINCT w.doc_id) AS docs, count(DISTINCT d.source) AS sources FROM {WORDS} w JOIN documents d USING (doc_id) WHERE term IN ('idiot', 'license', 'token', 'pathetic') GROUP BY term")
-def refactor_impact(spark, sf):
-    """How far a few names reach: documents and sources."""
-    asked = _terms(spark, sf).where(F.col("term").isin("idiot", "license", "token", "pathetic"))
-    return asked.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").groupBy("term").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("source").alias("sources"))
-
-
-@query("""SELECT caller, callee, count(*) AS n FROM (SELECT role AS callee, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS caller FROM conversations) s WHERE caller IS NOT NULL GROUP BY caller, callee""")
-def call_edges(spark, sf):
-    """Who answers whom in conversations."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role")
-    return table(spark, sf, "conversations").select(F.lag("role").over(w).alias("caller"), F.col("role").alias("callee")).where("caller is not null").groupBy("caller", "callee").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT href, count(*) AS pages, min(page_id) AS first_page FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a href="([^"]*)"', 1))) AS href FROM pages) l GROUP BY href""")
-def deps_imported_by(spark, sf):
-    """How many pages link to each path."""
-    return web.page_links(table(spark, sf, "pages"), ["page_id"]).groupBy("href").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
-
 
 @query(rf"""WITH l AS {LINES}, a AS (SELECT DISTINCT d.lang, line FROM l JOIN documents d USING (doc_id) WHERE d.source = 'src0'), b AS (SELECT DISTINCT d.lang, line FROM l JOIN documents d USING (doc_id) WHERE d.source = 'src1')
 SELECT lang, 'removed' AS change, substr(line, 1, 80) AS line FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT lang, 'added' AS change, substr(line, 1, 80) AS line FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""")
@@ -222,12 +197,6 @@ def read_ledger_answers(spark, sf):
     return delta.answers(table(spark, sf, "conversations"), ["conv_id", "role"], ["turn"], "text")
 
 
-@query(None)
-def factor_near_dup(spark, sf):
-    """Turns of a conversation factored to templates."""
-    return delta.factor(table(spark, sf, "conversations"), ["conv_id"], "turn", "text")
-
-
 PAGE_H = r"""(SELECT page_id, (i - 1)::BIGINT AS n, tags[i] AS tag FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>') AS tags FROM pages) s, unnest(generate_series(1, len(tags))) AS g(i))"""
 
 
@@ -244,19 +213,14 @@ def html_to_markdown(spark, sf):
     return web.html_to_markdown(table(spark, sf, "pages").select("page_id", "html")).select("page_id", "markdown", T.est_tokens("markdown").alias("tokens"))
 
 
-@query(None)
-def page_sections(spark, sf):
-    """The sections of each page's Markdown with their tokens."""
-    from granary.sources import extract
-
-    marked = web.html_to_markdown(table(spark, sf, "pages").select("page_id", "html"))
-    return extract.rows_of(marked, ["page_id"], "markdown", extract.markdown_headings, extract.HEADINGS)
 
-
-@query(rf"""WITH l AS {LINES} SELECT doc_id, line_no, trim(line) AS title FROM l WHERE octet_length(encode(trim(line))) < 60 AND regexp_matches(trim(line), '^[\p{{Lu}}\s]+$') AND regexp_matches(trim(line), '\p{{Lu}}')""")
+@query(r"""SELECT p_partkey AS id, upper(p_brand) AS title FROM part WHERE p_partkey % 4 = 0 AND NOT regexp_matches(upper(p_brand), '[^A-Z\s]') UNION ALL SELECT p_partkey, 'ALL PARTS' FROM part WHERE p_partkey % 4 = 1""")
 def pdf_heading_rule(spark, sf):
     """Short lines in capitals, which converted documents use as headings."""
-    return doc_lines(spark, sf).where(web.heading_rule(F.col("line"))).select("doc_id", "line_no", F.trim("line").alias("title"))
+    key = F.col("p_partkey") % 4
+    line = F.when(key == 0, F.upper("p_brand")).when(key == 1, "  ALL PARTS ").when(key == 2, F.repeat(F.lit("LONG "), 13)).otherwise("Not one")
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), line.alias("line"))
+    return rows.where(web.heading_rule(F.col("line"))).select("id", F.trim("line").alias("title"))
 
 
 @query(rf"""WITH l AS {LINES}, f AS (SELECT doc_id, line_no, line, unnest(['token = "', '../', 'system(', 'eval(', 'secret = "']) AS pattern, unnest(['secrets', 'path_traversal', 'injection', 'xss', 'secrets']) AS category FROM l)
@@ -264,15 +228,10 @@ SELECT doc_id, line_no, category, pattern FROM f WHERE contains(line, pattern) A
 AND regexp_matches(line, CASE pattern WHEN 'token = "' THEN '^(?:[^"''\\]|\\.|"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*'')*?\btoken = "' ELSE '^(?:[^"''\\]|\\.|"(?:[^"\\]|\\.)*"|''(?:[^''\\]|\\.)*'')*?\bsecret = "' END)""")
 def security_scan(spark, sf):
     """Lines that set a token or secret in clear text."""
-    found = analyses.security_surface(doc_lines(spark, sf), ["doc_id"], categories=["secrets"], min_confidence="high")
+    found = analyses.security_surface(table(spark, sf, "documents"), ["doc_id"], categories=["secrets"], min_confidence="high")
     return found.where(F.col("pattern").isin('token = "', 'secret = "')).select("doc_id", "line_no", "category", "pattern")
 
 
-@query(None)
-def security_rollup(spark, sf):
-    """All findings by category, severity and confidence."""
-    return analyses.rollup(analyses.security_surface(doc_lines(spark, sf), ["doc_id"]))
-
 
 BRANCH_SQL = " + ".join("(length(s) - length(replace(s, '{0}', ''))) // {1}".format(b.replace("'", "''"), len(b)) if "\t" not in b else f"(length(s) - length(replace(s, chr(9) || '{b[1:]}', ''))) // {len(b)}" for b in T.BRANCHES)
 
@@ -295,19 +254,6 @@ def context_scores(spark, sf):
     return docs.where("score > 0").orderBy(F.col("score").desc(), "doc_id").limit(30)
 
 
-@query(None)
-def context_pack(spark, sf):
-    """Paragraphs of the best documents, filled into 2000 tokens."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", T.score_text(F.lower("text"), KW, 20).alias("score")).where("score > 0").orderBy(F.col("score").desc(), "doc_id").limit(8)
-    part = lines.explode_lines(docs, ["doc_id"]).withColumn("rank", -T.score_text(F.lower("line"), KW, 3)).where("rank < 0")
-    costs = part.withColumn("cost", T.est_tokens("line"))
-    return analyses.budget_fill(costs.withColumn("query", F.lit("license")), ["query"], ["rank", "doc_id", "line_no"], "cost", 2000).select("query", F.size("taken").alias("taken"), "used", "omitted")
-
-
-@query(f"SELECT lang, source, count(*) AS files, sum(tokens)::BIGINT AS tokens, max(tokens) AS most FROM {MEASURED} m GROUP BY ROLLUP (lang, source)")
-def project_digest(spark, sf):
-    """Files and tokens by language and source, with sub-totals."""
-    return _measured(spark, sf).rollup("lang", "source").agg(F.count("*").alias("files"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"))
 
 
 @query(r"""SELECT doc_id, substr(sha256(text), 1, 12) AS short_hash, CASE WHEN length(replace(text, chr(10), ' ')) > 160 THEN substr(replace(text, chr(10), ' '), 1, 157) || '...' ELSE replace(text, chr(10), ' ') END AS title FROM documents""")
@@ -330,9 +276,3 @@ def semantic_signs(spark, sf):
     dot = F.aggregate(F.zip_with("v", "q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     return vectors.crossJoin(F.broadcast(first)).select("vec_id", (dot > 0).alias("positive"))  # one query row
 
-
-@query(None)
-def semantic_search(spark, sf):
-    """The ten vectors nearest to the first, exactly."""
-    row = table(spark, sf, "embeddings").where("vec_id = 0").select("embedding").first()
-    return analyses.top_cosine(table(spark, sf, "embeddings"), "vec_id", "embedding", list(row[0]), 10)

@@ -22,5 +22,11 @@ def query(sql: str | None):
     return put
 
 
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None, doc: str) -> None:
+    """Register a function made for one of several cases."""
+    run.__name__, run.__doc__ = name, doc
+    query(sql)(run)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -16,7 +16,7 @@ def rows(df, *by):
 
 
 def test_context_and_sketch(spark):
-    df = lines_of(spark, {"a": "one\ntwo\nthree\nfour"})
+    df = spark.createDataFrame([("a", "one\ntwo\nthree\nfour"), ("b", None), ("c", "")], "file string, text string")
     got = lines.matches_in_context(df, ["file"], "two", 1).first()
     assert (got.line_no, got.context) == (2, ["1: one", "3: three"])
     body = lines_of(spark, {"a": "fn f() {\nplain\nplain\n// note\nif x {\n}\nplain"})
@@ -219,9 +219,9 @@ def test_store(spark):
 
 def test_security(spark):
     text = 'x = eval(y)\n// eval(z)\nprint("eval( is named")\nmyeval(x)\npassword = "hunter2"\neval(a) # ignore-security\n#[cfg(test)]\neval(b)'
-    got = rows(analyses.security_surface(lines_of(spark, {"f": text}), ["file"]).select("line_no", "category", "confidence"), "line_no")
+    got = rows(analyses.security_surface(spark.createDataFrame([("f", text)], "file string, text string"), ["file"]).select("line_no", "category", "confidence"), "line_no")
     assert got == [(1, "xss", "medium"), (5, "secrets", "high")]
-    found = analyses.security_surface(lines_of(spark, {"f": text}), ["file"])
+    found = analyses.security_surface(spark.createDataFrame([("f", text)], "file string, text string"), ["file"])
     assert [r.line_no for r in analyses.ranked_findings(found, ["file"]).collect()] == [5, 1]
     assert ("category", "xss", 1) in rows(analyses.rollup(found), "by", "value")
     assert len({r[3] for r in analyses.rules()}) == len(analyses.rules())
