@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
 
+#: Shared folders that this process asked for and has not released.
+FOLDERS: list[str] = []
+
+
 def get_spark(cpus: str | int = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -30,13 +38,38 @@ def shared_folder(spark: SparkSession, name: str = "granary") -> str:
 
     Only a session in one process (tests, benchmark) gets a temporary folder of this machine.
     """
+    path = f"{_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    FOLDERS.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the shared folders that this process asked for, from the ``since``-th on, but those of ``keep``.
+
+    For a caller that has written or collected what it wanted: tables still to be read must not rest on them.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    kept = {k.rstrip("/") for k in keep}
+    for path in [f for f in FOLDERS[since:] if f not in kept]:
+        p = hadoop(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        FOLDERS.remove(path)
+
+
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         master = spark.sparkContext.master
         if master == "local" or master.startswith("local["):
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="granary-")
+            base = _local_folder()
         else:
             base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+@lru_cache(maxsize=1)
+def _local_folder() -> str:
+    """One temporary folder of this machine for a session in one process, gone at its end."""
+    path = tempfile.mkdtemp(prefix="granary-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
