@@ -37,6 +37,34 @@ def test_pipeline(spark, sf):
         assert got[i].text == m.decode(ids)
 
 
+def test_stages_leave_only_the_result(spark, sf, tmp_path, monkeypatch):
+    import os
+
+    from granary import session
+
+    monkeypatch.setattr(session, "_base", lambda spark: str(tmp_path))
+    since = len(session.FOLDERS)
+    out = corpus_pipeline.run(spark, sf)
+    assert len(os.listdir(tmp_path)) == 1 and out.count() > 0
+    session.release(spark, since)
+    assert not os.listdir(tmp_path)
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Very long texts, and extra columns named like those that stages use inside."""
+    names = ("toxic", "p_toxic", "__toxic", "a.b", "c0", "k", "id", "simhash", "met", "out0", "in0")
+    rows = [(1, "word " * 200000, "en", "s", 1000000), (2, "y" * 300000, "en", "s", 300000), (3, None, None, None, None), (4, "", "en", "s", 0), (4, "", "en", "s", 0), (None, "x", "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in names:
+        docs = docs.withColumn(c, F.lit("extra"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r["a.b"] for r in got} == {r["toxic"] for r in got} == {"extra"}
+        assert len(got) == {"simhash_near_dedup": 4}.get(name, 6), name
+
+
 def test_stages(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "pii", "sentencepiece"]
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
