@@ -74,9 +74,10 @@ def short_hash(text: Column | str) -> Column:
 
 # Words that are no keywords.
 STOPWORDS = (
-    "the and for with this that from into when should would could have has are was were not fix add implement make update change "
-    "refactor function method file code bug error issue where how why what all any new old use using"
-).split()
+    "the", "and", "for", "with", "this", "that", "from", "into", "when", "should", "would", "could", "have", "has",
+    "are", "was", "were", "not", "fix", "add", "implement", "make", "update", "change", "refactor", "function", "method", "file",
+    "code", "bug", "error", "issue", "where", "how", "why", "what", "all", "any", "new", "old", "use", "using",
+)
 
 
 def keywords(query: str) -> list[str]:
@@ -228,11 +229,11 @@ def is_code(path: Column, operator: str) -> Column:
 
 
 # Extensions of files that hold no text.
-BINARY = "png jpg jpeg gif ico svg woff woff2 ttf eot mp4 webm mp3 zip tar gz exe dll so dylib bin db sqlite lock".split()
+BINARY = ("png", "jpg", "jpeg", "gif", "ico", "svg", "woff", "woff2", "ttf", "eot", "mp4", "webm", "mp3", "zip", "tar", "gz", "exe", "dll", "so", "dylib", "bin", "db", "sqlite", "lock")
 
 
 def is_binary_path(path: Column) -> Column:
-    return F.regexp_extract(path, r"\.([^./]+)$", 1).isin(BINARY)
+    return F.regexp_extract(path, r"\.([^./]+)$", 1).isin(*BINARY)
 
 
 def glob_path(pattern: str) -> str:

@@ -7,64 +7,64 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 
-# category|severity|confidence|literal.
-RULES = r"""
-injection|high|low|.exec(
-injection|high|medium|shell_exec(
-injection|high|low|system(
-injection|high|medium|popen(
-injection|high|low|subprocess.call(
-injection|high|low|subprocess.Popen(
-injection|medium|low|Command::new(
-injection|high|low|child_process.exec(
-injection|high|low|child_process.spawn(
-injection|high|medium|Runtime.getRuntime().exec(
-injection|high|high|format!("SELECT
-injection|high|high|format!("INSERT
-injection|high|high|format!("UPDATE
-injection|high|high|format!("DELETE
-injection|high|high|f"SELECT
-injection|high|high|f"INSERT
-injection|high|medium|" + req.
-injection|high|medium|" + params.
-injection|medium|medium|raw_query(
-injection|medium|low|.execute("
-xss|high|high|innerHTML =
-xss|high|high|innerHTML+=
-xss|high|high|dangerouslySetInnerHTML
-xss|high|high|document.write(
-xss|high|medium|eval(
-xss|medium|high|outerHTML =
-xss|medium|medium|insertAdjacentHTML(
-xss|high|high|__html:
-secrets|critical|high|password = "
-secrets|critical|high|password="
-secrets|critical|high|api_key = "
-secrets|critical|high|api_key="
-secrets|critical|high|secret = "
-secrets|critical|high|secret="
-secrets|critical|high|token = "
-secrets|high|high|private_key = "
-secrets|high|high|-----BEGIN 
-secrets|high|low|aws_secret
-unsafe|medium|medium|unsafe {
-unsafe|medium|medium|unsafe fn 
-unsafe|high|low|from_raw(
-unsafe|high|medium|transmute(
-unsafe|high|low|ctypes.
-unsafe|medium|medium|@SuppressWarnings("unchecked")
-path_traversal|high|low|../
-path_traversal|medium|high|Path::new(req.
-path_traversal|medium|high|open(request.
-path_traversal|medium|low|File::open(
-path_traversal|medium|low|os.path.join(
-"""
+# Category, severity, confidence, literal.
+RULES = [
+    ("injection", "high", "low", ".exec("),
+    ("injection", "high", "medium", "shell_exec("),
+    ("injection", "high", "low", "system("),
+    ("injection", "high", "medium", "popen("),
+    ("injection", "high", "low", "subprocess.call("),
+    ("injection", "high", "low", "subprocess.Popen("),
+    ("injection", "medium", "low", "Command::new("),
+    ("injection", "high", "low", "child_process.exec("),
+    ("injection", "high", "low", "child_process.spawn("),
+    ("injection", "high", "medium", "Runtime.getRuntime().exec("),
+    ("injection", "high", "high", 'format!("SELECT'),
+    ("injection", "high", "high", 'format!("INSERT'),
+    ("injection", "high", "high", 'format!("UPDATE'),
+    ("injection", "high", "high", 'format!("DELETE'),
+    ("injection", "high", "high", 'f"SELECT'),
+    ("injection", "high", "high", 'f"INSERT'),
+    ("injection", "high", "medium", '" + req.'),
+    ("injection", "high", "medium", '" + params.'),
+    ("injection", "medium", "medium", "raw_query("),
+    ("injection", "medium", "low", '.execute("'),
+    ("xss", "high", "high", "innerHTML ="),
+    ("xss", "high", "high", "innerHTML+="),
+    ("xss", "high", "high", "dangerouslySetInnerHTML"),
+    ("xss", "high", "high", "document.write("),
+    ("xss", "high", "medium", "eval("),
+    ("xss", "medium", "high", "outerHTML ="),
+    ("xss", "medium", "medium", "insertAdjacentHTML("),
+    ("xss", "high", "high", "__html:"),
+    ("secrets", "critical", "high", 'password = "'),
+    ("secrets", "critical", "high", 'password="'),
+    ("secrets", "critical", "high", 'api_key = "'),
+    ("secrets", "critical", "high", 'api_key="'),
+    ("secrets", "critical", "high", 'secret = "'),
+    ("secrets", "critical", "high", 'secret="'),
+    ("secrets", "critical", "high", 'token = "'),
+    ("secrets", "high", "high", 'private_key = "'),
+    ("secrets", "high", "high", "-----BEGIN "),
+    ("secrets", "high", "low", "aws_secret"),
+    ("unsafe", "medium", "medium", "unsafe {"),
+    ("unsafe", "medium", "medium", "unsafe fn "),
+    ("unsafe", "high", "low", "from_raw("),
+    ("unsafe", "high", "medium", "transmute("),
+    ("unsafe", "high", "low", "ctypes."),
+    ("unsafe", "medium", "medium", '@SuppressWarnings("unchecked")'),
+    ("path_traversal", "high", "low", "../"),
+    ("path_traversal", "medium", "high", "Path::new(req."),
+    ("path_traversal", "medium", "high", "open(request."),
+    ("path_traversal", "medium", "low", "File::open("),
+    ("path_traversal", "medium", "low", "os.path.join("),
+]
 #: Literals that count inside quoted strings too.
 CONTENT_RULES = ("../", "-----BEGIN ", "aws_secret")
 
 
 def rules() -> list[tuple[str, str, str, str]]:
-    return [tuple(line.split("|", 3)) for line in RULES.strip("\n").split("\n")]
+    return RULES
 
 
 def outside_quotes(line: Column, literal: str) -> Column:

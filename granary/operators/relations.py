@@ -47,13 +47,13 @@ def unreferenced(symbols: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 # Names that are never reported as dead.
-EXEMPT = "main new default drop clone fmt from into eq ne hash cmp partial_cmp deref index next init setup teardown run start build test handler render __init__".split()
+EXEMPT = ("main", "new", "default", "drop", "clone", "fmt", "from", "into", "eq", "ne", "hash", "cmp", "partial_cmp", "deref", "index", "next", "init", "setup", "teardown", "run", "start", "build", "test", "handler", "render", "__init__")
 
 
 def dead_code(symbols: DataFrame, mentions: DataFrame, include_exported: bool = False) -> DataFrame:
     """Unreferenced functions and types, by confidence: exported ones may be used from elsewhere."""
     kinds = ["function", "method", "class", "struct", "enum", "trait"]
-    asked = symbols.where(F.col("kind").isin(kinds) & ~F.col("name").isin(EXEMPT) & ~F.lower("name").rlike("^test|test$|^bench|^example") & (F.octet_length("name") > 2)).withColumn("exported", T.is_exported(F.col("signature")))
+    asked = symbols.where(F.col("kind").isin(kinds) & ~F.col("name").isin(*EXEMPT) & ~F.lower("name").rlike("^test|test$|^bench|^example") & (F.octet_length("name") > 2)).withColumn("exported", T.is_exported(F.col("signature")))
     asked = asked if include_exported else asked.where("not exported")
     return unreferenced(asked, mentions).withColumn("confidence", F.when(F.col("exported"), "medium").otherwise("high"))
 
@@ -70,13 +70,13 @@ def once_only(terms: DataFrame, doc: str, term: str) -> DataFrame:
 
 
 # Words before a parenthesis that are no calls.
-NO_CALLS = "if for while match switch return catch loop fn def func function class struct enum trait impl let const var new in and or not as elif else assert yield await async Some None Ok Err Vec String Box".split()
+NO_CALLS = ("if", "for", "while", "match", "switch", "return", "catch", "loop", "fn", "def", "func", "function", "class", "struct", "enum", "trait", "impl", "let", "const", "var", "new", "in", "and", "or", "not", "as", "elif", "else", "assert", "yield", "await", "async", "Some", "None", "Ok", "Err", "Vec", "String", "Box")
 
 
 def calls(lines: DataFrame) -> DataFrame:
     """(file, line_no, callee): each name called in a line once; keywords, constructors and names in capitals are passed over."""
     found = F.array_distinct(F.regexp_extract_all("line", F.lit(r"\b([a-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)))
-    return lines.select("file", "line_no", F.explode_outer(found).alias("callee")).where(F.col("callee").isNotNull() & ~F.col("callee").isin(NO_CALLS))
+    return lines.select("file", "line_no", F.explode_outer(found).alias("callee")).where(F.col("callee").isNotNull() & ~F.col("callee").isin(*NO_CALLS))
 
 
 def call_graph(symbols: DataFrame, called: DataFrame) -> DataFrame:

@@ -73,12 +73,24 @@ def edit_imports(text: str, add: list[str], remove: list[str]) -> tuple[str, int
     return "\n".join([*kept[:last], *new, *kept[last:]]), len(new), len(lines) - len(kept), len(add) - len(new)
 
 
-def set_value(text: str, path: str, value) -> tuple[str, object]:
-    """A JSON document with a value set at ``a.b[0].c`` and the old value; objects on the way are made, indexes must exist."""
-    tree = json.loads(text)
+def set_value(text: str, path: str, value, kind: str = "json") -> tuple[str, object]:
+    """A JSON, YAML or TOML document with a value set at ``a.b[0].c`` and the old value; objects on the way are made, indexes must exist.
+
+    JSON and YAML are written anew in their order; of a TOML document only the line of the key changes.
+    """
     parts = re.findall(r"[^.\[\]]+|\[\d+\]", path)
+    if kind == "toml":
+        return _set_toml(text, parts, value)
+    if kind == "yaml":
+        import yaml
+
+        tree = yaml.safe_load(text)
+        dump = lambda x: yaml.safe_dump(x, sort_keys=False, allow_unicode=True)
+    else:
+        tree = json.loads(text)
+        dump = lambda x: json.dumps(x, indent=2, ensure_ascii=False)
     if not parts:
-        return json.dumps(value), tree
+        return dump(value), tree
     at = tree
     for p in parts[:-1]:
         at = at[int(p[1:-1])] if p[0] == "[" else at.setdefault(p, {})
@@ -88,19 +100,51 @@ def set_value(text: str, path: str, value) -> tuple[str, object]:
     else:
         old = at.get(last)
         at[last] = value
-    return json.dumps(tree, indent=2, ensure_ascii=False), old
+    return dump(tree), old
+
+
+def _set_toml(text: str, parts: list[str], value) -> tuple[str, object]:
+    import tomllib
+
+    if not parts or any(p[0] == "[" for p in parts):
+        raise ValueError("a key is needed, without an index")
+    at = tomllib.loads(text)
+    for p in parts[:-1]:
+        at = at.get(p, {})
+    old, table, key = at.get(parts[-1]), ".".join(parts[:-1]), parts[-1]
+    new = f"{key} = {json.dumps(value, ensure_ascii=False)}"
+    lines, now, place = text.split("\n"), "", None if table else 0
+    for i, line in enumerate(lines):
+        if m := re.match(r"\s*\[([^\[\]]+)\]\s*(?:#.*)?$", line):
+            now = m[1].strip()
+        if now == table:
+            if re.match(rf"\s*{re.escape(key)}\s*=", line):
+                lines[i] = new
+                break
+            if line.strip():
+                place = i + 1
+    else:
+        if place is None:
+            lines += ["", f"[{table}]", new] if lines[-1].strip() else [f"[{table}]", new]
+        else:
+            lines.insert(place, new)
+    out = "\n".join(lines)
+    tomllib.loads(out)  # what cannot be read is not written
+    return out, old
 
 
-def write_section(text: str, anchor: str, mode: str, body: str = "") -> str:
-    """A Markdown text with a section replaced, deleted, or a body put before, after or at the end of it."""
+def write_section(text: str, anchor: str, mode: str, body: str = "", expected_title: str | None = None) -> str:
+    """A Markdown text with a section replaced, deleted, or a body put before, after or at the end of it; the heading must be the expected one, if any."""
     from granary.sources.extract import markdown_headings
 
     lines = text.split("\n")
-    for _, _, a, first, last in markdown_headings(text):
+    for _, title, a, first, last in markdown_headings(text, setext=False):
         if a == anchor:
             break
     else:
         raise KeyError(anchor)
+    if expected_title is not None and expected_title != title:
+        raise ValueError(f"the heading is {title!r}")
     new = body.split("\n")
     before, own, after = lines[: first - 1], lines[first - 1 : last], lines[last:]
     gap = lambda x, y: [""] if x and y and x[-1].strip() and y[0].strip() else []

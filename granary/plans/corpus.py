@@ -191,12 +191,6 @@ def read_ledger(spark, sf):
     return delta.read_ledger(table(spark, sf, "conversations"), ["conv_id", "role"], ["turn"], "text").select("conv_id", "role", "turn", "state")
 
 
-@query(None)
-def read_ledger_answers(spark, sf):
-    """The same with the text or the diff that would be sent."""
-    return delta.answers(table(spark, sf, "conversations"), ["conv_id", "role"], ["turn"], "text")
-
-
 PAGE_H = r"""(SELECT page_id, (i - 1)::BIGINT AS n, tags[i] AS tag FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>') AS tags FROM pages) s, unnest(generate_series(1, len(tags))) AS g(i))"""
 
 

@@ -480,6 +480,25 @@ def context_pack(spark, sf):
     return analyses.budget_fill(costs.withColumn("query", F.lit("license")), ["query"], ["rank", "doc_id", "line_no"], "cost", 2000).select("query", F.size("taken").alias("taken"), "used", "omitted")
 
 
+@query(f"SELECT f, 'notes' AS anchor, 'Notes' AS title, '## Notes' || chr(10) || chr(10) || 'of ' || f || chr(10) AS content FROM (SELECT DISTINCT f FROM {PARTS} p) d")
+def page_section_bodies(spark, sf):
+    """A section of each page's Markdown."""
+    from granary.sources import web
+
+    pages = parts(spark, sf).select("f").distinct().withColumn("html", fmt("<body><h1>Top</h1><p>x</p><h2>Notes</h2><p>of %d</p><h2>More</h2><p>y</p>", "f"))
+    return web.page_sections(pages, ["f"], ["notes", "none"]).select("f", "anchor", "title", "content")
+
+
+@query(f"SELECT f, '## HEAD' || chr(10) || chr(10) || 'Part ' || f || ' (x)' AS markdown FROM (SELECT DISTINCT f FROM {PARTS} p) d WHERE f % 3 <> 2 UNION ALL SELECT DISTINCT f, NULL FROM {PARTS} p WHERE f % 3 = 2")
+def convert_documents(spark, sf):
+    """PDF files as Markdown; what is no document gives nothing."""
+    from granary.sources import web
+
+    head = "%%PDF-1.4\n4 0 obj\n<< /Length 9 >>\nstream\nBT /F1 12 Tf 72 720 Td (HEAD) Tj 0 -14 Td "
+    files = parts(spark, sf).select("f").distinct().withColumn("content", F.when(F.col("f") % 3 == 2, "none").when(F.col("f") % 3 == 0, fmt(head + "(Part %d \\(x\\)) Tj ET\nendstream", "f")).otherwise(fmt(head + "[(Part ) -20 (%d) <20287829>] TJ ET\nendstream", "f")).cast("binary"))
+    return web.convert_documents(files).select("f", "markdown")
+
+
 # --- streams
 
 

@@ -633,6 +633,29 @@ def pipeline(kind: str) -> Callable[[str], list[tuple]]:
 
 # --- reports
 
+# The weights of the CVSS 3 base metrics, as the standard gives them.
+CVSS = {
+    "AV": {"N": 0.85, "A": 0.62, "L": 0.55, "P": 0.2}, "AC": {"L": 0.77, "H": 0.44}, "UI": {"N": 0.85, "R": 0.62}, "PR": {"N": 0.85, "L": 0.62, "H": 0.27},
+    "C": {"H": 0.56, "L": 0.22, "N": 0.0}, "I": {"H": 0.56, "L": 0.22, "N": 0.0}, "A": {"H": 0.56, "L": 0.22, "N": 0.0},
+}
+CVSS_CHANGED = {"N": 0.85, "L": 0.68, "H": 0.5}
+
+
+def cvss_score(vector: str) -> float:
+    """The base score of a CVSS 3 vector."""
+    m = dict(x.split(":", 1) for x in vector.split("/")[1:])
+    changed = m["S"] == "C"
+    w = {k: v[m[k]] for k, v in CVSS.items()}
+    w["PR"] = CVSS_CHANGED[m["PR"]] if changed else w["PR"]
+    base = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
+    impact = 7.52 * (base - 0.029) - 3.25 * (base - 0.02) ** 15 if changed else 6.42 * base
+    if impact <= 0:
+        return 0.0
+    total = min((1.08 if changed else 1.0) * (impact + 8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"]), 10)
+    whole = round(total * 100_000)
+    return whole / 100_000 if whole % 10_000 == 0 else (whole // 10_000 + 1) / 10
+
+
 FINDINGS = "package string, severity string, id string, affected string, patched string, title string"
 
 
@@ -650,8 +673,8 @@ def audit(kind: str) -> Callable[[str], list[tuple]]:
 
     def severity(score) -> str:
         try:
-            s = float(score)
-        except (TypeError, ValueError):
+            s = cvss_score(score) if isinstance(score, str) and score.startswith("CVSS:3") else float(score)
+        except (TypeError, ValueError, KeyError):
             return "unknown"
         return "critical" if s >= 9 else "high" if s >= 7 else "moderate" if s >= 4 else "low" if s > 0 else "unknown"
 

@@ -125,6 +125,14 @@ def page_headings(df: DataFrame, key: list[str], html: str = "html") -> DataFram
     return rows.select(*key, F.col("n").cast("bigint").alias("n"), F.regexp_extract("tag", r"(?i)^<h([1-6])", 1).cast("bigint").alias("level"), title.alias("title"), T.anchor(title).alias("anchor"))
 
 
+def page_sections(df: DataFrame, key: list[str], anchors: list[str], html: str = "html") -> DataFrame:
+    """(key…, n, anchor, title, content): the sections of each page's Markdown with these anchors, in their order."""
+    from granary.sources import extract
+
+    marked = html_to_markdown(df.select(*key, html), html)
+    return extract.rows_of(marked, key, "markdown", extract.sections(anchors), extract.SECTIONS).where("error is null").drop("error")
+
+
 def page_links(df: DataFrame, key: list[str], html: str = "html") -> DataFrame:
     """(key…, href): each link of a page once."""
     hrefs = F.array_distinct(F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), F.lit(1)))
@@ -163,12 +171,68 @@ def docx_markdown(content: bytes | None) -> str | None:
     return "\n\n".join(out)
 
 
+_PDF_TEXT = re.compile(rb"\((?:[^()\\]|\\.)*\)|<[0-9A-Fa-f\s]*>|\[|\]|[^\s()<>\[\]/]+|/[^\s()<>\[\]/]*")
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        raw = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    else:
+        octal = lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1])
+        raw = re.sub(rb"(?s)\\([0-7]{1,3}|.)", octal, token[1:-1])
+    return raw.decode("utf-16") if raw[:2] in (b"\xfe\xff", b"\xff\xfe") else raw.decode("latin-1")
+
+
+def pdf_lines(content: bytes) -> list[str]:
+    """The lines of text that a PDF's pages show, in the order of its content streams; fonts with tables of their own are read by their plain codes."""
+    import zlib
+
+    out: list[str] = []
+    for m in re.finditer(rb"(?s)<<((?:[^<>]|<[^<]|>[^>]|<<.*?>>)*)>>\s*stream\r?\n(.*?)\r?\n?endstream", content):
+        data = m[2]
+        if b"FlateDecode" in m[1]:
+            try:
+                data = zlib.decompressobj().decompress(data)
+            except zlib.error:
+                continue
+        if b"BT" not in data:
+            continue
+        line, last, strings = "", b"", []
+        for token in _PDF_TEXT.findall(data):
+            if token[:1] in (b"(", b"<"):
+                strings.append(_pdf_string(token))
+            elif token in (b"Tj", b"TJ"):
+                line += "".join(strings)
+                strings = []
+            elif token in (b"Td", b"TD", b"T*", b"Tm", b"'", b'"', b"ET"):
+                if token in (b"'", b'"'):
+                    out.append(line)
+                    line = "".join(strings)
+                elif line and not (token == b"Td" and last == b"0"):
+                    out.append(line)
+                    line = ""
+                strings = []
+            last = token
+        out.append(line)
+    return [x.strip() for x in out if x.strip()]
+
+
+def pdf_markdown(content: bytes | None) -> str | None:
+    """A PDF as Markdown: lines of under sixty bytes without lower-case letters are headings; None where it is no PDF."""
+    if not content or not content[:1024].lstrip().startswith(b"%PDF"):
+        return None
+    heading = lambda x: len(x.encode()) < 60 and all(c.isupper() or c.isspace() for c in x)
+    return "\n\n".join(f"## {x}" if heading(x) else x for x in pdf_lines(content))
+
+
 def convert_documents(files: DataFrame, content: str = "content", to: str = "markdown") -> DataFrame:
     """Binary files with their Markdown; null where a file is no readable document."""
 
     @F.pandas_udf("string")
     def convert(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for p in parts:
-            yield p.map(lambda b: docx_markdown(bytes(b)) if b is not None else None)
+            yield p.map(lambda b: pdf_markdown(bytes(b)) or docx_markdown(bytes(b)) if b is not None else None)
 
     return files.withColumn(to, convert(content))

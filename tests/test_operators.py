@@ -189,6 +189,31 @@ def test_reports(spark):
     assert [tuple(r) for r in relations.imported_by(src, stems).collect()] == [("util", "a.py")]
 
 
+def test_config_values():
+    import json
+
+    assert rewrite.set_value("a: 1\nb:\n  c: [1, 2]\n", "b.c[1]", 5, "yaml") == ("a: 1\nb:\n  c:\n  - 1\n  - 5\n", 2)
+    toml = '# top\nx = 1\n\n[a.b]\nc = "old" # note\n[z]\n'
+    assert rewrite.set_value(toml, "a.b.c", "new", "toml") == ('# top\nx = 1\n\n[a.b]\nc = "new"\n[z]\n', "old")
+    assert rewrite.set_value(toml, "a.b.d", True, "toml")[0].split("\n")[5] == "d = true"
+    assert rewrite.set_value(toml, "n.m", [1], "toml") == (toml + "\n[n]\nm = [1]", None)
+    assert rewrite.set_value(toml, "y", 2, "toml")[0].split("\n")[2] == "y = 2"
+    assert json.loads(rewrite.set_value('{"a": 1}', "b.c", 2)[0]) == {"a": 1, "b": {"c": 2}}
+    with pytest.raises(ValueError):
+        rewrite.write_section("# A\nx", "a", "delete", expected_title="B")
+
+
+def test_cvss_and_pdf():
+    import zlib
+
+    from granary.sources import extract
+
+    assert [extract.cvss_score("CVSS:3.1/" + v) for v in ("AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", "AV:N/AC:L/PR:N/UI:R/S:C/C:L/I:L/A:N", "AV:L/AC:H/PR:H/UI:R/S:U/C:N/I:N/A:N")] == [9.8, 6.1, 0.0]
+    data = zlib.compress(b"BT 1 0 0 1 72 720 Tm (TITLE ONE) Tj ET BT 0 0 Td (body \\(a\\)) Tj T* [(sp) 5 (lit)] TJ ET")
+    pdf = b"%PDF-1.5\n1 0 obj\n<< /Filter /FlateDecode /Length " + str(len(data)).encode() + b" >>\nstream\n" + data + b"\nendstream\nendobj"
+    assert web.pdf_markdown(pdf) == "## TITLE ONE\n\nbody (a)\n\nsplit" and web.pdf_markdown(b"no") is None
+
+
 def test_pages_without_the_end_of_the_head():
     assert web.markdown_of("<html><head><title>No</title><body><h1>T</h1><p>x") == "# T\n\nx"
     assert web.markdown_of("<head><meta charset=a><style>p{}</style><p>x</p>") == "x"
