@@ -102,19 +102,17 @@ def factor(df: DataFrame, batch: list[str], id: str, text: str, least: float = 0
 
     In order of id, a result whose lines agree to ``least`` with an earlier template, and whose diff to it
     is shorter than itself, refers to it; the others are templates. A batch is one request's handful of
-    results, so a group is one task's. Templates that cannot reach the ratio by their number of lines or by the lines
-    that they share at all are passed over before any alignment.
+    results, so it is one row; many batches go through Python together. Templates that cannot reach the ratio by their
+    number of lines, or by the lines that they share at all, are passed over before any alignment.
     """
     import re
     from collections import Counter
 
-    names = [f.name for f in df.select(*batch).schema]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(ids: list, texts: list) -> list[dict]:
         templates: list[tuple] = []
         out = []
-        for row in pdf.sort_values(id).itertuples(index=False):
-            now = getattr(row, text) or ""
+        for i, now in zip(ids, texts, strict=True):
+            now = now or ""
             parts = re.split(r"\r?\n", now)
             bag = Counter(parts)
             ref, ratio, shown = None, None, None
@@ -127,12 +125,19 @@ def factor(df: DataFrame, batch: list[str], id: str, text: str, least: float = 0
                     ref, ratio, shown = tid, r, d
                     break
             if ref is None:
-                templates.append((getattr(row, id), now, parts, bag))
-            out.append((*[getattr(row, n) for n in names], getattr(row, id), ref, ratio, shown))
-        return pd.DataFrame(out, columns=[*names, id, "template_ref", "ratio", "diff"]).astype({"template_ref": "Int64"})
+                templates.append((i, now, parts, bag))
+            out.append({"id": i, "template_ref": ref, "ratio": ratio, "diff": shown})
+        return out
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in tables:
+            yield p.drop(columns=["_ids", "_texts"]).assign(found=[one(list(i), list(t)) for i, t in zip(p["_ids"], p["_texts"], strict=True)])
 
     kinds = dict(df.dtypes)
-    return df.groupBy(*batch).applyInPandas(one, ", ".join(f"{n} {kinds[n]}" for n in [*names, id]) + ", template_ref bigint, ratio double, diff string")
+    sorted_ = F.array_sort(F.collect_list(F.struct(F.col(id).alias("i"), F.col(text).alias("t"))))
+    grouped = df.groupBy(*batch).agg(sorted_.alias("s")).select(*batch, F.transform("s", lambda x: x["i"]).alias("_ids"), F.transform("s", lambda x: x["t"]).alias("_texts"))
+    found = grouped.mapInPandas(run, ", ".join(f"{n} {kinds[n]}" for n in batch) + f", found array<struct<id:{kinds[id]},template_ref:{kinds[id]},ratio:double,diff:string>>")
+    return found.select(*batch, F.inline("found")).withColumnRenamed("id", id)
 
 
 def unified(a: str, b: str, context: int = 2) -> str:
