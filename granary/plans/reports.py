@@ -543,20 +543,29 @@ def symbol_bodies(spark, sf):
     return symbols.bodies(files, asked.unionByName(odd))
 
 
-@query(f"SELECT 'src/f' || f || '.rs' AS path, 'function:' || (4 * i + 1) || '-' || (4 * i + 3) AS id, 'pub fn part_' || pk || '(x: u8) -> u8 {{' || chr(10) || '… 1 line(s) …' || chr(10) || '}}' AS shown FROM {PARTS} p")
+def _long(spark, sf) -> DataFrame:
+    """Files of twenty functions of ten plain lines each."""
+    body = F.concat(fmt("pub fn part_%d(x: u8) -> u8 {\n", "pk"), F.repeat(fmt("    value of %d\n", "size"), 10), F.lit("}\n"))
+    return listed(parts(spark, sf), ["f"], ["pk"], body).select(fmt("src/f%d.rs", "f").alias("path"), "text")
+
+
+_HEAD = "'pub fn part_' || pk || '(x: u8) -> u8"
+
+
+@query(f"SELECT 'src/f' || f || '.rs' AS path, 'function:' || (13 * i + 1) || '-' || (13 * i + 12) AS id, {_HEAD} {{' || chr(10) || '… 10 line(s) …' || chr(10) || '}}' AS shown FROM {PARTS} p")
 def code_sketch(spark, sf):
     """Definitions with what is no structure left out."""
-    files = sources(spark, sf, "rs")
+    files = _long(spark, sf)
     return symbols.zoomed(files, symbols.symbols_of(files), "sketch")
 
 
-_SHOWN = f"SELECT 'pub fn part_' || pk || '(x: u8) -> u8' AS skeleton, 'pub fn part_' || pk || '(x: u8) -> u8 {{' || chr(10) || '… 1 line(s) …' || chr(10) || '}}' AS sketch, 'pub fn part_' || pk || '(x: u8) -> u8 {{' || chr(10) || '    ' || size || chr(10) || '}}' AS body FROM {PARTS} p"
+_SHOWN = f"SELECT {_HEAD}' AS skeleton, {_HEAD} {{' || chr(10) || '… 10 line(s) …' || chr(10) || '}}' AS sketch, {_HEAD} {{' || chr(10) || repeat('    value of ' || size || chr(10), 10) || '}}' AS body FROM {PARTS} p"
 
 
 @query(" UNION ALL ".join(f"SELECT '{z}' AS zoom, sum({est(z)})::BIGINT AS tokens FROM ({_SHOWN}) s" for z in ("skeleton", "sketch", "body")))
 def zoom_tokens(spark, sf):
     """Tokens of all definitions at each zoom."""
-    files = sources(spark, sf, "rs")
+    files = _long(spark, sf)
     syms = symbols.symbols_of(files)
     out = None
     for z in ("skeleton", "sketch", "body"):
