@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.columns import append_columns, quoted, small
+from granary.llm.columns import append_columns, quoted, small, written
 
 #: Labelled rows of either kind that a chain is fitted on.
 MOST_POSITIVE, MOST_NEGATIVE = 2500, 5000
@@ -114,22 +114,22 @@ def choose(rows: Sequence[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.nd
     n_pos, n_rest = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     if not rows:
         return np.zeros(0, dtype=np.int32), np.zeros(0)
-    positive, both = np.zeros(SPACE, dtype=np.int32), np.zeros(SPACE, dtype=np.int32)
+    positive, rest = np.zeros(SPACE, dtype=np.int32), np.zeros(SPACE, dtype=np.int32)
     for r, label in zip(rows, y, strict=True):  # a row's features are distinct
-        both[r] += 1
-        if label:
-            positive[r] += 1
-    rest = both - positive
+        (positive if label else rest)[r] += 1
+    found = np.flatnonzero(positive >= LEAST_ROWS)
+    positive, rest = positive[found], rest[found]
     expected = rest / n_rest * n_pos
     z = (positive - expected) / np.sqrt(expected + 0.5)
-    found = np.flatnonzero((positive >= LEAST_ROWS) & (z >= LEAST_Z))
+    ratio = np.log((positive + 0.5) / n_pos * n_rest / (rest + 0.5))
+    sure = z >= LEAST_Z
+    found, z, ratio = found[sure].astype(np.int32), z[sure], ratio[sure]
     # of features that stand in just the same rows (a word and its beginnings), one is enough
-    at, of = _present(rows, found.astype(np.int32))
+    at, of = _present(rows, found)
     marks = np.bincount(of, np.random.default_rng(1).random(len(rows))[at], len(found))
     _, first = np.unique(np.round(marks, 9), return_index=True)
-    found = found[first]
-    found = np.sort(found[np.argsort(-z[found], kind="stable")[:MOST_FEATURES]])
-    return found.astype(np.int32), np.log((positive[found] + 0.5) / n_pos * n_rest / (rest[found] + 0.5))
+    best = np.sort(first[np.argsort(-z[first], kind="stable")[:MOST_FEATURES]])
+    return found[best], ratio[best]
 
 
 def fit_linear(rows: Sequence[np.ndarray], columns: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 1.0, penalty: float = 0.1) -> Linear:
@@ -173,11 +173,8 @@ def _fold(text: str | None, folds: int) -> int:
     return xxhash.xxh64_intdigest((text or "").encode(), 7) % folds
 
 
-def fit_chain(texts: Sequence[str | None], labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
-    """A chain over ``labels`` (category: 0/1 a text, in order); the last category's threshold is set out of fold."""
-    words = _Features()
-    rows = [features(t, words) for t in texts]
-    fold = np.array([_fold(t, folds) for t in texts], dtype=np.int64)
+def fit_chain(rows: Sequence[np.ndarray], fold: np.ndarray, labels: dict[str, np.ndarray], folds: int = FOLDS) -> Chain:
+    """A chain over ``labels`` (category: 0/1 a row, in order) of rows of features, each of a fold; the last category's threshold is set out of fold."""
     unseen = np.zeros((len(rows), 0))
     models, outside = [], [[] for _ in range(folds)]
     for y in labels.values():
@@ -217,20 +214,24 @@ def _labels(labels: DataFrame, id: str, label: str) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, text: str, id: str, label: str, most_positive: int, most_negative: int) -> DataFrame:
     """(t, y): the texts of the bounded sample of labelled rows. Ids are sampled among those that have a text; where ids repeat, the bound holds for rows too."""
+    return _sample(docs, written(_labels(labels, id, label)), text, id, most_positive, most_negative)
+
+
+def _sample(docs: DataFrame, each: DataFrame, text: str, id: str, most_positive: int, most_negative: int) -> DataFrame:
     texts = docs.select(F.col(quoted(id)).alias("_id"), F.col(quoted(text)).alias("t")).where("t is not null")
-    each = _labels(labels, id, label).join(texts.select("_id").distinct(), "_id")
+    # one pass over the ids; what is asked of them twice is written
+    known = written(texts.select("_id").join(F.broadcast(each) if small(each, BROADCAST_ROWS) else each, "_id").distinct())
+    most = {1: most_positive, 0: most_negative}
     first = [F.xxhash64("_id"), "_id"]
-    ids = each.where("y = 1").orderBy(*first).limit(most_positive).unionByName(each.where("y = 0").orderBy(*first).limit(most_negative))
-    rows = texts.join(F.broadcast(ids), "_id")  # bounded by the sample
-    order = [*first, F.xxhash64("t"), "t"]
-    return rows.where("y = 1").orderBy(*order).limit(most_positive).unionByName(rows.where("y = 0").orderBy(*order).limit(most_negative)).select("t", "y")
+    ids = [known.where(F.col("y") == y).orderBy(*first).limit(n) for y, n in most.items()]
+    rows = written(texts.join(F.broadcast(ids[0].unionByName(ids[1])), "_id"))  # bounded by the sample
+    got = [rows.where(F.col("y") == y).orderBy(*first, F.xxhash64("t"), "t").limit(n).select("t", "y") for y, n in most.items()]
+    return got[0].unionByName(got[1])
 
 
-def kinds(texts: Sequence[str | None], y: np.ndarray, n: int = KINDS, rounds: int = ROUNDS) -> np.ndarray:
-    """One row of 0/1 a kind: the positive texts parted by the features in which positive rows stand out. Every positive text is of one kind; ties go to the first."""
-    out = np.zeros((n, len(texts)))
-    words = _Features()
-    rows = [features(t, words) for t in texts]
+def kinds(rows: Sequence[np.ndarray], y: np.ndarray, n: int = KINDS, rounds: int = ROUNDS) -> np.ndarray:
+    """One row of 0/1 a kind: the positive rows parted by the features in which they stand out. Every positive row is of one kind; ties go to the first."""
+    out = np.zeros((n, len(rows)))
     chosen, weight = choose(rows, y)
     positive = np.flatnonzero(y)
     if not len(positive):
@@ -256,17 +257,22 @@ def kinds(texts: Sequence[str | None], y: np.ndarray, n: int = KINDS, rounds: in
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", n_kinds: int = KINDS, most_positive: int = MOST_POSITIVE, most_negative: int = MOST_NEGATIVE) -> Chain:
-    got = sample(docs, labels, text, id, label, most_positive, most_negative).toPandas().sort_values(["t", "y"])
-    texts, y = got["t"].tolist(), got["y"].to_numpy(dtype=float)
-    chain = {f"kind{i + 1}": of for i, of in enumerate(kinds(texts, y, n_kinds))}
-    out = fit_chain(texts, chain | {label: y})
-    out.threshold, out.held_out_f1 = threshold(docs, labels, out, text, id, label)
+    each = written(_labels(labels, id, label))
+    got = _sample(docs, each, text, id, most_positive, most_negative).toPandas().sort_values(["t", "y"])
+    y, words = got["y"].to_numpy(dtype=float), _Features()
+    rows = [features(t, words) for t in got["t"]]
+    fold = np.array([_fold(t, FOLDS) for t in got["t"]], dtype=np.int64)
+    del got, words  # the texts themselves are not needed any more
+    chain = {f"kind{i + 1}": of for i, of in enumerate(kinds(rows, y, n_kinds))}
+    out = fit_chain(rows, fold, chain | {label: y})
+    del rows
+    out.threshold, out.held_out_f1 = threshold(docs, each, out, text, id)
     return out
 
 
-def threshold(docs: DataFrame, labels: DataFrame, chain: Chain, text: str, id: str, label: str) -> tuple[float, float]:
-    """The threshold of the last category and its F1, by the out-of-fold scores of all labelled rows."""
-    each = _labels(labels, id, label).where("y in (0, 1)")
+def threshold(docs: DataFrame, each: DataFrame, chain: Chain, text: str, id: str) -> tuple[float, float]:
+    """The threshold of the last category and its F1, by the out-of-fold scores of all labelled rows; ``each``: (_id, y), written."""
+    each = each.where("y in (0, 1)")
     rows = docs.select(F.col(quoted(id)).alias("_id"), F.col(quoted(text)).alias("t")).where("t is not null and _id is not null")
     if small(each, BROADCAST_ROWS):
         scored = _ranges(rows.join(F.broadcast(each), "_id"), chain)

@@ -433,11 +433,13 @@ def test_toxic_kinds_come_from_the_data():
     word = lambda xs, n: " ".join(rnd.choice(xs, n))
     texts = [word(rest, 20) + " " + word(one if i % 3 else two, 6) for i in range(90)] + [word(rest, 26) for _ in range(300)]
     y = np.r_[np.ones(90), np.zeros(300)]
-    kinds = toxicity.kinds(texts, y, 2)
+    words = toxicity._Features()
+    rows = [toxicity.features(t, words) for t in texts]
+    kinds = toxicity.kinds(rows, y, 2)
     assert (kinds.sum(axis=0) == y).all() and sorted(kinds.sum(axis=1)) == [30, 60]
     for i in range(90):
         assert (kinds[:, i] == kinds[:, 1 if i % 3 else 0]).all()
-    assert (toxicity.kinds(texts, np.zeros(390), 2) == 0).all()
+    assert (toxicity.kinds(rows, np.zeros(390), 2) == 0).all()
 
 
 def test_toxicity_sample_is_of_rows_that_have_texts(spark):
