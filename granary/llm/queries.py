@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, html_wrappers, license_scan, oracle, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
+from granary.llm import decontamination, html_wrappers, license_scan, oracle, periodic_runs, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = periodic_runs.find(docs.select("doc_id", periodic_runs.looped(F.col("text"), F.col("doc_id")).alias("text")))
+    best = periodic_runs.greatest(F.col("runs"))
+    line = lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+    return (
+        out.select("doc_id", "runs", "collapsed", best.alias("best"))
+        .select(
+            "doc_id",
+            F.size("runs").cast("bigint").alias("n_runs"),
+            "best.start",
+            "best.length",
+            "best.period",
+            F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+            F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+            F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_wrappers": op1_html_wrappers,
     "op2_personal_data": op2_personal_data,
@@ -91,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_model": op9_url_model,
     "op10_quality": op10_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
