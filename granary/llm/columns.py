@@ -32,6 +32,14 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Give the session of ``df`` smaller Arrow batches than Spark's own, unless it has set bounds itself."""
+    conf = df.sparkSession.conf
+    for name, usual, ours in ((BATCH, USUAL_ROWS, BATCH_ROWS), (BATCH_SIZE, USUAL_BYTES, BATCH_BYTES)):
+        if conf.get(name, usual) == usual:
+            conf.set(name, str(ours))
+
+
 def append_columns(df: DataFrame, reads: Sequence[str], make: Callable[[], Callable[..., list[list]]], fields: str) -> DataFrame:
     """``df`` with the columns ``fields`` (a DDL string), computed from the columns ``reads``.
 
@@ -43,10 +51,7 @@ def append_columns(df: DataFrame, reads: Sequence[str], make: Callable[[], Calla
     A session that has Spark's own bounds of an Arrow batch gets smaller ones (rows and bytes); bounds
     that the session has set stay.
     """
-    conf = df.sparkSession.conf
-    for name, usual, ours in ((BATCH, USUAL_ROWS, BATCH_ROWS), (BATCH_SIZE, USUAL_BYTES, BATCH_BYTES)):
-        if conf.get(name, usual) == usual:
-            conf.set(name, str(ours))
+    bound_batches(df)
     added = StructType.fromDDL(fields)
     keep = others(df, added.fieldNames())
     carried = [f"k{i}" for i in range(len(keep))]
@@ -81,10 +86,10 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: object) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage, survives the loss of executors."""
     path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

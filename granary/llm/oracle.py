@@ -61,4 +61,12 @@ lim AS (SELECT lang, source, metric, min(bucket) + {quality.WIDTH} AS last FROM
 pl AS (SELECT lang, source, {", ".join(f"max(last) FILTER (WHERE metric = '{k}') AS last_{k}" for k in quality.RATIOS)} FROM lim GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_FAILED} AS base_failed, NOT ({_FAILED}) AND NOT ({_ODD}) AS kept FROM x LEFT JOIN pl USING (lang, source)"""
 
-SQL = {"op3_license_scan": LICENSE_SCAN, "op7_decontamination": DECONTAMINATION, "op10_quality": QUALITY}
+LEXICAL_SEARCH = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, unnest(list_distinct({_WORDS})) AS term FROM benchmark),
+n AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0), z AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM n),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) x WHERE term IN (SELECT term FROM b) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * max(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM p, z GROUP BY term),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))))::BIGINT AS score FROM b JOIN p USING (term) JOIN wt USING (term) JOIN n USING (doc_id), z GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10"""
+
+SQL = {"op11_lexical_search": LEXICAL_SEARCH, "op3_license_scan": LICENSE_SCAN, "op7_decontamination": DECONTAMINATION, "op10_quality": QUALITY}

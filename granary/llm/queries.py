@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import decontamination, html_wrappers, license_scan, oracle, periodic_runs, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
+from granary.llm import decontamination, html_wrappers, lexical_search, license_scan, oracle, periodic_runs, pii, piece_encoding, quality, simhash, token_counts, toxicity, url_model
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +80,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"), k=10)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = periodic_runs.find(docs.select("doc_id", periodic_runs.looped(F.col("text"), F.col("doc_id")).alias("text")))
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_url_model": op9_url_model,
     "op10_quality": op10_quality,
+    "op11_lexical_search": op11_lexical_search,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)
