@@ -178,10 +178,10 @@ def greatest(runs: Column) -> Column:
 
 def looped(text: Column, id: Column) -> Column:
     """``text``, for one document in ten as its crc32 says, with its words from one place on going round in a loop; for a null id as it is."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     h = F.crc32(id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     g, n = F.floor(h / 10), F.size(words)
-    a = g % n
-    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    round_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(words, F.when(i >= a, a + (i - a) % p).otherwise(i).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(round_, " ")).otherwise(text)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    rounds = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(F.slice(F.concat(F.slice(words, F.lit(1), a), rounds), F.lit(1), n), " ")).otherwise(text)
