@@ -69,4 +69,11 @@ s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10"""
 
-SQL = {"op11_lexical_search": LEXICAL_SEARCH, "op3_license_scan": LICENSE_SCAN, "op7_decontamination": DECONTAMINATION, "op10_quality": QUALITY}
+SUBSTRING_DEDUP = r"""WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(w[s:s + 12], ' ') AS g FROM d, unnest(generate_series(1, len(w) - 12)) u(s)),
+f AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, p FROM win JOIN f USING (g), unnest(generate_series(s, s + 12)) x(p) WHERE first < doc_id),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) x ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+SQL = {"op12_substring_dedup": SUBSTRING_DEDUP, "op11_lexical_search": LEXICAL_SEARCH, "op3_license_scan": LICENSE_SCAN, "op7_decontamination": DECONTAMINATION, "op10_quality": QUALITY}

@@ -63,23 +63,36 @@ def joined(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """An inner join that broadcasts ``right`` only if it is small; else only those rows of ``left`` are shuffled that a bitmap of ``right``'s keys lets through."""
     if small(right, BROADCAST_ROWS):
         return left.join(F.broadcast(right), on)
-    return left.where(_marked(right, on)).join(right, on)
+    return left.where(marked(right, on)).join(right, on)
 
 
-def _marked(right: DataFrame, on: str) -> Column:
-    """Whether ``on`` may be a key of ``right``: a lookup in a bitmap of MOST_BITS at most, 16 a key where that is enough."""
+def marked(right: DataFrame, on: str, value: Column | None = None) -> Column:
+    """Whether ``value`` (the column ``on``, unless it is given) may be a key ``on`` of ``right``: a lookup in a bitmap of MOST_BITS at most, 16 a key where that is enough."""
     keys = right.select(on).distinct()
     bits = 1 << min(MOST_BITS, max(12, (16 * keys.count()).bit_length()))
-    slot = F.pmod(F.xxhash64(on), F.lit(bits))
-    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+
+    def place(key: Column) -> tuple[Column, Column]:
+        slot = F.pmod(F.xxhash64(key), F.lit(bits))
+        return F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = place(F.col(on))
     set_bits = keys.groupBy(word.alias("id")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
     whole = right.sparkSession.range(bits >> 6).join(set_bits, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")).alias("one"))
     bitmap = whole.agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["bits"]).alias("bitmap")).scalar()
+    word, bit = place(F.col(on) if value is None else value)
     return F.call_function("shiftright", F.get(bitmap, word.cast("int")), bit).bitwiseAND(F.lit(1)) == 1
 
 
 def with_lists(rows: DataFrame, lists: DataFrame, name: str) -> DataFrame:
-    """Keyed rows, left-joined with a written table (id, text_key, array ``name``); it is broadcast only if it is small."""
+    """Keyed rows, left-joined with a written table (id, text_key, array ``name``).
+
+    It is broadcast only if it is small; else a bitmap of its keys parts the rows: those that cannot have a list
+    take a null where they are, and only the rest, with their texts, are shuffled.
+    """
     few = lists.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), name)
-    few = F.broadcast(few) if small(few, BROADCAST_ROWS) else few
-    return rows.join(few, F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key")), "left").drop("_id", "_key")
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
+    if small(few, BROADCAST_ROWS):
+        return rows.join(F.broadcast(few), same, "left").drop("_id", "_key")
+    row = F.xxhash64("id", "text_key")
+    may = marked(lists.select(row.alias("_row")), "_row", row)
+    return rows.where(may).join(few, same, "left").drop("_id", "_key").unionByName(rows.where(~may).withColumn(name, F.lit(None).cast(lists.schema[name].dataType)))
