@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.sources import extract
+from granary.sources import code, extract
 
 _ID = r"^([A-Za-z_]+):(\d+)-(\d+)$"
 
@@ -34,9 +34,9 @@ def symbol_id(kind: Column, start: Column, end: Column) -> Column:
 
 
 def symbols_of(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, kind, name, signature, start, end, id) of all definitions, by the grammar of each path's extension."""
-    rows = extract.rows_by_path(files.select(F.col(path).alias("path"), F.col(text).alias("text")), ["path"], "path", "text", lambda p: extract.code_symbols(p.rsplit(".", 1)[-1].lower() if "." in p else ""), extract.SYMBOLS).where("error is null")
-    longs = rows.select("path", "kind", "name", "signature", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+    """(path, kind, name, signature, start, end, owner, id) of all definitions, by the grammar of each path's extension."""
+    rows = extract.rows_by_path(files.select(F.col(path).alias("path"), F.col(text).alias("text")), ["path"], "path", "text", lambda p: code.definitions(p.rsplit(".", 1)[-1].lower() if "." in p else ""), code.SYMBOLS).where("error is null")
+    longs = rows.select("path", "kind", "name", "signature", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"), "owner")
     return longs.withColumn("id", symbol_id(F.col("kind"), F.col("start"), F.col("end")))
 
 

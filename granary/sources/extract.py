@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from granary.sources import code
+
 
 def rows_of(df: DataFrame, keys: list[str], text: str, parse: Callable[[str], list[tuple]], fields: str, empty: bool = False) -> DataFrame:
     """(keys…, n, fields…, error): the rows that ``parse`` gives for each text, in order as column ``n``.
@@ -175,102 +177,13 @@ def values(path: str, kind: str = "json") -> Callable[[str], list[tuple]]:
 
 # --- code
 
-SYMBOLS = "kind string, name string, signature string, start int, end int"
-_RUST_PUB = r"^\s*(?:pub(?:\([^)]*\))?\s+)?"
-_DEFINITIONS = {
-    "py": [("class", r"^\s*class\s+(\w+)"), ("function", r"^\s*(?:async\s+)?def\s+(\w+)")],
-    "rs": [("function", _RUST_PUB + r"(?:async\s+|const\s+|unsafe\s+)*fn\s+(\w+)"), ("struct", _RUST_PUB + r"struct\s+(\w+)"), ("enum", _RUST_PUB + r"enum\s+(\w+)"), ("trait", _RUST_PUB + r"trait\s+(\w+)"), ("impl", r"^\s*impl(?:<[^>]*>)?\s+([\w:<>, ]+?)\s*\{")],
-    "go": [("function", r"^func\s+(?:\([^)]*\)\s*)?(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface")],
-    "js": [("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)"), ("function", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)\s*="), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)")],
-    "java": [("class", r"^\s*(?:(?:public|private|protected|abstract|final|static)\s+)*(?:class|record)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected)\s+)*@?interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+(?:<[^>]+>\s+)?[\w<>\[\], ?]+\s+(\w+)\s*\(")],
-    "cs": [("class", r"^\s*(?:(?:public|private|protected|internal|abstract|sealed|static|partial)\s+)*(?:class|record)\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|internal|partial)\s+)*interface\s+(\w+)"), ("struct", r"^\s*(?:(?:public|private|protected|internal|readonly)\s+)*struct\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|internal)\s+)*enum\s+(\w+)"), ("method", r"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed)\s+)+[\w<>\[\],.? ]+\s+(\w+)\s*(?:<[^>]*>)?\(")],
-    "kt": [("class", r"^\s*(?:(?:public|private|internal|open|abstract|data|sealed|inner)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|internal|sealed|fun)\s+)*interface\s+(\w+)"), ("object", r"^\s*(?:(?:companion|data|private)\s+)*object\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|internal|open|override|suspend|inline|operator)\s+)*fun\s+(?:<[^>]*>\s*)?(?:[\w<>.?]+\.)?(\w+)\s*\(")],
-    "swift": [("class", r"^\s*(?:(?:public|private|internal|open|final|fileprivate)\s+)*class\s+(?!func\b|var\b)(\w+)"), ("struct", r"^\s*(?:(?:public|private|internal|fileprivate)\s+)*struct\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|internal|indirect)\s+)*enum\s+(\w+)"), ("protocol", r"^\s*(?:(?:public|private|internal)\s+)*protocol\s+(\w+)"), ("function", r"^\s*(?:(?:@\w+|public|private|internal|open|static|class|override|mutating|final)\s+)*func\s+(\w+)")],
-    "php": [("class", r"^\s*(?:(?:abstract|final|readonly)\s+)*class\s+(\w+)"), ("interface", r"^\s*interface\s+(\w+)"), ("trait", r"^\s*trait\s+(\w+)"), ("enum", r"^\s*enum\s+(\w+)"), ("function", r"^\s*(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+&?(\w+)")],
-    "c": [("struct", r"^\s*(?:typedef\s+)?struct\s+(\w+)\s*\{?$"), ("enum", r"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?(\w+)"), ("class", r"^\s*(?:template\s*<[^>]*>\s*)?class\s+(\w+)"), ("namespace", r"^\s*namespace\s+(\w+)"), ("function", r"^(?!\s*(?:if|for|while|switch|return|else|do|case|typedef|struct|enum|class|namespace|using)\b)\s*(?:[\w:<>,*&~]+\s+)+[*&]*((?:\w+::)*~?\w+)\s*\([^;]*$")],
-    "rb": [("class", r"^\s*class\s+([\w:]+)"), ("module", r"^\s*module\s+([\w:]+)"), ("function", r"^\s*def\s+(?:self\.)?([\w?!=]+)")],
-    "lua": [("function", r"^\s*(?:local\s+)?function\s+([\w.:]+)"), ("function", r"^\s*(?:local\s+)?([\w.]+)\s*=\s*function\b")],
-}
-_FAMILY = {"ts": "js", "tsx": "js", "jsx": "js", "mjs": "js", "cjs": "js", "kts": "kt", "pyw": "py", "cpp": "c", "cc": "c", "cxx": "c", "h": "c", "hpp": "c", "hh": "c"}
-#: Families whose bodies end with the word ``end``.
-_WORD_END = ("rb", "lua")
+SYMBOLS = code.SYMBOLS
 
 
 def code_symbols(ext: str) -> Callable[[str], list[tuple]]:
-    """Definitions by pattern: (kind, name, signature, first line, last line).
-
-    Bodies end by braces outside strings and comments, in Python by indentation, in Ruby and Lua by
-    ``end``. A signature goes on to the body, over several lines if need be; what stands in a Python
-    docstring is no definition.
-    """
-    family = _FAMILY.get(ext, ext)
-    patterns = [(k, re.compile(p)) for k, p in _DEFINITIONS.get(family, [])]
-
-    def parse(text: str) -> list[tuple]:
-        lines = text.split("\n")
-        quoted = _docstring_lines(lines) if family == "py" else frozenset()
-        out = []
-        for i, line in enumerate(lines):
-            if i in quoted:
-                continue
-            for kind, p in patterns:
-                if m := p.match(line):
-                    end = _indent_end(lines, i) if family == "py" else _word_end(lines, i) if family in _WORD_END else _brace_end(lines, i)
-                    if family in ("py", "rb") and kind == "function" and line[:1].isspace():
-                        kind = "method"
-                    out.append((kind, m[1].strip(), signature(lines, i, end, family), i + 1, end + 1))
-                    break
-        return out
-
-    return parse
-
-
-def signature(lines: list[str], at: int, end: int, family: str) -> str:
-    """A definition's text up to its body, white space made single."""
-    if family in _WORD_END:
-        return " ".join(lines[at].split())
-    parts, depth = [], 0
-    for line in lines[at : end + 1]:
-        for i, c in enumerate(line):
-            depth += (c in "([") - (c in ")]")
-            if depth <= 0 and (c == "{" or family == "py" and c == ":"):
-                return " ".join(" ".join([*parts, line[:i]]).split())
-        parts.append(line)
-        if depth <= 0:
-            break
-    return " ".join(" ".join(parts).split())
-
-
-def _docstring_lines(lines: list[str]) -> frozenset[int]:
-    """The lines that begin within a triple-quoted string."""
-    inside, out = "", set()
-    for i, line in enumerate(lines):
-        if inside:
-            out.add(i)
-        for m in re.finditer(r'"""|\'\'\'', line):
-            inside = ("" if m[0] == inside else inside) if inside else m[0]
-    return frozenset(out)
-
-
-def _word_end(lines: list[str], at: int) -> int:
-    """The line of the ``end`` that stands no deeper than the definition."""
-    own = len(lines[at]) - len(lines[at].lstrip())
-    if re.search(r"\bend\s*$", lines[at]):
-        return at
-    for i in range(at + 1, len(lines)):
-        if lines[i].strip() and len(lines[i]) - len(lines[i].lstrip()) <= own and re.match(r"\s*end\b", lines[i]):
-            return i
-    return at
-
-
-def _indent_end(lines: list[str], at: int) -> int:
-    own, end = len(lines[at]) - len(lines[at].lstrip()), at
-    for i in range(at + 1, len(lines)):
-        if lines[i].strip():
-            if len(lines[i]) - len(lines[i].lstrip()) <= own:
-                break
-            end = i
-    return end
+    """(kind, name, signature, first line, last line) of each definition: ``code.definitions`` without owners."""
+    parse = code.definitions(ext)
+    return lambda text: [x[:5] for x in parse(text)]
 
 
 _BARE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|`[^`]*`")
@@ -873,7 +786,7 @@ FIELDS = "type string, kind string, name string, detail string, line int"
 
 def type_skeleton(ext: str) -> Callable[[str], list[tuple]]:
     """Types and their members at the first level: TypeScript interfaces, types and enums, Go and Rust structs, enums, traits."""
-    family = _FAMILY.get(ext, ext)
+    family = code.FAMILY.get(ext, ext)
     kinds = {"js": ("interface", "enum", "type"), "go": ("struct", "interface"), "rs": ("struct", "enum", "trait")}.get(family, ("class", "interface"))
     member = {
         "js": re.compile(r"^(?:readonly\s+)?([\w$]+\??)\s*(?:\(.*\))?\s*[:=]?\s*(.*?)[;,]?$"), "go": re.compile(r"^(\w+)(?:\s+(.+?))?(?:\s+`.*`)?$"),
@@ -903,7 +816,7 @@ CONFORMS = "type string, kind string, line int"
 def conforms_to(name: str, ext: str) -> Callable[[str], list[tuple]]:
     """Types that implement or extend a named interface, by the language's own wording."""
     n = re.escape(name)
-    family = _FAMILY.get(ext, ext)
+    family = code.FAMILY.get(ext, ext)
     patterns = {
         "js": [rf"class\s+(\w+)[^{{]*\b(?:implements|extends)\b[^{{]*\b{n}\b", rf"interface\s+(\w+)[^{{]*\bextends\b[^{{]*\b{n}\b"], "rs": [rf"impl(?:<[^>]*>)?\s+(?:\w+::)*{n}(?:<[^>]*>)?\s+for\s+(\w+)"],
         "java": [rf"(?:class|record|enum|interface)\s+(\w+)[^{{]*(?:implements|extends|:)[^{{]*\b{n}\b"], "go": [rf"var\s+_\s+(?:\w+\.)?{n}\s*=\s*(?:\(\*|&)?(\w+)"],
@@ -935,6 +848,6 @@ def outline(path: str) -> Callable[[str], list[tuple]]:
         return lambda t: [(kind, preview, i) for i, (kind, preview, *_) in enumerate(notebook(t))]
     if ext in ("proto", "graphql", "gql"):
         return lambda t: [(kind, f"{owner}.{name}", 0) for owner, kind, name, _ in (proto if ext == "proto" else graphql)(t)]
-    if _FAMILY.get(ext, ext) not in _DEFINITIONS:
+    if code.FAMILY.get(ext, ext) not in code.FAMILIES:
         return lambda t: [("unknown", None, None)]
     return lambda t: [(kind, name, first) for kind, name, _, first, _ in code_symbols(ext)(t)]
