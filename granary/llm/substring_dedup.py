@@ -38,19 +38,28 @@ WINDOW, GRAM, LONGEST = 13, 4, 32
 BUCKET_ROWS, HOT_ROWS = 40_000, 10_000
 #: A window at more than this share of all places of hot windows is joined by broadcast.
 HEAVY_SHARE = 50_000
-#: Words whose hash a task remembers.
-KNOWN_WORDS = 1 << 19
-BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: An odd number, its inverse modulo 2^64, and another one, for hashes.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE, MIX = np.uint64(pow(int(BASE), -1, 1 << 64)), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    """The 64-bit hash of a word, remembered."""
+class _Hashes:
+    """64-bit hashes of the words of a text, from sums over its bytes; equal words have equal hashes anywhere."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def __init__(self):
+        self.powers = self.inverses = np.ones(1, np.uint64)
+
+    def of(self, text: bytes, ends: np.ndarray) -> np.ndarray:
+        """The hash of each word of ``text``, words parted by one space and ending at ``ends``."""
+        n = len(text)
+        if n > len(self.powers):
+            more = 1 << n.bit_length()
+            self.powers, self.inverses = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(more, x)])) for x in (BASE, INVERSE))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((np.frombuffer(text, np.uint8) + np.uint64(1)) * self.powers[:n], out=sums[1:])
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        mixed = (sums[ends] - sums[starts]) * self.inverses[starts] * MIX
+        return (mixed ^ (mixed >> np.uint64(32))) * BASE
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -96,19 +105,18 @@ def super_kmers(rows: DataFrame, packed: bool) -> DataFrame:
         for batch in (part for b in batches for part in slices(b)):
             minis, of_row, places, strings = [], [], [], []
             for row, text in enumerate(batch.column(2)):
-                words = words_of(text.as_py())
-                if len(words) < WINDOW:
+                whole = b" ".join(words_of(text.as_py()))
+                ends = np.append(np.flatnonzero(np.frombuffer(whole, np.uint8) == 32), len(whole))
+                if len(ends) < WINDOW:
                     continue
-                least = minimisers(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+                least = minimisers(known.of(whole, ends))
                 begins = stretches(least)
                 minis.append(least[begins].view(np.int64))
                 of_row.append(np.full(len(begins), row))
                 if packed:
                     places.append(begins.astype(np.int32))
-                    whole = b" ".join(words)
-                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                    starts = np.concatenate([[0], ends[:-1]])[begins].tolist()
-                    upto = (ends[np.append(begins[1:], len(least)) + WINDOW - 2] - 1).tolist()
+                    starts = np.concatenate([[0], ends[:-1] + 1])[begins].tolist()
+                    upto = ends[np.append(begins[1:], len(least)) + WINDOW - 2].tolist()
                     strings += [whole[a:b] for a, b in zip(starts, upto, strict=True)]
             if not minis:
                 continue
@@ -123,38 +131,57 @@ def super_kmers(rows: DataFrame, packed: bool) -> DataFrame:
 
 def windows_of(packed: bytes) -> list[bytes]:
     """The windows of a super-k-mer, in order."""
-    words = packed.split(b" ")
-    return [b" ".join(words[i : i + WINDOW]) for i in range(len(words) - WINDOW + 1)]
+    starts, at = [0], packed.find(b" ")
+    while at >= 0:
+        starts.append(at + 1)
+        at = packed.find(b" ", at + 1)
+    ends = [*starts[WINDOW:], len(packed) + 1]
+    return [packed[a : b - 1] for a, b in zip(starts, ends, strict=False)]
+
+
+def _share(packed: list[bytes], firsts: dict[bytes, list]) -> None:
+    """Sort the windows of super-k-mers with one minimiser, given by ascending first id; the first of each run of equal windows decides."""
+    places = [(p, j) for p in packed for j in range(len(firsts[p]))]
+    windows = [w for p in packed for w in windows_of(p)]
+    last = least = None
+    for i in sorted(range(len(windows)), key=windows.__getitem__):  # stable: of equal windows the smallest id comes first
+        p, j = places[i]
+        if windows[i] != last:
+            last, least = windows[i], firsts[p][j]
+        firsts[p][j] = least
+
+
+def _true_runs(flags: list[bool]) -> list[tuple[int, int]]:
+    """(start, end) of the runs of true flags."""
+    edges = np.flatnonzero(np.diff(np.array([False, *flags, False]).astype(np.int8))).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
 
 
 def _in_bucket(schema: pa.Schema):
     """From the super-k-mers of a bucket the stretches of words that a document of smaller id holds too."""
 
     def run(table: pa.Table) -> pa.Table:
-        ids, keys, places, strings = (table.column(c).to_pylist() for c in ("id", "text_key", "at", "packed"))
+        minis, ids, keys, places, strings = (table.column(c).to_pylist() for c in ("mini", "id", "text_key", "at", "packed"))
         rows_of: dict[bytes, list[int]] = {}
         for row, packed in enumerate(strings):
             rows_of.setdefault(packed, []).append(row)
-        windows = sorted((window, min(ids[r] for r in rows), number, j) for number, (packed, rows) in enumerate(rows_of.items()) for j, window in enumerate(windows_of(packed)))
-        first: list[dict[int, object]] = [{} for _ in rows_of]
-        last = least = None
-        for window, id, number, j in windows:
-            if window != last:
-                last, least = window, id  # the smallest id of a run of equal windows sorts first
-            first[number][j] = least
+        least = {packed: min([ids[r] for r in rows]) for packed, rows in rows_of.items()}
+        by_mini: dict[int, list[bytes]] = {}
+        for packed in sorted(rows_of, key=least.__getitem__):
+            by_mini.setdefault(minis[rows_of[packed][0]], []).append(packed)
+        firsts = {packed: [least[packed]] * (packed.count(b" ") + 2 - WINDOW) for packed in rows_of}
+        for some in by_mini.values():
+            if len(some) > 1:
+                _share(some, firsts)
         out: list[list] = [[], [], [], []]
-        for number, rows in enumerate(rows_of.values()):
-            firsts = [first[number][j] for j in range(len(first[number]))]
+        for packed, rows in rows_of.items():
+            first = firsts[packed]
+            alike = first.count(first[0]) == len(first)
             for row in rows:
-                start = None
-                for j, least in enumerate([*firsts, None]):
-                    repeated = least is not None and least < ids[row]
-                    if repeated and start is None:
-                        start = j
-                    elif not repeated and start is not None:
-                        for column, value in zip(out, (ids[row], keys[row], places[row] + start, places[row] + j - 1 + WINDOW), strict=True):
-                            column.append(value)
-                        start = None
+                id, at = ids[row], places[row]
+                for start, end in ([(0, len(first))] if first[0] < id else []) if alike else _true_runs([x < id for x in first]):
+                    for column, value in zip(out, (id, keys[row], at + start, at + end - 1 + WINDOW), strict=True):
+                        column.append(value)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
@@ -193,7 +220,7 @@ def passages(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
     bucket = F.pmod("mini", F.lit(n_buckets)).alias("bucket")
     any_hot = not hot.isEmpty()
     to_buckets = marked(cold, "mini") & ~marked(hot, "mini") if any_hot else marked(cold, "mini")
-    in_buckets = all_kmers.where(to_buckets).select(bucket, "id", "text_key", "at", "packed").groupBy("bucket").applyInArrow(_in_bucket(to_arrow_schema(out)), out)
+    in_buckets = all_kmers.where(to_buckets).select(bucket, "mini", "id", "text_key", "at", "packed").groupBy("bucket").applyInArrow(_in_bucket(to_arrow_schema(out)), out)
     if not any_hot:
         return in_buckets
     places = StructType([StructField("id", kind), *StructType.fromDDL("text_key bigint, at int, window binary")])

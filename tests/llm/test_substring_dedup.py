@@ -92,6 +92,20 @@ def test_windows_of_a_super_kmer_share_the_minimiser():
         assert n < 1000 or 4.5 < len(least) / len(begins) < 6.5
 
 
+def test_hashes_and_windows_of_words():
+    texts = ["a bb a ccc bb", "bb", "x " * 40, "é 漢字 a bb"]
+    of = {}
+    for text in texts:
+        words = S.words_of(text)
+        whole = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        for word, h in zip(words, S._Hashes().of(whole, ends).tolist(), strict=True):
+            assert of.setdefault(word, h) == h
+    assert len(set(of.values())) == len(of) == 6
+    words = [b"w%d" % i for i in range(20)]
+    assert S.windows_of(b" ".join(words)) == [b" ".join(words[i : i + 13]) for i in range(8)]
+
+
 def test_texts_that_lose_nothing_are_not_shuffled(spark, sf, monkeypatch):
     """Beyond a broadcast the plan keeps rows without a list apart from the join."""
     monkeypatch.setattr(wordgrams, "BROADCAST_ROWS", 0)
