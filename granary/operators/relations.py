@@ -40,20 +40,26 @@ def overall_coverage(hit_lines: DataFrame) -> DataFrame:
 
 
 def unreferenced(symbols: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Symbols (file, name, start, end) that no mention (file, line_no, name) outside their own lines refers to."""
-    s, m = symbols.alias("s"), mentions.alias("m")
-    outside = ~((F.col("m.file") == F.col("s.file")) & F.col("m.line_no").between(F.col("s.start"), F.col("s.end")))
+    """Symbols (file, name, start, end) that no mention (file, line_no, name) outside their own lines refers to.
+
+    Mentions are first reduced to each name's least and greatest line in a file, which combines before the shuffle.
+    """
+    m = mentions.groupBy("name", "file").agg(F.min("line_no").alias("least"), F.max("line_no").alias("greatest")).alias("m")
+    s = symbols.alias("s")
+    outside = (F.col("m.file") != F.col("s.file")) | (F.col("m.least") < F.col("s.start")) | (F.col("m.greatest") > F.col("s.end"))
     return s.join(m, (F.col("s.name") == F.col("m.name")) & outside, "left_anti")
 
 
 # Names that are never reported as dead.
-EXEMPT = ("main", "new", "default", "drop", "clone", "fmt", "from", "into", "eq", "ne", "hash", "cmp", "partial_cmp", "deref", "index", "next", "init", "setup", "teardown", "run", "start", "build", "test", "handler", "render", "__init__")
+EXEMPT = ("main", "new", "default", "init", "setup", "teardown", "drop", "fmt", "clone", "debug", "display", "from", "into", "deref", "deref_mut", "index", "index_mut", "add", "sub", "mul", "div", "eq", "partial_eq", "hash", "serialize", "deserialize")
 
 
 def dead_code(symbols: DataFrame, mentions: DataFrame, include_exported: bool = False) -> DataFrame:
     """Unreferenced functions and types, by confidence: exported ones may be used from elsewhere."""
     kinds = ["function", "method", "class", "struct", "enum", "trait"]
-    asked = symbols.where(F.col("kind").isin(kinds) & ~F.col("name").isin(*EXEMPT) & ~F.lower("name").rlike("^test|test$|^bench|^example") & (F.octet_length("name") > 2)).withColumn("exported", T.is_exported(F.col("signature")))
+    name = F.col("name")
+    tests = name.startswith("test_") | name.startswith("Test") | name.endswith("_test") | name.endswith("Test")
+    asked = symbols.where(F.col("kind").isin(kinds) & ~F.lower("name").isin(*EXEMPT) & ~tests & (F.octet_length("name") > 2)).withColumn("exported", T.is_exported(F.col("signature")))
     asked = asked if include_exported else asked.where("not exported")
     return unreferenced(asked, mentions).withColumn("confidence", F.when(F.col("exported"), "medium").otherwise("high"))
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import analyses, delta, history, lines, relations, rewrite, stats, store, symbols
+from granary.operators import analyses, delta, factoring, history, lines, relations, rewrite, stats, store, symbols
 from granary.plans.corpus import KW, KW_SQL, LINES, PAGE_H, doc_lines, est
 from granary.plans.registry import query, table
 from granary.plans.reports import ERRORS, ITEMS, PARTS, errors, fmt, items, listed, parsed, parts, wrapped
@@ -310,7 +310,7 @@ def delta_reset(spark, sf):
 def factored_results(spark, sf):
     """Results of a batch that differ in a line refer to the first."""
     e = errors(spark, sf).withColumn("text", F.concat(F.repeat(F.lit("the same long line of a result\n"), 30), fmt("of %d", "id")))
-    return delta.factor(e, ["b"], "id", "text").select("b", "id", "template_ref")
+    return factoring.factor(e, ["b"], "id", "text").select("b", "id", "template_ref")
 
 
 # --- joins, graphs, digests

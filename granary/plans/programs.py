@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import symbols
 from granary.plans.registry import query, table
+from granary.sources import ignore
 
 
 def _files(docs, path: str, *parts):
@@ -40,3 +41,20 @@ def hidden_definitions(spark, sf):
     cpp = _files(docs, "cpp/%d.cpp", "#define NO void no() {\nnamespace d", number, ' {\nauto s = R"x(', but(")"), '\nvoid fake() {\n)x";\ntemplate <class T>\nT go(T a) { return a; }\n}\n')
     found = symbols.symbols_of(rust.unionByName(script).unionByName(python).unionByName(cpp))
     return found.select(F.regexp_replace("path", r"\.\w+$", "").alias("file"), "kind", "start", "end", "name", "owner")
+
+
+@query(
+    "SELECT lang || '/' || source || '/' || doc_id % 10 || '/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.log' WHEN doc_id % 3 = 1 THEN '.txt' ELSE '.md' END AS path FROM documents WHERE NOT coalesce("
+    # *.log but not *5.log; 7/ under each language whatever its files are; [12]/?*[0-9].md under each source
+    "(doc_id % 3 = 0 AND doc_id % 10 <> 5) OR doc_id % 10 = 7 OR (doc_id % 10 IN (1, 2) AND doc_id % 3 = 2 AND doc_id > 9), false) AND lang IS NOT NULL AND source IS NOT NULL"
+)
+def walked_files(spark, sf):
+    """Files of a tree of languages, sources and last digits that its ignore files leave: a rule of the root, one taken back, folders of each language, a class of names in each source."""
+    docs = table(spark, sf, "documents").where("lang is not null and source is not null")
+    ending = F.when(F.col("doc_id") % 3 == 0, ".log").when(F.col("doc_id") % 3 == 1, ".txt").otherwise(".md")
+    tree = docs.select(F.concat_ws("/", "lang", "source", (F.col("doc_id") % 10).cast("string"), F.concat(F.col("doc_id").cast("string"), ending)).alias("path"), F.lit("").alias("text"))
+    root = spark.range(1).select(F.lit(".gitignore").alias("path"), F.lit("# logs\n*.log\n!*5.log\nb*/**/x\n").alias("text"))
+    langs = docs.select(F.concat("lang", F.lit("/.gitignore")).alias("path"), F.lit("7/\n!7/*.txt\n").alias("text")).distinct()
+    sources = docs.select(F.concat_ws("/", "lang", "source", F.lit(".gitignore")).alias("path"), F.lit("/[12]/?*[0-9].md").alias("text")).distinct()
+    every = tree.unionByName(root).unionByName(langs).unionByName(sources)
+    return ignore.walk(every).where("path not like '%.gitignore'").select("path")

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 #: Shared folders that this process asked for and has not released.
@@ -43,6 +43,13 @@ def shared_folder(spark: SparkSession, name: str = "granary") -> str:
     return path
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in a shared folder: cuts the lineage, survives the loss of executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
     """Delete the shared folders that this process asked for, from the ``since``-th on, but those of ``keep``.
 
