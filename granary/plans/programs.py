@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from granary.operators import symbols
+from granary.operators import bindings, symbols
 from granary.plans.registry import query, table
+from granary.plans.reports import PARTS, fmt, listed, parts
 from granary.sources import ignore
 
 
@@ -58,3 +60,42 @@ def walked_files(spark, sf):
     sources = docs.select(F.concat_ws("/", "lang", "source", F.lit(".gitignore")).alias("path"), F.lit("/[12]/?*[0-9].md").alias("text")).distinct()
     every = tree.unionByName(root).unionByName(langs).unionByName(sources)
     return ignore.walk(every).where("path not like '%.gitignore'").select("path")
+
+
+def _two_namesakes(spark, sf):
+    """Files a and b that define the same functions, and c that imports each from one of them under another name."""
+    p = parts(spark, sf)
+    define = fmt("def part_%d(size):\n    '''calls gone_%d(size)'''\n    return len(size)  # and never(size)\n", "pk", "pk")
+    both = listed(p, ["f"], ["pk"], define)
+    of = F.when(F.col("pk") % 2 == 0, "a").otherwise("b")
+    head = listed(p, ["f"], ["pk"], fmt("from .%s%d import part_%d as p%d", of, "f", "pk", "pk"))
+    body = listed(p, ["f"], ["pk"], fmt("        p%d(x)\n        self.own(part_%d(x))", "pk", "pk")).withColumnRenamed("text", "body")
+    main = head.join(body, "f").withColumn("text", F.concat("text", fmt("\n\nclass Main%d:\n    def own(self, x):\n        def inner(y): return y\n        return inner(x)\n\n    def run(self, x):\n", "f"), "body"))
+    named = lambda df, name: df.select(fmt(f"src/{name}%d.py", "f").alias("path"), "text")
+    return named(both, "a").unionByName(named(both, "b")).unionByName(named(main, "c"))
+
+
+@query(
+    f"""WITH p AS (SELECT *, 'src/c' || f || '.py' AS c FROM {PARTS} p), n AS (SELECT f, c, count(*) AS n FROM p GROUP BY f, c), lines AS (SELECT p.*, n.n + 8 + 2 * i AS line FROM p JOIN n USING (f, c))
+SELECT c AS file, 'run' AS caller, 'p' || pk AS callee, 'src/' || CASE WHEN pk % 2 = 0 THEN 'a' ELSE 'b' END || f || '.py' AS callee_file, line AS first_line, 1::BIGINT AS calls, 0::BIGINT AS ambiguous FROM lines
+UNION ALL SELECT c, 'run', 'part_' || pk, NULL, line + 1, 1, 2 FROM lines
+UNION ALL SELECT c, 'run', 'own', c, min(line) + 1, count(*), 0 FROM lines GROUP BY c
+UNION ALL SELECT c, 'own', 'inner', c, n + 5, 1, 0 FROM n
+UNION ALL SELECT 'src/' || x || f || '.py', 'part_' || pk, 'len', NULL, 4 * i + 3, 1, 0 FROM p, (VALUES ('a'), ('b')) v(x)"""
+)
+def bound_calls(spark, sf):
+    """Calls bound through imports under other names, classes and scopes, where two files define every name; names in strings and comments are none."""
+    out = bindings.bound_calls(_two_namesakes(spark, sf))
+    return out.select("file", "caller", "callee", "callee_file", F.col("first_line").cast("bigint").alias("first_line"), "calls", "ambiguous")
+
+
+@query(f"SELECT f, i AS hops, count(*) AS nodes FROM {PARTS} p WHERE i <= 5 GROUP BY f, i")
+def calls_to_depth(spark, sf):
+    """Functions within five calls of each ring's first; each is called run, stands in a file of its own and imports the next one's, the last one the first's."""
+    w = Window.partitionBy("f").orderBy("pk")
+    p = parts(spark, sf).withColumn("next", F.lead("pk").over(w)).withColumn("first", F.min("pk").over(Window.partitionBy("f")))
+    files = p.select("f", "pk", "first", fmt("src/p%d.py", "pk").alias("path"), fmt("from .p%d import run as go\n\ndef run(x):\n    return go(x)\n", F.coalesce("next", "first")).alias("text"))
+    start = files.where("pk = first").select(F.concat("path", F.lit("#3-4")).alias("node"))
+    got = bindings.reached(bindings.bound_calls(files), start)
+    of = files.select("f", F.concat("path", F.lit("#3-4")).alias("node"))
+    return got.join(of, "node").groupBy("f", F.col("hops").cast("bigint").alias("hops")).agg(F.count("*").alias("nodes"))

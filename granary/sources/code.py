@@ -449,3 +449,37 @@ def definitions(ext: str) -> Callable[[str], list[tuple]]:
         return out
 
     return parse
+
+
+CALLS = "line int, callee string, receiver string, caller string, caller_owner string, caller_start int, caller_end int"
+_CALL = re.compile(r"(?:(\w+)\s*(?:\.|::|->|\?\.)\s*)?(\w+)\s*(?:::<[^()]*>|<[\w, ]*>)?\(")
+
+
+def calls(ext: str) -> Callable[[str], list[tuple]]:
+    """(line, callee, receiver, caller, caller's owner, first and last line) of each call in code, with the innermost definition around it (nulls outside of any).
+
+    The receiver is the name right before the callee's dot. What a definition calls itself in its own head is no call; strings and comments hold none.
+    """
+    family = FAMILY.get(ext, ext)
+
+    def parse(text: str) -> list[tuple]:
+        if family not in _SKIP:
+            return []
+        code = blank(text, family)
+        starts = [0, *[m.end() for m in re.finditer("\n", code)]]
+        known = sorted(_READERS.get(family, _blocks)(code, family), key=lambda x: (x.start, -x.end))
+        out, open_, upcoming = [], [], 0
+        for m in _CALL.finditer(code):
+            while upcoming < len(known) and known[upcoming].start <= m.start(2):
+                open_.append((known[upcoming], known[upcoming].receiver or next((x.name for x, _ in reversed(open_) if x.end >= known[upcoming].start), None)))
+                upcoming += 1
+            while open_ and open_[-1][0].end < m.start(2):
+                open_.pop()
+            if open_ and open_[-1][0].name == m[2] and m.start(2) < open_[-1][0].body:
+                continue
+            at, owner = open_[-1] if open_ else (None, None)
+            where = (at.name, owner, bisect_right(starts, at.start), bisect_right(starts, at.end)) if at else (None,) * 4
+            out.append((bisect_right(starts, m.start(2)), m[2], m[1], *where))
+        return out
+
+    return parse
