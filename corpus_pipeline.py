@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontamination, pii, piece_encoding, simhash, toxicity
-from granary.session import FOLDERS, release, shared_folder
+from granary.session import folders, release, shared_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +64,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = _table(spark, sf_dir, "documents"), ""
+    docs, before = _table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        since = len(FOLDERS) - bool(path)
-        made = stage(spark, docs, sf_dir)
-        path = shared_folder(spark, "stage")
-        made.write.parquet(path)
-        docs = spark.read.schema(made.schema).parquet(path)
-        release(spark, since, (path,))
+        with folders() as mine:
+            made = stage(spark, docs, sf_dir)
+            path = shared_folder(spark, "stage")
+            made.write.parquet(path)
+            docs = spark.read.schema(made.schema).parquet(path)
+            release(spark, mine, (path,))
+        release(spark, before)
+        before = [path]
     return docs

@@ -5,14 +5,23 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Shared folders that this process asked for and has not released.
-FOLDERS: list[str] = []
+class _Asked(threading.local):
+    """Of each thread the shared folders that it asked for, by block of ``folders``."""
+
+    def __init__(self):
+        self.blocks: list[list[str]] = [[]]
+
+
+_ASKED = _Asked()
 
 
 def get_spark(cpus: str | int = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -39,7 +48,7 @@ def shared_folder(spark: SparkSession, name: str = "granary") -> str:
     Only a session in one process (tests, benchmark) gets a temporary folder of this machine.
     """
     path = f"{_base(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    FOLDERS.append(path)
+    _ASKED.blocks[-1].append(path)
     return path
 
 
@@ -50,17 +59,29 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the shared folders that this process asked for, from the ``since``-th on, but those of ``keep``.
+@contextmanager
+def folders() -> Iterator[list[str]]:
+    """The list of shared folders that this thread asks for in the block; those of other threads are not in it."""
+    mine: list[str] = []
+    _ASKED.blocks.append(mine)
+    try:
+        yield mine
+    finally:
+        _ASKED.blocks.pop()
+        _ASKED.blocks[-1].extend(mine)
+
+
+def release(spark: SparkSession, paths: list[str], keep: tuple[str, ...] = ()) -> None:
+    """Delete shared folders that ``folders`` listed, but those of ``keep``.
 
     For a caller that has written or collected what it wanted: tables still to be read must not rest on them.
     """
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     kept = {k.rstrip("/") for k in keep}
-    for path in [f for f in FOLDERS[since:] if f not in kept]:
+    for path in [f for f in paths if f not in kept]:
         p = hadoop(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        FOLDERS.remove(path)
+        paths.remove(path)
 
 
 def _base(spark: SparkSession) -> str:
