@@ -40,7 +40,8 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
 _RATIO_SQL = ", ".join(f"({a} + 0.5::DOUBLE) / ({b} + {quality.PRIOR}) AS {m}" for m, (a, b) in quality.RATIOS.items())
 _BUCKET = f"ceil(ln(v) / ln({quality.GAMMA!r}::DOUBLE))::INTEGER"
 _FAILED = "n_words < 10 OR 100 * n_repeat_words > 20 * n_words"
-_ODD = " OR ".join(f"coalesce({count} > 0 AND {_BUCKET.replace('(v)', '(' + m + ')')} > last_{m}, false)" for m, (count, _) in quality.RATIOS.items())
+_LEAST = {m: f"({count} - {quality.SURE} * sqrt({count}))" for m, (count, _) in quality.RATIOS.items()}
+_ODD = " OR ".join(f"coalesce({_LEAST[m]} > 0 AND {_BUCKET.replace('(v)', f'(({_LEAST[m]} + 0.5::DOUBLE) / ({of} + {quality.PRIOR}))')} > last_{m}, false)" for m, (_, of) in quality.RATIOS.items())
 
 QUALITY = rf"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),

@@ -11,7 +11,9 @@ switches at a size.
 A threshold lies where the group's own distribution ends: it is the upper end of the first range above the
 median, ``GAP`` wide as a factor, that holds under ``TAIL`` of the rows. So there is no fixed cutoff: a
 source full of symbols keeps its texts, one where symbols are unknown loses the few that are full of
-them. A text without a trait is never odd in it. Thresholds are then joined to the rows.
+them. Thresholds are then joined to the rows. A text is compared by what its count tells for sure: the count
+less ``SURE`` times its root, so a few symbols or capitals, which in a short text make a large ratio, are no
+outlier beside long texts, and a text without a trait is never odd in it.
 
 Null texts have no words; a null language or source counts as the empty string. A text with under ten
 words or with over a fifth of its words in repeated windows fails outright and is in no sketch. Equal
@@ -34,6 +36,8 @@ ERROR, WEIGHT = 0.05, 200
 GAMMA = (1 + ERROR) / (1 - ERROR)
 #: Words or lines by which a text's ratios are smoothed, the width of an empty range as a factor, and 1/TAIL: the share of rows under which it counts as empty.
 PRIOR, GAP, TAIL = 30, 4.0, 200
+#: Standard deviations of a count, taken as its root, that are subtracted before it is compared.
+SURE = 2
 WIDTH = math.ceil(math.log(GAP) / math.log(GAMMA))
 #: Each ratio's count and what it is of.
 RATIOS = {"symbol_ratio": ("n_symbols", "n_words"), "upper_share": ("n_upper_words", "n_words"), "dup_share": ("n_dup_lines", "n_lines"), "repeat_share": ("n_repeat_words", "n_words")}
@@ -153,6 +157,7 @@ def judge(df: DataFrame, text: str = "text", id: str = "doc_id", lang: str = "la
     table = written(thresholds(rows, "lang", "source"))
     out = rows.join(F.broadcast(table) if small(table, BROADCAST_ROWS) else table, ["lang", "source"], "left")
     odd = F.lit(False)
-    for m, (count, _) in RATIOS.items():
-        odd = odd | F.coalesce((F.col(count) > 0) & (bucket(F.col(m)) > F.col(f"last_{m}")), F.lit(False))
+    for m, (count, of) in RATIOS.items():
+        least = F.col(count) - SURE * F.sqrt(F.col(count))
+        odd = odd | F.coalesce((least > 0) & (bucket((least + 0.5) / (F.col(of) + PRIOR)) > F.col(f"last_{m}")), F.lit(False))
     return out.withColumn("base_failed", failed()).withColumn("kept", ~failed() & ~odd).withColumnRenamed("id", id)
