@@ -27,16 +27,21 @@ from granary.llm.wordgrams import BROADCAST_ROWS, gram, joined, keyed, occurrenc
 WINDOW, SHINGLE = 10, 3
 
 
+def item_words(items: DataFrame, text: str = "text", id: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """(item_id, item_key, item, size): the words of each item that has some, a key of its id and text, and the size of its windows."""
+    whole = items.select(F.col(quoted(id)).alias("item_id"), F.xxhash64(F.col(quoted(id)), F.col(quoted(text))).alias("item_key"), words(F.col(quoted(text))).alias("item")).where(F.size("item") > 0)
+    return whole.withColumn("size", F.least(F.lit(window), F.size("item")))
+
+
 def item_windows(items: DataFrame, text: str = "text", id: str = "item_id", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """A row (item_id, item, size, start, at, k, h) for each shingle of each window of each item."""
-    whole = items.select(F.col(quoted(id)).alias("item_id"), words(F.col(quoted(text))).alias("item")).where(F.size("item") > 0)
-    sized = whole.withColumn("size", F.least(F.lit(window), F.size("item"))).withColumn("k", F.least(F.lit(shingle), F.col("size")))
+    """A row (item_key, size, start, at, k, h) for each shingle of each window of each item: numbers only, so a long item's words stand beside none of its places."""
+    sized = item_words(items, text, id, window).withColumn("k", F.least(F.lit(shingle), F.col("size")))
     starts = sized.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("item") - F.col("size"))))
     places = starts.withColumn("at", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - F.col("k"))))
     h = F.lit(None).cast("bigint")
     for k in range(1, shingle + 1):
         h = F.when(F.col("k") == k, gram(F.col("item"), F.col("at"), k)).otherwise(h)
-    return places.withColumn("h", h)
+    return places.select("item_key", "size", "start", "at", "k", h.alias("h"))
 
 
 def _equal_run(tokens: Column, stretch: Column, begin: Column, place: Column) -> tuple[Column, Column]:
@@ -55,9 +60,12 @@ def candidates(docs: DataFrame, items: DataFrame, text: str = "text", id: str =
     seen = written(joined(found, places.select("h").distinct(), "h"))
     counts = seen.groupBy("h").agg(F.count("*").alias("n"))
     counted = places.join(counts, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy("item_id", "item", "size", "k", "start").agg(F.min(F.struct("n", "h", "at")).alias("rare")).where("rare.n > 0")
-    shared = rarest.groupBy("item_id", "item", "size", F.col("rare.h").alias("h"), F.col("rare.at").alias("at")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
-    stretches = shared.select("item_id", "size", "h", (F.col("at") - F.col("lo")).alias("place"), F.slice("item", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("size")).alias("stretch"))
+    rarest = counted.groupBy("item_key", "size", "k", "start").agg(F.min(F.struct("n", "h", "at")).alias("rare")).where("rare.n > 0")
+    shared = rarest.groupBy("item_key", "size", F.col("rare.h").alias("h"), F.col("rare.at").alias("at")).agg(F.min("start").alias("lo"), F.max("start").alias("hi"))
+    of_item = shared.groupBy("item_key", "size").agg(F.collect_list(F.struct("h", "at", "lo", "hi")).alias("parts"))
+    # an item's words meet its places once, and leave as stretches of at most twice a window each
+    cut = F.transform("parts", lambda x: F.struct(x["h"].alias("h"), (x["at"] - x["lo"]).alias("place"), F.slice("item", x["lo"] + 1, x["hi"] - x["lo"] + F.col("size")).alias("stretch")))
+    stretches = item_words(items, item_text, item_id, window).join(of_item, ["item_key", "size"]).select("item_id", "size", F.inline(cut))
     prefixes = written(stretches.groupBy("h", "place", "stretch", "size").agg(F.array_sort(F.collect_set("item_id")).alias("items")).withColumn("prefix", F.monotonically_increasing_id()))
 
     met = joined(seen, prefixes.select("h", "prefix", "place", "size", F.size("stretch").alias("length")), "h").withColumn("begin", F.col("at") - F.col("place"))
