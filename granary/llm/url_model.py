@@ -53,11 +53,12 @@ def rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def _grams(urls: DataFrame, order: int) -> DataFrame:
-    """(…, g): the gram that ends at each character of the lowered URL, filled up at its start."""
-    low = F.lower("url")  # can be longer than the URL
-    filled = F.concat(F.lit("\x02" * (order - 1)), low, F.lit("\x03"))
-    return urls.select("*", F.explode_outer(F.transform(F.sequence(F.lit(1), F.length(low) + 1), lambda i: F.substring(filled, i, F.lit(order)))).alias("g"))
+def _grams(urls: DataFrame, order: int, keep: list[str]) -> DataFrame:
+    """(keep…, g): the gram that ends at each character of the lowered URL, filled up at its start. The URL does not stand beside its grams, and each is read off its place in an array."""
+    filled = F.concat(F.lit("\x02" * (order - 1)), F.lower("url"), F.lit("\x03"))  # lowered it can be longer than the URL
+    split = urls.select(*keep, F.split(filled, "").alias("c"))
+    places = split.select(*keep, "c", F.explode_outer(F.sequence(F.lit(0), F.size("c") - order)).alias("i"))
+    return places.select(*keep, F.concat(*[F.get("c", F.col("i") + j) for j in range(order)]).alias("g"))
 
 
 def log_ratios(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -87,13 +88,15 @@ def judged(df: DataFrame, url: str = "url", rules=RULES, order: int = ORDER) ->
     given = F.col(quoted(url))
     urls = df.where(given.isNotNull() & (F.length(given) > 0)).groupBy(given.alias("url")).agg(F.count("*").alias("n"))
     _, sure = rule(host(F.col("url")), path(F.col("url")), rules)
+    # 128 bits name a URL beside its grams
+    urls = urls.withColumns({"key": F.xxhash64("url"), "other": F.xxhash64(F.lit("other"), "url")})
     urls = written(urls.withColumn("sure", sure).withColumn("held", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(FOLDS)) == 0))
     teaches = lambda v: F.sum(F.when((F.col("sure") == v) & ~F.col("held"), F.col("n")).otherwise(F.lit(0)))
-    counts = written(_grams(urls, order).groupBy("g").agg(teaches("allow").alias("n_allow"), teaches("block").alias("n_block")))
+    counts = written(_grams(urls, order, ["n", "sure", "held"]).groupBy("g").agg(teaches("allow").alias("n_allow"), teaches("block").alias("n_block")))
     ratios = log_ratios(counts, order)
     table = F.broadcast(ratios) if small(ratios, BROADCAST_ROWS) else ratios
-    scored = _grams(urls.select("url", "n", "sure", "held"), order).join(table, "g").groupBy("url", "n", "sure", "held").agg((F.sum("ratio") / F.lit(float(UNIT)) / F.count("*")).alias("score"))
-    scored = written(scored)
+    by_key = _grams(urls, order, ["key", "other"]).join(table, "g").groupBy("key", "other").agg((F.sum("ratio") / F.lit(float(UNIT)) / F.count("*")).alias("score"))
+    scored = written(urls.join(by_key, ["key", "other"]).select("url", "n", "sure", "held", "score"))
     limit = threshold(scored)
     wanted = ("host", "path", "rule", "verdict", "score")
     rest = [c for c in df.columns if c.lower() not in wanted]
