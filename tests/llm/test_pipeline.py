@@ -43,11 +43,39 @@ def test_stages_leave_only_the_result(spark, sf, tmp_path, monkeypatch):
     from granary import session
 
     monkeypatch.setattr(session, "_base", lambda spark: str(tmp_path))
-    since = len(session.FOLDERS)
-    out = corpus_pipeline.run(spark, sf)
-    assert len(os.listdir(tmp_path)) == 1 and out.count() > 0
-    session.release(spark, since)
-    assert not os.listdir(tmp_path)
+    with session.folders() as mine:
+        out = corpus_pipeline.run(spark, sf)
+        assert len(os.listdir(tmp_path)) == 1 and out.count() > 0
+        session.release(spark, mine)
+    assert not os.listdir(tmp_path) and not mine
+
+
+def test_the_pipeline_leaves_tables_of_other_threads(spark, sf, tmp_path, monkeypatch):
+    import threading
+
+    from granary import session
+
+    monkeypatch.setattr(session, "_base", lambda spark: str(tmp_path))
+    started, done, held = threading.Event(), threading.Event(), []
+
+    def other():
+        started.wait()
+        held.append(session.written(spark.range(7).toDF("n")))
+        done.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    stage = corpus_pipeline.STAGES[2]
+
+    def between(spark, docs, sf_dir):
+        started.set()
+        done.wait(60)
+        return stage[1](spark, docs, sf_dir)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(stage[0], between), corpus_pipeline.STAGES[3]])
+    corpus_pipeline.run(spark, sf)
+    thread.join()
+    assert held[0].count() == 7
 
 
 def test_stages_on_odd_rows(spark, sf):
