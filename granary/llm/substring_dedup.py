@@ -111,7 +111,7 @@ def super_kmers(rows: DataFrame, packed: bool) -> DataFrame:
                     continue
                 least = minimisers(known.of(whole, ends))
                 begins = stretches(least)
-                minis.append(least[begins].view(np.int64))
+                minis.append((least[begins] >> np.uint64(16)).view(np.int64))  # 48 bits tell enough; equal ones are only compared
                 of_row.append(np.full(len(begins), row))
                 if packed:
                     places.append(begins.astype(np.int32))
@@ -140,7 +140,7 @@ def windows_of(packed: bytes) -> list[bytes]:
 
 
 def _share(packed: list[bytes], firsts: dict[bytes, list]) -> None:
-    """Sort the windows of super-k-mers with one minimiser, given by ascending first id; the first of each run of equal windows decides."""
+    """Sort the windows of super-k-mers with one minimiser (or two alike in what tells them apart), given by ascending first id; the first of each run of equal windows decides."""
     places = [(p, j) for p in packed for j in range(len(firsts[p]))]
     windows = [w for p in packed for w in windows_of(p)]
     last = least = None
@@ -220,7 +220,8 @@ def passages(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
     bucket = F.pmod("mini", F.lit(n_buckets)).alias("bucket")
     any_hot = not hot.isEmpty()
     to_buckets = marked(cold, "mini") & ~marked(hot, "mini") if any_hot else marked(cold, "mini")
-    in_buckets = all_kmers.where(to_buckets).select(bucket, "mini", "id", "text_key", "at", "packed").groupBy("bucket").applyInArrow(_in_bucket(to_arrow_schema(out)), out)
+    within = F.pmod(F.shiftright("mini", 24), F.lit(1 << 15)).cast("short").alias("mini")  # in a bucket so much tells minimisers apart; two that do not are sorted together
+    in_buckets = all_kmers.where(to_buckets).select(bucket, within, "id", "text_key", "at", "packed").groupBy("bucket").applyInArrow(_in_bucket(to_arrow_schema(out)), out)
     if not any_hot:
         return in_buckets
     places = StructType([StructField("id", kind), *StructType.fromDDL("text_key bigint, at int, window binary")])
@@ -233,14 +234,34 @@ def passages(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
     return in_buckets.unionByName(found.where("first < id").select("id", "text_key", F.col("at").alias("start"), (F.col("at") + WINDOW).alias("end")))
 
 
+def _merger():
+    def merge(gone: list) -> list[list]:
+        out = []
+        for spans in gone:
+            pairs = np.array([(x["start"], x["end"]) for x in spans], np.int64)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            upto = np.maximum.accumulate(pairs[:, 1])
+            first = np.flatnonzero(np.append(True, pairs[1:, 0] > upto[:-1]))
+            out.append(np.stack([pairs[first, 0], upto[np.append(first[1:], len(pairs)) - 1]], axis=1).ravel().tolist())
+        return [out]
+
+    return merge
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(id, text_key, gone): the stretches of each text, those that touch as one, start and end in turn."""
+    sets = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return append_columns(sets, ["spans"], _merger, "gone array<int>").drop("spans")
+
+
 def _taker():
     def take(texts: list, gone: list) -> list[list]:
         n_words, n_removed, kept = [], [], []
         for text, spans in zip(texts, gone, strict=True):
             words = words_of(text)
             stays = np.ones(len(words), bool)
-            for span in spans or ():
-                stays[span["start"] : span["end"]] = False
+            for start, end in zip((spans or ())[::2], (spans or ())[1::2], strict=True):
+                stays[start:end] = False
             n_words.append(len(words))
             n_removed.append(len(words) - int(stays.sum()))
             kept.append(b" ".join([words[i] for i in np.flatnonzero(stays)] if n_removed[-1] else words).decode("utf-8", "surrogatepass"))
@@ -254,7 +275,7 @@ def without_repeats(df: DataFrame, text: str = "text", id: str = "doc_id") -> Da
     names = [f"c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
     t, i = names[df.columns.index(text)], names[df.columns.index(id)]
-    gone = written(passages(rows, t, i).groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("gone")))
+    gone = written(merged(passages(rows, t, i)))
     keys = rows.select(*names, F.col(i).alias("id"), F.xxhash64(t).alias("text_key"))
     out = append_columns(with_lists(keys, gone, "gone"), [t, "gone"], _taker, "n_words bigint, n_removed bigint, kept string")
     taken = [n for n, c in zip(names, df.columns, strict=True) if c.lower() in ("n_words", "n_removed", "kept")]

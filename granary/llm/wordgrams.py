@@ -91,7 +91,7 @@ def with_lists(rows: DataFrame, lists: DataFrame, name: str) -> DataFrame:
     """
     few = lists.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), name)
     same = F.col("id").eqNullSafe(F.col("_id")) & F.col("text_key").eqNullSafe(F.col("_key"))
-    if small(few, BROADCAST_ROWS):
+    if small(few, 5 * BROADCAST_ROWS):  # a list may be a few numbers; their bytes are bounded all the same
         return rows.join(F.broadcast(few), same, "left").drop("_id", "_key")
     row = F.xxhash64("id", "text_key")
     may = marked(lists.select(row.alias("_row")), "_row", row)
