@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.operators import analyses, delta, history, lines, relations, store
+from granary.operators import analyses, delta, history, lines, relations, stats, store
 from granary.plans.registry import query, table
-from granary.streaming import ledger
+from granary.session import shared_folder
+from granary.streaming import board, content, ledger
 
 
 def _numstat(spark, sf):
@@ -246,3 +247,23 @@ def stream_ledger(spark, sf):
 def stream_once(spark, sf):
     """Distinct events, as a stream run to its end."""
     return ledger.drained(ledger.once(ledger.timed(_stream(spark, sf, "events"))).select("event_id")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type, event_id // 500 AS run, lag(event_type) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, last_value(CASE WHEN before IS NULL OR before <> event_type THEN run END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS recorded FROM s)
+SELECT user_id::VARCHAR AS path, event_id AS n, CASE WHEN before IS NULL OR before <> event_type THEN 'fresh' WHEN run = recorded THEN 'already_sent' ELSE 'cold' END AS state FROM r""")
+def stream_content_ledger(spark, sf):
+    """The content ledger over events, its entries in state of their own, as a stream run to its end."""
+    s = _stream(spark, sf, "events").withColumns({"id": F.lit("type"), "mtime": F.lit(0), "run": F.floor(F.col("event_id") / 500)})
+    return ledger.drained(content.content_ledger(s, "user_id", "id", "event_id", "event_type", "mtime", "run")).select("path", "n", "state")
+
+
+@query(f"""SELECT event_type AS tool, count(*) AS calls, count(*) FILTER (WHERE user_id % 7 = 0) AS errors, (sum(event_id % 100) // count(*))::BIGINT AS avg_ms, sum(user_id % 50)::BIGINT AS tokens, (sum(user_id % 50) * {stats.SAVED} // 100)::BIGINT AS tokens_saved, count(*) FILTER (WHERE latest <= {board.RECENT}) AS recent
+FROM (SELECT *, row_number() OVER (ORDER BY event_id // 10 DESC, event_id DESC) AS latest FROM events) e GROUP BY event_type""")
+def stream_dashboard(spark, sf):
+    """Calls by tool, and how many of the latest ones are its own, kept by batches that may be replayed, as a stream run to its end."""
+    e = _stream(spark, sf, "events")
+    calls = e.select(F.floor(F.col("event_id") / 10).alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("tool"), (F.col("user_id") % 7 != 0).alias("success"), (F.col("event_id") % 100).cast("bigint").alias("duration_ms"), (F.col("user_id") % 50).cast("bigint").alias("token_count"))
+    path = shared_folder(spark, "board")
+    board.record(calls, f"{path}/board", f"{path}/state").awaitTermination()
+    by, recent = board.snapshot(spark, f"{path}/board")
+    return by.join(recent.groupBy("tool").agg(F.count("*").alias("recent")), "tool", "left").withColumn("recent", F.coalesce("recent", F.lit(0)))
