@@ -8,9 +8,12 @@ optional groups; an element, or a run of tokens, that repeats the one before it
 The wrapper then decides, by its slots: those whose text differs between pages vary, the others belong to
 the template. The content is the deepest element that holds nearly all varying text outside menus,
 notices and the like; an ``article`` or ``main`` that holds as much is taken in place of one inside it, for
-its heading. A page's text are the blocks within that element, without those of template slots: slots that
-every page of the host has, with the same text (headings and paragraphs excepted, which near copies
-share). Names say only what is set aside from the start: elements such as ``nav`` and ``footer``, and those
+its heading. Short blocks outside lists, tables and quotes weigh less than their length, so a thread of
+remarks beside a story doesn't move the content up. A page's text are the blocks within that element and, unless it is an ``article`` or
+``main``, the headings and paragraphs that stand before it in the elements around it, or after it in its
+parent; all without those of template slots: slots that every page of the host has, with the same text
+(those of a story's own elements stay where pages are near copies, that is, where they share half as
+much of such text as varies). A block that is nearly all links, outside paragraphs, headings, lists and tables, is set aside. Names say only what is set aside from the start: elements such as ``nav`` and ``footer``, and those
 whose class, id or role consists of such words alone; of ``related-work`` the wrapper decides.
 
 All pages count. Equal streams of a host are pooled before anything is grouped (sums, least and
@@ -51,6 +54,8 @@ LONGEST = 1600
 BROADCAST_ROWS = 50_000
 #: The content element holds this share of the varying text.
 SHARE = 0.8
+#: Characters from which a block counts in full, and the share of a block's characters beyond which it is a link.
+FULL, LINKS = 120, 0.8
 #: Pages that a host must have before a text that they share counts as template.
 LEAST_PAGES = 3
 
@@ -62,6 +67,11 @@ _HINTS = frozenset("ad ads adv advert advertisement advertising banner promo spo
 #: Words that go with those above in a name without changing what it says.
 _PARTS = frozenset("list box wrap wrapper container block section area widget inner outer item items link links bar button buttons slot unit top bottom left right main page site global primary secondary header title text posts post article articles form icon icons row col column group panel module thread count holder frame zone label content text js mobile desktop sticky fixed".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose short texts count in full.
+_ITEM = frozenset("li dt dd td th caption figcaption pre blockquote".split())
+#: Elements of a story: a lead beside the content stands in a heading or paragraph, and near copies share the texts of all of them.
+_LEAD = _HEADINGS | {"p"}
+_STORY = _LEAD | _ITEM
 _MARKUP = re.compile(r"<(?:!--(?:[^-]|-(?!->))*+(?:-->|\Z)|!\[CDATA\[|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z))")
 _NAMED = re.compile(r"""(?i)(?:\s|^)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
 _PIECES = re.compile(r"[^a-z0-9]+")
@@ -116,7 +126,7 @@ def labelled(name: str, attributes: str) -> tuple[str, bool]:
 
 
 def walk(page: str) -> Iterator[tuple[str, str, bool]]:
-    """("open" | "close", label, set aside) of block elements and ("text", text, set aside), properly nested.
+    """("open" | "close", label, set aside) of block elements and ("text" | "link", text, set aside), properly nested.
 
     An end tag closes what is open inside its element; one that has no open element is passed over; a
     block ends an open paragraph; inline elements give white space at ``br`` and otherwise nothing, but
@@ -124,6 +134,7 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
     """
     stack: list[tuple[str, str, bool, str]] = []  # name, label, set aside, and the nearest element around that is an article, a header or the like
     names: Counter[str] = Counter()
+    links = 0
     muted, within, since = "", 0, 0  # the inline element that is set aside, how many of its name are open, and the blocks around it
 
     def closed() -> tuple[str, str, bool]:
@@ -133,8 +144,10 @@ def walk(page: str) -> Iterator[tuple[str, str, bool]]:
 
     for kind, name, rest in events(page):
         if kind == "text":
-            yield "text", rest, bool(muted) or bool(stack) and stack[-1][2]
+            yield "link" if links else "text", rest, bool(muted) or bool(stack) and stack[-1][2]
         elif name in _INLINE:
+            if name == "a":
+                links = 1 if kind == "open" else 0  # links do not nest
             if name == "br":
                 yield "text", " ", bool(muted) or bool(stack) and stack[-1][2]
             elif name not in _VOID:
@@ -174,19 +187,29 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool]]:
     """As ``walk``, but the text between two tags of blocks is one, with references decoded and white space made single; what is set aside in it counts only where there is nothing else."""
     now: list[str] = []
     aside: list[str] = []
+    around: list[str] = []
+    linked = plain = 0
 
     def text(parts: list[str]) -> str:
         return " ".join(html.unescape("".join(parts)).split())
 
     for kind, what, skip in walk(page):
-        if kind == "text":
+        if kind in ("text", "link"):
             (aside if skip else now).append(what)
+            if not skip and kind == "link":
+                linked += len(what)
+            elif not skip:
+                plain += len(what.strip())
             continue
         if now and (found := text(now)):
-            yield "text", found, False
+            yield "text", found, linked > LINKS * (linked + plain) and (around[-1].split(".")[0] if around else "") not in _STORY
         elif aside and (found := text(aside)):
             yield "text", found, True
-        now, aside = [], []
+        now, aside, linked, plain = [], [], 0, 0
+        if kind == "open":
+            around.append(what)
+        elif around:
+            around.pop()
         yield kind, what, skip
     if found := text(now):
         yield "text", found, False
@@ -196,6 +219,12 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
+def weight(text: str, label: str) -> int:
+    """What a text counts for: its characters, or less where it is a short block outside a list, table or quote."""
+    n = len(text)
+    return n if label.split(".")[0] in _ITEM else max(1, min(n, n * n // FULL))
+
+
 def _mixed(a: int, b: int) -> int:
     return (a * 0x9E3779B97F4A7C15 + b) & 0x7FFFFFFFFFFFFFFF
 
@@ -203,7 +232,7 @@ def _mixed(a: int, b: int) -> int:
 class Wrapper:
     """A union-free expression: tokens, which of them are optional, the ends of repeated groups, and a slot's figures.
 
-    A token is "<label", ">label" or "#" (a slot); a slot has [pages, characters, least digest, greatest
+    A token is "<label", ">label" or "#" (a slot); a slot has [pages, weight in characters, least digest, greatest
     digest] of its texts outside elements set aside (zero characters inside them). The digest of a page's
     repeated group goes over all its texts, in order. ``pages`` says how many pages the expression is of.
     A single page's wrapper also knows the numbers of the texts in each slot.
@@ -219,12 +248,17 @@ class Wrapper:
     @classmethod
     def of_page(cls, page: str) -> Wrapper:
         w, n = cls([], [], [], []), 0
+        around: list[str] = []
         for kind, what, aside in blocks(page):
             if kind != "text":
                 w._add(("<" if kind == "open" else ">") + what, None)
+                if kind == "open":
+                    around.append(what)
+                else:
+                    around.pop()
             else:
                 h = _digest(what)
-                w._add("#", [1, 0 if aside else len(what), h, h], texts=[n])
+                w._add("#", [1, 0 if aside else weight(what, around[-1] if around else ""), h, h], texts=[n])
                 n += 1
         return w
 
@@ -305,12 +339,12 @@ class Wrapper:
             else:
                 yield i, stack[-1] if stack else ""
 
-    def same(self) -> Iterator[tuple[str, int]]:
-        """(label, digest) of each slot outside headings and paragraphs whose text is the same on all pages of the expression."""
+    def same(self) -> Iterator[tuple[str, int, int]]:
+        """(label, digest, weight on all pages) of each slot whose text is the same on all pages of the expression."""
         for i, label in self.slots():
             f = self.figures[i]
-            if f and f[1] and f[0] == self.pages and f[2] == f[3] and label.split(".")[0] not in _STORY:
-                yield label, f[2]
+            if f and f[1] and f[0] == self.pages and f[2] == f[3]:
+                yield label, f[2], f[1]
 
     def elements(self, fixed: frozenset[int] | set[int] = frozenset()) -> list[tuple[str, int, int]]:
         """(label, depth, characters of varying text) of each element. Where no slot varies all text counts, but for the texts ``fixed``."""
@@ -341,10 +375,8 @@ class Wrapper:
         return done
 
 
-#: Elements whose texts are never template: near copies of an article share them.
-_STORY = frozenset(("p", *_HEADINGS))
 #: Elements that hold pieces of a story, never the whole.
-_PIECE = frozenset(("p", "li", "td", "tr", "table", "tbody", *_HEADINGS))
+_PIECE = frozenset(("ul", "ol", "dl", "tr", "table", "tbody", "thead", "figure", *_STORY))
 
 
 def shares(wrappers: list[Wrapper]) -> tuple[int, dict[str, list]]:
@@ -446,12 +478,29 @@ def main_text(page: str | None, content: str | None, template: Iterable[tuple[st
         own = own or Wrapper.of_page(page)
         dropped = {n for i, label in own.slots() if own.figures[i] and (label, own.figures[i][2]) in template for n in own.texts[i]}
     depth, out, n = (0 if content else 1), [], 0
+    leads = bool(content) and content.split(".")[0] not in ("article", "main")
+    stack: list[list] = []  # label, headings and paragraphs so far, whether the content was in it
     for kind, what, aside in tokens:
         if kind == "text":
-            if depth and not aside and n not in dropped:
-                out.append(what)
+            if not aside and n not in dropped:
+                if depth:
+                    out.append(what)
+                elif leads and len(stack) > 1 and stack[-1][0].split(".")[0] in _LEAD:
+                    label, before, after = stack[-2]
+                    (out if after and label.split(".")[0] not in ("body", "html") else before).append(what)
             n += 1
-        elif what == content:
+            continue
+        if kind == "open":
+            if what == content and not depth:
+                for frame in stack:
+                    out += frame[1]
+                    frame[1] = []
+                if stack:
+                    stack[-1][2] = True
+            stack.append([what, [], False])
+        else:
+            stack.pop()
+        if what == content:
             depth += 1 if kind == "open" else -1
     return "\n".join(out)
 
@@ -482,7 +531,7 @@ def streams(df: DataFrame, html_column: str = "html", url: str = "url") -> DataF
 def wrappers(df: DataFrame, html_column: str = "html", url: str = "url", most: int = STREAMS) -> DataFrame:
     """(host, kind, label, pages, chars, held, depths, digest): what the wrappers of each group of a host's streams say.
 
-    Of kind "group" with its pages, its varying text and (held) whether any slot varies, of kind "element" with the figures of ``shares``,
+    Characters are weights (``weight``). Of kind "group" with its pages, its varying text and (held) whether any slot varies, of kind "element" with the figures of ``shares``,
     of kind "same" with a slot whose text is the same on all the group's pages.
     """
     pooled = written(streams(df, html_column, url))
@@ -503,11 +552,12 @@ def wrappers(df: DataFrame, html_column: str = "html", url: str = "url", most: i
         whole, sums = shares(found)
         varies = any(f and f[1] and f[2] != f[3] for w in found for f in w.figures)
         rows = [("group", "", pages, whole, int(varies), 0, 0)] + [("element", x, 0, *v, 0) for x, v in sums.items()]
-        same = Counter()
+        same: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
         for w in found:
-            for slot in set(w.same()):
-                same[slot] += w.pages
-        rows += [("same", label, n, 0, 0, 0, digest) for (label, digest), n in same.items()]
+            for label, digest, chars in {x[:2]: x for x in w.same()}.values():
+                same[label, digest][0] += w.pages
+                same[label, digest][1] += chars
+        rows += [("same", label, n, chars, 0, 0, digest) for (label, digest), (n, chars) in same.items()]
         columns = list(zip(*rows, strict=True))
         names = ["kind", "label", "pages", "chars", "held", "depths", "digest"]
         return pa.table({"host": pa.array([table.column("host")[0].as_py()] * len(rows), pa.string())} | {x: pa.array(c, pa.string() if x in ("kind", "label") else pa.int64()) for x, c in zip(names, columns, strict=True)})
@@ -526,10 +576,13 @@ def decided(found: DataFrame) -> DataFrame:
         F.max_by("label", F.when(holder > 0, F.struct(holder.alias("a"), F.col("chars").alias("b"), F.col("label").alias("c")))).alias("holder"),
         F.max_by("label", F.struct((F.col("depths") / F.col("held")).alias("a"), F.col("held").alias("b"), F.col("label").alias("c"))).alias("deepest"),
     )
-    same = found.where("kind = 'same'").groupBy("host", "label", "digest").agg(F.sum("pages").alias("n"))
+    same = found.where("kind = 'same'").groupBy("host", "label", "digest").agg(F.sum("pages").alias("n"), F.sum("chars").alias("chars"))
     # where nothing varies, all pages are copies, and there is no telling a template
     shared = same.join(hosts.where("varies > 0"), "host").where((F.col("n") == F.col("pages")) & (F.col("pages") >= LEAST_PAGES))
-    template = shared.groupBy("host").agg(F.collect_list(F.struct("label", "digest")).alias("template"))
+    story, slot = name.isin(*sorted(_STORY)), F.struct("label", "digest")
+    by = shared.groupBy("host").agg(F.max("whole").alias("whole"), F.sum(F.when(story, F.col("chars")).otherwise(0)).alias("own"), F.collect_list(slot).alias("every"), F.collect_list(F.when(~story, slot)).alias("others"))
+    # near copies share most of their story: its texts are no template there
+    template = by.select("host", F.when(F.col("own") * 2 >= F.col("whole"), F.col("others")).otherwise(F.col("every")).alias("template"))
     return hosts.select("host").join(best.select("host", F.coalesce("holder", "deepest").alias("content")), "host", "left").join(template, "host", "left")
 
 
