@@ -94,6 +94,16 @@ def structural_diff(parsed: DataFrame) -> DataFrame:
     return by.join(status, ["diff", "path"]).select("diff", "path", "status", F.col("context").alias("symbol"), "n_hunk", "n_added", "n_deleted")
 
 
+def file_changes(parsed: DataFrame) -> DataFrame:
+    """Per diff and path: its earlier path where it was renamed, the status, git's similarity, and hunks and lines added and deleted; a rename without hunks has a row too."""
+    line, head = F.col("line"), F.col("context") == ""
+    after = lambda x: F.max(F.when(head & F.col("line").startswith(x), F.expr(f"substring(line, {len(x) + 1})")))
+    status = F.max(F.when(head, F.when(line.startswith("new file"), "added").when(line.startswith("deleted file"), "deleted").when(line.startswith("rename from"), "renamed")))
+    counts = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("hunk", "added", "deleted")]
+    by = parsed.where("path is not null").groupBy("diff", "path").agg(after("rename from ").alias("old_path"), F.coalesce(status, F.lit("modified")).alias("status"), after("similarity index ").alias("s"), *counts)
+    return by.select("diff", "path", "old_path", "status", F.expr("try_cast(rtrim('%', s) as bigint)").alias("similarity"), "n_hunk", "n_added", "n_deleted")
+
+
 def parse_blame(lines: DataFrame) -> DataFrame:
     """Porcelain blame lines (blame, line_no, line) to (blame, at, sha7, author, date, content); a commit's author and date stand at its first line only."""
     w = Window.partitionBy("blame").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

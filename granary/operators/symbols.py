@@ -135,14 +135,20 @@ def project_digest(files: DataFrame, symbols: DataFrame, budget: int = 2000, pat
     from granary.operators import stats
 
     rows = stats.measured(files.select(F.col(path).alias("path"), F.col(text).alias("text"))).withColumn("lang", T.language(F.col("path")))
-    langs = stats.workspace_stats(rows).orderBy(F.col("tokens").desc(), "lang").limit(8)
+    return digest_lines(stats.workspace_stats(rows), entry_points(rows, symbols), rows, budget)
+
+
+def digest_lines(composition: DataFrame, found: DataFrame, paths: DataFrame, budget: int, most: int = 8) -> DataFrame:
+    """(part, n, line) from the composition by language, entry points (path, score, signatures) and the paths of all files."""
+    from granary.operators import stats
+
+    langs = composition.orderBy(F.col("tokens").desc(), "lang").limit(most)
     from pyspark.sql import Window
 
     one = Window.orderBy(F.col("tokens").desc(), "lang")  # eight rows
     a = langs.select(F.lit("languages").alias("part"), F.row_number().over(one).cast("bigint").alias("n"), F.format_string("%s: %d files, %d lines, %d tokens (%s%%)", "lang", "files", "lines", "tokens", F.col("pct").cast("string")).alias("line"))
-    found = entry_points(rows, symbols)
     b = found.select(F.lit("entry points").alias("part"), F.row_number().over(Window.orderBy(F.col("score").desc(), "path")).cast("bigint").alias("n"), F.concat_ws(" | ", F.col("path"), F.col("signatures")).alias("line"))
-    tree = stats.directory_tree(rows, "path", 2)
+    tree = stats.directory_tree(paths, "path", 2)
     # a line costs a token at least: no more can fit
     first = stats.rendered_tree(tree).orderBy("entry").limit(max(1, budget // 3))
     order = Window.orderBy("entry")
