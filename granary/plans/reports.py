@@ -12,6 +12,7 @@ from granary.functions import text as T
 from granary.operators import analyses, history, lines, relations, symbols
 from granary.plans.corpus import est
 from granary.plans.registry import query, register, table
+from granary.session import spread, written
 from granary.sources import extract as X
 
 
@@ -19,9 +20,9 @@ def big(*names: str) -> list[Column]:
     return [F.col(n).cast("bigint").alias(n) for n in names]
 
 
-def listed(df: DataFrame, keys: list[str], order: list[str], line: Column, sep: str = "\n") -> DataFrame:
-    """(keys…, text): the lines of each key in order, joined."""
-    return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), sep).alias("text"))
+def listed(df: DataFrame, keys: list[str], order: list[str], line: Column, sep: str = "\n", together: bool = False) -> DataFrame:
+    """(keys…, text): the lines of each key in order, joined; texts are spread, unless a key's rows are together, since what reads them works long on few bytes."""
+    return (df if together else spread(df, *keys)).groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda x: x["line"]), sep).alias("text"))
 
 
 def wrapped(df: DataFrame, before: Column | str, after: Column | str = "") -> DataFrame:
@@ -92,9 +93,9 @@ SELECT s.file, name, start, "end", count(line_no) FILTER (WHERE hit) AS covered,
 FROM s LEFT JOIN {HITS} h ON s.file = h.file AND line_no BETWEEN start AND "end" GROUP BY ALL""")
 def coverage_of_symbols(spark, sf):
     """Covered and instrumented lines of each symbol; one without lines is covered."""
-    hits = _lcov(spark, sf)
+    hits = written(_lcov(spark, sf))
     spans = F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).cast("bigint").alias("start"), F.lit(b).cast("bigint").alias("end")) for n, a, b in (("low", 1, 3), ("high", 4, 8), ("late", 9, 20))]))
-    return relations.coverage(hits, hits.select("file").distinct().select("file", spans))
+    return relations.coverage(hits, spread(hits.select("file"), "file").distinct().select("file", spans))
 
 
 @query(f"SELECT count(*) FILTER (WHERE hit) AS covered, count(*) AS total, floor((count(*) FILTER (WHERE hit))::DOUBLE / count(*)::DOUBLE * 1000.0::DOUBLE + 0.5::DOUBLE) / 10.0::DOUBLE AS pct FROM {HITS} h")
@@ -150,10 +151,10 @@ def blame_body(spark, sf):
     """Lines with their commit, author and date, read from porcelain blame; what is known of a commit stands at its first line only."""
     from pyspark.sql import Window
 
-    one = items(spark, sf).withColumn("k", F.count("*").over(Window.partitionBy("o", "ln"))).where("k = 1").withColumn("first", F.row_number().over(Window.partitionBy("o", "pk").orderBy("ln")) == 1)
+    one = spread(items(spark, sf), "o").withColumn("k", F.count("*").over(Window.partitionBy("o", "ln"))).where("k = 1").withColumn("first", F.row_number().over(Window.partitionBy("o", "pk").orderBy("ln")) == 1)
     sha = F.substring(F.sha2(F.concat(F.lit("s"), F.col("pk").cast("string")).cast("binary"), 256), 1, 40)
     known = F.when(F.col("first"), fmt("author a%d\nauthor-mail <x>\nauthor-time %d\n", F.col("pk") % 7, F.col("pk") * 86400)).otherwise(F.lit(""))
-    text = listed(one, ["o"], ["ln"], F.concat(sha, fmt(" 1 %d 1\n", "ln"), known, fmt("\tline %d", "sk")))
+    text = listed(one, ["o"], ["ln"], F.concat(sha, fmt(" 1 %d 1\n", "ln"), known, fmt("\tline %d", "sk")), together=True)
     return history.parse_blame(_exploded(text.withColumnRenamed("o", "blame"), ["blame"]))
 
 
@@ -693,7 +694,7 @@ def stack_frames(spark, sf):
 SELECT f, n, fr.file, line, string_agg(CASE WHEN line_no = line THEN '> ' ELSE '  ' END || line_no || ': line ' || line_no, chr(10) ORDER BY line_no) AS source FROM fr LEFT JOIN src ON fr.file = src.file AND line_no BETWEEN line - 2 AND line + 2 GROUP BY f, n, fr.file, line""")
 def stack_trace_source(spark, sf):
     """Frames with the lines around them; files without source give none."""
-    frames = _traces(spark, sf)
+    frames = written(_traces(spark, sf))
     half = frames.select("file").distinct().where(F.regexp_extract("file", r"(\d+)\.", 1).cast("bigint") % 2 == 0)
     source = half.select("file", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("line_no")).withColumn("line", F.concat(F.lit("line "), F.col("line_no").cast("string")))
     return analyses.frames_with_source(frames, source, ["f"], 2)

@@ -198,3 +198,31 @@ def test_compact_text():
 
     tree = {"a": 1, "none": None, "rows": [{"x": 1, "y": "p"}, {"x": 2, "z": True}], "tags": ["u", "v"], "deep": {"k": [], "v": "t"}}
     assert render.compact(tree) == "a: 1\nrows:\n  x | y | z\n  1 | p | \n  2 |  | true\ntags: u, v\ndeep:\n  v: t"
+
+
+def test_yaml_is_read_by_the_compiled_loader():
+    import time
+
+    import yaml
+
+    text = "openapi: 3.0.0\npaths:\n" + "".join(f"  /p{i}:\n    get:\n      summary: part {i}\n      responses:\n        200: {{description: ok}}\n" for i in range(400))
+    at = time.perf_counter()
+    got = X.openapi(text)
+    fast = time.perf_counter() - at
+    at = time.perf_counter()
+    want = yaml.safe_load(text)
+    assert len(got) == 800 and [g[0] for g in got[::2]] == list(want["paths"]) and 2 * fast < time.perf_counter() - at
+
+
+def test_rows_keep_long_keys_beside_nulls_and_leave_in_order(spark):
+    df = spark.createDataFrame([(None, "a,b"), ((1 << 53) + 1, ",".join(map(str, range(9000)))), (2, None), (3, "!")], "k bigint, t string")
+
+    def parse(text):
+        if text == "!":
+            raise ValueError("odd")
+        return [(x,) for x in text.split(",")]
+
+    got = X.rows_of(df, ["k"], "t", parse, "x string").collect()
+    assert [(r.k, r.n, r.x) for r in got if r.k == (1 << 53) + 1] == [((1 << 53) + 1, i, str(i)) for i in range(9000)]
+    assert [tuple(r) for r in got if r.k != (1 << 53) + 1] == [(None, 0, "a", None), (None, 1, "b", None), (3, None, None, "ValueError: odd")]
+    assert [tuple(r) for r in X.rows_of(df.where("k = 2"), ["k"], "t", parse, "x string", empty=True).collect()] == [(2, None, None, None)]
