@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.session import spread
 
 # Category, severity, confidence, literal.
 RULES = [
@@ -186,15 +187,16 @@ def suite_summary(results: DataFrame, key: list[str], failed: int = 50) -> DataF
 def frames_with_source(frames: DataFrame, lines: DataFrame, key: list[str], context: int = 5) -> DataFrame:
     """Frames (key…, n, file, line) with the source around them: (key…, n, file, line, source), a > before the frame's own line.
 
-    Each frame asks for its lines by number, so it meets only those.
+    Each frame, named by key and n, asks for its lines by number, so it meets only those. The join is by merge: what a file's
+    lines come to is not seen in the bytes that they are made from, so a broadcast of them may be more than a driver holds.
     """
-    around = F.sequence(F.col("line") - context, F.col("line") + context)
-    asked = frames.select(*key, "n", "file", "line", F.explode(around).alias("line_no")).where("line_no > 0")
-    got = asked.join(lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").alias("body")), ["file", "line_no"])
+    around = F.filter(F.sequence(F.col("line") - context, F.col("line") + context), lambda x: x > 0)
+    asked = frames.select(*key, "n", "file", "line", F.explode_outer(around).alias("line_no"))
+    body = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"), F.col("line").alias("body"))
+    got = spread(asked, "file", "line_no").join(spread(body, "file", "line_no").hint("merge"), ["file", "line_no"], "left")
     shown = F.concat(F.when(F.col("line_no") == F.col("line"), "> ").otherwise("  "), F.col("line_no").cast("string"), F.lit(": "), F.col("body"))
-    by = got.groupBy(*key, "n", "file", "line").agg(F.array_sort(F.collect_list(F.struct("line_no", shown.alias("shown")))).alias("s"))
-    by = by.select(*key, "n", F.array_join(F.transform("s", lambda x: x["shown"]), "\n").alias("source"))
-    return frames.select(*key, "n", "file", "line").join(by, [*key, "n"], "left")
+    by = got.groupBy(*key, "n", "file", "line").agg(F.array_sort(F.collect_list(F.when(shown.isNotNull(), F.struct("line_no", shown.alias("shown"))))).alias("s"))
+    return by.select(*key, "n", "file", "line", F.when(F.size("s") > 0, F.array_join(F.transform("s", lambda x: x["shown"]), "\n")).alias("source"))
 
 
 def batch_read(reads: dict[str, DataFrame]) -> DataFrame:

@@ -16,3 +16,12 @@ def test_texts_are_not_joined_to_few_tasks(spark):
     out = listed(df, ["k"], ["id"], F.col("id").cast("string"))
     assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r.k, r.text) for r in out.collect()) == [(k, "\n".join(str(k + 100 * i) for i in range(10))) for k in range(100)]
+
+
+def test_frames_meet_their_source_without_a_broadcast(spark):
+    frames = spark.createDataFrame([(1, 0, "a", 1), (1, 1, "a", 3), (1, 2, "b", 2), (2, 0, None, 5), (2, 1, "a", None), (None, 0, "a", 99)], "f bigint, n bigint, file string, line bigint")
+    lines = spark.createDataFrame([("a", i, f"x{i}") for i in range(1, 6)], "file string, line_no int, line string")
+    out = analyses.frames_with_source(frames, lines, ["f"], 1)
+    assert "Broadcast" not in plan(out)
+    got = {(r.f, r.n): r.source for r in out.collect()}
+    assert got == {(1, 0): "> 1: x1\n  2: x2", (1, 1): "  2: x2\n> 3: x3\n  4: x4", (1, 2): None, (2, 0): None, (2, 1): None, (None, 0): None}
