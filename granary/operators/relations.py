@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.session import spread
 
 
 #: Lines of a block by which instrumented lines and symbols meet.
@@ -15,21 +16,23 @@ BLOCK = 64
 def coverage(hit_lines: DataFrame, symbols: DataFrame, file: str = "file") -> DataFrame:
     """Lines (file, line_no, hit) within symbols (file, name, start, end), both ends included: covered, total and percent.
 
-    Lines are counted by file and block of BLOCK lines first, and a symbol meets the counts of the blocks
-    that lie within it and the lines of those at its ends: an equi-join on file and block, so neither a
-    long file nor a long symbol meets line by line. A line counts in every symbol around it. A symbol
-    without instrumented lines is fully covered.
+    Lines are counted by file and line, and the counts of BLOCK lines make one row; a symbol meets the rows
+    of the blocks that it touches and counts its own lines in them: one equi-join on file and block, so
+    neither a long file nor a long symbol meets line by line. Both sides stay spread, and the join is by
+    merge: of many short files a task would else hold millions of rows, or a broadcast all of them. A line
+    counts in every symbol around it. A symbol without instrumented lines is fully covered.
     """
     block = lambda c: F.floor(F.col(c) / BLOCK)
-    lines = hit_lines.select(F.col(file).alias("file"), "line_no", F.col("hit").cast("boolean").alias("hit")).withColumn("block", block("line_no"))
-    sums = lines.groupBy("file", "block").agg(F.count_if("hit").alias("covered"), F.count("*").alias("total"))
-    asked = symbols.select(F.col(file).alias("file"), "name", "start", "end").distinct()
-    whole = asked.select("*", F.explode(F.when(block("end") - block("start") > 1, F.sequence(block("start") + 1, block("end") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("block"))
-    inner = whole.join(sums, ["file", "block"]).select("file", "name", "start", "end", "covered", "total")
-    edges = asked.select("*", F.explode(F.array_distinct(F.array(block("start"), block("end")))).alias("block")).join(lines, ["file", "block"]).where("line_no between start and end")
-    parts = inner.unionByName(edges.select("file", "name", "start", "end", F.col("hit").cast("bigint").alias("covered"), F.lit(1).cast("bigint").alias("total")))
-    none = asked.select("*", F.lit(0).cast("bigint").alias("covered"), F.lit(0).cast("bigint").alias("total"))
-    out = parts.unionByName(none).groupBy("file", "name", "start", "end").agg(F.coalesce(F.sum("covered"), F.lit(0)).alias("covered"), F.sum("total").alias("total"))
+    lines = spread(hit_lines.select(F.col(file).alias("file"), block("line_no").alias("block"), "line_no", F.col("hit").cast("boolean").alias("hit")), "file", "block")
+    counts = lines.groupBy("file", "block", "line_no").agg(F.count_if("hit").alias("covered"), F.count("*").alias("total"))
+    blocks = counts.groupBy("file", "block").agg(F.collect_list(F.struct("line_no", "covered", "total")).alias("lines"))
+    asked = spread(symbols.select(F.col(file).alias("file"), "name", "start", "end"), "file").distinct()
+    touched = F.when(F.col("start") <= F.col("end"), F.sequence(block("start"), block("end"))).otherwise(F.array(F.lit(None).cast("bigint")))
+    met = spread(asked.select("*", F.explode(touched).alias("block")), "file", "block").join(blocks.hint("merge"), ["file", "block"], "left")
+    within = F.filter("lines", lambda x: x["line_no"].between(F.col("start"), F.col("end")))
+    sums = lambda c: F.coalesce(F.aggregate(within, F.lit(0).cast("bigint"), lambda s, x: s + x[c]), F.lit(0)).alias(c)
+    parts = met.select("file", "name", "start", "end", sums("covered"), sums("total"))
+    out = parts.groupBy("file", "name", "start", "end").agg(F.sum("covered").alias("covered"), F.sum("total").alias("total"))
     return out.withColumn("pct", T.pct1(F.col("covered"), F.col("total"), empty=100.0)).withColumnRenamed("file", file)
 
 

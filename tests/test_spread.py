@@ -25,3 +25,14 @@ def test_frames_meet_their_source_without_a_broadcast(spark):
     assert "Broadcast" not in plan(out)
     got = {(r.f, r.n): r.source for r in out.collect()}
     assert got == {(1, 0): "> 1: x1\n  2: x2", (1, 1): "  2: x2\n> 3: x3\n  4: x4", (1, 2): None, (2, 0): None, (2, 1): None, (None, 0): None}
+
+
+def test_coverage_by_blocks_equals_line_by_line(spark):
+    rng = random.Random(7)
+    hits = [(rng.choice("ab"), rng.randint(1, 400), rng.random() < 0.5) for _ in range(600)] + [("a", 70, None)]
+    asked = [(rng.choice("abc"), f"s{i}", a := rng.randint(1, 400), a + rng.choice([-3, 0, 5, 63, 64, 200])) for i in range(60)]
+    out = relations.coverage(spark.createDataFrame(hits, "file string, line_no bigint, hit boolean"), spark.createDataFrame(asked + asked[:3], "file string, name string, start bigint, end bigint"))
+    assert "Broadcast" not in plan(out) and plan(out).count("Join") == 1
+    got = {(r.file, r.name, r.start, r.end): (r.covered, r.total) for r in out.collect()}
+    within = lambda f, a, b: [h for g, n, h in hits if g == f and a <= n <= b]
+    assert got == {(f, n, a, b): (sum(h is True for h in within(f, a, b)), len(within(f, a, b))) for f, n, a, b in asked}
