@@ -110,9 +110,13 @@ def parse_blame(lines: DataFrame) -> DataFrame:
     sha = F.when(F.col("line").rlike(r"^[0-9a-f]{40} "), F.substring("line", 1, 40))
     at = F.when(sha.isNotNull(), F.regexp_extract("line", r"^[0-9a-f]{40} \d+ (\d+)", 1).cast("bigint"))
     rows = lines.withColumn("sha", F.last(sha, ignorenulls=True).over(w)).withColumn("at", F.last(at, ignorenulls=True).over(w))
-    of = rows.groupBy("blame", "sha").agg(F.max(F.when(F.col("line").startswith("author "), F.substring("line", 8, 1000))).alias("author"), F.max(F.when(F.col("line").startswith("author-time "), F.expr("try_cast(substring(line, 13) as bigint)"))).alias("seconds"))
-    body = rows.where(F.col("line").startswith("\t"))
-    return body.join(of, ["blame", "sha"]).select("blame", "at", F.substring("sha", 1, 7).alias("sha7"), "author", T.unix_date(F.col("seconds")).alias("date"), F.expr("substring(line, 2)").alias("content"))
+    line, whole = F.col("line"), Window.partitionBy("blame", "sha")
+    author = F.max(F.when(line.startswith("author "), F.substring("line", 8, 1000))).over(whole)
+    seconds = F.max(F.when(line.startswith("author-time "), F.expr("try_cast(substring(line, 13) as bigint)"))).over(whole)
+    # of a commit's lines only those that tell something, so a line is sorted by commit once and read once
+    told = rows.where("sha is not null").where(line.startswith("\t") | line.startswith("author ") | line.startswith("author-time "))
+    body = told.withColumns({"author": author, "seconds": seconds}).where(line.startswith("\t"))
+    return body.select("blame", "at", F.substring("sha", 1, 7).alias("sha7"), "author", T.unix_date(F.col("seconds")).alias("date"), F.expr("substring(line, 2)").alias("content"))
 
 
 def parse_stash(lines: DataFrame) -> DataFrame:

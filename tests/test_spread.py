@@ -36,3 +36,11 @@ def test_coverage_by_blocks_equals_line_by_line(spark):
     got = {(r.file, r.name, r.start, r.end): (r.covered, r.total) for r in out.collect()}
     within = lambda f, a, b: [h for g, n, h in hits if g == f and a <= n <= b]
     assert got == {(f, n, a, b): (sum(h is True for h in within(f, a, b)), len(within(f, a, b))) for f, n, a, b in asked}
+
+
+def test_blame_is_read_once(spark):
+    a, b = "a" * 40, "b" * 40
+    text = [f"{a} 1 1 1", "author x", "author-time 86400", "\tone", f"{b} 1 2 1", "author y", "\tauthor z", f"{a} 2 3 1", "\tthree"]
+    out = history.parse_blame(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "\tnone")], "blame bigint, line_no bigint, line string"))
+    assert "Join" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, "a" * 7, "x", "1970-01-02", "one"), (1, 2, "b" * 7, "y", None, "author z"), (1, 3, "a" * 7, "x", "1970-01-02", "three")]
