@@ -89,9 +89,10 @@ def parse_diff(lines: DataFrame) -> DataFrame:
 def structural_diff(parsed: DataFrame) -> DataFrame:
     """Per file and enclosing symbol: hunks, lines added and deleted, and the file's status."""
     line = F.col("line")
-    status = parsed.groupBy("diff", "path").agg(F.coalesce(F.max(F.when(line.startswith("new file"), "added").when(line.startswith("deleted file"), "deleted").when(line.startswith("rename from"), "renamed")), F.lit("modified")).alias("status"))
-    by = parsed.where(F.col("context") != "").groupBy("diff", "path", "context").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("hunk", "added", "deleted")])
-    return by.join(status, ["diff", "path"]).select("diff", "path", "status", F.col("context").alias("symbol"), "n_hunk", "n_added", "n_deleted")
+    state = F.max(F.when(line.startswith("new file"), "added").when(line.startswith("deleted file"), "deleted").when(line.startswith("rename from"), "renamed"))
+    by = parsed.where("path is not null and context is not null").groupBy("diff", "path", "context").agg(state.alias("state"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("hunk", "added", "deleted")])
+    status = F.coalesce(F.max("state").over(Window.partitionBy("diff", "path")), F.lit("modified"))  # a row a symbol
+    return by.withColumn("status", status).where("context <> ''").select("diff", "path", "status", F.col("context").alias("symbol"), "n_hunk", "n_added", "n_deleted")
 
 
 def file_changes(parsed: DataFrame) -> DataFrame:

@@ -44,3 +44,10 @@ def test_blame_is_read_once(spark):
     out = history.parse_blame(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)] + [(2, 0, "\tnone")], "blame bigint, line_no bigint, line string"))
     assert "Join" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, 1, "a" * 7, "x", "1970-01-02", "one"), (1, 2, "b" * 7, "y", None, "author z"), (1, 3, "a" * 7, "x", "1970-01-02", "three")]
+
+
+def test_diffs_are_read_once(spark):
+    text = ["x", "diff --git a/p b/p", "new file mode 1", "@@ -1 +1 @@ fn f()", "+a", "-b", "@@ -9 +9 @@ fn g()", "+c", "diff --git a/q b/q", "@@ -1 +1 @@ fn f()", "-d"]
+    out = history.structural_diff(history.parse_diff(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "diff bigint, line_no bigint, line string")))
+    assert "Join" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(1, "p", "added", "fn f()", 1, 1, 1), (1, "p", "added", "fn g()", 1, 1, 0), (1, "q", "modified", "fn f()", 1, 0, 1)]
