@@ -65,3 +65,28 @@ def test_board_equals_batch_and_a_replayed_batch_changes_nothing(spark, tmp_path
     whole = spark.createDataFrame(rows, board.CALLS)
     assert first[0] == [tuple(r) for r in stats.dashboard(whole.withColumn("token_count", F.coalesce("token_count", F.lit(0)))).select("tool", "calls", "errors", "avg_ms", "tokens", "tokens_saved").collect()]
     assert len([x for x in (tmp_path / "board").iterdir() if x.name.startswith("v=")]) == 2
+
+
+def test_ledger_asks_its_state_once_an_id(monkeypatch):
+    import pandas as pd
+
+    class Sent(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        containsKey = lambda self, key: key in self
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+    ledger = content._Ledger(None)
+    ledger.sent = Sent({("x",): ("h0", 1, 0)})
+    part = lambda a, b: pd.DataFrame([(i, "xy"[i % 2], f"h{i // 500 % 2}", 1, i // 300, False) for i in range(a, b)], columns=["p_order", "p_id", "p_h", "p_mtime", "p_run", "p_reset"])
+    (out,) = ledger.handleInputRows(("p",), iter([part(500, 1200), part(0, 500)]), None)
+    assert ledger.sent.calls == 4 and out["n"].tolist() == list(range(1200)) and set(out["path"]) == {"p"}
+    assert out["state"].tolist() == [("fresh" if i in (1, 500, 501, 1000, 1001) else "already_sent" if i // 300 == (0 if i < 500 else 1 if i < 1000 else 3) else "cold") for i in range(1200)]
+    assert ledger.sent == {("x",): ("h0", 1, 3), ("y",): ("h0", 1, 3)}
