@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,16 +20,17 @@ def est_tokens(text: Column | str) -> Column:
     """The estimated cost of a text: a token for four ASCII characters, for a wide character, for two others; at least one."""
     t = _col(text)
     n = F.length(t)
-    rest = F.length(F.regexp_replace(t, ASCII, ""))
-    other = F.length(F.regexp_replace(t, r"[\x00-\x7F\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]", ""))
-    whole = F.when(n == F.octet_length(t), F.floor(n / 4)).otherwise(F.floor((n - rest) / 4) + (rest - other) + F.floor(other / 2))
+    # what stays when runs of ASCII go, and when wide characters go as well: n - rest of four, rest - other of one, other of two, each written once
+    rest = F.length(F.regexp_replace(t, ASCII + "+", ""))
+    other = F.length(F.regexp_replace(t, r"[\x00-\x7F\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2FA1F}]+", ""))
+    whole = F.when(n == F.octet_length(t), F.floor(n / 4)).otherwise(F.floor((n + 3 * rest) / 4) - F.ceil(other / 2))
     return F.greatest(F.lit(1), whole).cast("bigint")
 
 
 def n_lines(text: Column | str) -> Column:
     """Lines of a text: a last line end opens no further line; the empty text has none."""
     t = _col(text)
-    ends = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    ends = F.octet_length(t) - F.octet_length(F.replace(t, F.lit("\n"), F.lit("")))
     return (ends + F.when((t == "") | t.endswith("\n"), 0).otherwise(1)).cast("bigint")
 
 
@@ -39,9 +42,9 @@ def lines(text: Column | str) -> Column:
 
 
 def occurrences(text: Column, literal: Column | str) -> Column:
-    """Non-overlapping occurrences of a literal."""
+    """Non-overlapping occurrences of a literal, by the bytes that go with them (characters would be counted anew each time)."""
     lit = F.lit(literal) if isinstance(literal, str) else literal
-    return F.floor((F.length(text) - F.length(F.replace(text, lit, F.lit("")))) / F.length(lit)).cast("bigint")
+    return F.floor((F.octet_length(text) - F.octet_length(F.replace(text, lit, F.lit("")))) / F.octet_length(lit)).cast("bigint")
 
 
 def compress_text(text: Column | str) -> Column:
@@ -105,6 +108,13 @@ BRANCHES = [
     " if ", "\tif ", "(if ", "} else if", "else if(", " elif ", " elif(", "for ", "for(", "while ", "while(", "loop {", "match ",
     " case ", "catch ", "catch(", "except ", "except:", " && ", " || ", " ? ", " => ",
 ]
+#: Each of them holds one of these.
+BRANCH_STEMS = ["if", "for ", "for(", "while", "loop {", "match ", " case ", "catch", "except", " && ", " || ", " ? ", " => "]
+
+
+def may_branch(line: Column) -> Column:
+    """False only for lines without a decision point: one look for each stem."""
+    return reduce(lambda a, b: a | b, [line.contains(x) for x in BRANCH_STEMS])
 
 
 def complexity_of_line(line: Column) -> Column:
@@ -180,10 +190,9 @@ NAME_SCORES = {"main": 10, "lib": 9, "index": 9, "app": 8, "server": 8, "applica
 
 
 def name_score(stem: Column) -> Column:
-    out = F.lit(0)
-    for name, n in NAME_SCORES.items():
-        out = F.when(stem == name, F.lit(n)).otherwise(out)
-    return out
+    """By a map, so the stem is worked out once; a chain of cases makes a method that the JVM does not compile, with all that stands beside it."""
+    table = F.create_map(*[F.lit(x) for kv in NAME_SCORES.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, stem), F.lit(0))
 
 
 def unix_date(seconds: Column) -> Column:

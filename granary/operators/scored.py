@@ -8,34 +8,39 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import analyses, lines, symbols
 from granary.operators.relations import BLOCK
-from granary.session import written
+from granary.session import spread, written
 
 
 def sums_within(values: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` (path, start, end, …) with ``total``: the sum of ``values`` (path, line_no, value) over its lines, both ends included.
 
-    Values are summed by file and block of BLOCK lines first; a symbol meets the sums of the blocks that
-    lie within it and the lines of those at its ends, by equality of file and block. A line counts in every symbol around it.
+    The values of BLOCK lines of a file make one row; a symbol meets the rows of the blocks that it touches, takes
+    the sum of those within it and picks its lines of those at its ends: one equi-join on file and block, in which each side
+    is read once. Rows with the same span go through it as one. A line counts in every symbol around it.
     """
     block = lambda c: F.floor(F.col(c) / BLOCK)
     span = ["path", "start", "end"]
-    at = values.select("path", "line_no", "value").withColumn("block", block("line_no"))
-    sums = at.groupBy("path", "block").agg(F.sum("value").alias("value"))
-    spans = asked.select(*span).distinct()
-    between = F.when(block("end") - block("start") > 1, F.sequence(block("start") + 1, block("end") - 1)).otherwise(F.array().cast("array<bigint>"))
-    inner = spans.select("*", F.explode(between).alias("block")).join(sums, ["path", "block"]).select(*span, "value")
-    edges = spans.select("*", F.explode(F.array_distinct(F.array(block("start"), block("end")))).alias("block")).join(at, ["path", "block"]).where("line_no between start and end").select(*span, "value")
-    total = inner.unionByName(edges).groupBy(*span).agg(F.sum("value").alias("total"))
-    return asked.join(total, span, "left").withColumn("total", F.coalesce("total", F.lit(0)).cast("bigint"))
+    lines = values.select("path", block("line_no").alias("block"), "line_no", "value")
+    blocks = spread(lines, "path", "block").groupBy("path", "block").agg(F.sum("value").alias("sum"), F.collect_list(F.struct("line_no", "value")).alias("lines"))
+    held = [c for c in asked.columns if c not in span]
+    spans = spread(asked, *span).groupBy(*span).agg(F.collect_list(F.struct(*held) if held else F.struct(F.lit(1))).alias("held"))
+    touched = F.when(F.col("start") <= F.col("end"), F.sequence(block("start"), block("end"))).otherwise(F.array(F.lit(None).cast("bigint")))
+    met = spread(spans.select("*", F.explode_outer(touched).alias("block")), "path", "block").join(blocks.hint("merge"), ["path", "block"], "left")
+    within = (F.col("block") > block("start")) & (F.col("block") < block("end"))
+    picked = F.aggregate(F.filter("lines", lambda x: x["line_no"].between(F.col("start"), F.col("end"))), F.lit(0).cast("bigint"), lambda s, x: s + x["value"])
+    total = met.select(*span, "held", F.when(within, F.col("sum")).otherwise(picked).alias("part")).groupBy(*span).agg(F.first("held").alias("held"), F.coalesce(F.sum("part"), F.lit(0)).cast("bigint").alias("total"))
+    rows = total.select(*span, "total", F.explode("held").alias("x"))
+    return rows.select(*[F.col(c) if c in span else F.col("x")[c].alias(c) for c in asked.columns], "total")
 
 
 def complexity_by_symbol(files: DataFrame, least: int = 1) -> DataFrame:
     """(path, name, owner, start, end, complexity, risk) of each function and method: one and the decision points of its lines.
 
-    Lines leave their text before they are shuffled, and those without a decision point are dropped. Null and empty texts have no functions.
+    Lines leave their text before they are shuffled, and those that can have no decision point before they are counted. Null and empty texts have no functions.
     """
     found = symbols.symbols_of(files).where(F.col("kind").isin("function", "method")).select("path", "name", "owner", "start", "end")
-    values = lines.explode_lines(files, ["path"]).select("path", "line_no", T.complexity_of_line(F.col("line")).alias("value")).where("value > 0")
+    some = lines.explode_lines(files, ["path"]).where(T.may_branch(F.col("line")))  # a filter on the value would count twice
+    values = some.select("path", "line_no", T.complexity_of_line(F.col("line")).alias("value"))
     out = sums_within(values, found).select("path", "name", "owner", "start", "end", (F.col("total") + 1).alias("complexity"))
     return out.where(F.col("complexity") >= least).withColumn("risk", T.risk_label(F.col("complexity")))
 

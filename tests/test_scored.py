@@ -66,3 +66,25 @@ def test_file_changes_of_empty_and_odd_diffs(spark):
     df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "diff int, text string")
     got = history.file_changes(history.parse_diff(lines_of.explode_lines(df, ["diff"]))).collect()
     assert sorted((r.path, r.old_path, r.status, r.similarity, r.n_hunk, r.n_added, r.n_deleted) for r in got) == [("x", None, "added", None, 1, 1, 0), ("y", None, "deleted", None, 1, 0, 1), ("z2", "z", "renamed", 88, 0, 0, 0)]
+
+
+def test_sums_within_read_each_side_once(spark):
+    values = [("p", n, n % 3) for n in range(1, 300)]
+    spans = [("p", 1, 200, "a"), ("p", 1, 200, "a"), ("p", 1, 200, None), ("p", 9, 3, "none"), (None, 1, 2, "no path")]
+    out = scored.sums_within(spark.createDataFrame(values, "path string, line_no long, value long"), spark.createDataFrame(spans, "path string, start long, end long, name string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Broadcast" not in plan and plan.count("Scan ") == 2
+    total = sum(v for _, n, v in values if n <= 200)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([("p", 1, 200, "a", total), ("p", 1, 200, "a", total), ("p", 1, 200, None, total), ("p", 9, 3, "none", 0), (None, 1, 2, "no path", 0)], key=repr)
+
+
+def test_lines_that_may_branch(spark):
+    rng = random.Random(5)
+    texts = [*T.BRANCHES, "", "a", "iffy", "forfor(", "x", *["".join(rng.choice([*T.BRANCHES, "a", " ", "if", "#", "é", "漢"]) for _ in range(5)) for _ in range(300)]]
+    line = F.col("line")
+    rows = spark.createDataFrame([(x,) for x in texts], "line string").select("line", T.complexity_of_line(line).alias("n"), T.may_branch(line).alias("may")).collect()
+    count = lambda x: 0 if x.startswith(("//", "#", "*", "/*")) else sum(x.count(b) for b in T.BRANCHES)
+    assert [r.n for r in rows] == [count(r.line.strip(" ")) for r in rows]
+    assert all(r.may or not r.n for r in rows) and not all(r.may for r in rows)
+    plan = scored.complexity_by_symbol(spark.createDataFrame([("a.py", "def f(x):\n    if x: return 1\n")], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("RLIKE") == 1
