@@ -26,13 +26,15 @@ class Digest:
     measured: int
 
 
-def _measured(changed: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """Rows of the table of files for the changed paths."""
+def _measured(changed: DataFrame, texts: DataFrame, n: int, every: bool) -> DataFrame:
+    """Rows of the table of files for the changed paths; where ``every`` text is asked for, texts are measured before they meet the paths and so are not shuffled."""
     if n <= FILTERED:  # reaches the scan, so row groups and files of other paths are passed over
         texts = texts.where(F.col("path").isin([r.path for r in changed.select("path").collect()]))
-    held = texts.select("path", "text").join(changed, "path")
+    texts = texts.select("path", "text")
+    held = texts.join(changed, "path")
     stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    rows = stats.measured(held).withColumn("lang", T.language(F.col("path"))).withColumn("score", F.when(T.name_score(stem) > 0, T.name_score(stem) - (F.size(F.split("path", "/")) - 1)))
+    measured = stats.measured(texts).join(changed, "path") if every else stats.measured(held)
+    rows = measured.withColumn("lang", T.language(F.col("path"))).withColumn("score", F.when(T.name_score(stem) > 0, T.name_score(stem) - (F.size(F.split("path", "/")) - 1)))
     first = symbols.symbols_of(held.where(T.name_score(stem) > 0)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "signature"))).alias("s"))
     shown = F.coalesce(F.transform(F.slice("s", 1, SIGNATURES), lambda x: x["signature"]), F.array().cast("array<string>"))
     return rows.join(first, "path", "left").select("path", "version", "lang", "tokens", "n_lines", "score", shown.alias("signatures"))
@@ -50,7 +52,7 @@ def refresh(before: Digest | None, listing: DataFrame, texts: DataFrame) -> Dige
     """
     listed = listing.select("path", "version")
     changed, gone = written(listed if before is None else listed.join(before.files, ["path", "version"], "left_anti")), None
-    new = written(_measured(changed, texts, changed.count()))
+    new = written(_measured(changed, texts, changed.count(), before is None))
     if before is None:
         return Digest(new, written(_summed(new, 1)), new.count())
     kept = before.files.join(listed, ["path", "version"], "left_semi")

@@ -88,3 +88,21 @@ def test_lines_that_may_branch(spark):
     assert all(r.may or not r.n for r in rows) and not all(r.may for r in rows)
     plan = scored.complexity_by_symbol(spark.createDataFrame([("a.py", "def f(x):\n    if x: return 1\n")], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("RLIKE") == 1
+
+
+def test_first_digest_shuffles_no_texts(spark):
+    files = spark.range(2000).select(F.format_string("a/%d.py", "id").alias("path"), F.lit("1").alias("version"), F.concat(F.lit("x"), F.col("id").cast("string")).alias("text"))
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = digests._measured(files.select("path", "version"), files.select("path", "text"), 2000, True)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "octet_length" in plan.split("SortMergeJoin")[2]  # below the join with the paths
+        assert out.agg(F.count("*"), F.sum("tokens"), F.sum("n_lines")).first()[:] == (2000, 2000, 2000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+
+
+def test_name_score_works_its_stem_out_once(spark):
+    assert str(T.name_score(F.col("stem"))).count("stem") == 1
+    assert [r.n for r in spark.createDataFrame([("main",), ("settings",), ("other",), ("",), (None,)], "stem string").select(T.name_score(F.col("stem")).alias("n")).collect()] == [10, 4, 0, 0, 0]
