@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -22,7 +24,7 @@ SELECT doc_id, name, owner, s AS start, e AS "end", complexity, CASE WHEN comple
 def complexity_by_symbol(spark, sf):
     """Decision points of each function, where a method holds a whole document and another stands before it; a comment behind the last statement is outside."""
     docs = table(spark, sf, "documents").where("text is not null")
-    clean = F.translate(F.regexp_replace("text", "\r", ""), '"\\', "")
+    clean = reduce(lambda text, c: F.replace(text, F.lit(c), F.lit("")), '\r"\\', F.col("text"))
     source = F.concat(F.lit('def first(x):\n    if x and not x: x = [y for y in x]\n    return x\n\nclass Doc:\n    def held(self):\n        return """\n'), clean, F.lit('\n"""\n        # if this for that\n'))
     out = scored.complexity_by_symbol(docs.select(F.format_string("d/%d.py", "doc_id").alias("path"), source.alias("text")))
     return out.select(F.regexp_extract("path", r"(\d+)", 1).cast("bigint").alias("doc_id"), "name", "owner", "start", "end", "complexity", "risk")

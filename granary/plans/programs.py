@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ _HIDDEN = "WITH d AS (SELECT doc_id, length(text) - length(replace(text, chr(10)
 def hidden_definitions(spark, sf):
     """Definitions of sources in four languages that hold each document, and definitions that are none, in nested comments, raw strings, templates and docstrings; quotes, braces and slashes of the texts stay as far as the string's own end allows."""
     docs = table(spark, sf, "documents").where("text is not null").select("doc_id", "text")
-    but = lambda taken: F.translate("text", taken, "|" * len(taken))
+    but = lambda taken: reduce(lambda text, c: F.replace(text, F.lit(c), F.lit("|")), taken, F.col("text"))  # noqa: E731  (translate goes character by character)
     number = F.col("doc_id").cast("string")
     rust = _files(docs, "rs/%d.rs", "/*", but("/#"), "\nfn fake() {\n/* in */ */\nconst S: &str = r##\"", but("/#"), '\nfn fake() {\n"##;\nimpl Doc', number, " {\n    fn go<'a>(&'a self, c: char) -> u8 { if c == '{' { 1 } else { 2 } }\n}\n")
     script = _files(docs, "ts/%d.ts", "class Doc", number, " {\n  text = `", but("`\\$"), "\nfunction fake() { ${ `{nested ${1}` } }`;\n  go(x: number) { return /[{'\"]/.test(`}`); }\n}\n")

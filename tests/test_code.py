@@ -1,6 +1,7 @@
 """The scanner on sources with comments, strings, nesting and odd lines, in every grammar."""
 
 import random
+import re
 import time
 
 import pytest
@@ -88,3 +89,13 @@ def test_methods_without_a_class():
     assert got("java", "import b.c;\n@Deco(1)\npublic int one(int x) {\n  if (x) { go(2); }\n  return x;\n}\nvoid main() {}\nint none(int x);\n") == [("method", "one", 3, 6, None), ("method", "main", 7, 7, None)]
     text = "using System;\nvar x = F(1);\nawait G(2);\nstatic int F(\n    int x) { return x; }\nint H(int x) => x + 1;\nif (a(1)) { b(); }\nreturn new Foo(1) { A = 1 };\nthrow new X(1);\nawait foreach (var y in z()) { }\n"
     assert got("cs", text) == [("method", "F", 4, 5, None), ("method", "H", 6, 6, None)]
+
+
+@pytest.mark.parametrize("family, new, old", [("py", code._TRIPLE, r'"""(?:\\.|[^\\])*?(?:"""|\Z)'), ("py", code._TRIPLE_SQ, r"'''(?:\\.|[^\\])*?(?:'''|\Z)"), ("c", code._STARS, r"/\*.*?(?:\*/|\Z)"), ("rs", code._STRINGS["rs"][0], r'r(?P<hash>#*)".*?(?:"(?P=hash)|\Z)'), ("c", code._STRINGS["c"][0], r'R"(?P<delim>[^()\\\s]{0,16})\(.*?(?:\)(?P=delim)"|\Z)')])
+def test_strings_end_where_the_lazy_form_ends(family, new, old):
+    rng = random.Random(family + new)
+    assert "*?" not in new  # a step for each character of a long text
+    for _ in range(4000):
+        text = rng.choice(['"""', "'''", "/*", 'r"', 'r#"', 'r##"', 'R"(', 'R"x(']) + "".join(rng.choice(list("\"'\\#*/()ax\n") + ['"""', "*/", '"#', ')x"', ')"']) for _ in range(rng.randint(0, 9)))
+        spans = [[m.span() for m in re.compile(p, re.DOTALL | re.MULTILINE).finditer(text)] for p in (new, old)]
+        assert spans[0] == spans[1], text
