@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.operators.delta import line_ratio, unified
-from granary.session import written
+from granary.session import spread, written
 
 
 def prefixes(results: DataFrame, keys: list[str], least: float) -> DataFrame:
@@ -37,8 +37,9 @@ def prefixes(results: DataFrame, keys: list[str], least: float) -> DataFrame:
 
 
 def _agreeing(pairs: DataFrame, results: DataFrame, keys: list[str], least: float) -> DataFrame:
-    """(keys…, i, j, ratio, diff) of the pairs whose texts agree and whose diff is worth it."""
-    both = pairs.join(results.select(*keys, "i", F.col("t").alias("a")), [*keys, "i"]).join(results.select(*keys, F.col("i").alias("j"), F.col("t").alias("b")), [*keys, "j"])
+    """(keys…, i, j, ratio, diff) of the pairs whose texts agree and whose diff is worth it; pairs stay spread, as a few bytes of them take long to compare."""
+    former = spread(pairs, *keys, "i").join(results.select(*keys, "i", F.col("t").alias("a")), [*keys, "i"])
+    both = spread(former, *keys, "j").join(results.select(*keys, F.col("i").alias("j"), F.col("t").alias("b")), [*keys, "j"])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:

@@ -43,3 +43,11 @@ def test_empty_and_query(spark):
     none = spark.createDataFrame([], "b int, id int, text string")
     assert factoring.factor(none, ["b"], "id", "text").collect() == []
     assert registry.QUERIES["factored_results"](spark, "/root/testdata/sf0.001").where("template_ref is not null").count() > 0
+
+
+def test_pairs_are_compared_in_all_parts_of_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, i, "the same\nline\n" * 9 + str(i)) for i in range(40)], "b0 int, i int, t string")
+    pairs = rows.select("b0", F.lit(0).alias("i"), F.col("i").alias("j")).where("j > 0").coalesce(1)
+    out = factoring._agreeing(pairs, rows.coalesce(1), ["b0"], 0.5)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted((r.i, r.j) for r in out.collect()) == [(0, j) for j in range(1, 40)]
