@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
-from granary.session import spread
+from granary.session import spread, written
 
 
 #: Lines of a block by which instrumented lines and symbols meet.
@@ -143,11 +143,11 @@ def call_edges(calls: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, hops): nodes within ``depth`` hops of the start nodes; each round is one join with the nodes found new."""
-    seen = start.select("node", F.lit(0).alias("hops"))
+    """(node, hops): nodes within ``depth`` hops of the start nodes; each round is one join with the nodes found new, which are written: else a round holds the plans of all before it, twice."""
+    seen = written(start.select("node", F.lit(0).alias("hops")))
     new = seen
     for hop in range(1, depth + 1):
-        new = new.join(edges, F.col("node") == F.col("caller")).select(F.col("callee").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop))
+        new = written(new.join(edges, F.col("node") == F.col("caller")).select(F.col("callee").alias("node")).distinct().join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(new)
     return seen.groupBy("node").agg(F.min("hops").alias("hops"))
 

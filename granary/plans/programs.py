@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.operators import bindings, symbols
 from granary.plans.registry import query, table
 from granary.plans.reports import PARTS, fmt, listed, parts
+from granary.session import spread
 from granary.sources import ignore
 
 
@@ -91,12 +92,17 @@ def bound_calls(spark, sf):
     return out.select("file", "caller", "callee", "callee_file", F.col("first_line").cast("bigint").alias("first_line"), "calls", "ambiguous")
 
 
+def _ring(spark, sf):
+    """Files of twenty parts' functions, each of which calls the next one's; spread before the window, or one task parses all."""
+    w = Window.partitionBy("f").orderBy("pk")
+    p = spread(parts(spark, sf), "f").withColumn("next", F.lead("pk").over(w)).withColumn("first", F.min("pk").over(Window.partitionBy("f")))
+    return p.select("f", "pk", "first", fmt("src/p%d.py", "pk").alias("path"), fmt("from .p%d import run as go\n\ndef run(x):\n    return go(x)\n", F.coalesce("next", "first")).alias("text"))
+
+
 @query(f"SELECT f, i AS hops, count(*) AS nodes FROM {PARTS} p WHERE i <= 5 GROUP BY f, i")
 def calls_to_depth(spark, sf):
     """Functions within five calls of each ring's first; each is called run, stands in a file of its own and imports the next one's, the last one the first's."""
-    w = Window.partitionBy("f").orderBy("pk")
-    p = parts(spark, sf).withColumn("next", F.lead("pk").over(w)).withColumn("first", F.min("pk").over(Window.partitionBy("f")))
-    files = p.select("f", "pk", "first", fmt("src/p%d.py", "pk").alias("path"), fmt("from .p%d import run as go\n\ndef run(x):\n    return go(x)\n", F.coalesce("next", "first")).alias("text"))
+    files = _ring(spark, sf)
     start = files.where("pk = first").select(F.concat("path", F.lit("#3-4")).alias("node"))
     got = bindings.reached(bindings.bound_calls(files), start)
     of = files.select("f", F.concat("path", F.lit("#3-4")).alias("node"))
