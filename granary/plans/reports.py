@@ -579,7 +579,8 @@ def _program(spark, sf):
     """A Python file for twenty parts: each function calls the next part's, the last one a helper that no file defines."""
     from pyspark.sql import Window
 
-    p = parts(spark, sf).withColumn("next", F.lead("pk").over(Window.partitionBy("f").orderBy("pk")))
+    # spread before the window, or Spark joins its parts by their bytes and the window's distribution serves all that follows: one task writes and parses every file
+    p = spread(parts(spark, sf), "f").withColumn("next", F.lead("pk").over(Window.partitionBy("f").orderBy("pk")))
     body = F.concat(fmt("def part_%d(size):\n    return ", "pk"), F.when(F.col("next").isNull(), "helper(size)").otherwise(fmt("part_%d(size)", "next")), F.lit(" if len(x) else y\n"))
     return listed(p, ["f"], ["pk"], body).select("f", fmt("src/f%d.py", "f").alias("path"), "text")
 

@@ -3,6 +3,7 @@
 import random
 
 from granary.operators import analyses, history, relations
+from granary.plans import programs, reports
 from granary.plans.reports import listed
 from pyspark.sql import functions as F
 
@@ -51,3 +52,15 @@ def test_diffs_are_read_once(spark):
     out = history.structural_diff(history.parse_diff(spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "diff bigint, line_no bigint, line string")))
     assert "Join" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(1, "p", "added", "fn f()", 1, 1, 1), (1, "p", "added", "fn g()", 1, 1, 0), (1, "q", "modified", "fn f()", 1, 0, 1)]
+
+
+def test_programs_stay_spread_behind_their_window(spark, sf):
+    for files in (reports._program(spark, sf), programs._ring(spark, sf)):
+        assert files.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and "AQEShuffleRead" not in plan(files)
+
+
+def test_rounds_of_reached_nodes_are_written(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)] + [(2, 0)], "caller int, callee int")
+    out = relations.reachable(edges, edges.where("caller = 0").select(F.col("caller").alias("node")), 5)
+    assert "Join" not in plan(out)
+    assert sorted(map(tuple, out.collect())) == [(i, i) for i in range(6)]
