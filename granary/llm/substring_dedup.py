@@ -35,7 +35,9 @@ from granary.llm.wordgrams import joined, keyed, marked, with_lists
 #: Words of a window, of a gram whose hash may be a minimiser, and windows of a super-k-mer at most.
 WINDOW, GRAM, LONGEST = 13, 4, 32
 #: Super-k-mers of a bucket, about, and of a minimiser beyond which its windows are counted one by one.
-BUCKET_ROWS, HOT_ROWS = 40_000, 10_000
+BUCKET_ROWS, HOT_ROWS = 20_000, 10_000
+#: Bytes of texts, or of super-k-mers, that are taken at once: what comes of them is several times as much, in Python and in the JVM.
+TAKEN_BYTES = 2 << 20
 #: A window at more than this share of all places of hot windows is joined by broadcast.
 HEAVY_SHARE = 50_000
 #: An odd number, its inverse modulo 2^64, and another one, for hashes.
@@ -102,7 +104,7 @@ def super_kmers(rows: DataFrame, packed: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, TAKEN_BYTES)):
             minis, of_row, places, strings = [], [], [], []
             for row, text in enumerate(batch.column(2)):
                 whole = b" ".join(words_of(text.as_py()))
@@ -189,7 +191,7 @@ def _in_bucket(schema: pa.Schema):
 
 def _exploded(schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for b in batches for part in slices(b)):
+        for batch in (part for b in batches for part in slices(b, TAKEN_BYTES)):
             rows, places, hashes = [], [], []
             for row, (at, packed) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 found = [xxhash.xxh3_128_digest(w) for w in windows_of(packed)]
@@ -225,7 +227,8 @@ def passages(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame
     if not any_hot:
         return in_buckets
     places = StructType([StructField("id", kind), *StructType.fromDDL("text_key bigint, at int, window binary")])
-    windows = written(all_kmers.where(marked(hot, "mini")).select("id", "text_key", "at", "packed").mapInArrow(_exploded(to_arrow_schema(places)), places))
+    in_hot = written(all_kmers.where(marked(hot, "mini")).select("id", "text_key", "at", "packed"))  # one Python worker a task: two in a chain would hold twice as much
+    windows = written(in_hot.mapInArrow(_exploded(to_arrow_schema(places)), places))
     firsts = windows.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).where("first < last").select("window", "first", "n")
     firsts = written(firsts)
     heavy = F.col("n") > F.lit(max(HOT_ROWS, windows.count() // HEAVY_SHARE))
@@ -238,8 +241,8 @@ def _merger():
     def merge(gone: list) -> list[list]:
         out = []
         for spans in gone:
-            pairs = np.array([(x["start"], x["end"]) for x in spans], np.int64)
-            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            packed = np.sort(np.array(spans, np.int64))
+            pairs = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
             upto = np.maximum.accumulate(pairs[:, 1])
             first = np.flatnonzero(np.append(True, pairs[1:, 0] > upto[:-1]))
             out.append(np.stack([pairs[first, 0], upto[np.append(first[1:], len(pairs)) - 1]], axis=1).ravel().tolist())
@@ -250,7 +253,8 @@ def _merger():
 
 def merged(spans: DataFrame) -> DataFrame:
     """(id, text_key, gone): the stretches of each text, those that touch as one, start and end in turn."""
-    sets = spans.groupBy("id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    packed = F.shiftleft(F.col("start").cast("bigint"), 32) + F.col("end")  # a number, since a struct is a dict in Python
+    sets = spans.groupBy("id", "text_key").agg(F.collect_set(packed).alias("spans"))
     return append_columns(sets, ["spans"], _merger, "gone array<int>").drop("spans")
 
 

@@ -7,12 +7,14 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from granary.llm import oracle
 from granary.llm import queries as Q
 from granary.llm import substring_dedup as S
 from granary.llm import wordgrams
+from granary.llm.columns import slices
 
 
 def words(text):
@@ -115,3 +117,26 @@ def test_texts_that_lose_nothing_are_not_shuffled(spark, sf, monkeypatch):
     parts = out._jdf.queryExecution().optimizedPlan().children()
     assert [parts.apply(i).collectLeaves().size() for i in range(parts.size())] == [2, 1]
     assert out.where("gone is not null").count() == lists.count() and out.count() == docs.count()
+
+
+def test_one_python_worker_a_task(spark, monkeypatch):
+    plans = []
+    keep = S.written
+    monkeypatch.setattr(S, "written", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    monkeypatch.setattr(S, "HOT_ROWS", 12)
+    df = spark.createDataFrame(sample(), "doc_id bigint, text string")
+    S.passages(df)
+    assert len(plans) == 4 and all(p.count("MapInArrow") <= 1 for p in plans)
+
+
+def test_stretches_are_merged_as_numbers(spark):
+    spans = spark.createDataFrame([(1, 7, 5, 18), (1, 7, 0, 5), (1, 7, 40, 53), (1, 7, 45, 60), (1, 7, 45, 60), (2, 7, 3, 2**31 - 1)], "id bigint, text_key bigint, start int, end int")
+    out = S.merged(spans)
+    assert "struct" not in out._jdf.queryExecution().analyzed().toString().lower()
+    assert sorted((r.id, r.gone) for r in out.collect()) == [(1, [0, 18, 40, 60]), (2, [3, 2**31 - 1])]
+
+
+def test_what_is_taken_at_once_is_bounded():
+    batch = pa.RecordBatch.from_pydict({"id": list(range(400)), "text_key": [0] * 400, "t": [" ".join(f"w{i}x{j}" for j in range(4000)) for i in range(400)]})
+    parts = list(slices(batch, S.TAKEN_BYTES))
+    assert sum(p.num_rows for p in parts) == 400 and max(p.nbytes for p in parts) < 1.1 * (2 << 20)
