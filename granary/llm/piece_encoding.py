@@ -9,8 +9,9 @@ else try the next shorter one; where none is left, step back a token. A bitfield
 which the rest could not be finished, so no position is searched twice.
 
 Pieces never hold the space mark after another character in usual models (checked when a model is
-loaded), so a text falls into runs "marks and a word" that are encoded apart, and a bounded cache
-keeps the results of words seen before. Characters that the vocabulary lacks become byte tokens.
+loaded), so a text falls into runs "marks and a word" that are encoded apart, and a bounded cache in
+two halves keeps the results of words seen before: a full half displaces the older one, so what is
+frequent is never lost. Characters that the vocabulary lacks become byte tokens.
 
 Null and empty texts give the begin and end ids only and decode to the empty string.
 """
@@ -28,12 +29,14 @@ from pyspark.sql import DataFrame
 from granary.llm.columns import append_columns
 
 MARK = "▁"
-#: Words kept by a task's cache; a full cache is emptied. It bounds memory, not results.
-CACHE_WORDS = 200_000
+#: Words kept by a task's cache, in both halves together. It bounds memory (about 240 bytes a word), not results.
+CACHE_WORDS = 500_000
 #: The same for pairs of tokens whose compatibility is known.
-MOST_PAIRS = 250_000
+MOST_PAIRS = 500_000
 #: Words over this many characters are encoded but not kept.
 CACHE_CHARS = 64
+#: The score of two neighbours that no piece joins.
+NO_MERGE = float("-inf")
 
 
 def default_model() -> str:
@@ -75,6 +78,7 @@ class Merges:
             gaps = "".join(c for c in "\n\t\r" if c not in self.chars)
             self.split = re.compile(f"{MARK}+[^{MARK}{gaps}]*|[^{MARK}{gaps}]+|[{gaps or MARK}]+")
         self.pairs: dict[int, bool] = {}
+        self.older_pairs: dict[int, bool] = {}
         self.cache = _Cache(self, cache_words)
         # the pieces that merging can reach, and for each the longest one that is a beginning of it
         reached = {p: (len(p), i) for p, i in self.ids.items() if all(c in self.chars for c in p) and self.merged(p) == [p]}
@@ -88,24 +92,29 @@ class Merges:
     def merged(self, text: str) -> list[str]:
         """The merges of a short text, one by one: the best score first, the leftmost of equals."""
         parts = list(text)
-        scores = self.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                break
+        score = self.scores.get
+        found = [score(a + b, NO_MERGE) for a, b in zip(parts, parts[1:], strict=False)]  # of each two neighbours
+        while found and (best := max(found)) != NO_MERGE:
+            at = found.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del found[at]
+            if at:
+                found[at - 1] = score(parts[at - 1] + parts[at], NO_MERGE)
+            if at < len(found):
+                found[at] = score(parts[at] + parts[at + 1], NO_MERGE)
         return parts
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the pieces of two ids stay as they are when their characters are merged from scratch."""
-        if len(self.pairs) >= MOST_PAIRS:
-            self.pairs.clear()
-        a, b = self.texts[left], self.texts[right]
-        known = self.pairs[left * self.size + right] = self.merged(a + b) == [a, b]
+        key = left * self.size + right
+        known = self.older_pairs.get(key)
+        if known is None:
+            a, b = self.texts[left], self.texts[right]
+            known = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= MOST_PAIRS // 2:
+            self.older_pairs = self.pairs.copy()
+            self.pairs.clear()  # the same object, which ``pieces`` holds
+        self.pairs[key] = known
         return known
 
     def pieces(self, run: str) -> list[int]:
@@ -145,8 +154,10 @@ class Merges:
         return out
 
     def word(self, word: str) -> tuple[int, ...]:
-        out: list[int] = []
         chars = self.chars
+        if chars.issuperset(word):
+            return tuple(self.pieces(word))
+        out: list[int] = []
         at, n = 0, len(word)
         while at < n:
             to = at
@@ -173,14 +184,19 @@ class Merges:
 
 
 class _Cache(dict):
+    """The younger half of the words kept; ``older`` is the half before it."""
+
     def __init__(self, merges: Merges, most: int):
         super().__init__()
-        self.merges, self.most = merges, most
+        self.merges, self.most, self.older = merges, max(1, most // 2), {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.merges.word(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.merges.word(word)
         if len(word) <= CACHE_CHARS:
             if len(self) >= self.most:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
