@@ -5,6 +5,8 @@ Each text is written for a key of few rows (an order, twenty parts, ten events),
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +53,15 @@ ERRORS = "(SELECT event_id // 10 AS b, event_id AS id, user_id AS u FROM events
 fmt = F.format_string
 
 
+def put(pattern: str, *values: Column | str) -> Column:
+    """What ``format_string`` gives for %s of texts and %d of whole numbers, joined from its parts: a formatter reads its pattern anew for each row."""
+    fixed = re.split("%[sd]", pattern)
+    if any("%" in x for x in fixed) or len(fixed) != len(values) + 1:
+        return F.format_string(pattern, *values)
+    shown = [F.coalesce((F.col(v) if isinstance(v, str) else v).cast("string"), F.lit("null")) for v in values]
+    return F.concat(F.lit(fixed[0]), *[x for v, text in zip(shown, fixed[1:], strict=True) for x in (v, F.lit(text))])
+
+
 def parsed(df: DataFrame, keys: list[str], parse, fields: str) -> DataFrame:
     return X.rows_of(df, keys, "text", parse, fields).where("error is null")
 
@@ -242,7 +253,7 @@ def _level() -> Column:
 
 
 def _tsc(spark, sf):
-    text = listed(items(spark, sf), ["o"], ["ln", "pk"], fmt("src/o%d.ts(%d,%d): %s TS%d: part %d (x): no", "o", "ln", "q", _level(), "sk", "pk"))
+    text = listed(items(spark, sf), ["o"], ["ln", "pk"], put("src/o%d.ts(%d,%d): %s TS%d: part %d (x): no", "o", "ln", "q", _level(), "sk", "pk"))
     return _diagnosed(parsed(wrapped(text, "noise\n"), ["o"], X.diagnostics("tsc"), X.DIAGNOSTICS))
 
 
@@ -258,21 +269,21 @@ def diagnostics_tsc(spark, sf):
 @query(f"SELECT 'src/o' || o || '.py' AS file, ln AS line, CASE WHEN q % 3 = 0 THEN 0 ELSE q END AS col, CASE q % 3 WHEN 1 THEN 'hint' ELSE 'error' END AS severity, CASE WHEN q % 2 = 0 THEN 'kind-' || sk END AS code, 'part ' || pk AS message FROM {ITEMS} i")
 def diagnostics_mypy(spark, sf):
     """Findings of mypy, with and without column and code."""
-    line = F.concat(fmt("src/o%d.py:%d:", "o", "ln"), F.when(F.col("q") % 3 == 0, "").otherwise(fmt("%d:", "q")), F.when(F.col("q") % 3 == 1, " note: ").otherwise(" error: "), fmt("part %d", "pk"), F.when(F.col("q") % 2 == 0, fmt("  [kind-%d]", "sk")).otherwise(""))
+    line = F.concat(put("src/o%d.py:%d:", "o", "ln"), F.when(F.col("q") % 3 == 0, "").otherwise(put("%d:", "q")), F.when(F.col("q") % 3 == 1, " note: ").otherwise(" error: "), put("part %d", "pk"), F.when(F.col("q") % 2 == 0, put("  [kind-%d]", "sk")).otherwise(""))
     return _diagnosed(parsed(listed(items(spark, sf), ["o"], ["ln", "pk"], line), ["o"], X.diagnostics("mypy"), X.DIAGNOSTICS))
 
 
 @query(f"SELECT 'o' || o || '.go' AS file, ln AS line, CASE WHEN q % 2 = 0 THEN q ELSE 0 END AS col, 'error' AS severity, NULL::VARCHAR AS code, 'part ' || pk || ' wrong' AS message FROM {ITEMS} i")
 def diagnostics_govet(spark, sf):
     """Findings of go vet."""
-    line = F.concat(fmt("vet: o%d.go:%d:", "o", "ln"), F.when(F.col("q") % 2 == 0, fmt("%d:", "q")).otherwise(""), fmt(" part %d wrong", "pk"))
+    line = F.concat(put("vet: o%d.go:%d:", "o", "ln"), F.when(F.col("q") % 2 == 0, put("%d:", "q")).otherwise(""), put(" part %d wrong", "pk"))
     return _diagnosed(parsed(wrapped(listed(items(spark, sf), ["o"], ["ln", "pk"], line), "# pkg\n"), ["o"], X.diagnostics("govet"), X.DIAGNOSTICS))
 
 
 @query(f"SELECT 'o' || o || '.py' AS file, ln AS line, q AS col, {LEVEL} AS severity, 'rule' || sk AS code, 'part ' || pk || ' x' AS message FROM {ITEMS} i")
 def diagnostics_pyright(spark, sf):
     """Findings of pyright, whose lines and columns count from zero."""
-    line = fmt('{"file":"o%d.py","severity":"%s","rule":"rule%d","message":"part %d\\nx","range":{"start":{"line":%d,"character":%d}}}', "o", _level(), "sk", "pk", F.col("ln") - 1, F.col("q") - 1)
+    line = put('{"file":"o%d.py","severity":"%s","rule":"rule%d","message":"part %d\\nx","range":{"start":{"line":%d,"character":%d}}}', "o", _level(), "sk", "pk", F.col("ln") - 1, F.col("q") - 1)
     return _diagnosed(parsed(wrapped(listed(items(spark, sf), ["o"], ["ln", "pk"], line, ","), '{"generalDiagnostics":[', "]}"), ["o"], X.diagnostics("pyright"), X.DIAGNOSTICS))
 
 
@@ -280,7 +291,7 @@ def diagnostics_pyright(spark, sf):
 def diagnostics_cargo(spark, sf):
     """Findings of cargo check, at the primary place; notes and help are hints, trailers go."""
     level = F.when(F.col("q") % 3 == 0, "error").when(F.col("q") % 3 == 1, "warning").otherwise("note")
-    line = fmt('{"reason":"compiler-message","message":{"level":"%s","message":"part %d","code":%s,"spans":[{"file_name":"other.rs","line_start":1,"column_start":1,"is_primary":false},{"file_name":"o%d.rs","line_start":%d,"column_start":%d,"is_primary":true}]}}', level, "pk", F.when(F.col("q") % 2 == 0, fmt('{"code":"E%d"}', "sk")).otherwise("null"), "o", "ln", "q")
+    line = put('{"reason":"compiler-message","message":{"level":"%s","message":"part %d","code":%s,"spans":[{"file_name":"other.rs","line_start":1,"column_start":1,"is_primary":false},{"file_name":"o%d.rs","line_start":%d,"column_start":%d,"is_primary":true}]}}', level, "pk", F.when(F.col("q") % 2 == 0, put('{"code":"E%d"}', "sk")).otherwise("null"), "o", "ln", "q")
     text = wrapped(listed(items(spark, sf), ["o"], ["ln", "pk"], line), '{"reason":"compiler-artifact"}\n   Checking x\n', '\n{"reason":"compiler-message","message":{"level":"error","message":"aborting due to 2 previous errors","code":null,"spans":[]}}')
     return _diagnosed(parsed(text, ["o"], X.diagnostics("cargo"), X.DIAGNOSTICS))
 

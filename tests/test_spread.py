@@ -1,10 +1,12 @@
 """Joins and texts that stay spread: plans without broadcasts or second readings, and the same rows by brute force."""
 
 import random
+import re
 
 from granary.operators import analyses, history, relations
-from granary.plans import programs, reports
+from granary.plans import programs, registry, reports
 from granary.plans.reports import listed
+from granary.sources import extract
 from pyspark.sql import functions as F
 
 
@@ -64,3 +66,20 @@ def test_rounds_of_reached_nodes_are_written(spark):
     out = relations.reachable(edges, edges.where("caller = 0").select(F.col("caller").alias("node")), 5)
     assert "Join" not in plan(out)
     assert sorted(map(tuple, out.collect())) == [(i, i) for i in range(6)]
+
+
+def test_lines_are_joined_without_a_formatter(spark, sf):
+    for name in ("diagnostics_mypy", "diagnostics_pyright", "diagnostics_tsc", "diagnostics_govet", "diagnostics_cargo"):
+        assert "format_string" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().analyzed().toString()
+    df = spark.createDataFrame([(1, "a", -7), (None, None, 2**40)], "a int, b string, c bigint")
+    for pattern, values in (("%d:%s", ("a", "b")), ("", ()), ("x%dy\n%d", (F.col("c") % 3, "c")), ('{"%s"}', ("b",)), ("100%% of %d", ("a",)), ("%05d", ("c",))):
+        assert df.select(reports.put(pattern, *values)).collect() == df.select(F.format_string(pattern, *values)).collect()
+
+
+def test_codes_at_the_end_of_a_line_of_mypy():
+    old = re.compile(r"(.*?)(?:\s+\[([\w-]+)\])?$")
+    for said in ("a", "a [b]", "a  \t[b-c]", "a[b]", "a [b] [c]", " [b]", "[b]", "a []", "a [b c]", "a [b]]", "a [[b]", "list [int] is", "a [é]", "]", ""):
+        line = f"x.py:3: error: {said}".strip()
+        got = extract.diagnostics("mypy")(line)
+        m = re.match(r"([^:\s]+):(\d+):(?:(\d+):)? (error|warning|note): " + old.pattern, line)
+        assert got == ([(m[1], 3, 0, "error", m[6], m[5])] if m else [])
