@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.operators import bindings, symbols
 from granary.plans.registry import query, table
-from granary.plans.reports import PARTS, fmt, listed, parts
+from granary.plans.reports import PARTS, fmt, parts, put
 from granary.session import spread
 from granary.sources import ignore
 
@@ -66,16 +66,15 @@ def walked_files(spark, sf):
 
 
 def _two_namesakes(spark, sf):
-    """Files a and b that define the same functions, and c that imports each from one of them under another name."""
-    p = parts(spark, sf)
-    define = fmt("def part_%d(size):\n    '''calls gone_%d(size)'''\n    return len(size)  # and never(size)\n", "pk", "pk")
-    both = listed(p, ["f"], ["pk"], define)
-    of = F.when(F.col("pk") % 2 == 0, "a").otherwise("b")
-    head = listed(p, ["f"], ["pk"], fmt("from .%s%d import part_%d as p%d", of, "f", "pk", "pk"))
-    body = listed(p, ["f"], ["pk"], fmt("        p%d(x)\n        self.own(part_%d(x))", "pk", "pk")).withColumnRenamed("text", "body")
-    main = head.join(body, "f").withColumn("text", F.concat("text", fmt("\n\nclass Main%d:\n    def own(self, x):\n        def inner(y): return y\n        return inner(x)\n\n    def run(self, x):\n", "f"), "body"))
-    named = lambda df, name: df.select(fmt(f"src/{name}%d.py", "f").alias("path"), "text")
-    return named(both, "a").unionByName(named(both, "b")).unionByName(named(main, "c"))
+    """Files a and b that define the same functions, and c that imports each from one of them under another name; the three of a key are written in one pass."""
+    each = spread(parts(spark, sf), "f").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("pk"))).alias("all"))
+    lines = lambda line: F.array_join(F.transform("all", lambda x: line(x["pk"])), "\n")
+    both = lines(lambda pk: put("def part_%d(size):\n    '''calls gone_%d(size)'''\n    return len(size)  # and never(size)\n", pk, pk))
+    head = lines(lambda pk: put("from .%s%d import part_%d as p%d", F.when(pk % 2 == 0, "a").otherwise("b"), "f", pk, pk))
+    own = put("\n\nclass Main%d:\n    def own(self, x):\n        def inner(y): return y\n        return inner(x)\n\n    def run(self, x):\n", "f")
+    body = lines(lambda pk: put("        p%d(x)\n        self.own(part_%d(x))", pk, pk))
+    named = lambda name, text: F.struct(put(f"src/{name}%d.py", "f").alias("path"), text.alias("text"))
+    return each.select(F.inline(F.array(named("a", both), named("b", both), named("c", F.concat(head, own, body)))))
 
 
 @query(

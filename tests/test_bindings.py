@@ -1,6 +1,8 @@
 """Calls bound by scope and import, in several languages."""
 
 from granary.operators import bindings
+from granary.plans import programs
+from granary.sources import code
 
 FILES = [
     ("src/util.ts", "export function load(x) { return x; }\nexport class Crate {\n  open() { return load(1); }\n  static make() { return new Crate(); }\n}\n"),
@@ -36,3 +38,32 @@ def test_reached_over_a_cycle(spark):
     assert got["src/main.ts#3-11"] == 0 and got["src/main.ts#10-10"] == 1 and got["src/util.ts#1-1"] == 1 and got["src/util.ts#2-5"] == 2
     back = {r.node for r in bindings.reached(bound, spark.createDataFrame([("src/util.ts#1-1",)], "node string"), 1, callers=True).collect()}
     assert back == {"src/util.ts#1-1", "src/main.ts#3-11", "src/util.ts#3-3"}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_read_once_and_joins_are_by_merge(spark, sf):
+    texts = programs._two_namesakes(spark, sf)
+    assert "Join" not in plan(texts) and plan(texts).count("Scan parquet") == 1 and "AQEShuffleRead" not in plan(texts)
+    assert texts.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound = bindings.bound_calls(spark.createDataFrame(FILES, "path string, text string"))
+    assert "InArrow" not in plan(bound) and "Broadcast" not in plan(bound)
+
+
+def test_one_reading_gives_what_two_give():
+    for path, text in [*FILES, ("x", "f(1)"), ("a.go", "func (t T) A() { b() }\n"), ("b.py", "")]:
+        ext = path.rsplit(".", 1)[-1]
+        assert code.definitions_and_calls(ext)(text) == (code.definitions(ext)(text), code.calls(ext)(text))
+
+
+def test_a_name_called_everywhere(spark):
+    """Unbound calls of one name in very many files, of a name that few files define, and files without a text or a row."""
+    callers = [(f"m{i}.py", f"def run{i}():\n    shared(1)\n    shared(2)\n    gone()\n") for i in range(600)]
+    other = [("d1.py", "def shared(x): pass\n"), ("d2.py", "def shared(x): pass\n"), ("e.py", ""), ("n.py", None), (None, "def shared(x): shared(x)\n"), ("k.py", "import e\nimport n\ndef go():\n    e.gone()\n    n.shared()\n")]
+    rows = bindings.bound_calls(spark.createDataFrame(callers + other, "path string, text string").repartition(5)).collect()
+    got = sorted(((r.file, r.caller, r.callee, r.callee_file, r.callee_id, r.calls, r.ambiguous) for r in rows), key=str)
+    want = [x for i in range(600) for x in ((f"m{i}.py", f"run{i}", "shared", None, None, 2, 2), (f"m{i}.py", f"run{i}", "gone", None, None, 1, 0))]
+    want += [("k.py", "go", "gone", None, None, 1, 0), ("k.py", "go", "shared", None, None, 1, 2)]
+    assert got == sorted(want, key=str)
