@@ -6,6 +6,7 @@ import re
 from granary.operators import analyses, history, relations
 from granary.plans import programs, registry, reports
 from granary.plans.reports import listed
+from granary.session import BATCH, BATCH_BYTES, BATCH_ROWS, BATCH_SIZE
 from granary.sources import extract
 from pyspark.sql import functions as F
 
@@ -83,3 +84,14 @@ def test_codes_at_the_end_of_a_line_of_mypy():
         got = extract.diagnostics("mypy")(line)
         m = re.match(r"([^:\s]+):(\d+):(?:(\d+):)? (error|warning|note): " + old.pattern, line)
         assert got == ([(m[1], 3, 0, "error", m[6], m[5])] if m else [])
+
+
+def test_parsers_take_small_batches_unless_the_session_has_its_own(spark):
+    df = spark.createDataFrame([("a=1",)], "text string")
+    spark.conf.unset(BATCH_SIZE)
+    for own, want in ((None, str(BATCH_ROWS)), ("77", "77")):
+        spark.conf.set(BATCH, own) if own else spark.conf.unset(BATCH)
+        extract.rows_of(df, [], "text", extract.env, extract.ENV)
+        assert (spark.conf.get(BATCH), spark.conf.get(BATCH_SIZE)) == (want, str(BATCH_BYTES))
+    spark.conf.unset(BATCH)
+    spark.conf.unset(BATCH_SIZE)
